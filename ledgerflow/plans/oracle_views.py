@@ -23,6 +23,25 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "charts": (("clients", "accounts"),
                "SELECT CAST(client_id * 100 + k AS INT) AS chart_id, client_id, account, CAST(1000 + k AS INT) AS account_code, "
                "type, role_name, TRUE AS is_active FROM clients CROSS JOIN accounts"),
+    "coa_template": (("accounts",), "SELECT 1 AS template_id, CAST(1000 + k AS INT) AS account_code, account AS account_name, type AS account_type FROM accounts "
+                     "UNION ALL SELECT * FROM (VALUES (1, 1011, 'Input Tax Receivable', 'Asset'), (1, 1012, 'Sales Returns and Allowances', 'Contra Revenue'), "
+                     "(1, 1013, 'Purchase Returns and Allowances', 'Contra Expense'), (1, 1014, 'Salary Expense', 'Expense'), "
+                     "(1, 1015, 'Salary Payable', 'Liability')) AS t(template_id, account_code, account_name, account_type)"),
+    "new_charts": (("clients", "coa_template", "charts"),
+                   "SELECT CAST(c.client_id * 100 + t.account_code - 1000 AS INT) AS chart_id, c.client_id, t.account_name AS account, "
+                   "t.account_code, t.account_type AS type, TRUE AS is_active FROM clients c JOIN coa_template t ON t.template_id = 1 "
+                   "WHERE NOT EXISTS (SELECT 1 FROM charts x WHERE x.client_id = c.client_id AND x.account_code = t.account_code)"),
+    "all_charts": (("charts", "new_charts"),
+                   "SELECT chart_id, client_id, account, account_code, type, is_active FROM charts UNION ALL SELECT * FROM new_charts"),
+    "new_roles": (("all_charts", "charts"),
+                  "SELECT a.chart_id, r.role_name FROM all_charts a JOIN (VALUES ('Input Tax', 'input_vat_receivable'), "
+                  "('Sales Returns', 'SR&Allowances'), ('Purchase Returns', 'PR&Allowances'), ('Salary Expense', 'salary_expense'), "
+                  "('Salary Payable', 'salary_payable')) AS r(prefix, role_name) ON a.account LIKE r.prefix || '%' "
+                  "WHERE NOT EXISTS (SELECT 1 FROM charts x WHERE x.chart_id = a.chart_id AND x.role_name = r.role_name)"),
+    "role_map": (("all_charts", "charts", "new_roles"),
+                 "SELECT a.client_id, r.role_name, MIN(a.chart_id) AS chart_id FROM (SELECT chart_id, role_name FROM charts "
+                 "WHERE role_name IS NOT NULL UNION ALL SELECT chart_id, role_name FROM new_roles) r JOIN all_charts a "
+                 "ON r.chart_id = a.chart_id WHERE a.is_active GROUP BY a.client_id, r.role_name"),
     "transactions": (("customers",),
                      "SELECT o_orderkey AS transaction_id, client_id, concat('ORD-', CAST(o_orderkey AS VARCHAR)) AS idempotency_key, "
                      "CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE concat('Order ', CAST(o_orderkey AS VARCHAR)) END AS description, "

@@ -51,6 +51,25 @@ COMPONENTS = [
     (7, "Employee Assistance", "BENEFIT"),
 ]
 
+# Chart-of-accounts template 1 (template_id, account_code, account_name, account_type):
+# the ten accounts every bridge client starts with plus five the postings need.
+COA_TEMPLATE = [(1, 1000 + k, name, typ) for k, name, typ, _role in ACCOUNTS] + [
+    (1, 1011, "Input Tax Receivable", "Asset"),
+    (1, 1012, "Sales Returns and Allowances", "Contra Revenue"),
+    (1, 1013, "Purchase Returns and Allowances", "Contra Expense"),
+    (1, 1014, "Salary Expense", "Expense"),
+    (1, 1015, "Salary Payable", "Liability"),
+]
+
+# Role assignment by account-name prefix (prefix, role).
+ROLE_PREFIXES = [
+    ("Input Tax", "input_vat_receivable"),
+    ("Sales Returns", "SR&Allowances"),
+    ("Purchase Returns", "PR&Allowances"),
+    ("Salary Expense", "salary_expense"),
+    ("Salary Payable", "salary_payable"),
+]
+
 LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
 
 MONEY = T.DecimalType(15, 2)
@@ -112,6 +131,16 @@ class Bridge:
     def accounts(self) -> DataFrame:
         return self.spark.createDataFrame(ACCOUNTS, "k int, account string, type string, role_name string")
 
+    @cached_property
+    def coa_template(self) -> DataFrame:
+        return self.spark.createDataFrame(
+            COA_TEMPLATE, "template_id int, account_code int, account_name string, account_type string")
+
+    @cached_property
+    def client_templates(self) -> DataFrame:
+        """Every bridge client uses chart template 1."""
+        return self.clients.select("client_id", F.lit(1).alias("template_id"))
+
     @cached_property
     def charts(self) -> DataFrame:
         # every client gets the fixed account list: a generator over a literal array, no join
