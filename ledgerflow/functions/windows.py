@@ -63,3 +63,24 @@ def band_buckets(df: DataFrame, lo: str, hi: str, width: Column | str, out: str
     first = F.floor(F.col(lo) / w)
     last = F.floor((F.col(hi) - 1) / w)
     return df.withColumn(out, F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+
+
+def chunked_lag(df: DataFrame, keys: Sequence[str], order_id: str, value: str, out: str,
+                chunk: int = 4096) -> DataFrame:
+    """``out`` = ``value`` of the previous row of the same ``keys`` in ``order_id`` order.
+
+    Same chunking as ``running_sum``: the row-level window runs over (keys, id div chunk)
+    groups of at most ``chunk`` rows; the first row of a chunk takes the last value of the
+    previous non-empty chunk from the (rows / chunk)-sized chunk table.
+    """
+    c = F.floor(F.col(order_id) / F.lit(chunk))
+    d = df.withColumn("_cl_chunk", c)
+    w_rows = Window.partitionBy(*keys, "_cl_chunk").orderBy(order_id)
+    d = (d.withColumn("_cl_prev", F.lag(value).over(w_rows))
+          .withColumn("_cl_first", F.row_number().over(w_rows) == 1))
+    last = d.groupBy(*keys, "_cl_chunk").agg(F.max_by(value, order_id).alias("_cl_last"))
+    w_chunks = Window.partitionBy(*keys).orderBy("_cl_chunk")
+    last = last.select(*keys, "_cl_chunk", F.lag("_cl_last").over(w_chunks).alias("_cl_before"))
+    return (d.join(last, [*keys, "_cl_chunk"])
+             .withColumn(out, F.when(F.col("_cl_first"), F.col("_cl_before")).otherwise(F.col("_cl_prev")))
+             .drop("_cl_chunk", "_cl_prev", "_cl_first", "_cl_before"))

@@ -131,6 +131,8 @@ def with_views(names, body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
     stripped = body.lstrip()
+    if stripped[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{stripped[15:]}"
     if stripped[:5].upper() == "WITH ":
         # the body has its own CTEs: continue the same WITH list
         return f"WITH {ctes},\n{stripped[5:]}"

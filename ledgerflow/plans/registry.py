@@ -64,5 +64,6 @@ def query(name: str, code: str, oracle: str | None = None, views: Iterable[str]
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills the registry
-    from . import inventory_queries, ledger_queries, posting_queries, quality_queries, staging_queries  # noqa: F401
+    from . import (audit_queries, inventory_queries, ledger_queries, posting_queries,  # noqa: F401
+                   quality_queries, staging_queries)
     return REGISTRY
