@@ -8,7 +8,11 @@ from pyspark.sql import types as T
 
 MONEY = T.DecimalType(15, 2)
 TOTAL = T.DecimalType(18, 2)
-ZERO = F.lit(0).cast(MONEY)
+
+
+def zero() -> Column:
+    """Money zero (built per call: worker processes import this module without a session)."""
+    return F.lit(0).cast(MONEY)
 
 
 def col(c: str | Column) -> Column:
@@ -17,12 +21,12 @@ def col(c: str | Column) -> Column:
 
 def debit(amount: str | Column = "amount", journal: str | Column = "journal") -> Column:
     """Amount on the debit side (journal flag TRUE), else 0."""
-    return F.when(col(journal), col(amount)).otherwise(ZERO)
+    return F.when(col(journal), col(amount)).otherwise(zero())
 
 
 def credit(amount: str | Column = "amount", journal: str | Column = "journal") -> Column:
     """Amount on the credit side (journal flag FALSE), else 0."""
-    return F.when(~col(journal), col(amount)).otherwise(ZERO)
+    return F.when(~col(journal), col(amount)).otherwise(zero())
 
 
 def signed(amount: str | Column = "amount", journal: str | Column = "journal") -> Column:

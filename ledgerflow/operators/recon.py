@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import TOTAL, ZERO, credit, debit, total
+from ..functions.money import TOTAL, credit, debit, total, zero
 
 IN_TYPES = ("Purchase", "Sale Return")
 OUT_TYPES = ("Sale", "Purchase Return")
@@ -36,8 +36,8 @@ def check_journal_balance(journals: DataFrame) -> DataFrame:
 
 def ledger_balance_check(journals: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """One row: rule id, violation flag (abs diff > tolerance), totals, abs diff."""
-    d = F.coalesce(total(debit()), ZERO).cast(TOTAL)
-    c = F.coalesce(total(credit()), ZERO).cast(TOTAL)
+    d = F.coalesce(total(debit()), zero()).cast(TOTAL)
+    c = F.coalesce(total(credit()), zero()).cast(TOTAL)
     diff = F.abs(d - c).cast(TOTAL)
     return journals.agg(
         F.lit("DOUBLE_ENTRY_BALANCE").alias("rule_id"),
@@ -49,8 +49,8 @@ def validate_transaction_balance(journals: DataFrame, ids: DataFrame) -> DataFra
     """Exact equality per requested transaction id; a missing id counts as 0 = 0 (valid)."""
     t = _tx_totals(journals)
     r = ids.select("transaction_id").join(t, "transaction_id", "left")
-    d = F.coalesce(F.col("total_debit"), ZERO).cast(TOTAL)
-    c = F.coalesce(F.col("total_credit"), ZERO).cast(TOTAL)
+    d = F.coalesce(F.col("total_debit"), zero()).cast(TOTAL)
+    c = F.coalesce(F.col("total_credit"), zero()).cast(TOTAL)
     ok = d == c
     return r.select(
         "transaction_id", ok.alias("is_valid"),
@@ -88,7 +88,7 @@ def _reconcile_document(docs: DataFrame, journals: DataFrame, charts: DataFrame,
     leg = journals.join(charts.select("chart_id", "account"), "chart_id")
     on_side = F.col("journal") if side_debit else ~F.col("journal")
     per_tx = leg.groupBy("transaction_id").agg(
-        F.sum(F.when((F.col("account") == account) & on_side, F.col("amount")).otherwise(ZERO)).alias("leg_sum"))
+        F.sum(F.when((F.col("account") == account) & on_side, F.col("amount")).otherwise(zero())).alias("leg_sum"))
     d = docs.groupBy("transaction_id", "amount").agg(F.count(F.lit(1)).alias("n_docs"))
     j = d.join(per_tx, "transaction_id")
     ledger = (F.col("leg_sum") * F.col("n_docs")).cast(TOTAL)

@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import ZERO, credit, debit, total
+from ..functions.money import credit, debit, total, zero
 
 DateLike = str | _dt.date
 
@@ -92,7 +92,7 @@ def cash_balance(journals: DataFrame, charts: DataFrame, account: str,
     j = _legs_in_range(journals, start, end)
     c = charts.where(F.col("account") == account).select("chart_id")
     legs = j.join(c, "chart_id")
-    return legs.agg((F.coalesce(total(debit()), ZERO) - F.coalesce(total(credit()), ZERO))
+    return legs.agg((F.coalesce(total(debit()), zero()) - F.coalesce(total(credit()), zero()))
                     .cast("decimal(18,2)").alias("cash_balance"))
 
 
@@ -101,8 +101,8 @@ def profit_summary(journals: DataFrame, charts: DataFrame, start: DateLike, end:
     j = _legs_in_range(journals, start, end)
     c = charts.where(F.col("type").isin("Revenue", "Expense")).select("chart_id", "type")
     legs = j.join(c, "chart_id")
-    rev = F.coalesce(total(F.when(F.col("type") == "Revenue", F.col("amount")).otherwise(ZERO)), ZERO)
-    exp = F.coalesce(total(F.when(F.col("type") == "Expense", F.col("amount")).otherwise(ZERO)), ZERO)
+    rev = F.coalesce(total(F.when(F.col("type") == "Revenue", F.col("amount")).otherwise(zero())), zero())
+    exp = F.coalesce(total(F.when(F.col("type") == "Expense", F.col("amount")).otherwise(zero())), zero())
     return legs.agg(rev.alias("total_revenue"), exp.alias("total_expense"),
                     (rev - exp).cast("decimal(18,2)").alias("net_income"))
 

@@ -81,6 +81,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                     "CAST(CAST(o_orderdate AS DATE) + INTERVAL '2' DAY AS DATE) AS transaction_date, "
                     "CASE WHEN o_orderkey % 5 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS transaction_type, "
                     "CAST(o_totalprice AS DECIMAL(15,2)) AS amount FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 <> 0"),
+    "bank_accounts": ((), "SELECT * FROM (VALUES (1, 'ACCT-0001', 'Bank One', 101), (2, 'ACCT-0002', 'Bank Two', 201)) "
+                          "AS t(account_id, account_number, bank_name, chart_id)"),
+    "statements": (("bank_tx",),
+                   "SELECT CAST(account_id AS VARCHAR) || '-' || strftime(statement_date, '%Y%m') AS statement_id, account_id, statement_date, "
+                   "CAST(SUM(net) OVER (PARTITION BY account_id ORDER BY statement_date ROWS UNBOUNDED PRECEDING) - net AS DECIMAL(18,2)) AS opening_balance, "
+                   "CAST(SUM(net) OVER (PARTITION BY account_id ORDER BY statement_date ROWS UNBOUNDED PRECEDING) AS DECIMAL(18,2)) AS closing_balance "
+                   "FROM (SELECT account_id, last_day(transaction_date) AS statement_date, "
+                   "SUM(CASE WHEN transaction_type = 'CREDIT' THEN amount ELSE -amount END) AS net FROM bank_tx GROUP BY 1, 2) m"),
     "event_log": ((), "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'PURCHASE' WHEN 'click' THEN 'SALE' WHEN 'view' THEN 'RECEIVABLE' "
                       "WHEN 'signup' THEN 'PAYABLE' ELSE 'UNKNOWN' END AS event_type, ts AS created_at, "
                       "concat('ev-', CAST(user_id AS VARCHAR), '-', props) AS idempotency_key, user_id, "

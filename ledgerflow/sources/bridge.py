@@ -70,6 +70,10 @@ ROLE_PREFIXES = [
     ("Salary Payable", "salary_payable"),
 ]
 
+# Bank accounts (account_id, account_number, bank_name, chart_id); each is the
+# cash-on-hand chart of the client with the same id.
+BANK_ACCOUNTS = [(1, "ACCT-0001", "Bank One", 101), (2, "ACCT-0002", "Bank Two", 201)]
+
 LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
 
 MONEY = T.DecimalType(15, 2)
@@ -249,6 +253,10 @@ class Bridge:
             .cast("long").alias("amount_cents")).withColumn("account", F.lit("Output Tax Payable"))
 
     # ---- bank ------------------------------------------------------------------
+    @cached_property
+    def bank_accounts(self) -> DataFrame:
+        return self.spark.createDataFrame(BANK_ACCOUNTS, "account_id int, account_number string, bank_name string, chart_id int")
+
     @cached_property
     def bank_tx(self) -> DataFrame:
         o = self.raw("orders")
