@@ -111,7 +111,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                        "(7,'Employee Assistance','BENEFIT')) AS t(component_id, component_name, component_type)"),
     "salary_details": (("components",),
                        "SELECT s_suppkey AS employee_id, component_id, CAST(CASE WHEN component_id = 1 THEN 20000 + s_suppkey % 50 * 100 "
-                       "ELSE 100 * component_id + s_suppkey % 10 END AS DECIMAL(15,2)) AS amount, DATE '2025-01-01' AS effective_date, "
+                       "ELSE 100 * component_id + s_suppkey % 10 END AS DECIMAL(15,2)) AS amount, DATE '1995-01-01' AS effective_date, "
                        "CASE WHEN (s_suppkey + component_id) % 11 = 0 THEN DATE '2024-12-31' ELSE NULL END AS end_date "
                        "FROM supplier CROSS JOIN components"),
 }

@@ -65,5 +65,5 @@ def query(name: str, code: str, oracle: str | None = None, views: Iterable[str]
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills the registry
     from . import (audit_queries, bank_queries, inventory_queries, ledger_queries, posting_queries,  # noqa: F401
-                   quality_queries, staging_queries)
+                   quality_queries, staging_queries, tax_payroll_queries)
     return REGISTRY

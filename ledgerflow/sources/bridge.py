@@ -327,7 +327,7 @@ class Bridge:
         return s.select("s_suppkey", F.explode(ids).alias("component_id")).select(
             sk.alias("employee_id"), cid,
             F.when(cid == 1, F.lit(20000) + sk % 50 * 100).otherwise(cid * 100 + sk % 10).cast(MONEY).alias("amount"),
-            F.lit("2025-01-01").cast("date").alias("effective_date"),
+            F.lit("1995-01-01").cast("date").alias("effective_date"),
             F.when((sk + cid) % 11 == 0, F.lit("2024-12-31").cast("date")).alias("end_date"))
 
 
