@@ -64,6 +64,6 @@ def query(name: str, code: str, oracle: str | None = None, views: Iterable[str]
 
 def load_all() -> dict[str, Query]:
     # importing the plan modules fills the registry
-    from . import (audit_queries, bank_queries, event_queries, inventory_queries, ledger_queries, posting_queries,  # noqa: F401
+    from . import (audit_queries, bank_queries, event_queries, inventory_queries, ops_queries, ledger_queries, posting_queries,  # noqa: F401
                    quality_queries, secure_tier_queries, staging_queries, tax_payroll_queries)
     return REGISTRY
