@@ -351,3 +351,159 @@ def assign_account_role(charts: DataFrame, roles: DataFrame, prefix: str, role:
     """New role rows for every account whose name matches ``prefix%`` (all tenants), skipping existing."""
     hit = charts.where(F.col("account").like(prefix + "%")).select("chart_id", F.lit(role).alias("role_name"))
     return hit.join(roles.select("chart_id", "role_name"), ["chart_id", "role_name"], "left_anti")
+
+
+# ---- recurring entries ------------------------------------------------------------------
+
+def process_recurring(templates: DataFrame, details: DataFrame, execution_date, existing_tx: DataFrame,
+                      client_id: int | None = None) -> dict[str, DataFrame]:
+    """Active templates → one transaction each with the template's legs dated on the execution
+    date; execution rows EXECUTED / FAILED (a template without legs fails); per-client counts.
+    Idempotency key 'REC-<template>-<date>' makes a re-run a no-op for executed templates."""
+    d = F.lit(str(execution_date)).cast("date")
+    t = templates.where(F.col("is_active"))
+    if client_id is not None:
+        t = t.where(F.col("client_id") == client_id)
+    has = details.select("template_id").distinct().withColumn("_has", F.lit(True))
+    t = (t.join(has, "template_id", "left")
+         .withColumn("idempotency_key", F.concat(F.lit("REC-"), F.col("template_id").cast("string"), F.lit("-"),
+                                                 d.cast("string"))))
+    ok = t.where(F.col("_has").isNotNull()).join(existing_tx.select("idempotency_key"), "idempotency_key", "left_anti")
+    numbered = assign_ids(ok, existing_tx, "transaction_id", ["template_id"], "transaction_id")
+    tx = numbered.select("transaction_id", "client_id", "idempotency_key", F.col("template_name").alias("description"),
+                         d.alias("date"), "template_id")
+    legs = (details.join(numbered.select("template_id", "transaction_id"), "template_id")
+            .select("transaction_id", "chart_id", d.alias("date"), F.col("is_debit").alias("journal"),
+                    F.col("amount").cast(MONEY).alias("amount")))
+    execs = (t.join(numbered.select("template_id", "transaction_id"), "template_id", "left")
+             .select("template_id", "client_id", d.alias("scheduled_date"),
+                     F.when(F.col("transaction_id").isNotNull(), "EXECUTED")
+                      .when(F.col("_has").isNull(), "FAILED").otherwise("SKIPPED").alias("status"),
+                     "transaction_id",
+                     F.when(F.col("_has").isNull(), F.lit("No recurring details for template")).alias("error_message")))
+    summary = execs.groupBy("client_id").agg(
+        F.count_if(F.col("status") == "EXECUTED").alias("executed_count"),
+        F.count_if(F.col("status") == "FAILED").alias("failed_count")).withColumn(
+        "message", F.format_string("Processed %d recurring transactions, %d failed",
+                                   F.col("executed_count"), F.col("failed_count")))
+    return {"transactions": tx, "journals": legs, "executions": execs, "summary": summary}
+
+
+# ---- amendments ---------------------------------------------------------------------------
+
+# Status vocabulary accepted by the amendment routines.
+AMEND_STATUSES = ("Pending", "Paid", "Overdue")
+_AMEND = {"AR": ("receivable_id", "customer_id", ("cash_account_ar", "ar_account"), "Account Receivable"),
+          "AP": ("payable_id", "vendor_id", ("cash_account_ap", "ap_account"), "Account Payable")}
+
+
+def amend_document(kind: str, corrections: DataFrame, ext: DataFrame, journals: DataFrame,
+                   role_map: DataFrame) -> dict[str, DataFrame]:
+    """Keyed overwrite of an AR / AP document from corrections (doc id, transaction_id, party,
+    invoice_date, due_date, amount, status) after the reference's input checks; legs on the
+    document's cash / control roles are re-dated and re-amounted; the literal 'Insufficient
+    Funds' condition (amount below the cash account's balance) is reported as a warning."""
+    doc_id, party, roles, label = _AMEND[kind]
+    c = corrections
+    reason = (F.when(~F.col("status").isin(*AMEND_STATUSES) | F.col("status").isNull() | (F.col("status") == ""),
+                     F.lit("Invalid Status"))
+               .when(F.col(doc_id).isNull(), F.lit(f"Invalid {label.split()[1]} ID"))
+               .when(F.col("invoice_date").isNull(), F.lit("Invalid  Invoice Date"))
+               .when(F.col("due_date").isNull(), F.lit("Invalid  Due Date"))
+               .when(F.col("amount").isNull() | (F.col("amount") < 0), F.lit("Invalid Amount"))
+               .when(F.col("transaction_id").isNull(), F.lit("Transaction ID cannot be Null")))
+    c = c.withColumn("_reason", reason)
+    good = c.where(F.col("_reason").isNull()).drop("_reason")
+    rejected = c.where(F.col("_reason").isNotNull()).select(doc_id, F.col("_reason").alias("error"))
+    new_ext = (ext.join(good.select(doc_id, F.col("amount").alias("_a"), F.col("due_date").alias("_d"),
+                                    F.col("invoice_date").alias("_i"), F.col("status").alias("_s")), doc_id)
+               .select(doc_id, "transaction_id", F.col("_a").cast(MONEY).alias("amount"), F.col("_i").alias("invoice_date"),
+                       F.col("_d").alias("due_date"), F.col("_s").alias("status"), F.lit(True).alias("amended")))
+    desc = F.concat(F.lit(f"{label} With Amount of "), F.col("amount").cast("string"), F.lit("Due Date on "),
+                    F.col("due_date").cast("string"), F.lit("Status "), F.col("status"), F.lit("This had been Updated"))
+    tx = good.select("transaction_id", desc.alias("description"))
+    role_charts = role_map.where(F.col("role_name").isin(*roles)).select("chart_id").distinct().withColumn("_r", F.lit(True))
+    j = (journals.join(good.select("transaction_id", F.col("invoice_date").alias("_i"), F.col("amount").alias("_a")),
+                       "transaction_id")
+         .join(role_charts, "chart_id", "left"))
+    hit = F.col("_r").isNotNull()
+    new_legs = j.select("journal_id", "transaction_id", "chart_id",
+                        F.when(hit, F.col("_i")).otherwise(F.col("date")).alias("date"), "journal",
+                        F.when(hit, F.col("_a")).otherwise(F.col("amount")).cast(MONEY).alias("amount"))
+    return {"extensions": new_ext, "transactions": tx, "journals": new_legs, "rejected": rejected}
+
+
+def amend_inventory(corrections: DataFrame, movements: DataFrame, prices: DataFrame,
+                    role_map: DataFrame, vat_rate_bp: int = 1200, due_days: int = 30) -> dict[str, DataFrame]:
+    """Rewrite movements (management_id, quantity, movement_date, warehouse_id), recompute the
+    document amount (q × price for sales, q × cost otherwise), due date (+30 d) and the legs
+    of the movement's action type."""
+    bad = (F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), F.lit("Quantity must be greater than 0"))
+            .when(F.col("movement_date").isNull(), F.lit("Date parameter is empty")))
+    c = corrections.withColumn("_reason", bad)
+    good = c.where(F.col("_reason").isNull()).drop("_reason")
+    m = (movements.join(good.select("management_id", F.col("quantity").alias("_q"), F.col("movement_date").alias("_d"),
+                                    F.col("warehouse_id").alias("_w")), "management_id")
+         .join(prices, "product_id", "left"))
+    new_m = m.select("management_id", "product_id", F.coalesce("_w", "warehouse_id").alias("warehouse_id"),
+                     "transaction_id", "action_type", F.col("_q").cast("long").alias("quantity"),
+                     F.col("_d").alias("movement_date"), "unit_cost_cents", "client_id", "unit_price_cents")
+    is_sale = F.col("action_type").isin("Sale", "Sale Return")
+    unit = F.when(is_sale, F.col("unit_price_cents")).otherwise(F.col("unit_cost_cents"))
+    docs = new_m.select("management_id", "transaction_id", "action_type",
+                        ((F.col("quantity") * unit).cast("decimal(20,0)") / 100).cast(MONEY).alias("amount"),
+                        F.date_add("movement_date", due_days).alias("due_date"))
+    kind = (F.when(F.col("action_type") == "Purchase", "PURCHASE").when(F.col("action_type") == "Sale", "SALE")
+             .when(F.col("action_type") == "Sale Return", "SALE_RETURN")
+             .when(F.col("action_type") == "Purchase Return", "PURCHASE_RETURN")
+             .when(F.col("action_type") == "Transfer", "TRANSFER"))
+    price_net = F.col("quantity") * F.col("unit_price_cents")
+    cost_net = F.col("quantity") * F.col("unit_cost_cents")
+    net = F.when(F.col("action_type") == "Sale", price_net).otherwise(cost_net)
+    ev = new_m.select(F.col("management_id").alias("transaction_id"), "client_id", kind.alias("kind"),
+                      F.col("movement_date").alias("date"), net.alias("net"),
+                      F.floor((net * F.lit(vat_rate_bp) + F.lit(5000)).cast("decimal(38,0)") / F.lit(10000)).cast("long").alias("tax"),
+                      cost_net.alias("cost"), price_net.alias("value"))
+    ev = ev.withColumn("gross", F.col("net") + F.col("tax"))
+    legs, leg_rej = post_journals(ev, role_map)
+    return {"movements": new_m.drop("client_id", "unit_price_cents"), "documents": docs, "journals": legs,
+            "rejected": c.where(F.col("_reason").isNotNull()).select("management_id", F.col("_reason").alias("error"))
+                         .unionByName(leg_rej.withColumnRenamed("transaction_id", "management_id"))}
+
+
+# ---- master data ---------------------------------------------------------------------------
+
+def _master_checks(kind: str) -> list[tuple[str, F.Column]]:
+    from ..functions.validators import CHART_TYPES, EMAIL_PATTERN
+    name = {"customer": "customer_name", "vendor": "vendor_name", "product": "product_name",
+            "warehouse": "warehouse_name", "chart": "account"}[kind]
+    checks = [(f"{name} cannot be empty", F.col(name).isNull() | (F.trim(F.col(name)) == ""))]
+    if kind in ("customer", "vendor"):
+        checks.append(("Invalid email format",
+                       F.col("email").isNotNull() & ~F.col("email").rlike(EMAIL_PATTERN)))
+    if kind == "chart":
+        checks.append(("Invalid account type", ~F.col("type").isin(*CHART_TYPES)))
+    if kind == "product":
+        checks.append(("Price cannot be negative", F.col("product_price") < 0))
+    return checks
+
+
+def update_master(kind: str, table: DataFrame, corrections: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Checked keyed overwrite of master data: a correction's non-null fields replace the
+    stored ones; corrections failing a check are rejected with the first message."""
+    fields = [c for c in corrections.columns if c != key]
+    marked = corrections.select(key, *[F.col(c).alias(f"_n_{c}") for c in fields], F.lit(True).alias("_corrected"))
+    merged = table.join(marked, key, "left")
+    cand = merged.select(key, *[F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) if c in fields else F.col(c)
+                                for c in table.columns if c != key],
+                         F.coalesce(F.col("_corrected"), F.lit(False)).alias("_corrected"))
+    reason = None
+    for msg, cond in _master_checks(kind):
+        reason = F.when(F.coalesce(cond, F.lit(False)), F.lit(msg)) if reason is None \
+            else reason.when(F.coalesce(cond, F.lit(False)), F.lit(msg))
+    cand = cand.withColumn("_reason", F.when(F.col("_corrected"), reason))
+    keep_old = table.join(cand.where(F.col("_reason").isNotNull()).select(key), key, "left_semi")
+    updated = cand.where(F.col("_reason").isNull()).drop("_reason", "_corrected").select(*table.columns) \
+                  .unionByName(keep_old)
+    rejected = cand.where(F.col("_reason").isNotNull()).select(key, F.col("_reason").alias("error"))
+    return {"table": updated, "rejected": rejected}

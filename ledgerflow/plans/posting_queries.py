@@ -440,3 +440,229 @@ WHERE e.event_id <> w.win OR x.transaction_id IS NOT NULL""")
 def _dedupe_idempotent(b):
     req = b.event_log.withColumnRenamed("event_id", "request_id")
     return posting.dedupe_idempotent(req, b.transactions)["duplicates"]
+
+
+# ---- recurring, amendments, master data, staged posting --------------------------------
+
+EXEC_DATE = "2001-12-01"
+
+
+def recurring_templates(b):
+    c = b.raw("customer").select("c_custkey", "c_name", "c_acctbal").join(
+        b.customers.select("customer_id", "client_id"), F.col("c_custkey") == F.col("customer_id"))
+    cents = F.round(F.col("c_acctbal") * 100).cast("long")
+    t = c.select(F.col("customer_id").alias("template_id"), "client_id",
+                 F.concat(F.lit("Monthly service fee for "), F.col("c_name")).alias("template_name"),
+                 (F.col("c_acctbal") > 0).alias("is_active"), cents.alias("_cents"))
+    fee = (F.floor((F.col("_cents") + 5) / 10).cast("decimal(20,0)") / 100).cast(MONEY)
+    legs = F.array(F.struct((F.col("client_id") * 100 + 3).cast("int").alias("chart_id"), F.lit(True).alias("is_debit")),
+                   F.struct((F.col("client_id") * 100 + 5).cast("int").alias("chart_id"), F.lit(False).alias("is_debit")))
+    d = t.where(F.col("_cents") > 100000).select("template_id", fee.alias("amount"), F.inline(legs))
+    return t.drop("_cents"), d
+
+
+_REC_SQL = f"""tpl AS (SELECT c.c_custkey AS template_id, k.client_id, 'Monthly service fee for ' || c.c_name AS template_name,
+                c.c_acctbal > 0 AS is_active, CAST(ROUND(c.c_acctbal * 100) AS BIGINT) AS cents
+         FROM customer c JOIN customers k ON c.c_custkey = k.customer_id),
+det AS (SELECT template_id, CAST(CAST(FLOOR((cents + 5) / 10) AS DECIMAL(20,0)) / 100 AS DECIMAL(15,2)) AS amount,
+               CAST(client_id * 100 + 3 AS INT) AS chart_id, TRUE AS is_debit FROM tpl WHERE cents > 100000
+        UNION ALL
+        SELECT template_id, CAST(CAST(FLOOR((cents + 5) / 10) AS DECIMAL(20,0)) / 100 AS DECIMAL(15,2)),
+               CAST(client_id * 100 + 5 AS INT), FALSE FROM tpl WHERE cents > 100000),
+act AS (SELECT t.*, EXISTS (SELECT 1 FROM det d WHERE d.template_id = t.template_id) AS has,
+               'REC-' || CAST(t.template_id AS VARCHAR) || '-' || '{EXEC_DATE}' AS idempotency_key
+        FROM tpl t WHERE t.is_active),
+num AS (SELECT a.*, (SELECT MAX(transaction_id) FROM transactions) + row_number() OVER (ORDER BY template_id) AS transaction_id
+        FROM act a WHERE has AND NOT EXISTS (SELECT 1 FROM transactions x WHERE x.idempotency_key = a.idempotency_key))"""
+
+
+def _recurring(b):
+    t, d = recurring_templates(b)
+    return posting.process_recurring(t, d, EXEC_DATE, b.transactions)
+
+
+@query("process_recurring", "P14", views=["customers", "transactions"], oracle=f"""WITH {_REC_SQL}
+SELECT a.template_id, a.client_id, DATE '{EXEC_DATE}' AS scheduled_date,
+       CASE WHEN n.transaction_id IS NOT NULL THEN 'EXECUTED' WHEN NOT a.has THEN 'FAILED' ELSE 'SKIPPED' END AS status,
+       n.transaction_id, CASE WHEN NOT a.has THEN 'No recurring details for template' END AS error_message
+FROM act a LEFT JOIN num n ON a.template_id = n.template_id""")
+def _process_recurring(b):
+    return _recurring(b)["executions"]
+
+
+@query("process_recurring_journals", "P14", views=["customers", "transactions"], money=["amount"], oracle=f"""WITH {_REC_SQL}
+SELECT n.transaction_id, d.chart_id, DATE '{EXEC_DATE}' AS date, d.is_debit AS journal, d.amount
+FROM det d JOIN num n ON d.template_id = n.template_id""")
+def _process_recurring_journals(b):
+    return _recurring(b)["journals"]
+
+
+@query("process_recurring_summary", "P14", views=["customers", "transactions"], oracle=f"""WITH {_REC_SQL},
+ex AS (SELECT a.client_id, CASE WHEN n.transaction_id IS NOT NULL THEN 'EXECUTED' WHEN NOT a.has THEN 'FAILED' ELSE 'SKIPPED' END AS status
+       FROM act a LEFT JOIN num n ON a.template_id = n.template_id)
+SELECT client_id, count_if(status = 'EXECUTED') AS executed_count, count_if(status = 'FAILED') AS failed_count,
+       'Processed ' || CAST(count_if(status = 'EXECUTED') AS VARCHAR) || ' recurring transactions, '
+         || CAST(count_if(status = 'FAILED') AS VARCHAR) || ' failed' AS message FROM ex GROUP BY client_id""")
+def _process_recurring_summary(b):
+    return _recurring(b)["summary"]
+
+
+def ar_corrections(b):
+    a = b.ar_ext.where(F.col("status") == "Partially Paid")
+    cents = (F.col("amount") * 100).cast("long")
+    return a.select("receivable_id", "transaction_id", "customer_id", "invoice_date",
+                    F.date_add("due_date", 15).alias("due_date"),
+                    (F.floor(cents * 9 / 10).cast("decimal(20,0)") / 100).cast(MONEY).alias("amount"),
+                    F.when(F.col("receivable_id") % 2 == 0, "Paid").otherwise("Partially Paid").alias("status"))
+
+
+_ARC_SQL = """corr AS (SELECT receivable_id, transaction_id, customer_id, invoice_date, CAST(due_date + INTERVAL 15 DAY AS DATE) AS due_date,
+        CAST(CAST(FLOOR(CAST(amount * 100 AS BIGINT) * 9 / 10) AS DECIMAL(20,0)) / 100 AS DECIMAL(15,2)) AS amount,
+        CASE WHEN receivable_id % 2 = 0 THEN 'Paid' ELSE 'Partially Paid' END AS status FROM ar_ext WHERE status = 'Partially Paid'),
+good AS (SELECT * FROM corr WHERE status IN ('Pending', 'Paid', 'Overdue'))"""
+
+
+def _amend_ar(b):
+    return posting.amend_document("AR", ar_corrections(b), b.ar_ext, b.journals, role_map(b))
+
+
+@query("amend_ar", "P15", views=["ar_ext"], money=["amount"], oracle=f"""WITH {_ARC_SQL}
+SELECT receivable_id, transaction_id, amount, invoice_date, due_date, status, TRUE AS amended FROM good""")
+def _amend_ar_q(b):
+    return _amend_ar(b)["extensions"]
+
+
+@query("amend_ar_journals", "P15", views=COA_VIEWS + ["ar_ext", "journals"], money=["amount"], oracle=f"""WITH {_ARC_SQL},
+rc AS (SELECT DISTINCT chart_id FROM role_map WHERE role_name IN ('cash_account_ar', 'ar_account'))
+SELECT j.journal_id, j.transaction_id, j.chart_id,
+       CASE WHEN rc.chart_id IS NOT NULL THEN g.invoice_date ELSE j.date END AS date, j.journal,
+       CAST(CASE WHEN rc.chart_id IS NOT NULL THEN g.amount ELSE j.amount END AS DECIMAL(15,2)) AS amount
+FROM journals j JOIN good g ON j.transaction_id = g.transaction_id LEFT JOIN rc ON j.chart_id = rc.chart_id""")
+def _amend_ar_journals(b):
+    return _amend_ar(b)["journals"]
+
+
+@query("amend_ar_rejected", "P15", views=["ar_ext"], oracle=f"""WITH {_ARC_SQL}
+SELECT receivable_id, 'Invalid Status' AS error FROM corr WHERE status NOT IN ('Pending', 'Paid', 'Overdue')""")
+def _amend_ar_rejected(b):
+    return _amend_ar(b)["rejected"]
+
+
+def ap_corrections(b):
+    a = b.ap_ext.where(F.col("status") == "Paid")
+    return a.select("payable_id", "transaction_id", "vendor_id", "invoice_date", F.date_add("due_date", 10).alias("due_date"),
+                    (F.col("amount") + 1).cast(MONEY).alias("amount"), F.lit("Overdue").alias("status"))
+
+
+@query("amend_ap", "P16", views=COA_VIEWS + ["ap_ext", "journals"], money=["amount"], oracle="""
+WITH good AS (SELECT payable_id, transaction_id, invoice_date, CAST(due_date + INTERVAL 10 DAY AS DATE) AS due_date,
+                     CAST(amount + 1 AS DECIMAL(15,2)) AS amount FROM ap_ext WHERE status = 'Paid'),
+rc AS (SELECT DISTINCT chart_id FROM role_map WHERE role_name IN ('cash_account_ap', 'ap_account'))
+SELECT j.journal_id, j.transaction_id, j.chart_id,
+       CASE WHEN rc.chart_id IS NOT NULL THEN g.invoice_date ELSE j.date END AS date, j.journal,
+       CAST(CASE WHEN rc.chart_id IS NOT NULL THEN g.amount ELSE j.amount END AS DECIMAL(15,2)) AS amount
+FROM journals j JOIN good g ON j.transaction_id = g.transaction_id LEFT JOIN rc ON j.chart_id = rc.chart_id""")
+def _amend_ap(b):
+    return posting.amend_document("AP", ap_corrections(b), b.ap_ext, b.journals, role_map(b))["journals"]
+
+
+def _amend_inv(b):
+    corr = b.movements.where(F.col("action_type") == "Purchase Return").select(
+        "management_id", (F.col("quantity") + 1).alias("quantity"), F.date_add("movement_date", 1).alias("movement_date"),
+        F.lit(None).cast("int").alias("warehouse_id"))
+    prices = b.products.select("product_id", "client_id", (F.col("product_price") * 100).cast("long").alias("unit_price_cents"))
+    return posting.amend_inventory(corr, b.movements, prices, role_map(b), VAT_BP)
+
+
+@query("amend_inventory", "P17", views=["movements", "products"], money=["amount"], oracle="""
+SELECT m.management_id, m.transaction_id, m.action_type,
+       CAST(CAST((m.quantity + 1) * m.unit_cost_cents AS DECIMAL(20,0)) / 100 AS DECIMAL(15,2)) AS amount,
+       CAST(m.movement_date + INTERVAL 31 DAY AS DATE) AS due_date
+FROM movements m JOIN products p ON m.product_id = p.product_id WHERE m.action_type = 'Purchase Return'""")
+def _amend_inventory(b):
+    return _amend_inv(b)["documents"]
+
+
+@query("amend_inventory_journals", "P17", views=COA_VIEWS + ["movements", "products"], money=["amount"],
+       oracle=_legs_sql("""SELECT m.management_id AS transaction_id, p.client_id, 'PURCHASE_RETURN' AS kind,
+       CAST(m.movement_date + INTERVAL 1 DAY AS DATE) AS date, CAST(NULL AS BIGINT) AS amount, CAST(NULL AS BIGINT) AS net,
+       CAST(NULL AS BIGINT) AS tax, CAST(NULL AS BIGINT) AS gross, (m.quantity + 1) * m.unit_cost_cents AS cost,
+       CAST(NULL AS BIGINT) AS value
+FROM movements m JOIN products p ON m.product_id = p.product_id WHERE m.action_type = 'Purchase Return'""") + "\nSELECT * FROM legs")
+def _amend_inventory_journals(b):
+    return _amend_inv(b)["journals"]
+
+
+def _master(b):
+    c = b.raw("customer").select(F.col("c_custkey").alias("customer_id"), "c_mktsegment")
+    base = b.customers.select("customer_id", "client_id", "customer_name",
+                              F.concat(F.lower(F.regexp_replace("customer_name", "#", "")), F.lit("@mail.com")).alias("email"))
+    corr = c.where(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE")).select(
+        "customer_id",
+        F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("Renamed "), F.col("customer_id").cast("string")))
+         .alias("customer_name"),
+        F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("not-an-email")).alias("email"))
+    return posting.update_master("customer", base, corr, "customer_id")
+
+
+_MASTER_SQL = """base AS (SELECT customer_id, client_id, customer_name, lower(replace(customer_name, '#', '')) || '@mail.com' AS email
+                FROM customers),
+corr AS (SELECT c_custkey AS customer_id,
+                CASE WHEN c_mktsegment = 'BUILDING' THEN 'Renamed ' || CAST(c_custkey AS VARCHAR) END AS customer_name,
+                CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'not-an-email' END AS email
+         FROM customer WHERE c_mktsegment IN ('BUILDING', 'AUTOMOBILE')),
+cand AS (SELECT b.customer_id, b.client_id, COALESCE(c.customer_name, b.customer_name) AS customer_name,
+                COALESCE(c.email, b.email) AS email, c.customer_id IS NOT NULL AS corrected FROM base b LEFT JOIN corr c
+         ON b.customer_id = c.customer_id),
+chk AS (SELECT *, CASE WHEN corrected THEN CASE WHEN customer_name IS NULL OR trim(customer_name) = '' THEN 'customer_name cannot be empty'
+                                             WHEN email IS NOT NULL AND NOT regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,}$')
+                                             THEN 'Invalid email format' END END AS reason FROM cand)"""
+
+
+@query("update_master", "P18", views=["customers"], oracle=f"""WITH {_MASTER_SQL}
+SELECT customer_id, client_id, customer_name, email FROM chk WHERE reason IS NULL
+UNION ALL SELECT b.customer_id, b.client_id, b.customer_name, b.email FROM base b JOIN chk ON b.customer_id = chk.customer_id
+WHERE chk.reason IS NOT NULL""")
+def _update_master(b):
+    return _master(b)["table"]
+
+
+@query("update_master_rejected", "P18", views=["customers"], oracle=f"""WITH {_MASTER_SQL}
+SELECT customer_id, reason AS error FROM chk WHERE reason IS NOT NULL""")
+def _update_master_rejected(b):
+    return _master(b)["rejected"]
+
+
+def _posted(b):
+    return _ar(b)["transactions"]
+
+
+@query("post_staged", "G8", views=_DOC_VIEWS + sq.STG_VIEWS, oracle=_AR_SQL + """
+SELECT l3.session_id, l3.staging_record_id,
+       CASE WHEN tx.request_id IS NOT NULL THEN l3.new_state ELSE l3.previous_state END AS previous_state,
+       CASE WHEN tx.request_id IS NOT NULL THEN 'POSTED' ELSE l3.new_state END AS new_state,
+       CASE WHEN tx.request_id IS NOT NULL THEN 'POSTED AS TRANSACTION ' || CAST(tx.transaction_id AS VARCHAR) ELSE l3.notes END AS notes
+FROM l3 LEFT JOIN tx ON l3.staging_record_id = tx.request_id""")
+def _post_staged(b):
+    wf, _ = sq.approved(b)
+    tx = _posted(b).select(F.col("request_id").alias("staging_record_id"), "transaction_id")
+    j = wf.join(tx, "staging_record_id", "left")
+    hit = F.col("transaction_id").isNotNull()
+    return j.select("session_id", "staging_record_id",
+                    F.when(hit, F.col("new_state")).otherwise(F.col("previous_state")).alias("previous_state"),
+                    F.when(hit, F.lit("POSTED")).otherwise(F.col("new_state")).alias("new_state"),
+                    F.when(hit, F.concat(F.lit("POSTED AS TRANSACTION "), F.col("transaction_id").cast("string")))
+                     .otherwise(F.col("notes")).alias("notes"))
+
+
+@query("post_staged_lineage", "G8")
+def _post_staged_lineage(b):
+    from ..operators import audit, staging
+    tx = _posted(b)
+    src = sq.stg(b).select(F.col("id").alias("request_id"), "session_id")
+    rec = tx.join(src, "request_id").select(F.col("transaction_id").alias("record_id"), "client_id", "session_id",
+                                            F.col("request_id").alias("source_row_number"))
+    lin = staging.record_lineage(rec, "account_receivables", "CSV_IMPORT", "ar_import.csv")
+    lin = lin.select("*", F.col("table_name").alias("chain_table"), F.lit("INSERT").alias("operation"),
+                     F.to_json(F.struct("record_id", "session_id", "source_row_number")).alias("record"))
+    return audit.hash_chain(lin, "session_id", ["source_row_number"], table_col="chain_table").drop("chain_table")
