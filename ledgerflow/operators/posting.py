@@ -347,10 +347,17 @@ def apply_coa_template(template_accounts: DataFrame, charts: DataFrame, clients:
                       F.col("account_type").alias("type"), F.lit(True).alias("is_active"))
 
 
+def assign_account_roles(charts: DataFrame, roles: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
+    """New role rows for every account whose name matches a ``prefix%`` (all tenants), skipping
+    (chart, role) pairs already present.  All prefixes are tested in one pass over the chart."""
+    hits = F.array_compact(F.array(*[F.when(F.col("account").like(p + "%"), F.lit(r)) for p, r in prefixes]))
+    hit = charts.select("chart_id", F.explode(hits).alias("role_name"))
+    return hit.join(roles.select("chart_id", "role_name"), ["chart_id", "role_name"], "left_anti")
+
+
 def assign_account_role(charts: DataFrame, roles: DataFrame, prefix: str, role: str) -> DataFrame:
     """New role rows for every account whose name matches ``prefix%`` (all tenants), skipping existing."""
-    hit = charts.where(F.col("account").like(prefix + "%")).select("chart_id", F.lit(role).alias("role_name"))
-    return hit.join(roles.select("chart_id", "role_name"), ["chart_id", "role_name"], "left_anti")
+    return assign_account_roles(charts, roles, [(prefix, role)])
 
 
 # ---- recurring entries ------------------------------------------------------------------

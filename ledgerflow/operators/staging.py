@@ -97,12 +97,14 @@ def validate_ar(stg: DataFrame, workflows: DataFrame, customers: DataFrame,
                 table_name: str = "stg_ar_imports") -> dict[str, DataFrame]:
     """Four rules per PENDING row → validation log, compliance rows and the new workflow.
 
-    Unparseable amounts or dates fail their rule for that row only (never the batch).
+    The rules are per row, so the workflow update is a projection of one join between the
+    staged rows and their workflow rows (no aggregate, no second pass).  Unparseable amounts
+    or dates fail their rule for that row only (never the batch).
     """
-    pending = workflows.where(F.col("new_state") == "PENDING").select("session_id", F.col("staging_record_id").alias("id"))
-    r = stg.join(pending, ["session_id", "id"], "left_semi")
     cust = customers.select(F.col("customer_id").alias("_cid")).distinct().withColumn("_cust_ok", F.lit(True))
-    r = r.join(cust, V.parse_int("customer_code") == F.col("_cid"), "left")
+    s = stg.select("session_id", F.col("id").alias("staging_record_id"), *AR_COLUMNS)
+    r = (workflows.join(s, ["session_id", "staging_record_id"], "left")
+         .join(cust, V.parse_int("customer_code") == F.col("_cid"), "left"))
     amt = V.parse_decimal("amount")
     inv = F.col("invoice_date").try_cast("date")
     due = F.col("due_date").try_cast("date")
@@ -112,27 +114,27 @@ def validate_ar(stg: DataFrame, workflows: DataFrame, customers: DataFrame,
         3: F.col("_cust_ok").isNull(),
         4: F.coalesce(~F.col("status").isin(*V.AR_STATUSES), F.lit(False)),
     }
+    r = r.withColumns({f"_f{k}": v for k, v in fails.items()})
+    pending = r.where(F.col("new_state") == "PENDING")
     checks = F.array(*[
         F.struct(F.lit(rid).alias("rule_id"), F.lit(col).alias("field_name"),
-                 F.when(fails[rid], F.lit(bad)).otherwise(F.lit(good)).alias("validation_rule"),
-                 F.col(col).alias("actual_value"), (~fails[rid]).alias("is_valid"),
-                 F.when(fails[rid], "ERROR").otherwise("INFO").alias("severity"))
+                 F.when(F.col(f"_f{rid}"), F.lit(bad)).otherwise(F.lit(good)).alias("validation_rule"),
+                 F.col(col).alias("actual_value"), (~F.col(f"_f{rid}")).alias("is_valid"),
+                 F.when(F.col(f"_f{rid}"), "ERROR").otherwise("INFO").alias("severity"))
         for rid, (col, bad, good) in AR_RULES.items()])
-    per_rule = r.select("session_id", "id", "client_code", F.inline(checks))
-    log = per_rule.select("session_id", F.col("id").alias("row_number"), "rule_id", "field_name", "validation_rule",
-                          "actual_value", "is_valid", "severity")
+    per_rule = pending.select("session_id", "staging_record_id", "client_code", F.inline(checks))
+    log = per_rule.select("session_id", F.col("staging_record_id").alias("row_number"), "rule_id", "field_name",
+                          "validation_rule", "actual_value", "is_valid", "severity")
     compliance = per_rule.select(
-        V.parse_int("client_code").alias("client_id"), "rule_id", "session_id", F.col("id").alias("staging_record_id"),
+        V.parse_int("client_code").alias("client_id"), "rule_id", "session_id", "staging_record_id",
         F.lit(None).cast("long").alias("production_record_id"), F.lit(table_name).alias("table_name"),
         F.when(F.col("is_valid"), "PASS").otherwise("FAIL").alias("status"),
         F.when(F.col("is_valid"), "RESOLVED").otherwise("UNRESOLVED").alias("resolution_status"))
-    all_ok = per_rule.groupBy("session_id", F.col("id").alias("staging_record_id")).agg(
-        F.bool_and("is_valid").alias("_ok"))
-    wf = (workflows.join(all_ok, ["session_id", "staging_record_id"], "left")
-          .select("session_id", "staging_record_id",
-                  F.when(F.col("_ok"), F.col("new_state")).otherwise(F.col("previous_state")).alias("previous_state"),
-                  F.when(F.col("_ok"), "VALID").otherwise(F.col("new_state")).alias("new_state"),
-                  F.when(F.col("_ok"), "VALIDATED").otherwise(F.col("notes")).alias("notes")))
+    ok = (F.col("new_state") == "PENDING") & ~(F.col("_f1") | F.col("_f2") | F.col("_f3") | F.col("_f4"))
+    wf = r.select("session_id", "staging_record_id",
+                  F.when(ok, F.col("new_state")).otherwise(F.col("previous_state")).alias("previous_state"),
+                  F.when(ok, "VALID").otherwise(F.col("new_state")).alias("new_state"),
+                  F.when(ok, "VALIDATED").otherwise(F.col("notes")).alias("notes"))
     return {"log": log, "compliance": compliance, "workflows": wf}
 
 

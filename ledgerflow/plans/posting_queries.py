@@ -24,15 +24,16 @@ def all_charts(b):
 
 def all_roles(b):
     base = posting.roles_of(b.charts)
-    charts = all_charts(b)
-    out = base
-    for prefix, role in ROLE_PREFIXES:
-        out = out.unionByName(posting.assign_account_role(charts, base, prefix, role))
-    return out
+    return base.unionByName(posting.assign_account_roles(all_charts(b), base, ROLE_PREFIXES))
 
 
 def role_map(b):
-    return posting.resolve_account_role(all_charts(b), all_roles(b))
+    """(client, role) → chart; one row per tenant and role, so it is cached once per bridge."""
+    cached = getattr(b, "_role_map", None)
+    if cached is None:
+        cached = posting.resolve_account_role(all_charts(b), all_roles(b)).cache()
+        b._role_map = cached
+    return cached
 
 
 @query("apply_coa_template", "P12", views=COA_VIEWS, oracle="SELECT * FROM new_charts")
@@ -42,13 +43,7 @@ def _apply_coa_template(b):
 
 @query("assign_account_role", "P13", views=COA_VIEWS, oracle="SELECT * FROM new_roles")
 def _assign_account_role(b):
-    charts = all_charts(b)
-    base = posting.roles_of(b.charts)
-    out = None
-    for prefix, role in ROLE_PREFIXES:
-        r = posting.assign_account_role(charts, base, prefix, role)
-        out = r if out is None else out.unionByName(r)
-    return out
+    return posting.assign_account_roles(all_charts(b), posting.roles_of(b.charts), ROLE_PREFIXES)
 
 
 @query("resolve_account_role", "P1", views=COA_VIEWS, oracle="SELECT * FROM role_map")
