@@ -11,7 +11,7 @@ partition count, not by the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -24,7 +24,8 @@ def with_sequence_id(df: DataFrame, order_cols: list[str | Column], name: str, s
 
     ``order_cols`` must be a unique key, otherwise ties are numbered arbitrarily.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     tagged = (
         df.orderBy(*order_cols)
         .withColumn("_lf_mid", F.monotonically_increasing_id())
@@ -32,12 +33,17 @@ def with_sequence_id(df: DataFrame, order_cols: list[str | Column], name: str, s
     )
     pid = F.shiftright(F.col("_lf_mid"), _POS_BITS)
     pos = F.col("_lf_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    counts = tagged.groupBy(pid.alias("_lf_pid")).agg(F.count(F.lit(1)).alias("_lf_n"))
-    running = Window.orderBy("_lf_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_lf_pid", F.coalesce(F.sum("_lf_n").over(running), F.lit(0)).alias("_lf_off"))
+    # one (partition, count) row per partition: bounded by the partition count, so the prefix
+    # offsets are computed on the driver and joined back as a small local relation
+    counts = sorted((r[0], r[1]) for r in tagged.groupBy(pid.alias("p")).count().collect())
+    offsets, running = [], 0
+    for p, n in counts:
+        offsets.append((int(p), running))
+        running += int(n)
+    off_df = spark.createDataFrame(offsets or [(0, 0)], "_lf_pid long, _lf_off long")
     return (
         tagged.withColumn("_lf_pid", pid)
-        .join(F.broadcast(offsets), "_lf_pid")
+        .join(F.broadcast(off_df), "_lf_pid")
         .withColumn(name, (F.col("_lf_off") + pos + F.lit(start)).cast("long"))
         .drop("_lf_pid", "_lf_off", "_lf_mid")
     )

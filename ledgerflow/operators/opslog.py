@@ -122,17 +122,16 @@ def failover_events(log: DataFrame, n: int = 10) -> DataFrame:
 
 def ha_dr_status(config: DataFrame, repl: DataFrame, failover: DataFrame, as_of: str) -> DataFrame:
     """Config rows with the latest lag, last failover, days since it and the < 30 s objective.
-    The two facts are one-row aggregates, attached by a join on a constant key."""
-    lag = repl.agg(F.coalesce(F.max_by("replication_lag_seconds", "check_time"), F.lit(0)).cast("decimal(18,2)")
-                   .alias("replication_lag_seconds")).withColumn("_k", F.lit(1))
-    last = failover.where(F.col("event_type") == "FAILOVER").agg(F.max("event_time").alias("last_failover")) \
-                   .withColumn("_k", F.lit(1))
-    c = config.withColumn("_k", F.lit(1)).join(F.broadcast(lag), "_k").join(F.broadcast(last), "_k")
-    days = F.floor((F.unix_timestamp(_t(as_of).cast("timestamp")) - F.unix_timestamp(F.col("last_failover").cast("timestamp")))
+    The two facts are one-row aggregates, read as scalars and attached as literals."""
+    lag = repl.agg(F.coalesce(F.max_by("replication_lag_seconds", "check_time"), F.lit(0)).cast("decimal(18,2)")).first()[0]
+    last = failover.where(F.col("event_type") == "FAILOVER").agg(F.max("event_time")).first()[0]
+    lag_c = F.lit(lag).cast("decimal(18,2)")
+    last_c = F.lit(last).cast(TS)
+    days = F.floor((F.unix_timestamp(_t(as_of).cast("timestamp")) - F.unix_timestamp(last_c.cast("timestamp")))
                    / 86400).cast("int")
-    return c.select("primary_server", "standby_server", "ha_enabled", "dr_enabled", "replication_lag_seconds",
-                    "last_failover", days.alias("days_since_last_failover"),
-                    (F.col("replication_lag_seconds") < 30).alias("recovery_objective_met"))
+    return config.select("primary_server", "standby_server", "ha_enabled", "dr_enabled",
+                         lag_c.alias("replication_lag_seconds"), last_c.alias("last_failover"),
+                         days.alias("days_since_last_failover"), (lag_c < 30).alias("recovery_objective_met"))
 
 
 def index_efficiency(log: DataFrame, as_of: str, days: int = 7) -> DataFrame:

@@ -131,9 +131,12 @@ def effective_tax_rate(transactions: DataFrame, tax_rates: DataFrame, tax_type:
 
     The rate table is a small dimension joined on its type; the as-of pick is a window per
     transaction over the few rates that qualify."""
-    # the rate table is a fixed dimension (types × rate changes): broadcast it and join on the type
-    r = F.broadcast(tax_rates.where(F.col("tax_type") == tax_type))
-    j = transactions.withColumn("tax_type", F.lit(tax_type)).join(r, "tax_type").where(
+    # the rate table is a fixed dimension (types × rate changes): each rate is exploded into the
+    # years it covers so the as-of lookup is an equi join on the year plus a range check
+    last_year = F.year(F.coalesce(F.date_sub("expiry_date", 1), F.lit("2099-12-31").cast("date")))
+    r = F.broadcast(tax_rates.where(F.col("tax_type") == tax_type).withColumn(
+        "_year", F.explode(F.sequence(F.year("effective_date"), last_year))))
+    j = transactions.withColumn("_year", F.year("date")).join(r, "_year").where(
         (F.col("date") >= F.col("effective_date"))
         & (F.col("expiry_date").isNull() | (F.col("date") < F.col("expiry_date"))))
     w = Window.partitionBy("transaction_id").orderBy(F.col("effective_date").desc(), F.col("rate_id").desc())

@@ -36,7 +36,8 @@ def backups(b):
     sunday = F.dayofweek("day") == 1
     status = F.when(F.col("e") * 5 > F.col("n"), "FAILED").otherwise("SUCCESS")
     return g.select(
-        F.date_format("day", "yyyyMMdd").cast("int").alias("backup_id"), F.lit("accounting_db").alias("database_name"),
+        F.date_format("day", "yyyyMMdd").cast("int").alias("backup_id"),
+        F.when(F.col("day").isNotNull(), F.lit("accounting_db")).alias("database_name"),
         bd.alias("backup_date"), F.when(sunday, "FULL").otherwise("INCREMENTAL").alias("backup_type"),
         F.lit("pg_dump").alias("backup_method"), status.alias("status"),
         F.col("v").cast("decimal(18,2)").alias("backup_size_mb"), F.col("n").alias("backup_duration_seconds"),

@@ -143,7 +143,8 @@ class Bridge:
     @cached_property
     def client_templates(self) -> DataFrame:
         """Every bridge client uses chart template 1."""
-        return self.clients.select("client_id", F.lit(1).alias("template_id"))
+        # a data column (not a folded literal) so the template copy stays an equi join
+        return self.clients.select("client_id", F.when(F.col("client_id").isNotNull(), F.lit(1)).alias("template_id"))
 
     @cached_property
     def charts(self) -> DataFrame:
