@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY
 from ..operators import costing, events, posting
 from ..streaming import events as stream_events
+from ..streaming import retry as stream_retry
 from . import posting_queries as pq
 from .registry import query
 
@@ -173,3 +174,8 @@ def _retry_state(b):
 @query("stream_post_events", "E8")
 def _stream_post_events(b):
     return stream_events.run_available_now(b.spark, event_input(b))
+
+
+@query("retry_state_stream", "E7")
+def _retry_state_stream(b):
+    return stream_retry.run_retry_state_available_now(b.spark, attempts(b))

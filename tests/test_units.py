@@ -184,3 +184,13 @@ def test_retry_state(spark):
         .withColumn("attempted_at", F.current_timestamp())
     got = {r.event_id: (r.retry_count, r.status) for r in events.retry_state(a).collect()}
     assert got == {1: (3, "FAILED"), 2: (1, "PROCESSED"), 3: (1, "PENDING")}
+
+
+def test_retry_state_stream_equals_batch(spark):
+    from ledgerflow.plans import event_queries as eq
+    from ledgerflow.streaming.retry import run_retry_state_available_now
+    b = bridge(spark, SF_SMALL)
+    att = eq.attempts(b)
+    batch = {(r.event_id, r.retry_count, r.status) for r in events.retry_state(att).collect()}
+    stream = {(r.event_id, r.retry_count, r.status) for r in run_retry_state_available_now(spark, att).collect()}
+    assert stream == batch
