@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY
 from ..operators import costing, events, posting
 from ..streaming import events as stream_events
-from ..streaming import retry as stream_retry
 from . import posting_queries as pq
 from .registry import query
 
@@ -96,7 +95,14 @@ def _handle_purchase(b):
     return posting.post_purchase(req, pq.role_map(b), pq.VAT_BP)["journals"]
 
 
-@query("handle_sale", "E3", money=["amount"])
+_SALE_TAIL = pq._SALE_SQL_BASE[pq._SALE_SQL_BASE.index("\ns AS (") + 1:]
+
+
+@query("handle_sale", "E3", views=pq.COA_VIEWS + ["event_log", "transactions", "layers"], money=["amount"],
+       oracle="WITH " + _fresh_sql("SALE") + """,
+sales AS (SELECT transaction_id AS sale_id, product_id, client_id, event_date AS sale_date, quantity,
+                 CAST(price * 100 AS BIGINT) AS unit_price_cents FROM num),
+""" + _SALE_TAIL + ",\n" + pq._legs_sql(pq._SALE_EV_SQL)[len("WITH "):] + "\nSELECT * FROM legs")
 def _handle_sale(b):
     f = _fresh(b, "handle_sale")
     sales = f.select("transaction_id", "client_id", "product_id", "warehouse_id", "quantity",
@@ -175,7 +181,3 @@ def _retry_state(b):
 def _stream_post_events(b):
     return stream_events.run_available_now(b.spark, event_input(b))
 
-
-@query("retry_state_stream", "E7")
-def _retry_state_stream(b):
-    return stream_retry.run_retry_state_available_now(b.spark, attempts(b))
