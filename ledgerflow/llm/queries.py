@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.driver import read_table
-from . import chat, licenses, mixing, url_filter
-from .common import all_of
+from . import chat, lang_id, licenses, mixing, quality, toxicity, url_filter
+from .common import crc_mod
 from .oracles import CHAT_SQL, LICENSE_SQL, URL_SQL
 
 # The rules that the url query judges by.
@@ -29,6 +29,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    return (lang_id.predict_language(read_table(spark, sf_dir, "documents"), ~held_out)
+            .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     site = rf"(^|\.)({'|'.join(LISTED_SITES)})\."
@@ -36,10 +42,24 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, URL_RULES).drop("bloom_hit")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (toxicity.score_toxicity(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+            .select("doc_id", held_out.alias("held_out"), "score", "predicted"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (quality.score_quality(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+            .select("doc_id", held_out.alias("held_out"), "score", "predicted"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op4_chat_format, op6_url_filter, op9_license_scan)}
+    f.__name__: f for f in (op2_mix_sources, op4_chat_format, op5_language_id, op6_url_filter, op7_toxicity, op8_quality, op9_license_scan)}
 ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL, "op6_url_filter": URL_SQL, "op9_license_scan": LICENSE_SQL}
