@@ -100,10 +100,10 @@ def block_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8)
     in_order = F.array(*[F.lit(t) for t in order])
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of), lambda b: b.rlike(any_prefix))
     blocks = (docs.where(words_of(F.col("text")).rlike(any_prefix))
-              .select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.posexplode(lines).alias("block", "_words"))
+              .select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.posexplode_outer(lines).alias("block", "_words"))
               .select("_id", "_text", "block", F.array_sort(F.transform(
                   F.array_intersect(F.split("_words", " "), in_order), lambda t: F.element_at(ranks, t))).alias("_own")))
-    met = (blocks.select("*", F.posexplode("_own").alias("_q", "_rank")).join(index_df, "_rank")
+    met = (blocks.select("*", F.posexplode_outer("_own").alias("_q", "_rank")).join(index_df, "_rank")
            .where((F.size("_own") >= F.col("_need"))  # length, then position: what can still come on either side
                   & (F.least(F.col("_n") - F.col("_p"), F.size("_own") - F.col("_q")) >= F.col("_need")
                      - F.least(F.col("_p"), F.col("_q")))))

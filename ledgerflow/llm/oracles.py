@@ -83,3 +83,21 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_w
   greatest(CASE WHEN b.n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(j.score, 0.0))::DOUBLE AS score
 FROM worded d LEFT JOIN base b USING (rid) LEFT JOIN joined j USING (rid)
 """
+
+LEAK_SQL = r"""
+WITH words AS (
+  SELECT rid, id, kind, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w
+  FROM (SELECT row_number() OVER () AS rid, item_id AS id, text, 'i' AS kind FROM benchmark
+        UNION ALL SELECT row_number() OVER (), doc_id, text, 'd' FROM documents)),
+grams AS (
+  SELECT rid, id, kind, i, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS s
+  FROM (SELECT rid, id, kind, w, unnest(range(len(w) - 4)) AS i FROM words WHERE len(w) >= 5)),
+item_grams AS (SELECT DISTINCT rid, id, s FROM grams WHERE kind = 'i'),
+items AS (SELECT rid, id, count(*) AS q, greatest(8, pow(2, ceil(log2(count(*)))))::INT AS u FROM item_grams GROUP BY rid, id),
+met AS (
+  SELECT d.rid, d.id AS doc_id, g.rid AS irid, g.id AS item_id, d.s, d.i // t.u AS win, t.q
+  FROM grams d JOIN item_grams g ON d.s = g.s JOIN items t ON t.rid = g.rid WHERE d.kind = 'd'),
+wins AS (SELECT * FROM met UNION ALL SELECT rid, doc_id, irid, item_id, s, win - 1, q FROM met WHERE win > 0),
+held AS (SELECT rid, doc_id, irid, item_id, win, count(DISTINCT s) / any_value(q) AS containment FROM wins GROUP BY rid, doc_id, irid, item_id, win)
+SELECT doc_id, item_id, max(containment) AS containment FROM held WHERE containment >= 0.8 GROUP BY doc_id, item_id
+"""
