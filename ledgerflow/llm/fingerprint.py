@@ -29,7 +29,7 @@ from ..functions.ids import with_sequence_id
 from .common import cut
 
 SAMPLES = 64
-PER_ROW = 8
+PER_ROW = 4
 TABLE = 2048
 NULL_KEY = -(1 << 63)
 
