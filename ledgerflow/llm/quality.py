@@ -81,6 +81,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
+def runs_of(texts, limit: int = 1 << 19):
+    """Consecutive texts with about ``limit`` characters, so that memory is bounded by it and the longest text."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def margins(texts: list[str], weights: np.ndarray, ratios: np.ndarray, bias: float) -> np.ndarray:
     """w . x for the unit-length scaled indicators of each text, plus the bias."""
     doc, f = features(texts)
@@ -126,7 +139,12 @@ def logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(texts: list[tuple[str, int]], c: float = 4.0, epochs: int = 12, seed: int = 8) -> dict:
     """Weights, log-count ratios, bias and the logistic map, from (text, label) pairs of both classes."""
     y = np.array([label for _, label in texts])
-    doc, f = features([t for t, _ in texts])
+    parts, done = [], 0
+    for run in runs_of(t for t, _ in texts):
+        d, f = features(run)
+        parts.append((d.astype(np.int32) + done, f.astype(np.int32)))
+        done += len(run)
+    doc, f = (np.concatenate(a) for a in zip(*parts, strict=True))
     own = y[doc] == 1
     p, q = (1 + np.bincount(f[m], minlength=1 << BITS) for m in (own, ~own))
     ratios = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
@@ -158,21 +176,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        m, out, run, size = model.value, [], [], 0
-
-        def flush():
-            if run:
-                z = m["a"] * margins(run, m["weights"], m["ratios"], m["bias"]) + m["b"]
-                out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            run.clear()
-
-        for t in text:
-            run.append(t)
-            size += len(t)
-            if size >= 1 << 19:  # memory is bounded by this and the longest text
-                flush()
-                size = 0
-        flush()
+        m, out = model.value, []
+        for run in runs_of(text):
+            z = m["a"] * margins(run, m["weights"], m["ratios"], m["bias"]) + m["b"]
+            out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     scored = docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
