@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.driver import read_table
-from . import chat, decontaminate, fingerprint, lang_id, licenses, mixing, quality, toxicity, url_filter
+from . import chat, decontaminate, fingerprint, lang_id, licenses, mixing, order_minhash, quality, toxicity, url_filter
 from .common import crc_mod
 from .oracles import CHAT_SQL, LEAK_SQL, LICENSE_SQL, URL_SQL
 
@@ -19,6 +19,10 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_fingerprint, op4_chat_format, op5_language_id, op6_url_filter, op7_toxicity, op8_quality, op9_license_scan,
+    f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprint, op4_chat_format, op5_language_id, op6_url_filter, op7_toxicity, op8_quality, op9_license_scan,
                               op10_decontaminate)}
 ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL, "op6_url_filter": URL_SQL, "op9_license_scan": LICENSE_SQL,
                            "op10_decontaminate": LEAK_SQL}
