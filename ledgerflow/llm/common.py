@@ -29,6 +29,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A narrow checkpointed frame, marked for broadcast only if it has at most ``rows`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(c, UPPER, LOWER)
@@ -67,3 +81,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     texts = (docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
              .select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("_text"), "_y"))
     return [(r["_text"], r["_y"]) for r in sorted(texts.collect(), key=lambda r: (r["doc_id"], r["_text"]))]
+
+
+def runs_of(texts, limit: int = 1 << 19):
+    """Consecutive texts with about ``limit`` characters, so that memory is bounded by it and the longest text."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= limit:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+ship_by_value(__name__)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import union_all
+from .common import bounded_broadcast, free_name, union_all
 
 SHINGLE = 5
 LEAST_CLASS = 8
@@ -91,6 +91,7 @@ def _search(hashed: DataFrame, sets: DataFrame, threshold: float, coordinates: i
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", **how) -> DataFrame:
-    """The documents that contain no item, all columns kept; documents with a null id are kept or dropped alike."""
-    dirty = find_contained(docs, items, doc_id, item_id, **how).select(F.col(doc_id).alias("_dirty")).distinct()
-    return docs.join(dirty, F.col(doc_id).eqNullSafe(F.col("_dirty")), "left_anti")
+    """The documents that contain no item, all columns kept; rows that share an id (or have none) stay or go together."""
+    name = free_name(docs, "_dirty")
+    dirty = bounded_broadcast(find_contained(docs, items, doc_id, item_id, **how).select(F.col(doc_id).alias(name)).distinct())
+    return docs.join(dirty, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")

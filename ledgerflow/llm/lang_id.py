@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_by_value, unit_hash
+from .common import runs_of, ship_by_value, unit_hash
 
 ORDER = 3
 CHUNK = 1 << 19
@@ -135,39 +135,34 @@ class Model:
         return out
 
 
-def batches(texts: list[str], limit: int = 1 << 20):
-    """Runs of texts with about ``limit`` characters, so that memory is bounded by it and the longest text."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
-def predict_language(docs: DataFrame, learn: Column, sample_bytes: int = 200_000, model_bytes: int = 32 << 20, seed: int = 5) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to (doc_id, text, lang); ``learn`` says which rows may be learned from."""
-    docs = docs.select("doc_id", "text", "lang")
-    texts = sample_texts(docs, learn, sample_bytes, seed)
+def fit_predictor(docs: DataFrame, learn: Column, sample_bytes: int = 200_000, model_bytes: int = 32 << 20, seed: int = 5):
+    """A function from the text column to struct<lang, score>; ``learn`` says which rows may be learned from."""
+    unknown = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
+    texts = sample_texts(docs.select("doc_id", "text", "lang"), learn, sample_bytes, seed)
     if not texts:
-        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return lambda text: unknown
     model = docs.sparkSession.sparkContext.broadcast(Model(texts, model_bytes))
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    @F.pandas_udf("struct<lang:string,score:double>")
     def best(text: pd.Series) -> pd.DataFrame:
         m = model.value
         pred, score = [], []
-        for run in batches(list(text)):
+        for run in runs_of(text):
             bits = m.lengths(run)
-            at = bits.argmin(1)
-            pred += [m.langs[i] for i in at]
-            score += list(1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1))
-        return pd.DataFrame({"lang_pred": pred, "score": score})
-
-    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    scored = docs.withColumn("_best", best(F.coalesce("text", F.lit(""))))
-    return scored.select("doc_id", "text", "lang", F.when(known, F.col("_best.lang_pred")).otherwise("und").alias("lang_pred"),
-                         F.when(known, F.col("_best.score")).otherwise(0.0).alias("score"))
+            pred += [m.langs[i] for i in bits.argmin(1)]
+            score += list(1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1))
+        return pd.DataFrame({"lang": pred, "score": score})
+
+    return lambda text: F.when(text.rlike(r"\p{L}"), best(F.coalesce(text, F.lit("")))).otherwise(unknown)
+
+
+def predict_language(docs: DataFrame, learn: Column, **how) -> DataFrame:
+    """(doc_id, text, lang) -> doc_id, lang_pred, score."""
+    said = docs.select("doc_id", fit_predictor(docs, learn, **how)(F.col("text")).alias("_said"))
+    return said.select("doc_id", F.col("_said.lang").alias("lang_pred"), F.col("_said.score").alias("score"))
+
+
+def keep_known(docs: DataFrame, learn: Column, least_score: float = 0.5, **how) -> DataFrame:
+    """The documents, all columns, whose text is in a learned language with a posterior of at least ``least_score``."""
+    said = fit_predictor(docs, learn, **how)(F.col("text"))
+    return docs.where((said["lang"] != "und") & (said["score"] >= least_score))

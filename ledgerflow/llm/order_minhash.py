@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship_by_value
+from .common import bounded_broadcast, cut, free_name, runs_of, ship_by_value
 
 SHINGLE = 5
 SKETCHES = 16
@@ -62,19 +62,6 @@ def odd(n: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def runs_of(texts, limit: int = 1 << 19):
-    """Consecutive texts with about ``limit`` characters, so that memory is bounded by it and the longest text."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def labels_of(texts: list[str]) -> list[np.ndarray]:
     """The occurrence-labelled shingle hashes of each normal text, in text order."""
     parts = [t.encode("utf-8", "replace") for t in texts]
@@ -193,7 +180,7 @@ def sketch_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("_id", content_key(F.col("_normal")).alias("_c"), sketches("_normal").alias("_s")).select("_id", "_c", "_s.n", "_s.buckets")
 
 
-def find_links(docs: DataFrame, table: DataFrame, text: str, threshold: float, broadcast_rows: int = 200_000) -> DataFrame:
+def find_links(docs: DataFrame, table: DataFrame, text: str, threshold: float) -> DataFrame:
     """Links (a, b) between content keys that span every candidate pair of at least ``threshold``."""
     texts = table.dropDuplicates(["_c"])
     bands = texts.select("_c", "n", F.explode("buckets").alias("_bucket"))
@@ -203,9 +190,7 @@ def find_links(docs: DataFrame, table: DataFrame, text: str, threshold: float, b
     chosen = buckets.groupBy("_members", "_x", "_y").agg(F.min("_bucket").alias("_bucket"), F.min("_total").alias("_total"))
     parts = F.ceil(F.col("_total") / BLOCK).cast("int")
     members = cut(bands.join(chosen.select("_bucket", parts.alias("_parts")), "_bucket").select("_bucket", "_parts", "_c"))
-    wanted = members.select("_c").distinct()
-    if wanted.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
+    wanted = bounded_broadcast(members.select("_c").distinct())
     rows = docs.select(normal(F.col(text)).alias("_normal")).withColumn("_c", content_key(F.col("_normal")))
     bodies = rows.join(wanted, "_c", "left_semi").groupBy("_c").agg(F.first("_normal").alias("_normal"))
     own = F.pmod(F.xxhash64(F.lit(2), "_c"), F.col("_parts")).cast("int")
@@ -249,13 +234,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, copies (rows with the same words), class_rows."""
-    docs = docs.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text))
-    table = cut(sketch_table(docs, doc_id, text))
+def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The sketch table, and per content key: copies, class_id, class_rows and the content that stands for the class."""
+    table = cut(sketch_table(docs.select(doc_id, text), doc_id, text))
     labels = components(find_links(docs, table, text, threshold))
     contents = table.groupBy("_c").agg(F.min("_id").alias("_least"), F.count("*").alias("copies"))
     labelled = contents.join(labels, F.col("_c") == F.col("node"), "left").withColumn("_class", F.coalesce("label", "_c"))
-    classes = labelled.groupBy("_class").agg(F.min("_least").alias("class_id"), F.sum("copies").alias("class_rows"))
-    known = labelled.select("_c", "copies", "_class").join(classes, "_class").select("_c", "copies", "class_id", "class_rows")
-    return table.select("_id", "_c").join(known, "_c").select(F.col("_id").alias(doc_id), "class_id", "copies", "class_rows")
+    first = F.min(F.struct(F.col("_least").isNull().alias("none"), F.col("_least").alias("id"), F.col("_c").alias("c")))
+    groups = labelled.groupBy("_class").agg(first.alias("_first"), F.sum("copies").alias("class_rows"))
+    known = (labelled.select("_c", "copies", "_class").join(groups, "_class")
+             .select("_c", "copies", F.col("_first.id").alias("class_id"), "class_rows", F.col("_first.c").alias("_kept")))
+    return table, known
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, copies (rows with the same words), class_rows."""
+    table, known = classes(docs, doc_id, text, threshold)
+    return (table.select("_id", "_c").join(known, "_c")
+            .select(F.col("_id").alias(doc_id), "class_id", F.col("copies"), F.col("class_rows")))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The documents, all columns, with one row of each class: that of the smallest id, then content key."""
+    table, known = classes(docs, doc_id, text, threshold)
+    stays = F.col("_id").eqNullSafe(F.col("class_id")) & (F.col("_c") == F.col("_kept"))
+    judged = cut(table.select("_id", "_c").join(known.select("_c", "class_id", "_kept"), "_c").select("_id", "_c", stays.alias("_stays")))
+    gone_id, gone_c = free_name(docs, "_gone"), free_name(docs, "_gone_c")
+    gone = bounded_broadcast(judged.where("not _stays").select(F.col("_id").alias(gone_id), F.col("_c").alias(gone_c)).distinct())
+    own = content_key(normal(F.col(text)))
+    left = docs.join(gone, F.col(doc_id).eqNullSafe(F.col(gone_id)) & (own == F.col(gone_c)), "left_anti")
+    if judged.where("_stays").groupBy("_id", "_c").count().where("count > 1").limit(1).count():  # rows that repeat id and words
+        left = left.withColumn(gone_c, own).dropDuplicates([doc_id, gone_c]).drop(gone_c)
+    return left

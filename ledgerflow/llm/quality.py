@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, ship_by_value
+from .common import labelled_sample, runs_of, ship_by_value
 
 BITS = 18
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -81,19 +81,6 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def runs_of(texts, limit: int = 1 << 19):
-    """Consecutive texts with about ``limit`` characters, so that memory is bounded by it and the longest text."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def margins(texts: list[str], weights: np.ndarray, ratios: np.ndarray, bias: float) -> np.ndarray:
     """w . x for the unit-length scaled indicators of each text, plus the bias."""
     doc, f = features(texts)
@@ -168,10 +155,11 @@ def fit(texts: list[tuple[str, int]], c: float = 4.0, epochs: int = 12, seed: in
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 6000, sample_chars: int = 20_000,
                   cut_off: float = 0.7, seed: int = 8) -> DataFrame:
-    """(all columns of docs) + score double, predicted int; ``learn`` says which label rows may be learned from."""
+    """(doc_id, text) x (doc_id, quality) -> doc_id, score double, predicted int; ``learn`` says which label rows may be learned from."""
     texts = labelled_sample(docs, labels, "quality", learn, sample_rows, sample_chars, seed)
+    docs = docs.select("doc_id", "text")
     if len({y for _, y in texts}) < 2:
-        return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+        return docs.select("doc_id").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, seed=seed))
 
     @F.pandas_udf("double")
@@ -182,5 +170,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    scored = docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
+    scored = docs.select("doc_id", score(F.coalesce("text", F.lit(""))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut_off).cast("int"))

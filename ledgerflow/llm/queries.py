@@ -39,8 +39,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 3) == 1
-    return (lang_id.predict_language(read_table(spark, sf_dir, "documents"), ~held_out)
-            .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
+    said = lang_id.predict_language(read_table(spark, sf_dir, "documents"), ~held_out)
+    return said.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,14 +52,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 3) == 1
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents")
     return (toxicity.score_toxicity(docs, read_table(spark, sf_dir, "labels"), ~held_out)
             .select("doc_id", held_out.alias("held_out"), "score", "predicted"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 4) == 2
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents")
     return (quality.score_quality(docs, read_table(spark, sf_dir, "labels"), ~held_out)
             .select("doc_id", held_out.alias("held_out"), "score", "predicted"))
 

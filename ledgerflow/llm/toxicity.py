@@ -29,6 +29,7 @@ from .common import labelled_sample, ship_by_value
 WINDOW = 6
 LEVEL = 3
 CLASSES = 8
+CUT_OFF = 0.7
 ship_by_value(__name__)
 
 
@@ -105,18 +106,27 @@ def monotone(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.clip(np.concatenate([np.full(int(n), r) for r, _, n in pools]), 1e-6, 1 - 1e-6)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 6000, sample_chars: int = 20_000,
-                   ordinary_size: int = 16 << 10, toxic_size: int = 1 << 10, min_share: float = 0.03, min_ratio: float = 8.0,
-                   cut_off: float = 0.7, seed: int = 7) -> DataFrame:
-    """(all columns of docs) + score double, predicted int; ``learn`` says which label rows may be learned from."""
+def fit_scorer(docs: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = 6000, sample_chars: int = 20_000,
+               ordinary_size: int = 16 << 10, toxic_size: int = 1 << 10, min_share: float = 0.03, min_ratio: float = 8.0, seed: int = 7):
+    """A function from the text column to the score column; ``learn`` says which label rows may be learned from."""
     texts = labelled_sample(docs, labels, "toxic", learn, sample_rows, sample_chars, seed)
     if len({y for _, y in texts}) < 2:
-        return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+        return lambda text: F.lit(0.0)
     model = docs.sparkSession.sparkContext.broadcast(Model(texts, ordinary_size, toxic_size, min_share, min_ratio))
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return text.map(model.value.score)
 
-    scored = docs.withColumn("score", score(F.coalesce("text", F.lit(""))))
+    return lambda text: score(F.coalesce(text, F.lit("")))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, cut_off: float = CUT_OFF, **how) -> DataFrame:
+    """(doc_id, text) x (doc_id, toxic) -> doc_id, score double, predicted int."""
+    scored = docs.select("doc_id", fit_scorer(docs, labels, learn, **how)(F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut_off).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, learn: Column, cut_off: float = CUT_OFF, **how) -> DataFrame:
+    """The documents, all columns, that score below ``cut_off``."""
+    return docs.where(fit_scorer(docs, labels, learn, **how)(F.col("text")) < cut_off)
