@@ -6,10 +6,11 @@ by weight until no target is above its stop.
 
 Fitting: a source is taken whole ``floor(target / size)`` times.  For the budget that is left,
 documents are counted by exact size, and each size gives the same share of its documents.  What
-then still lacks is fitted exactly from the spare documents: large sizes first, and for the last
-stretch (at most ``WINDOW`` words plus the largest size that fits) a bounded-knapsack dynamic
-programme over the sizes, whose reachable sums are a bit set.  The table of counts by size is
-bounded by the number of different sizes; that is all one task sees of a source.
+then still lacks is fitted from the spare documents: large sizes first, and for the last stretch
+(``WINDOW`` words and a few times the largest size, for which the smallest documents are decided
+anew) a bounded-knapsack dynamic programme over the sizes, whose reachable sums are a bit set.  The
+table of counts by size is bounded by the number of different sizes; that is all one task sees of
+a source.
 
 Selection: of the documents of one size, those with the smallest seeded hash of their id are
 taken.  A large group is cut into hash ranges first, so that only the range which holds the last
@@ -63,6 +64,10 @@ def fit(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
     for s in sorted(spare, reverse=True):  # large sizes first, down to the last stretch
         k = min(spare[s], max(0, left - WINDOW) // s)
         take[s], spare[s], left = take[s] + k, spare[s] - k, left - k * s
+    room = 2 * max(spare)
+    for s in sorted(spare):  # small sizes are decided anew, enough of them to replace a document of the largest
+        k = min(take[s], -(-room // s))
+        take[s], spare[s], left, room = take[s] - k, spare[s] + k, left + k * s, max(0, room - k * s)
     # bounded knapsack: bit n of a row says that n words can be reached with the sizes so far
     mask, rows, parts = (1 << (left + 1)) - 1, [1], []
     for s in sorted(spare, reverse=True):
