@@ -33,6 +33,8 @@ def hash_chain(rows: DataFrame, chain_key: str = "table_name", order: Sequence[s
                tails: DataFrame | None = None) -> DataFrame:
     """Add prev_hash and row_hash = md5(coalesce(prev, '') || table || op || record) per chain.
 
+    A null part hashes as the empty text, here as in ``verify_hash_chain``.  One chain is folded
+    by one task in O(1) memory; choose a finer chain key (tenant, day) to spread a long log.
     ``tails`` (chain_key, tail_hash) continues existing chains from their stored last hash.
     """
     spark = rows.sparkSession
@@ -42,7 +44,8 @@ def hash_chain(rows: DataFrame, chain_key: str = "table_name", order: Sequence[s
     else:
         data = data.withColumn("tail_hash", F.lit(None).cast("string"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = data.repartition(parts, chain_key).sortWithinPartitions(chain_key, *order)
+    text = {c: F.col(c).cast("string") for c in {table_col, op_col, record_col}}
+    ordered = data.withColumns(text).repartition(parts, chain_key).sortWithinPartitions(chain_key, *order)
     key_idx_cols = list(ordered.columns)
     out_schema = T.StructType(ordered.schema.fields + [T.StructField("prev_hash", T.StringType()),
                                                        T.StructField("row_hash", T.StringType())])
@@ -57,7 +60,7 @@ def hash_chain(rows: DataFrame, chain_key: str = "table_name", order: Sequence[s
                 if chain != current_chain:
                     current_chain, prev = chain, (tail if isinstance(tail, str) else None)
                 prevs.append(prev)
-                h = _md5((prev or "") + str(table) + str(op) + str(rec))
+                h = _md5("".join(x if isinstance(x, str) else "" for x in (prev, table, op, rec)))
                 hashes.append(h)
                 prev = h
             yield pdf.assign(prev_hash=prevs, row_hash=hashes)
@@ -67,17 +70,26 @@ def hash_chain(rows: DataFrame, chain_key: str = "table_name", order: Sequence[s
 
 def verify_hash_chain(log: DataFrame, chain_key: str = "table_name", order_id: str = "audit_id",
                       table_col: str = "table_name", op_col: str = "operation",
-                      record_col: str = "record") -> DataFrame:
+                      record_col: str = "record", tails: DataFrame | None = None) -> DataFrame:
     """Rows whose link or content does not verify: BROKEN_LINK (prev_hash ≠ previous row_hash)
-    or ALTERED_ROW (row_hash ≠ md5 of its stored inputs).  Fully parallel."""
+    or ALTERED_ROW (row_hash ≠ md5 of its stored inputs).  Comparisons are null-safe.  With
+    ``tails`` (chain_key, tail_hash: the last hash of each chain, kept elsewhere) a chain that ends
+    in another hash, or is gone, gives a MISSING_TAIL row with its last id.  Fully parallel."""
     with_prev = chunked_lag(log, [chain_key], order_id, "row_hash", "_expected_prev")
-    recomputed = F.md5(F.concat(F.coalesce(F.col("prev_hash"), F.lit("")), F.col(table_col).cast("string"),
-                                F.col(op_col).cast("string"), F.col(record_col).cast("string")))
+    recomputed = F.md5(F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("prev_hash", table_col, op_col, record_col)]))
     broken = ~F.col("prev_hash").eqNullSafe(F.col("_expected_prev"))
-    altered = F.col("row_hash") != recomputed
-    return (with_prev.where(broken | altered)
-            .select(chain_key, order_id, "prev_hash", "row_hash",
-                    F.when(altered, "ALTERED_ROW").otherwise("BROKEN_LINK").alias("problem")))
+    altered = ~F.col("row_hash").eqNullSafe(recomputed)
+    bad = (with_prev.where(broken | altered)
+           .select(chain_key, order_id, "prev_hash", "row_hash",
+                   F.when(altered, "ALTERED_ROW").otherwise("BROKEN_LINK").alias("problem")))
+    if tails is None:
+        return bad
+    last = log.groupBy(F.col(chain_key).alias("_chain")).agg(F.max(F.struct(order_id, "row_hash")).alias("_last"))
+    ends = tails.select(chain_key, "tail_hash").join(last, F.col(chain_key).eqNullSafe(F.col("_chain")), "left")
+    cut = ends.where(~F.col("_last.row_hash").eqNullSafe(F.col("tail_hash"))).select(
+        chain_key, F.col(f"_last.{order_id}").alias(order_id), F.lit(None).cast("string").alias("prev_hash"),
+        F.col("_last.row_hash").alias("row_hash"), F.lit("MISSING_TAIL").alias("problem"))
+    return bad.unionByName(cut)
 
 
 def _row_json(df_cols: Sequence[str], prefix: str) -> Column:

@@ -74,7 +74,8 @@ def performance_health(metrics: DataFrame, baseline: DataFrame, as_of: str, hour
 
 
 def metric_trend(metrics: DataFrame, name: str, as_of: str, days: int = 30) -> DataFrame:
-    m = metrics.where((F.col("metric_name") == name) & (F.col("metric_timestamp") > _since(as_of, days=days)))
+    m = metrics.where((F.col("metric_name") == name) & (F.col("metric_timestamp") > _since(as_of, days=days))
+                      & (F.col("metric_timestamp") <= _t(as_of)))
     return (m.groupBy(F.date_trunc("hour", "metric_timestamp").cast(TS).alias("time_bucket"))
             # average rounded half-up to cents with integer arithmetic (exact in every engine)
             .agg(((F.floor((F.sum((F.col("metric_value") * 100).cast("long")) * 2 + F.count(F.lit(1)))
@@ -95,7 +96,8 @@ def failed_logins(log: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
 
 
 def access_history(log: DataFrame, user: str, days: int, as_of: str) -> DataFrame:
-    l = log.where((F.col("user_name") == user) & (F.col("login_time") > _since(as_of, days=days)))
+    l = log.where((F.col("user_name") == user) & (F.col("login_time") > _since(as_of, days=days))
+                  & (F.col("login_time") <= _t(as_of)))
     return l.orderBy(F.col("login_time").desc(), F.col("access_id").desc())
 
 
@@ -173,7 +175,7 @@ def security_event_summary(events: DataFrame, as_of: str, days: int = 30) -> Dat
 
 def classify_metrics(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """HEALTHY / WARNING / ALERT from the metric's thresholds; ``lower_is_worse`` flips the test."""
-    j = metrics.join(F.broadcast(thresholds), "metric_name", "left")
+    j = metrics.join(thresholds, "metric_name", "left")
     v = F.col("metric_value")
     low = F.coalesce(F.col("lower_is_worse"), F.lit(False))
     status = (F.when(F.col("alert_threshold").isNull(), F.lit("UNKNOWN"))
@@ -194,8 +196,17 @@ def classify_lag(log: DataFrame) -> DataFrame:
 
 def retention_select(catalog: DataFrame, policy: DataFrame, as_of: str) -> DataFrame:
     """KEEP the newest N daily, weekly and monthly backups (per the policy), else EXPIRE;
-    plus the simple age rule (older than retention_days)."""
-    c = catalog.where(F.col("status") == "SUCCESS").join(F.broadcast(policy), "database_name")
+    plus the simple age rule (older than retention_days).
+
+    Every backup gets a decision: one that did not succeed holds no slot and is FAILED, one of a
+    database without a policy is NO_POLICY (nothing may be expired without a rule)."""
+    ruled = catalog.join(policy, "database_name", "left")
+    fine = (F.col("status") == "SUCCESS") & F.col("keep_daily").isNotNull()
+    others = ruled.where(~F.coalesce(fine, F.lit(False))).select(
+        "backup_id", "database_name", "backup_date", F.lit(None).cast("string").alias("kept_as"),
+        F.when(F.coalesce(F.col("status") == "SUCCESS", F.lit(False)), "NO_POLICY").otherwise("FAILED").alias("decision"),
+        (F.col("backup_date") < _since(as_of, days=30)).alias("past_age_limit"))
+    c = ruled.where(fine)
     day = F.to_date("backup_date")
     wk = F.date_trunc("week", "backup_date")
     mo = F.date_trunc("month", "backup_date")
@@ -213,4 +224,4 @@ def retention_select(catalog: DataFrame, policy: DataFrame, as_of: str) -> DataF
     return c.select("backup_id", "database_name", "backup_date",
                     F.when(keep_d, "DAILY").when(keep_w, "WEEKLY").when(keep_m, "MONTHLY").alias("kept_as"),
                     F.when(keep_d | keep_w | keep_m, "KEEP").otherwise("EXPIRE").alias("decision"),
-                    aged.alias("past_age_limit"))
+                    aged.alias("past_age_limit")).unionByName(others)

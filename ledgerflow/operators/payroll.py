@@ -39,11 +39,13 @@ def employee_payroll(details: DataFrame, components: DataFrame, start, end) -> D
 
 def payroll_run(employees: DataFrame, details: DataFrame, components: DataFrame, period_id: int,
                 start, end) -> dict[str, DataFrame]:
-    """Payslip per employee (employees without lines get zeros) and one run header per client."""
+    """Payslip per employee (employees without lines get zeros) and one run header per client.
+
+    Ids are the text ``<period>-<employee>`` and ``<period>-<client>``: distinct for any id."""
     pay = employee_payroll(details, components, start, end)
     slips = employees.select("employee_id", "client_id").join(pay, "employee_id", "left").select(
-        (F.lit(period_id).cast("long") * 1000000 + F.col("employee_id")).alias("payslip_id"),
-        (F.lit(period_id).cast("long") * 1000 + F.col("client_id")).alias("run_id"), "employee_id", "client_id",
+        F.concat(F.lit(f"{period_id}-"), F.col("employee_id").cast("string")).alias("payslip_id"),
+        F.concat(F.lit(f"{period_id}-"), F.col("client_id").cast("string")).alias("run_id"), "employee_id", "client_id",
         F.coalesce("gross_amount", F.lit(0).cast(TOTAL)).alias("gross_amount"),
         F.coalesce("total_deductions", F.lit(0).cast(TOTAL)).alias("total_deductions"),
         F.coalesce("net_amount", F.lit(0).cast(TOTAL)).alias("net_amount"),
@@ -108,11 +110,12 @@ def hourly_payslip(rates: DataFrame, hours: DataFrame, details: DataFrame, compo
 
 def period_hours(time_records: DataFrame, periods: DataFrame, daily_limit: float = 8.0) -> DataFrame:
     """Total and overtime hours per employee and pay period (overtime = hours above the daily
-    limit).  Periods are calendar ranges matched with an equi key on the month."""
+    limit).  Periods are any date ranges: each is spelled out into its days, so the match is an
+    equi join on the day and a day that lies in several periods counts in each."""
     daily = time_records.groupBy("employee_id", "work_date").agg(F.sum("hours").alias("h"))
-    d = daily.withColumn("period_id", (F.year("work_date") * 100 + F.month("work_date")))
-    p = periods.select("period_id", "period_start", "period_end")
-    j = d.join(p, "period_id").where(F.col("work_date").between(F.col("period_start"), F.col("period_end")))
+    days = (periods.where(F.col("period_start") <= F.col("period_end"))
+            .select("period_id", F.explode(F.sequence("period_start", "period_end")).alias("work_date")))
+    j = daily.join(days, "work_date")
     return j.groupBy("employee_id", "period_id").agg(
         F.sum("h").cast("decimal(18,2)").alias("total_hours"),
         F.sum(F.greatest(F.col("h") - F.lit(daily_limit), F.lit(0))).cast("decimal(18,2)").alias("overtime_hours"))

@@ -44,6 +44,10 @@ STANDARD_RULES = {
     "REVENUE": [("cash_account_ar", True, "amount"), ("revenue_account", False, "amount")],
 }
 
+NO_KEY = "Idempotency key is required"
+NO_AMOUNT = "Invalid Amount: Must not be null"
+NEGATIVE_AMOUNT = "Invalid Amount: Must be positive"
+
 AMOUNT_FIELDS = ("amount", "net", "tax", "gross", "cost", "value")
 
 
@@ -105,8 +109,11 @@ def dedupe_idempotent(requests: DataFrame, existing: DataFrame, key: str = "idem
     """First request per key wins; keys already in ``existing`` and later repeats are duplicates.
 
     Returns {"fresh": winners, "duplicates": request rows + duplicate_of (existing id, or the
-    winning request for in-batch repeats)}.
+    winning request for in-batch repeats), "rejected": requests without a key, with the reason}.
+    Every request is in exactly one of the three.
     """
+    rejected = requests.where(F.col(key).isNull()).withColumn("error", F.lit(NO_KEY))
+    requests = requests.where(F.col(key).isNotNull())
     winners = requests.groupBy(key).agg(F.min(order).alias("_win"))
     tagged = requests.join(winners, key).withColumn("_first", F.col(order) == F.col("_win"))
     ex = existing.select(F.col(key).alias("_k"), F.col(existing_id).alias("_existing")).where(F.col("_k").isNotNull())
@@ -116,7 +123,7 @@ def dedupe_idempotent(requests: DataFrame, existing: DataFrame, key: str = "idem
         *requests.columns,
         F.when(F.col("_existing").isNotNull(), F.lit("EXISTING")).otherwise(F.lit("BATCH")).alias("duplicate_source"),
         F.coalesce(F.col("_existing"), F.col("_win")).alias("duplicate_of"))
-    return {"fresh": fresh, "duplicates": dup}
+    return {"fresh": fresh, "duplicates": dup, "rejected": rejected}
 
 
 def assign_ids(df: DataFrame, existing: DataFrame, existing_col: str, order: list[str], name: str) -> DataFrame:
@@ -171,7 +178,8 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
                .when(F.col("_party_ok").isNull(), F.lit(f"{cname} not found!"))
                .when(~accounts_ok, F.format_string(f"Required accounts ({roles_txt}) not found for client %s",
                                                    F.col("client_id")))
-               .when(F.col("amount") < 0, F.lit("Invalid Amount: Must be positive"))
+               .when(F.col("amount").isNull(), F.lit(NO_AMOUNT))
+               .when(F.col("amount") < 0, F.lit(NEGATIVE_AMOUNT))
                .when(F.coalesce(dates_bad, F.lit(False)), F.lit("Due Date must be after Invoice Date")))
     r = r.withColumn("_reason", reason)
     failed = r.where(F.col("_reason").isNotNull())
@@ -181,8 +189,9 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
         _compliance(failed.where(F.col("_client_ok").isNotNull() & F.col("_party_ok").isNull()),
                     f"{cname} Rules", f"{cname} not found!", f"{cname.upper()}_CHECK",
                     F.lit(f"{cname} ID not found in database")),
-        _compliance(failed.where(F.col("_reason") == "Invalid Amount: Must be positive"), "Amounts Rule",
-                    "Positive Amount Only!", "AMOUNT_CHECK", F.format_string("Amount is %s", F.col("amount"))),
+        _compliance(failed.where(F.col("_reason").isin(NO_AMOUNT, NEGATIVE_AMOUNT)), "Amounts Rule",
+                    "Positive Amount Only!", "AMOUNT_CHECK",
+                    F.concat(F.lit("Amount is "), F.coalesce(F.col("amount").cast("string"), F.lit("NULL")))),
     ]
     if is_doc:
         comp.append(_compliance(failed.where(F.col("_reason") == "Due Date must be after Invoice Date"), "Dates Rule",
@@ -214,7 +223,8 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
     legs, leg_rejects = post_journals(events, role_map, rules)
     out = {"transactions": transactions, "journals": legs, "compliance": compliance,
            "rejected": failed.select("request_id", F.col("_reason").alias("error")).unionByName(
-               dups.select("request_id", F.lit("Duplicate Transaction Detected").alias("error"))),
+               dups.select("request_id", F.lit("Duplicate Transaction Detected").alias("error")))
+           .unionByName(d["rejected"].select("request_id", "error")),
            "leg_rejects": leg_rejects}
     if is_doc:
         party = "customer_id" if kind == "AR" else "vendor_id"
@@ -336,14 +346,15 @@ def apply_coa_template(template_accounts: DataFrame, charts: DataFrame, clients:
     """New chart rows: each client's template accounts, skipping (client, account_code) present.
 
     ``clients`` carries the template each tenant uses (client_id, template_id); the copy is an
-    equi join on template_id followed by an anti join on the existing chart.
+    equi join on template_id followed by an anti join on the existing chart.  New ids follow the
+    largest existing chart id in (client, account code) order, so they cannot collide.
     """
     t = template_accounts.select("template_id", "account_code", "account_name", "account_type")
     wanted = clients.select("client_id", "template_id").join(t, "template_id")
     present = charts.select("client_id", "account_code")
     new = wanted.join(present, ["client_id", "account_code"], "left_anti")
-    return new.select((F.col("client_id") * 100 + F.col("account_code") - 1000).cast("int").alias("chart_id"),
-                      "client_id", F.col("account_name").alias("account"), "account_code",
+    numbered = assign_ids(new, charts, "chart_id", ["client_id", "account_code"], "_new_id")
+    return numbered.select(F.col("_new_id").cast("int").alias("chart_id"), "client_id", F.col("account_name").alias("account"), "account_code",
                       F.col("account_type").alias("type"), F.lit(True).alias("is_active"))
 
 

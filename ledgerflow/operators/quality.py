@@ -213,7 +213,8 @@ def log_compliance_checks(results: DataFrame) -> DataFrame:
 def compliance_violations(logs: DataFrame, rules: DataFrame, client_id: int, days: int, as_of: str) -> DataFrame:
     """Non-PASS checks of one client in the last ``days``, newest first."""
     since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    l = logs.where((F.col("client_id") == client_id) & (F.col("status") != "PASS") & (F.col("checked_at") >= since))
+    l = logs.where((F.col("client_id") == client_id) & (F.col("status") != "PASS") & (F.col("checked_at") >= since)
+                   & (F.col("checked_at") <= F.lit(as_of).cast("timestamp")))
     return (l.join(rules.select("rule_id", "rule_name", "check_type"), "rule_id", "left")
              .select("compliance_id", "rule_name", "check_type", "status", "details", "checked_at",
                      F.coalesce(F.col("resolution_status"), F.lit("UNRESOLVED")).alias("resolution_status"))

@@ -66,7 +66,7 @@ def secure_view(df: DataFrame, role: str, kind: str) -> DataFrame:
     for c in df.columns:
         if c == "email":
             cols.append(F.col(c) if ok else mask_email(c).alias(c))
-        elif c in ("ssn_encrypted", "tax_id_encrypted", "internal_notes"):
+        elif c in ("ssn_encrypted", "tax_id_encrypted", "bank_account_encrypted", "internal_notes"):
             cols.append(F.col(c) if ok else F.lit("REDACTED").alias(c))
         else:
             cols.append(F.col(c))

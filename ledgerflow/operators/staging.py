@@ -33,19 +33,29 @@ def import_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = AR_COL
                session_id: int = 1) -> DataFrame:
     """Read a header CSV with every column as text; number rows in file order; stage as DRAFT.
 
+    Columns are bound by the names in the header (blanks around a name and its case do not
+    matter); columns that are not asked for are left out and a missing one is an error.  Files
+    whose header differs from the first one's are refused by the reader.
+
     File order = (file path, block start, position in block); the dense number comes from
     ``with_sequence_id`` (no single-task window).  Malformed lines are kept with the raw
     text in ``_corrupt_record``.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
+    header = spark.read.option("header", True).csv(path).columns
+    found = {h.strip().lower(): h for h in header}
+    missing = [c for c in columns if c.lower() not in found]
+    if missing:
+        raise ValueError(f"columns missing in the CSV header: {', '.join(missing)}")
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in header]
                           + [T.StructField("_corrupt_record", T.StringType())])
-    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
            .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
+           .select(*[F.col(f"`{found[c.lower()]}`").alias(c) for c in columns], "_corrupt_record", "_metadata")
            .withColumn("_file", F.col("_metadata.file_path"))
            .withColumn("_block", F.col("_metadata.file_block_start"))
            .withColumn("_pos", F.monotonically_increasing_id()))
     numbered = with_sequence_id(raw, ["_file", "_block", "_pos"], "row_number")
-    return numbered.drop("_file", "_block", "_pos").withColumn("session_id", F.lit(session_id)) \
+    return numbered.drop("_file", "_block", "_pos", "_metadata").withColumn("session_id", F.lit(session_id)) \
                    .withColumn("validation_status", F.lit("DRAFT")) \
                    .withColumn("validation_errors", F.lit(None).cast("string"))
 

@@ -34,8 +34,12 @@ def with_partition_label(df: DataFrame, date_col: str, grain: str = "month") ->
 
 
 def write_partitioned(df: DataFrame, date_col: str, path: str, grain: str = "month") -> None:
-    """Write ``df`` partitioned by its month or ISO-week label (one directory per partition)."""
-    with_partition_label(df, date_col, grain).write.mode("overwrite").partitionBy("partition_label").parquet(path)
+    """Write ``df`` partitioned by its month or ISO-week label (one directory per partition).
+
+    Rows are clustered by label first, so a label is not written by every task; REBALANCE lets
+    adaptive execution split a heavy label over several tasks and merge light ones."""
+    labelled = with_partition_label(df, date_col, grain)
+    labelled.hint("rebalance", F.col("partition_label")).write.mode("overwrite").partitionBy("partition_label").parquet(path)
 
 
 def tier_partitions(df: DataFrame, date_col: str, as_of: str, grain: str = "month") -> DataFrame:

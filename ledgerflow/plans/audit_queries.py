@@ -56,6 +56,34 @@ def _verify_hash_chain(b):
     return audit.verify_hash_chain(audit.hash_chain(audit_log(b), "table_name", ["audit_id"]))
 
 
+# the same log after tampering: records and hashes blanked, rows changed, and the last row of each chain cut off
+_TAMPERED_SQL = _CHAIN_SQL + """,
+tails AS (SELECT table_name, max_by(row_hash, audit_id) AS tail_hash, MAX(audit_id) AS last_id FROM chain GROUP BY table_name),
+tam AS (SELECT c.table_name, c.audit_id, c.operation, CASE WHEN c.audit_id % 53 = 0 THEN NULL ELSE CAST(c.record AS VARCHAR) END AS record, c.prev_hash,
+               CASE WHEN c.audit_id % 59 = 0 THEN NULL WHEN c.audit_id % 61 = 0 THEN md5('x') ELSE c.row_hash END AS row_hash
+        FROM chain c JOIN tails t ON c.table_name = t.table_name WHERE c.audit_id < t.last_id),
+v AS (SELECT *, lag(row_hash) OVER (PARTITION BY table_name ORDER BY audit_id) AS expected,
+             md5(COALESCE(prev_hash, '') || table_name || operation || COALESCE(record, '')) AS again FROM tam)
+SELECT table_name, audit_id, prev_hash, row_hash, CASE WHEN row_hash IS DISTINCT FROM again THEN 'ALTERED_ROW' ELSE 'BROKEN_LINK' END AS problem
+FROM v WHERE prev_hash IS DISTINCT FROM expected OR row_hash IS DISTINCT FROM again
+UNION ALL
+SELECT t.table_name, l.audit_id, NULL, l.row_hash, 'MISSING_TAIL' FROM tails t
+LEFT JOIN (SELECT table_name, MAX(audit_id) AS audit_id, max_by(row_hash, audit_id) AS any_hash, arg_max_null(row_hash, audit_id) AS row_hash
+           FROM tam GROUP BY table_name) l ON l.table_name = t.table_name
+WHERE l.row_hash IS DISTINCT FROM t.tail_hash"""
+
+
+@query("verify_hash_chain_tampered", "A2", views=["event_log"], oracle=_TAMPERED_SQL)
+def _verify_hash_chain_tampered(b):
+    log = audit.hash_chain(audit_log(b), "table_name", ["audit_id"])
+    tails = log.groupBy("table_name").agg(F.max_by("row_hash", "audit_id").alias("tail_hash"), F.max("audit_id").alias("_last"))
+    i = F.col("audit_id")
+    tampered = (log.join(tails.select("table_name", "_last"), "table_name").where(i < F.col("_last")).drop("_last")
+                .withColumn("record", F.when(i % 53 != 0, F.col("record")))
+                .withColumn("row_hash", F.when(i % 59 == 0, F.lit(None)).when(i % 61 == 0, F.md5(F.lit("x"))).otherwise(F.col("row_hash"))))
+    return audit.verify_hash_chain(tampered, tails=tails.select("table_name", "tail_hash"))
+
+
 def cust_before(b):
     return b.customers.select("customer_id", "client_id", "customer_name",
                               F.concat(F.lit("note-"), F.col("customer_id").cast("string")).alias("internal_notes"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY
 from ..operators import costing, events, posting
 from ..streaming import events as stream_events
+from ..streaming import retry as stream_retry
 from . import posting_queries as pq
 from .registry import query
 
@@ -167,16 +168,24 @@ def attempts(b):
                     (F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("attempt_no"))).alias("attempted_at"))
 
 
-@query("retry_state", "E7", views=["event_log"], oracle=f"""WITH {_EV_SQL},
+_RETRY_SQL = f"""WITH {_EV_SQL},
 att AS (SELECT event_id, created_at, CASE WHEN {_ROUTE_SQL} IS NULL THEN 3 ELSE 1 END AS n,
                {_ROUTE_SQL} IS NULL AS failed FROM parsed)
 SELECT event_id, CASE WHEN failed THEN n ELSE 0 END AS retry_count,
        CASE WHEN NOT failed THEN 'PROCESSED' WHEN n >= 3 THEN 'FAILED' ELSE 'PENDING' END AS status,
-       created_at + INTERVAL (n) MINUTE AS last_attempt_at FROM att""")
+       created_at + INTERVAL (n) MINUTE AS last_attempt_at FROM att"""
+
+
+@query("retry_state", "E7", views=["event_log"], oracle=_RETRY_SQL)
 def _retry_state(b):
     return events.retry_state(attempts(b))
 
 
+@query("retry_state_stream", "E7", views=["event_log"], oracle=_RETRY_SQL)
+def _retry_state_stream(b):
+    return stream_retry.run_retry_state_available_now(b.spark, attempts(b))
+
+
 @query("stream_post_events", "E8")
 def _stream_post_events(b):
     return stream_events.run_available_now(b.spark, event_input(b))

@@ -207,7 +207,7 @@ SELECT CAST(date_trunc('hour', metric_timestamp) AS TIMESTAMP) AS time_bucket,
        CAST(CAST(FLOOR((SUM(CAST(metric_value * 100 AS BIGINT)) * 2 + COUNT(*)) / (COUNT(*) * 2)) AS DECIMAL(20,0)) / 100
             AS DECIMAL(18,2)) AS avg_value
 FROM metrics WHERE metric_name = 'purchase' AND metric_timestamp > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY
-GROUP BY 1 ORDER BY 1 DESC""")
+  AND metric_timestamp <= TIMESTAMP '{AS_OF}' GROUP BY 1 ORDER BY 1 DESC""")
 def _metric_trend(b):
     return opslog.metric_trend(b.metrics, "purchase", AS_OF, 30)
 
@@ -229,7 +229,7 @@ def _failed_logins(b):
 
 @query("access_history", "O8", views=["access_log"], oracle=f"""
 SELECT * FROM access_log WHERE user_name = 'user7' AND login_time > TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY
-ORDER BY login_time DESC, access_id DESC""")
+  AND login_time <= TIMESTAMP '{AS_OF}' ORDER BY login_time DESC, access_id DESC""")
 def _access_history(b):
     return opslog.access_history(b.access_log, "user7", 30, AS_OF)
 
@@ -344,8 +344,15 @@ SELECT backup_id, database_name, backup_date,
             WHEN m1 = 1 AND mr <= keep_monthly THEN 'MONTHLY' END AS kept_as,
        CASE WHEN (d1 = 1 AND dr <= keep_daily) OR (w1 = 1 AND wr <= keep_weekly) OR (m1 = 1 AND mr <= keep_monthly)
             THEN 'KEEP' ELSE 'EXPIRE' END AS decision,
-       backup_date < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AS past_age_limit FROM r""")
+       backup_date < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AS past_age_limit FROM r
+UNION ALL
+SELECT backup_id, database_name, backup_date, NULL, 'FAILED', backup_date < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY FROM bk WHERE status <> 'SUCCESS'
+UNION ALL
+SELECT backup_id, 'archive_db', backup_date, NULL, CASE WHEN status = 'SUCCESS' THEN 'NO_POLICY' ELSE 'FAILED' END,
+       backup_date < TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY FROM bk""")
 def _retention_select(b):
+    # a second database without a policy row: its backups are reported, not expired
+    other = backups(b).withColumn("database_name", F.lit("archive_db"))
     pol = b.spark.createDataFrame(RETENTION_POLICY, "database_name string, retention_days int, keep_daily int, "
                                                     "keep_weekly int, keep_monthly int")
-    return opslog.retention_select(backups(b), pol, AS_OF)
+    return opslog.retention_select(backups(b).unionByName(other), pol, AS_OF)

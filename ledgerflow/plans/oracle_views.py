@@ -28,7 +28,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                      "(1, 1013, 'Purchase Returns and Allowances', 'Contra Expense'), (1, 1014, 'Salary Expense', 'Expense'), "
                      "(1, 1015, 'Salary Payable', 'Liability')) AS t(template_id, account_code, account_name, account_type)"),
     "new_charts": (("clients", "coa_template", "charts"),
-                   "SELECT CAST(c.client_id * 100 + t.account_code - 1000 AS INT) AS chart_id, c.client_id, t.account_name AS account, "
+                   "SELECT CAST((SELECT MAX(chart_id) FROM charts) + row_number() OVER (ORDER BY c.client_id, t.account_code) AS INT) AS chart_id, c.client_id, t.account_name AS account, "
                    "t.account_code, t.account_type AS type, TRUE AS is_active FROM clients c JOIN coa_template t ON t.template_id = 1 "
                    "WHERE NOT EXISTS (SELECT 1 FROM charts x WHERE x.client_id = c.client_id AND x.account_code = t.account_code)"),
     "all_charts": (("charts", "new_charts"),

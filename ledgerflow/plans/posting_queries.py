@@ -194,7 +194,8 @@ def _doc_sql(kind: str, req_sql: str, standard: bool = False) -> str:
         comp.append(f"""SELECT request_id, client_id, '{cname} Rules', '{cname} not found!', '{cname.upper()}_CHECK', 'FAIL',
        '{cname} ID not found in database' FROM rs WHERE client_ok AND NOT party_ok""")
     comp.append("""SELECT request_id, client_id, 'Amounts Rule', 'Positive Amount Only!', 'AMOUNT_CHECK', 'FAIL',
-       'Amount is ' || CAST(amount AS VARCHAR) FROM rs WHERE reason = 'Invalid Amount: Must be positive'""")
+       'Amount is ' || COALESCE(CAST(amount AS VARCHAR), 'NULL') FROM rs
+       WHERE reason IN ('Invalid Amount: Must be positive', 'Invalid Amount: Must not be null')""")
     if is_doc:
         comp.append("""SELECT request_id, client_id, 'Dates Rule', 'Due date must be after invoice date', 'DATE_CHECK', 'FAIL',
        'Invoice: ' || CAST(invoice_date AS VARCHAR) || ', Due: ' || CAST(due_date AS VARCHAR) FROM rs
@@ -210,9 +211,10 @@ chk AS (SELECT r.*, k.client_id IS NOT NULL AS client_ok, {party_ok} AS party_ok
                    GROUP BY client_id) n ON r.client_id = n.client_id),
 rs AS (SELECT *, CASE WHEN NOT client_ok THEN 'Client not found!' WHEN NOT party_ok THEN '{cname} not found!'
                       WHEN NOT acc_ok THEN 'Required accounts ({roles_txt}) not found for client ' || CAST(client_id AS VARCHAR)
+                      WHEN amount IS NULL THEN 'Invalid Amount: Must not be null'
                       WHEN amount < 0 THEN 'Invalid Amount: Must be positive'
                       WHEN {dates_bad} THEN 'Due Date must be after Invoice Date' END AS reason FROM chk),
-passed AS (SELECT * EXCLUDE (client_ok, party_ok, acc_ok, reason) FROM rs WHERE reason IS NULL),
+passed AS (SELECT * EXCLUDE (client_ok, party_ok, acc_ok, reason) FROM rs WHERE reason IS NULL AND idempotency_key IS NOT NULL),
 tagged AS (SELECT p.*, MIN(p.request_id) OVER (PARTITION BY p.idempotency_key) AS win, e.transaction_id AS existing
            FROM passed p LEFT JOIN transactions e ON e.idempotency_key = p.idempotency_key),
 fresh AS (SELECT * EXCLUDE (win, existing) FROM tagged WHERE request_id = win AND existing IS NULL),
@@ -247,6 +249,20 @@ def _post_ar_compliance(b):
     return _ar(b)["compliance"]
 
 
+@query("post_ar_rejected", "P3", views=_DOC_VIEWS + sq.STG_VIEWS, oracle=_AR_SQL + """
+SELECT request_id, reason AS error FROM rs WHERE reason IS NOT NULL
+UNION ALL SELECT request_id, 'Duplicate Transaction Detected' FROM tagged WHERE request_id <> win OR existing IS NOT NULL
+UNION ALL SELECT request_id, 'Idempotency key is required' FROM rs WHERE reason IS NULL AND idempotency_key IS NULL""")
+def _post_ar_rejected(b):
+    return _ar(b)["rejected"]
+
+
+@query("post_ar_extensions", "P3", views=_DOC_VIEWS + sq.STG_VIEWS, money=["amount"], oracle=_AR_SQL + """
+SELECT transaction_id AS receivable_id, amount, due_date, invoice_date, status FROM numbered""")
+def _post_ar_extensions(b):
+    return _ar(b)["extensions"]
+
+
 def _ap(b):
     return posting.post_ap(ap_requests(b), b.clients, b.vendors, role_map(b), b.transactions)
 
@@ -437,6 +453,30 @@ def _dedupe_idempotent(b):
     return posting.dedupe_idempotent(req, b.transactions)["duplicates"]
 
 
+_KEYED_SQL = """WITH req AS (SELECT event_id AS request_id, event_type, created_at,
+       CASE WHEN event_id % 11 = 0 THEN NULL ELSE idempotency_key END AS idempotency_key, user_id, amount, payload FROM event_log),
+win AS (SELECT idempotency_key, MIN(request_id) AS w FROM req WHERE idempotency_key IS NOT NULL GROUP BY idempotency_key)
+"""
+
+
+def _some_without_key(b):
+    r = b.event_log.withColumnRenamed("event_id", "request_id")
+    return r.withColumn("idempotency_key", F.when(F.col("request_id") % 11 != 0, F.col("idempotency_key")))
+
+
+@query("dedupe_fresh", "P11", views=["event_log", "transactions", "customers"], money=["amount"], oracle=_KEYED_SQL + """
+SELECT r.* FROM req r JOIN win ON r.idempotency_key = win.idempotency_key AND r.request_id = win.w
+WHERE NOT EXISTS (SELECT 1 FROM transactions t WHERE t.idempotency_key = r.idempotency_key)""")
+def _dedupe_fresh(b):
+    return posting.dedupe_idempotent(_some_without_key(b), b.transactions)["fresh"]
+
+
+@query("dedupe_rejected", "P11", views=["event_log"], money=["amount"], oracle=_KEYED_SQL + """
+SELECT *, 'Idempotency key is required' AS error FROM req WHERE idempotency_key IS NULL""")
+def _dedupe_rejected(b):
+    return posting.dedupe_idempotent(_some_without_key(b), b.transactions)["rejected"]
+
+
 # ---- recurring, amendments, master data, staged posting --------------------------------
 
 EXEC_DATE = "2001-12-01"

@@ -272,7 +272,7 @@ SELECT l.compliance_id, r.rule_name, r.check_type, l.status, l.details, l.checke
        COALESCE(l.resolution_status, 'UNRESOLVED') AS resolution_status
 FROM clogs l LEFT JOIN rules r ON l.rule_id = r.rule_id
 WHERE l.client_id = 1 AND l.status <> 'PASS' AND l.checked_at >= TIMESTAMP '{AS_OF}' - INTERVAL 365 DAY
-ORDER BY l.checked_at DESC, l.compliance_id DESC""")
+  AND l.checked_at <= TIMESTAMP '{AS_OF}' ORDER BY l.checked_at DESC, l.compliance_id DESC""")
 def _compliance_violations(b):
     rules = b.spark.createDataFrame(COMPLIANCE_RULES, "rule_id int, rule_name string, check_type string")
     return quality.compliance_violations(_compliance_logs(b), rules, 1, 365, AS_OF)

@@ -127,7 +127,9 @@ def _import_csv(b):
     # the staged rows are exported as header CSV (sorted by id, so file order = id order) and imported back
     base = ensure_checkpoint_dir(b.spark).rstrip("/")
     path = f"{base}/import_csv/{uuid.uuid4().hex}"
-    b.stg_ar_imports.orderBy("id").select(*staging.AR_COLUMNS).write.option("header", True).csv(path)
+    # the file's own column order and an extra column: binding is by name
+    order = ("client_code", "customer_code", "due_date", "invoice_date", "amount", "status")
+    b.stg_ar_imports.orderBy("id").select(F.col("id").alias("line"), *order).write.option("header", True).csv(path)
     return staging.import_csv(b.spark, path)
 
 

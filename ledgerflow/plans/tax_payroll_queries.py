@@ -164,7 +164,7 @@ pay AS (SELECT employee_id,
                string_agg(component_name || ': $' || CAST(amount AS VARCHAR) || chr(10), '' ORDER BY component_id) AS component_details
         FROM lines GROUP BY employee_id),
 emp AS (SELECT vendor_id AS employee_id, client_id, vendor_name AS employee_name FROM vendors),
-slips AS (SELECT CAST({PERIOD_ID} AS BIGINT) * 1000000 + e.employee_id AS payslip_id, CAST({PERIOD_ID} AS BIGINT) * 1000 + e.client_id AS run_id, e.employee_id,
+slips AS (SELECT '{PERIOD_ID}-' || CAST(e.employee_id AS VARCHAR) AS payslip_id, '{PERIOD_ID}-' || CAST(e.client_id AS VARCHAR) AS run_id, e.employee_id,
                  e.client_id, COALESCE(p.gross_amount, 0) AS gross_amount, COALESCE(p.total_deductions, 0) AS total_deductions,
                  CAST(COALESCE(p.gross_amount - p.total_deductions, 0) AS DECIMAL(18,2)) AS net_amount,
                  COALESCE(p.component_details, '') AS component_details
@@ -296,6 +296,26 @@ def _period_hours(b):
     return payroll.period_hours(time_records(b), pay_periods(b))
 
 
+def half_month_periods(b):
+    """Two periods a month: days 1-15 and 16 to the end, numbered 1 and 2 within the month's first day."""
+    m = time_records(b).select(F.trunc("work_date", "month").alias("m")).distinct()
+    half = F.array(F.struct(F.lit(1).alias("n"), F.col("m").alias("s"), F.date_add("m", 14).alias("e")),
+                   F.struct(F.lit(2).alias("n"), F.date_add("m", 15).alias("s"), F.last_day("m").alias("e")))
+    h = m.select("m", F.inline(half))
+    return h.select(F.concat_ws("/", F.col("m").cast("string"), F.col("n").cast("string")).alias("period_id"),
+                    F.col("s").alias("period_start"), F.col("e").alias("period_end"))
+
+
+@query("period_hours_half_month", "X15", views=[], oracle=f"""
+WITH {_HOURS_SQL},
+daily AS (SELECT employee_id, work_date, SUM(hours) AS h FROM tr GROUP BY 1, 2)
+SELECT employee_id, CAST(CAST(date_trunc('month', work_date) AS DATE) AS VARCHAR) || '/' || CASE WHEN day(work_date) <= 15 THEN '1' ELSE '2' END AS period_id,
+       CAST(SUM(h) AS DECIMAL(18,2)) AS total_hours, CAST(SUM(GREATEST(h - 8.0, 0)) AS DECIMAL(18,2)) AS overtime_hours
+FROM daily GROUP BY 1, 2""", money=["total_hours", "overtime_hours"])
+def _period_hours_half_month(b):
+    return payroll.period_hours(time_records(b), half_month_periods(b))
+
+
 @query("payroll_batch_totals", "X13", views=_PAY_VIEWS + pq.COA_VIEWS + ["transactions"],
        money=["total_debit", "total_credit"], oracle=f"""WITH {_POST_PAY_SQL}
 SELECT r.run_id AS batch_id, r.transaction_id,

@@ -1,78 +1,39 @@
-"""E7 in streaming form: per-event retry state kept in Spark's state store.
+"""E7 in streaming form: per-event retry state as a streaming aggregate.
 
-Processing attempts arrive as a stream (event_id, outcome, attempted_at).
-``applyInPandasWithState`` keeps, per event, the failure count and whether an
-attempt succeeded; each micro-batch emits the event's current status —
-PROCESSED once an attempt succeeded, FAILED at ``max_attempts`` failures,
-otherwise PENDING — exactly what ``operators.events.retry_state`` computes in
-batch.  Idle events time out of the state after ``state_timeout_ms``.
+Processing attempts arrive as a stream (event_id, outcome, attempted_at).  The state per event is
+one row of built-in aggregates (failures, any success, last attempt), kept in Spark's state
+store; in update mode each micro-batch emits the events it changed, with the status that
+``operators.events.retry_state`` computes in batch, whose plan it shares.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-OUTPUT_SCHEMA = "event_id long, retry_count long, status string, last_attempt_at timestamp"
-STATE_SCHEMA = "retry_count long, succeeded boolean, last_attempt_at timestamp"
+from ..operators.events import retry_state
+from ..session import ensure_checkpoint_dir
 
-
-def _status(failures: int, succeeded: bool, max_attempts: int) -> str:
-    if succeeded:
-        return "PROCESSED"
-    return "FAILED" if failures >= max_attempts else "PENDING"
-
-
-def retry_state_stream(attempts: DataFrame, max_attempts: int = 3, state_timeout_ms: int = 86_400_000) -> DataFrame:
-    """Streaming retry state; ``attempts`` is a streaming DataFrame with an event-time
-    watermark on ``attempted_at`` (timestamp)."""
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (event_id,) = key
-        if state.hasTimedOut:
-            state.remove()
-            return
-        failures, succeeded, last = (state.get if state.exists else (0, False, None))
-        for pdf in batches:
-            failures += int((pdf["outcome"] == "FAILURE").sum())
-            succeeded = succeeded or bool((pdf["outcome"] == "SUCCESS").any())
-            latest = pdf["attempted_at"].max()
-            last = latest if last is None or latest > last else last
-        state.update((failures, succeeded, last))
-        state.setTimeoutDuration(state_timeout_ms)
-        yield pd.DataFrame({"event_id": [event_id], "retry_count": [failures],
-                            "status": [_status(failures, succeeded, max_attempts)], "last_attempt_at": [last]})
-
-    return attempts.groupBy("event_id").applyInPandasWithState(
-        update, OUTPUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.ProcessingTimeTimeout)
+ATTEMPT_SCHEMA = "event_id long, outcome string, attempted_at timestamp_ntz"
 
 
 def run_retry_state_available_now(spark, attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Land ``attempts`` as files, drain them through the stateful stream (availableNow) into a
+    """Land ``attempts`` as files, drain them through the streaming aggregate (availableNow) into a
     Parquet sink under the shared checkpoint folder and return the latest status per event."""
-    import uuid
-
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    from ..session import ensure_checkpoint_dir
-
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/retry_state/{uuid.uuid4().hex}"
     source, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
-    attempts.select("event_id", "outcome", F.col("attempted_at").cast("timestamp").alias("attempted_at")) \
-            .write.parquet(source)
-    src = spark.readStream.schema("event_id long, outcome string, attempted_at timestamp").parquet(source)
-    out = retry_state_stream(src.withWatermark("attempted_at", "1 day"), max_attempts)
+    attempts.select("event_id", "outcome", F.col("attempted_at").cast("timestamp_ntz").alias("attempted_at")).write.parquet(source)
+    out = retry_state(spark.readStream.schema(ATTEMPT_SCHEMA).parquet(source), max_attempts)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/part={batch_id}")
 
-    q = out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ckpt) \
-           .trigger(availableNow=True).start()
+    q = (out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.parquet(sink)
-    w = Window.partitionBy("event_id").orderBy(F.col("batch_id").desc())
-    return res.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "batch_id")
+    schema = f"{','.join(f'{f.name} {f.dataType.simpleString()}' for f in out.schema.fields)}, batch_id int"
+    changes = spark.read.schema(schema).parquet(f"{sink}/*") if attempts.limit(1).count() else spark.createDataFrame([], schema)
+    state = F.struct("batch_id", "retry_count", "status", "last_attempt_at")
+    return changes.groupBy("event_id").agg(F.max(state).alias("s")).select("event_id", "s.retry_count", "s.status", "s.last_attempt_at")
