@@ -25,6 +25,12 @@ PAYLOAD_SCHEMA = T.StructType([
     T.StructField("client_id", T.StringType()),
     T.StructField("date", T.StringType()),
     T.StructField("idempotency_key", T.StringType()),
+    T.StructField("vendor_id", T.StringType()),
+    T.StructField("amount", T.StringType()),
+    T.StructField("invoice_date", T.StringType()),
+    T.StructField("bill_date", T.StringType()),
+    T.StructField("due_date", T.StringType()),
+    T.StructField("status", T.StringType()),
 ])
 
 # Event type → handler.
@@ -36,6 +42,7 @@ def parse_events(event_log: DataFrame) -> DataFrame:
     """Typed payload fields (the ``->>`` + cast of the reference), bad values → NULL, never an error."""
     p = F.from_json(F.col("payload"), PAYLOAD_SCHEMA)
     e = event_log.withColumn("_p", p)
+    status = F.col("event_status") if "event_status" in event_log.columns else F.lit("PENDING")
     return e.select(
         "event_id", "event_type", "created_at", "idempotency_key",
         F.col("_p.product_id").try_cast("long").alias("product_id"),
@@ -48,11 +55,20 @@ def parse_events(event_log: DataFrame) -> DataFrame:
         F.col("_p.ref_id").try_cast("long").alias("ref_id"),
         F.col("_p.client_id").try_cast("int").alias("client_id"),
         F.col("_p.date").try_cast("date").alias("event_date"),
-        F.coalesce(F.col("_p.idempotency_key"), F.col("idempotency_key")).alias("payload_key"))
+        F.coalesce(F.col("_p.idempotency_key"), F.col("idempotency_key")).alias("payload_key"),
+        F.col("_p.vendor_id").try_cast("long").alias("vendor_id"),
+        F.col("_p.amount").try_cast("decimal(15,2)").alias("amount"),
+        F.col("_p.invoice_date").try_cast("date").alias("invoice_date"),
+        F.col("_p.bill_date").try_cast("date").alias("bill_date"),
+        F.col("_p.due_date").try_cast("date").alias("due_date"),
+        F.col("_p.status").alias("document_status"), status.alias("event_status"))
 
 
 def route_events(events: DataFrame) -> DataFrame:
-    """Handler per event; unknown types are FAILED with 'Unknown event type'."""
+    """Handler per PENDING event; unknown types are FAILED with 'Unknown event type'.
+
+    Events in another state have been handled before and are not picked up again."""
+    events = events.where(F.col("event_status") == "PENDING")
     m = F.create_map(*[x for k, v in HANDLERS.items() for x in (F.lit(k), F.lit(v))])
     h = m[F.col("event_type")]
     return events.select("*", h.alias("handler"),

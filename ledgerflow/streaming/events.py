@@ -1,24 +1,27 @@
 """E8 — continuous event posting with Structured Streaming.
 
-file source (declared schema) → watermark on the event time →
-``dropDuplicatesWithinWatermark`` on the idempotency key → ``foreachBatch``:
-parse, route, drop keys already in the sink (late duplicates older than the
-watermark), write the micro-batch to ``<sink>/batch_id=<n>`` with overwrite.
-Re-running a batch after a failure rewrites the same directory, so the sink
-is exactly-once with respect to the checkpoint; state stays bounded by the
-watermark.
+file source (declared schema) → ``foreachBatch``: parse, route, reject requests without a key,
+drop repeats of a key (within the batch and against all keys posted before), post the rest
+through the same handlers as the batch processor, and write events, keys and journals to
+``<sink>/<kind>/part=<batch>`` with overwrite.  Re-running a batch after a failure rewrites the
+same directories, so the sink is exactly-once with respect to the checkpoint.
+
+Repeats are found by key, not by a watermark, so an event that arrives late is posted like any
+other.  The key table is narrow (key and event id) and append-only; its anti join is a shuffle
+on the key, with no state held in memory.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.events import parse_events, route_events
+from ..operators.posting import dedupe_idempotent
 from ..session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = T.StructType([
@@ -29,43 +32,49 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()),
     T.StructField("amount", T.DecimalType(15, 2)),
     T.StructField("payload", T.StringType()),
+    T.StructField("event_status", T.StringType()),
 ])
+KEYS = "idempotency_key string, transaction_id long"
+Post = Callable[[DataFrame], DataFrame]
 
 
-def _posted_keys(spark: SparkSession, sink_path: str, before_batch: int) -> DataFrame | None:
-    try:
-        done = spark.read.parquet(sink_path)
-    except AnalysisException:
-        return None
-    return done.where(F.col("batch_id") < before_batch).select("idempotency_key").distinct()
-
+def start_stream_post_events(spark: SparkSession, source_path: str, sink_path: str, checkpoint_path: str, post: Post,
+                             known: DataFrame | None = None, available_now: bool = True):
+    """Start the streaming query; returns the StreamingQuery handle.
 
-def start_stream_post_events(spark: SparkSession, source_path: str, sink_path: str, checkpoint_path: str,
-                             watermark: str = "1 day", available_now: bool = True):
-    """Start the streaming query; returns the StreamingQuery handle."""
+    ``post`` turns fresh routed events into ledger legs; ``known`` (idempotency_key,
+    transaction_id) are the keys of the ledger before the stream began."""
     src = spark.readStream.schema(EVENT_SCHEMA).parquet(source_path)
-    # watermarks need a zoned timestamp; the ledger stores wall-clock (NTZ) times read as UTC
-    timed = src.withColumn("_event_time", F.col("created_at").cast("timestamp"))
-    deduped = timed.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark(["idempotency_key"])
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        routed = route_events(parse_events(batch.drop("_event_time")))
-        posted = _posted_keys(batch.sparkSession, sink_path, batch_id)
-        if posted is not None:
-            routed = routed.join(posted, "idempotency_key", "left_anti")
-        routed.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
+        session = batch.sparkSession
+        routed = route_events(parse_events(batch))
+        requests = (routed.where(F.col("route_status") == "ROUTED").drop("idempotency_key")
+                    .withColumnRenamed("payload_key", "idempotency_key").withColumn("request_id", F.col("event_id")))
+        posted = known if known is not None else session.createDataFrame([], KEYS)
+        if batch_id:  # every earlier batch has written its keys
+            before = session.read.schema(f"{KEYS}, part int").parquet(f"{sink_path}/keys").where(F.col("part") < batch_id)
+            posted = posted.unionByName(before.drop("part"))
+        split = dedupe_idempotent(requests, posted)
+        split["fresh"].drop("request_id").write.mode("overwrite").parquet(f"{sink_path}/fresh/part={batch_id}")
+        failed = routed.where(F.col("route_status") == "FAILED").select("event_id", F.col("route_error").alias("error"))
+        (failed.unionByName(split["rejected"].select("event_id", "error"))
+         .unionByName(split["duplicates"].select("event_id", F.lit("Duplicate Transaction Detected").alias("error")))
+         .write.mode("overwrite").parquet(f"{sink_path}/errors/part={batch_id}"))
+        fresh = session.read.parquet(f"{sink_path}/fresh/part={batch_id}")
+        fresh.select("idempotency_key", F.col("event_id").alias("transaction_id")).write.mode("overwrite").parquet(f"{sink_path}/keys/part={batch_id}")
+        post(fresh.withColumn("payload_key", F.col("idempotency_key"))).write.mode("overwrite").parquet(f"{sink_path}/journals/part={batch_id}")
 
-    writer = deduped.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_path)
+    writer = src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
-def run_available_now(spark: SparkSession, events: DataFrame, watermark: str = "1 day") -> DataFrame:
+def run_available_now(spark: SparkSession, events: DataFrame, post: Post, known: DataFrame | None = None) -> DataFrame:
     """Land ``events`` as the stream's source files, drain them with an availableNow trigger and
-    return what the sink holds.  All paths live under the shared checkpoint folder."""
+    return the journals of the sink.  All paths live under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream_post_events/{uuid.uuid4().hex}"
     source, sink, ckpt = f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
     events.select(*[f.name for f in EVENT_SCHEMA.fields]).write.parquet(source)
-    q = start_stream_post_events(spark, source, sink, ckpt, watermark)
-    q.awaitTermination()
-    return spark.read.parquet(sink).drop("batch_id")
+    start_stream_post_events(spark, source, sink, ckpt, post, known).awaitTermination()
+    return spark.read.parquet(f"{sink}/journals/*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 from decimal import Decimal
 
@@ -167,15 +168,97 @@ def test_tenant_scopes_disjoint(spark):
         pass
 
 
-def test_stream_equals_batch_keys(spark):
-    from ledgerflow.plans import event_queries as eq
-    from ledgerflow.streaming.events import run_available_now
-    b = bridge(spark, SF_SMALL)
-    streamed = run_available_now(spark, eq.event_input(b))
-    batch_keys = {r[0] for r in eq.event_input(b).select("idempotency_key").distinct().collect()}
-    stream_keys = [r[0] for r in streamed.select("idempotency_key").collect()]
-    assert len(stream_keys) == len(set(stream_keys)) == len(batch_keys)
-    assert set(stream_keys) == batch_keys
+def test_stream_posts_late_events_once(spark, tmp_path):
+    """Two micro-batches: the second holds a repeat, a rejected request and an event far older than the first batch."""
+    from ledgerflow.streaming.events import EVENT_SCHEMA, start_stream_post_events
+    row = lambda i, key, day, kind="SALE": (i, kind, dt.datetime(2025, 1, day), key, 1, Decimal("5.00"), "{}", "PENDING")
+    src, sink, ckpt = (str(tmp_path / d) for d in ("src", "sink", "ckpt"))
+    post = lambda fresh: fresh.select(F.col("event_id").alias("transaction_id"), "payload_key")
+    for rows in ([row(1, "a", 20), row(2, "a", 20), row(3, "b", 20), row(4, "z", 20)],
+                 [row(5, "a", 21), row(6, "late", 2), row(7, None, 21), row(8, "c", 21, "OTHER"), row(9, "old", 21)]):
+        spark.createDataFrame(rows, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        known = spark.createDataFrame([("z", 99)], "idempotency_key string, transaction_id long")
+        start_stream_post_events(spark, src, sink, ckpt, post, known).awaitTermination()
+    read = lambda kind: spark.read.parquet(f"{sink}/{kind}").collect()
+    assert sorted((r.transaction_id, r.payload_key) for r in read("journals")) == [(1, "a"), (3, "b"), (6, "late"), (9, "old")]
+    assert sorted((r.event_id, r.error) for r in read("errors")) == [
+        (2, "Duplicate Transaction Detected"), (4, "Duplicate Transaction Detected"), (5, "Duplicate Transaction Detected"),
+        (7, "Idempotency key is required"), (8, "Unknown event type")]
+
+
+def test_requests_without_key_or_amount(spark):
+    none = spark.createDataFrame([], "idempotency_key string, transaction_id long")
+    req = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "request_id long, idempotency_key string")
+    d = posting.dedupe_idempotent(req, none)
+    assert {k: sorted(r.request_id for r in v.collect()) for k, v in d.items()} == {"fresh": [1], "duplicates": [3], "rejected": [2, 4]}
+    clients = spark.createDataFrame([(1,)], "client_id int")
+    roles = spark.createDataFrame([(1, "cash_account_ar", 10), (1, "expense_account", 11)], "client_id int, role_name string, chart_id int")
+    rows = [(1, 1, Decimal("5.00"), "x", "k1"), (2, 1, None, "x", "k2"), (3, 1, Decimal("-1.00"), "x", "k3")]
+    out = posting.post_expense(spark.createDataFrame(rows, "request_id long, client_id int, amount decimal(15,2), description string, idempotency_key string")
+                               .withColumn("date", F.current_date()), clients, roles, none)
+    assert {r.request_id: r.error for r in out["rejected"].collect()} == {2: posting.NO_AMOUNT, 3: posting.NEGATIVE_AMOUNT}
+    assert out["journals"].where("amount is null").count() == 0 and out["journals"].count() == 2
+    assert sorted(r.details for r in out["compliance"].collect()) == ["Amount is -1.00", "Amount is NULL"]
+
+
+def test_chart_ids_do_not_collide(spark):
+    template = spark.createDataFrame([(1, 1000, "Cash", "Asset"), (1, 1100, "Receivables", "Asset")],
+                                     "template_id int, account_code int, account_name string, account_type string")
+    charts = spark.createDataFrame([(7, 1, 1000)], "chart_id int, client_id int, account_code int")
+    clients = spark.createDataFrame([(1, 1), (2, 1)], "client_id int, template_id int")
+    new = {(r.client_id, r.account_code): r.chart_id for r in posting.apply_coa_template(template, charts, clients).collect()}
+    assert new == {(1, 1100): 8, (2, 1000): 9, (2, 1100): 10}
+
+
+def test_csv_is_bound_by_header(spark, tmp_path):
+    import pytest
+
+    from ledgerflow.operators import staging
+    f = tmp_path / "a.csv"
+    f.write_text("client_code, Customer_Code ,due_date,invoice_date,amount,status,note\n1,20,2026-08-13,2026-07-14,71,Paid,x\n")
+    r = staging.import_csv(spark, str(f)).collect()[0]
+    assert (r.client_code, r.customer_code, r.due_date, r.invoice_date, r.amount, r.status) == ("1", "20", "2026-08-13", "2026-07-14", "71", "Paid")
+    (tmp_path / "b.csv").write_text("client_code,amount\n1,2\n")
+    with pytest.raises(ValueError, match="customer_code"):
+        staging.import_csv(spark, str(tmp_path / "b.csv"))
+
+
+def test_chain_check_is_null_safe(spark):
+    rows = spark.createDataFrame([("t", i, "INSERT", None if i == 2 else f"r{i}") for i in range(1, 6)],
+                                 "table_name string, audit_id long, operation string, record string")
+    log = audit.hash_chain(rows).cache()
+    tails = log.groupBy("table_name").agg(F.max_by("row_hash", "audit_id").alias("tail_hash"))
+    check = lambda df: sorted((r.audit_id, r.problem) for r in audit.verify_hash_chain(df, tails=tails).collect())
+    assert check(log) == []
+    assert check(log.withColumn("record", F.when(F.col("audit_id") != 5, F.col("record")))) == [(5, "ALTERED_ROW")]
+    assert (5, "ALTERED_ROW") in check(log.withColumn("row_hash", F.when(F.col("audit_id") != 5, F.col("row_hash"))))
+    assert check(log.where("audit_id < 5")) == [(4, "MISSING_TAIL")]
+    assert check(log.where("audit_id > 9")) == [(None, "MISSING_TAIL")]
+
+
+def test_rates_and_periods_have_no_last_year(spark):
+    from ledgerflow.operators import tax
+    rates = spark.createDataFrame([(1, "VAT", "10.00", "1990-01-01", None), (2, "VAT", "12.00", "1998-01-01", "2000-01-01"), (3, "X", "1.00", "1990-01-01", None)],
+                                  "rate_id int, tax_type string, rate_percentage string, effective_date string, expiry_date string") \
+        .withColumns({c: F.col(c).cast("date") for c in ("effective_date", "expiry_date")})
+    tx = spark.createDataFrame([(1, "1989-01-01"), (2, "1999-12-31"), (3, "2000-01-01"), (4, "2150-06-01")], "transaction_id int, d string") \
+        .select("transaction_id", F.col("d").cast("date").alias("date"))
+    assert {r.transaction_id: r.rate_id for r in tax.effective_tax_rate(tx, rates).collect()} == {1: None, 2: 2, 3: 1, 4: 1}
+    work = spark.createDataFrame([(9, "2025-01-31", 9.0), (9, "2025-02-01", 8.0), (9, "2025-02-20", 4.0)], "employee_id long, d string, hours double") \
+        .select("employee_id", F.col("d").cast("date").alias("work_date"), "hours")
+    periods = spark.createDataFrame([(1, "2025-01-25", "2025-02-10"), (2, "2025-02-11", "2025-02-25")], "period_id int, s string, e string") \
+        .select("period_id", F.col("s").cast("date").alias("period_start"), F.col("e").cast("date").alias("period_end"))
+    got = {r.period_id: (float(r.total_hours), float(r.overtime_hours)) for r in payroll.period_hours(work, periods).collect()}
+    assert got == {1: (17.0, 1.0), 2: (4.0, 0.0)}
+
+
+def test_payslip_ids_of_large_employee_ids(spark):
+    emp = spark.createDataFrame([(1_000_000, 1), (2_000_000, 1), (0, 1001)], "employee_id long, client_id int")
+    det = spark.createDataFrame([], "employee_id long, component_id int, amount decimal(15,2), effective_date date, end_date date")
+    comp = spark.createDataFrame([], "component_id int, component_name string, component_type string")
+    slips = payroll.payroll_run(emp, det, comp, 1, "2025-01-01", "2025-01-31")["payslips"].unionByName(
+        payroll.payroll_run(emp, det, comp, 2, "2025-02-01", "2025-02-28")["payslips"])
+    assert slips.select("payslip_id").distinct().count() == 6 and slips.select("run_id").distinct().count() == 4
 
 
 def test_retry_state(spark):
