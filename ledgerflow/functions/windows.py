@@ -1,19 +1,12 @@
 """Skew-safe window building blocks.
 
-``running_sum`` is a per-key cumulative sum that never puts a whole key into
-one window partition: rows are grouped into ordered chunks of at most
-``chunk`` rows (``(leading order columns, id div chunk)``; ids are unique
-integers so a chunk cannot grow past ``chunk`` rows), chunk totals are summed
-per key (``rows / chunk`` rows — partial aggregation before the shuffle), and
-the per-row sum is the chunk offset plus a running sum inside the chunk.  A
-key holding a third of all rows is spread over many (key, chunk) window
-partitions; only its chunk-total table (``chunk`` times smaller) is ordered
-per key.
-
-``band_buckets`` explodes half-open integer intervals into the fixed-width
-buckets they touch, so an interval-overlap join becomes an equi join on
-(key, bucket) with a residual overlap test; each bucket holds a bounded number
-of intervals per side, whatever the key skew.
+``running_sum`` is a per-key cumulative sum that never puts a whole key into one window
+partition: rows are grouped into ordered chunks ``(leading order columns, id div chunk)``, which
+hold at most ``chunk`` rows because ids are unique integers.  Rows are shuffled once, by (key,
+chunk); chunk totals are summed per key, and the per-row sum is the chunk's offset plus a running
+sum inside the chunk.  With a date as the leading order column a key has about one total per
+day (and per ``chunk`` ids), however many rows it has, so a key with a third of all rows is spread
+over its days and only its totals meet in one task.
 """
 
 from __future__ import annotations
@@ -35,43 +28,34 @@ def _sorted(cols: Order, names: Sequence[str] | None = None) -> list[Column]:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Order, value: str, out: str,
-                chunk: int = 4096, inclusive: bool = True) -> DataFrame:
+                chunk: int = 1 << 20, inclusive: bool = True) -> DataFrame:
     """Add ``out`` = Σ ``value`` over rows of the same ``keys`` up to this row in ``order``.
 
     The last ``order`` column must be a unique integer id (tie breaker).
     ``inclusive=False`` gives the sum strictly before the row.
     """
     *lead, (last, last_asc) = order
-    chunk_col = F.floor(F.col(last) / F.lit(chunk)).alias("_rs_chunk")
     ckeys = [*keys, *[c for c, _ in lead], "_rs_chunk"]
     corder = [*lead, ("_rs_chunk", last_asc)]
-    with_chunk = df.withColumn("_rs_chunk", chunk_col)
-    totals = with_chunk.groupBy(*ckeys).agg(F.sum(value).alias("_rs_ct"))
+    # totals and row sums below both find the rows in this partitioning
+    chunks = df.withColumn("_rs_chunk", F.floor(F.col(last) / F.lit(chunk))).repartition(*ckeys)
+    totals = chunks.groupBy(*ckeys).agg(F.sum(value).alias("_rs_ct"))
     w_chunks = Window.partitionBy(*keys).orderBy(*_sorted(corder)).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*ckeys, F.coalesce(F.sum("_rs_ct").over(w_chunks), F.lit(0)).alias("_rs_off"))
     w_rows = Window.partitionBy(*ckeys).orderBy(*_sorted(order))
     frame = w_rows.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = with_chunk.withColumn("_rs_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    local = chunks.withColumn("_rs_loc", F.coalesce(F.sum(value).over(frame), F.lit(0)))
     return (local.join(offsets, ckeys)
             .withColumn(out, F.col("_rs_off") + F.col("_rs_loc"))
             .drop("_rs_chunk", "_rs_off", "_rs_loc"))
 
 
-def band_buckets(df: DataFrame, lo: str, hi: str, width: Column | str, out: str = "_bucket") -> DataFrame:
-    """Explode each half-open interval [lo, hi) into the ids of the width-sized buckets it touches."""
-    w = F.col(width) if isinstance(width, str) else width
-    first = F.floor(F.col(lo) / w)
-    last = F.floor((F.col(hi) - 1) / w)
-    return df.withColumn(out, F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-
-
 def chunked_lag(df: DataFrame, keys: Sequence[str], order_id: str, value: str, out: str,
                 chunk: int = 4096) -> DataFrame:
     """``out`` = ``value`` of the previous row of the same ``keys`` in ``order_id`` order.
 
-    Same chunking as ``running_sum``: the row-level window runs over (keys, id div chunk)
-    groups of at most ``chunk`` rows; the first row of a chunk takes the last value of the
-    previous non-empty chunk from the (rows / chunk)-sized chunk table.
+    The row-level window runs over (keys, id div chunk) groups of at most ``chunk`` rows; the
+    first row of a chunk takes the last value of the previous non-empty chunk from the chunk table.
     """
     c = F.floor(F.col(order_id) / F.lit(chunk))
     d = df.withColumn("_cl_chunk", c)

@@ -5,29 +5,25 @@ rows are first reduced to one row per (account, day) (partial aggregation, so
 the size is bounded by days, not by rows), then a running sum per account is
 read at each statement date.  Matching bank rows to ledger legs is tiered:
 
-* exact tier (equal signed amount): the greedy "earliest unused eligible leg"
-  has a closed form — with bank rows of one amount in processing order and
-  ``P_i`` the number of legs of that amount dated on or before row i's
-  statement date, the number of legs used after row i is
-  ``k_i = i + min(0, min_{j<=i}(P_j - j))``; row i matches leg ``k_i`` when
-  ``k_i > k_{i-1}``.  Windows only, no loop and no pair enumeration;
-* near tier (0 < |difference| <= tolerance) on what is left: amounts are cut
-  into connected components (neighbours closer than the tolerance) with the
-  chunked lag / running sum, and each component runs the sequential greedy in
-  ``applyInPandas``.
+* a tier matches rows and legs of one account whose amounts differ by a fixed number of cents; the
+  greedy "earliest unused eligible leg" has a closed form over counts by date: with ``N_g`` bank
+  rows up to statement date g and ``P_g`` legs dated on or before it, ``K_g = N_g + min(0,
+  min_{h<=g}(P_h - N_h))`` legs are used after g, and the r-th row of the date takes leg
+  ``K_{g-1} + r`` if that is at most ``K_g``.  Rows are ranked within their date only and the counts
+  have one row per date, so a common amount never meets whole in one task;
+* the exact tier comes first, then the near tiers (one cent less, one cent more, ... up to the
+  tolerance) on what is left.  Tiers are equi joins; there is no loop over rows and no pair search.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.money import MONEY, TOTAL
-from ..functions.windows import chunked_lag, running_sum
+from ..session import ensure_checkpoint_dir
+
+MAX_TOLERANCE_CENTS = 10
 
 
 def signed_bank(bank_tx: DataFrame) -> DataFrame:
@@ -90,9 +86,19 @@ def bank_reconciliation(accounts: DataFrame, statements: DataFrame, journals: Da
 
 
 def bank_reconciliation_detail(accounts: DataFrame, statements: DataFrame, bank_tx: DataFrame,
-                               journals: DataFrame, transactions: DataFrame) -> DataFrame:
+                               journals: DataFrame, transactions: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Report sections per (account, statement): opening balance, the statement's signed bank
-    rows, and the signed legs on the account's chart up to the statement date."""
+    rows, and the signed legs on the account's chart up to the statement date.
+
+    ``keys`` (account_id, statement_date) names the requested statements and is applied to every
+    input first; without it the report covers all statements, whose leg section repeats each leg
+    for every later statement."""
+    if keys is not None:
+        keys = keys.select("account_id", "statement_date").distinct()
+        statements = statements.join(keys, ["account_id", "statement_date"], "left_semi")
+        bank_tx = (bank_tx.withColumn("statement_date", F.last_day("transaction_date"))
+                   .join(keys, ["account_id", "statement_date"], "left_semi").drop("statement_date"))
+        accounts = accounts.join(keys.select("account_id").distinct(), "account_id", "left_semi")
     st = statements.select("statement_id", "account_id", "statement_date", "opening_balance")
     opening = st.select("account_id", "statement_date", F.lit(1).alias("section_no"),
                         F.lit("BANK STATEMENT").alias("section"), F.lit("Opening Balance").alias("item_description"),
@@ -122,93 +128,76 @@ def _cents(c) -> F.Column:
     return (c * 100).cast("long")
 
 
-def auto_match_exact(bank_rows: DataFrame, legs: DataFrame) -> DataFrame:
-    """Exact tier.  ``bank_rows``: bank_trans_id, account_id, statement_date, transaction_date,
-    amt (signed cents).  ``legs``: journal_id, date, amt (signed cents).
+def match_tier(bank_rows: DataFrame, legs: DataFrame, shift: int = 0) -> DataFrame:
+    """Bank rows and legs of one account with leg amount = row amount + ``shift`` cents.
+
+    ``bank_rows``: bank_trans_id, account_id, statement_date, transaction_date, amt (signed
+    cents).  ``legs``: journal_id, account_id, date, amt (signed cents).
     Returns matches (bank_trans_id, journal_id, matched_amount)."""
-    b = bank_rows.select("bank_trans_id", "statement_date", "transaction_date", "amt")
-    wb = Window.partitionBy("amt").orderBy("statement_date", "transaction_date", "bank_trans_id")
-    b = b.withColumn("_i", F.row_number().over(wb))
-    l = legs.select("journal_id", "date", "amt")
-    wl = Window.partitionBy("amt").orderBy("date", "journal_id")
-    l = l.withColumn("_r", F.row_number().over(wl))
-    # P_i: legs of the amount dated on or before the row's statement date (as-of count)
-    pts = b.select("amt", F.col("statement_date").alias("date"), "bank_trans_id", F.lit(1).alias("_tag"),
-                   F.lit(0).alias("_c"))
-    lc = l.groupBy("amt", "date").agg(F.count(F.lit(1)).alias("_c")).select(
-        "amt", "date", F.lit(None).cast("long").alias("bank_trans_id"), F.lit(0).alias("_tag"), "_c")
-    wp = Window.partitionBy("amt").orderBy("date", "_tag").rowsBetween(Window.unboundedPreceding, 0)
-    p = lc.unionByName(pts).withColumn("_p", F.sum("_c").over(wp)).where(F.col("_tag") == 1).select("bank_trans_id", "_p")
-    b = b.join(p, "bank_trans_id")
-    wrun = wb.rowsBetween(Window.unboundedPreceding, 0)
-    k = F.col("_i") + F.least(F.lit(0), F.min(F.col("_p") - F.col("_i")).over(wrun))
-    b = b.withColumn("_k", k)
-    b = b.withColumn("_kprev", F.coalesce(F.lag("_k").over(wb), F.lit(0)))
-    hit = b.where(F.col("_k") > F.col("_kprev")).select("bank_trans_id", "amt", F.col("_k").alias("_r"))
-    return hit.join(l, ["amt", "_r"]).select(
+    key = ["account_id", "_key"]
+    b = bank_rows.select("bank_trans_id", "account_id", "statement_date", "transaction_date", "amt",
+                         (F.col("amt") + shift).alias("_key"))
+    l = legs.select("journal_id", "account_id", "date", F.col("amt").alias("_key"))
+    by_date = (b.groupBy(*key, F.col("statement_date").alias("date")).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumns({"_c": F.lit(0).cast("long"), "_tag": F.lit(1)}))
+    leg_dates = (l.groupBy(*key, "date").agg(F.count(F.lit(1)).alias("_c"))
+                 .withColumns({"_n": F.lit(0).cast("long"), "_tag": F.lit(0)}))
+    line = Window.partitionBy(*key).orderBy("date", "_tag")  # legs of a date count for statements of that date
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    u = by_date.unionByName(leg_dates).withColumns({"_p": F.sum("_c").over(upto), "_m": F.sum("_n").over(upto)})
+    u = u.withColumn("_k", F.col("_m") + F.least(F.lit(0), F.min(F.when(F.col("_tag") == 1, F.col("_p") - F.col("_m"))).over(upto)))
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    u = u.withColumn("_k0", F.coalesce(F.max(F.when(F.col("_tag") == 1, F.col("_k"))).over(before), F.lit(0)))
+    used = u.where((F.col("_tag") == 1) & (F.col("_k") > F.col("_k0"))).select(*key, F.col("date").alias("statement_date"), "_k", "_k0")
+    ranked = b.withColumn("_r", F.row_number().over(Window.partitionBy(*key, "statement_date").orderBy("transaction_date", "bank_trans_id")))
+    hits = (ranked.join(used, [*key, "statement_date"]).withColumn("_at", F.col("_k0") + F.col("_r")).where(F.col("_at") <= F.col("_k"))
+            .select("bank_trans_id", "amt", *key, "_at"))
+    starts = u.where(F.col("_tag") == 0).select(*key, "date", (F.col("_p") - F.col("_c")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*key, "date").orderBy("journal_id"))
+    numbered = (l.withColumn("_r", own).join(starts, [*key, "date"])
+                .select("journal_id", *key, (F.col("_before") + F.col("_r")).alias("_at")))
+    return hits.join(numbered, [*key, "_at"]).select(
         "bank_trans_id", "journal_id", (F.col("amt").cast("decimal(20,0)") / 100).cast(MONEY).alias("matched_amount"))
 
 
-_NEAR_SCHEMA = "bank_trans_id long, journal_id long, matched_amount_cents long"
-
-
-def _greedy_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    bank = pdf[pdf["_side"] == 0].sort_values(["statement_date", "transaction_date", "id"])
-    legs = pdf[pdf["_side"] == 1].sort_values(["date", "id"])
-    tol = int(pdf["_tol"].iloc[0])
-    used: set[int] = set()
-    out = []
-    leg_rows = list(zip(legs["id"], legs["date"], legs["amt"]))
-    for bid, sdate, amt in zip(bank["id"], bank["statement_date"], bank["amt"]):
-        for lid, ldate, lamt in leg_rows:
-            if lid in used or ldate > sdate or abs(amt - lamt) > tol:
-                continue
-            used.add(lid)
-            out.append((int(bid), int(lid), int(amt)))
-            break
-    return pd.DataFrame(out, columns=["bank_trans_id", "journal_id", "matched_amount_cents"])
-
-
-def auto_match_near(bank_rows: DataFrame, legs: DataFrame, tolerance_cents: int = 1) -> DataFrame:
-    """Near tier on leftovers: greedy per connected amount component (applyInPandas)."""
-    b = bank_rows.select(F.col("bank_trans_id").alias("id"), "statement_date", "transaction_date",
-                         F.lit(None).cast("date").alias("date"), "amt", F.lit(0).alias("_side"))
-    # only legs within the tolerance of some remaining bank amount can match: a semi join on the
-    # (2·tol + 1) amounts around each bank amount keeps the components to the candidates
-    near = bank_rows.select(F.explode(F.sequence(F.col("amt") - tolerance_cents,
-                                                 F.col("amt") + tolerance_cents)).alias("amt")).distinct()
-    legs = legs.join(near, "amt", "left_semi")
-    l = legs.select(F.col("journal_id").alias("id"), F.lit(None).cast("date").alias("statement_date"),
-                    F.lit(None).cast("date").alias("transaction_date"), "date", "amt", F.lit(1).alias("_side"))
-    u = b.unionByName(l)
-    amounts = u.select("amt").distinct().withColumn("_all", F.lit(0))
-    amounts = chunked_lag(amounts, ["_all"], "amt", "amt", "_prev")
-    amounts = amounts.withColumn("_start", F.when(F.col("_prev").isNull() | (F.col("amt") - F.col("_prev") > tolerance_cents),
-                                                   1).otherwise(0))
-    comps = running_sum(amounts, ["_all"], [("amt", True)], "_start", "_component").select("amt", "_component")
-    g = u.join(comps, "amt").withColumn("_tol", F.lit(tolerance_cents))
-    return g.groupBy("_component").applyInPandas(_greedy_component, _NEAR_SCHEMA).select(
-        "bank_trans_id", "journal_id",
-        (F.col("matched_amount_cents").cast("decimal(20,0)") / 100).cast(MONEY).alias("matched_amount"))
-
-
-def auto_match_bank(bank_tx: DataFrame, journals: DataFrame, tolerance: float = 0.01,
-                    include_near: bool = True) -> dict[str, DataFrame]:
-    """Match each bank row to one unused ledger leg (|signed difference| ≤ tolerance, leg dated
-    on or before the row's statement date); also the IN_PROGRESS reconciliation headers."""
-    tol = int(round(tolerance * 100))
+def match_inputs(bank_tx: DataFrame, journals: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Signed-cent bank rows and the ledger legs on each account's chart."""
     br = signed_bank(bank_tx).select("bank_trans_id", "account_id", "transaction_date",
                                      F.last_day("transaction_date").alias("statement_date"),
                                      _cents(F.col("signed_amount")).alias("amt"))
-    lg = journals.select("journal_id", "date",
-                         _cents(F.when(F.col("journal"), F.col("amount")).otherwise(-F.col("amount"))).alias("amt"))
-    exact = auto_match_exact(br, lg)
-    matches = exact
-    if include_near and tol > 0:
-        left_b = br.join(exact.select("bank_trans_id"), "bank_trans_id", "left_anti")
-        left_l = lg.join(exact.select("journal_id"), "journal_id", "left_anti")
-        matches = exact.unionByName(auto_match_near(left_b, left_l, tol))
-    return {"matches": matches}
+    lg = journals.join(accounts.select("account_id", "chart_id"), "chart_id").select(
+        "journal_id", "account_id", "date",
+        _cents(F.when(F.col("journal"), F.col("amount")).otherwise(-F.col("amount"))).alias("amt"))
+    return br, lg
+
+
+def auto_match_bank(bank_tx: DataFrame, journals: DataFrame, accounts: DataFrame, statements: DataFrame,
+                    tolerance: float = 0.01) -> dict[str, DataFrame]:
+    """Match each bank row to one unused leg of its account (|signed difference| ≤ tolerance, leg
+    dated on or before the row's statement date).
+
+    Returns {"matches": ..., "headers": one IN_PROGRESS reconciliation per statement with its
+    balances and counts}.  The matches of a tier are cut with a checkpoint, so the plan does not
+    grow with the tolerance."""
+    tol = int(round(tolerance * 100))
+    if tol > MAX_TOLERANCE_CENTS:
+        raise ValueError(f"tolerance above {MAX_TOLERANCE_CENTS} cents")
+    ensure_checkpoint_dir(bank_tx.sparkSession)
+    br, lg = match_inputs(bank_tx, journals, accounts)
+    matches = match_tier(br, lg).checkpoint()
+    for shift in [x for c in range(1, tol + 1) for x in (-c, c)]:
+        left_b = br.join(matches.select("bank_trans_id"), "bank_trans_id", "left_anti")
+        left_l = lg.join(matches.select("journal_id"), "journal_id", "left_anti")
+        matches = matches.unionByName(match_tier(left_b, left_l, shift).checkpoint())
+    done = br.join(matches.select("bank_trans_id", F.lit(1).alias("_hit")), "bank_trans_id", "left")
+    counts = done.groupBy("account_id", "statement_date").agg(
+        F.count("_hit").alias("matched_count"), F.count_if(F.col("_hit").isNull()).alias("unmatched_count"))
+    balances = bank_reconciliation(accounts, statements, journals, bank_tx)
+    headers = (balances.join(counts, ["account_id", "statement_date"], "left")
+               .select("account_id", F.col("statement_date").alias("reconciliation_date"), "statement_balance", "book_balance",
+                       F.lit("IN_PROGRESS").alias("status"), F.coalesce("matched_count", F.lit(0)).alias("matched_count"),
+                       F.coalesce("unmatched_count", F.lit(0)).alias("unmatched_count")))
+    return {"matches": matches, "headers": headers}
 
 
 def outstanding_items(bank_tx: DataFrame, matches: DataFrame) -> DataFrame:

@@ -3,24 +3,28 @@
 Layer consumption is expressed as interval overlap, not as a loop: per product,
 the cumulative sale quantities (sales in date order) and the cumulative layer
 quantities (oldest first for FIFO, newest first for LIFO) cut the unit line
-into half-open intervals; a sale takes ``least(hi) - greatest(lo)`` units from
-every layer whose interval overlaps its own.  Cumulative sums use the chunked
-``running_sum`` (no whole product in one task) and the overlap join is an equi
-join on (product, bucket) where the bucket width is the product's mean
-interval length, so the exploded rows stay linear in the input and each bucket
-holds a bounded number of intervals per side.  Money stays in integer cents.
+into half-open intervals that follow each other without gaps.  So every slice
+(units that one sale takes from one layer) starts where a sale or a layer
+starts: the starts of both are put on one line, each is filled forward with the
+sale and the layer in force there, and the slice ends where the first of the two
+ends.  No interval is exploded and no pair is tried.  The line of a product is
+cut into stretches of ``STRETCH`` units, each with at most twice as many starts;
+what is in force where a stretch begins comes from a table of one row per
+stretch, so neither here nor in the cumulative sums does a whole product meet
+in one task.  Money stays in integer cents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import TOTAL, cents_to_money
-from ..functions.windows import band_buckets, running_sum
+from ..functions.windows import running_sum
 
 IN_TYPES = ("Purchase", "Sale Return")
 OUT_TYPES = ("Sale", "Purchase Return")
+STRETCH = 1 << 20
 
 
 def _method(method: str) -> str:
@@ -30,37 +34,43 @@ def _method(method: str) -> str:
     return m
 
 
-def allocate_layers(sales: DataFrame, layers: DataFrame, method: str = "fifo", chunk: int = 4096) -> DataFrame:
-    """One row per (sale, layer) slice: sale_id, product_id, operation_id, units, unit_cost_cents.
+def allocate_layers(sales: DataFrame, layers: DataFrame, method: str = "fifo", stretch: int = STRETCH) -> DataFrame:
+    """One row per (sale, layer) slice: sale_id, product_id, operation_id, units, unit_cost_cents, sale_units.
 
     ``sales``: sale_id, product_id, sale_date, quantity.
     ``layers``: operation_id, product_id, purchase_date, quantity, unit_cost_cents.
-    Ties are broken by id; AVCO allocates units in FIFO order (only the cost differs).
+    ``sale_units`` is what the sale gets from all layers.  Ties are broken by id; AVCO allocates
+    units in FIFO order (only the cost differs).
     """
     asc = _method(method) != "lifo"
     s = sales.select("sale_id", "product_id", "sale_date", "quantity").where(F.col("quantity") > 0)
     l = (layers.select("operation_id", "product_id", "purchase_date", "quantity", "unit_cost_cents")
          .where(F.col("quantity") > 0))
-    s = running_sum(s, ["product_id"], [("sale_date", True), ("sale_id", True)], "quantity", "d_hi", chunk)
-    s = s.withColumn("d_lo", F.col("d_hi") - F.col("quantity"))
-    l = running_sum(l, ["product_id"], [("purchase_date", asc), ("operation_id", asc)], "quantity", "s_hi", chunk)
-    l = l.withColumn("s_lo", F.col("s_hi") - F.col("quantity"))
-
-    both = s.select("product_id", "quantity").unionByName(l.select("product_id", "quantity"))
-    width = both.groupBy("product_id").agg(
-        F.greatest(F.lit(1).cast("long"), F.ceil(F.sum("quantity") / F.count(F.lit(1))).cast("long")).alias("_w"))
-    sb = band_buckets(s.join(width, "product_id"), "d_lo", "d_hi", "_w")
-    lb = band_buckets(l.join(width.withColumnRenamed("_w", "_lw"), "product_id"), "s_lo", "s_hi", "_lw")
-    lb = lb.select("product_id", "_bucket", "operation_id", "s_lo", "s_hi", "unit_cost_cents")
-
-    start = F.greatest(F.col("d_lo"), F.col("s_lo"))
-    j = sb.join(lb, ["product_id", "_bucket"]).where(
-        (F.col("s_lo") < F.col("d_hi")) & (F.col("d_lo") < F.col("s_hi"))
-        # count each overlapping pair once: in the bucket where the overlap starts
-        & (F.col("_bucket") == F.floor(start / F.col("_w"))))
-    return j.select("sale_id", "product_id", "operation_id",
-                    (F.least(F.col("d_hi"), F.col("s_hi")) - start).cast("long").alias("units"),
-                    "unit_cost_cents")
+    s = running_sum(s, ["product_id"], [("sale_date", True), ("sale_id", True)], "quantity", "hi")
+    l = running_sum(l, ["product_id"], [("purchase_date", asc), ("operation_id", asc)], "quantity", "hi")
+    lo = (F.col("hi") - F.col("quantity")).cast("long")
+    sale = F.struct(lo.alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("sale_id"))
+    layer = F.struct(lo.alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("operation_id"), F.col("unit_cost_cents"))
+    starts = s.select("product_id", lo.alias("_at"), sale.alias("_sale")).unionByName(
+        l.select("product_id", lo.alias("_at"), layer.alias("_layer")), allowMissingColumns=True)
+    keys = ["product_id", "_stretch"]
+    starts = starts.withColumn("_stretch", F.floor(F.col("_at") / stretch)).repartition(*keys)
+    # starts grow along the line, so the latest sale (layer) of a stretch is its largest
+    ends = starts.groupBy(*keys).agg(F.max("_sale").alias("_s"), F.max("_layer").alias("_l"))
+    before = Window.partitionBy("product_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, F.max("_s").over(before).alias("_s0"), F.max("_l").over(before).alias("_l0"),
+                          F.max("_l.hi").over(Window.partitionBy("product_id")).alias("_supply"))
+    so_far = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # struct order compares lo first: the maximum is the one in force
+    filled = (starts.withColumns({"_s": F.max("_sale").over(so_far), "_l": F.max("_layer").over(so_far)}).join(carried, keys)
+              .select("product_id", "_at", "_supply", F.col("_sale").isNull().alias("_from_layer"),
+                      F.coalesce("_s", "_s0").alias("_s"), F.coalesce("_l", "_l0").alias("_l")))
+    ends_at = F.least("_s.hi", "_l.hi")
+    got = F.least("_s.hi", "_supply") - F.col("_s.lo")
+    # where both start at one point, the sale's start stands for the slice
+    return (filled.where((F.col("_at") < ends_at) & ~(F.col("_from_layer") & (F.col("_s.lo") == F.col("_at"))))
+            .select("_s.sale_id", "product_id", "_l.operation_id", (ends_at - F.col("_at")).alias("units"), "_l.unit_cost_cents",
+                    got.alias("sale_units")))
 
 
 def average_cost(layers: DataFrame) -> DataFrame:

@@ -288,15 +288,17 @@ def post_sale(sales: DataFrame, slices: DataFrame, role_map: DataFrame, vat_rate
 
     Unmet demand rejects the sale (requested > available).  Five legs per slice; one AR per sale.
     """
-    got = slices.groupBy(F.col("sale_id").alias("transaction_id")).agg(F.sum("units").alias("_units"))
+    got = slices.select(F.col("sale_id").alias("transaction_id"), F.col("sale_units").alias("_units")).distinct()
     s = sales.join(got, "transaction_id", "left")
     short = F.coalesce(F.col("_units"), F.lit(0)) < F.col("quantity")
     rejected = s.where(short).select("transaction_id", F.format_string(
         "Insufficient quantity for product ID: %s remaining quantity %s", F.col("product_id"),
         F.coalesce(F.col("_units"), F.lit(0))).alias("error"))
     ok = s.where(~short).drop("_units")
-    sl = (slices.withColumnRenamed("sale_id", "transaction_id")
-          .join(ok.select("transaction_id", "client_id", "date", "unit_price_cents"), "transaction_id"))
+    # a slice knows what its sale gets, so the legs need the slices once
+    sl = (slices.withColumnRenamed("sale_id", "transaction_id").drop("product_id")
+          .join(sales.select("transaction_id", "client_id", "date", "unit_price_cents", "quantity"), "transaction_id")
+          .where(F.col("sale_units") >= F.col("quantity")))
     sl = (sl.withColumn("net", F.col("units") * F.col("unit_price_cents"))
             .withColumn("tax", _tax_cents(F.col("net"), vat_rate_bp))
             .withColumn("gross", F.col("net") + F.col("tax"))

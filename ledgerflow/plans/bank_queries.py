@@ -56,42 +56,81 @@ def _bank_reconciliation_detail(b):
     return bank.bank_reconciliation_detail(b.bank_accounts, st, b.bank_tx, b.journals, b.transactions)
 
 
-def _match_inputs(b):
-    br = bank.signed_bank(b.bank_tx).select(
-        "bank_trans_id", "account_id", "transaction_date", F.last_day("transaction_date").alias("statement_date"),
-        (F.col("signed_amount") * 100).cast("long").alias("amt"))
-    lg = b.journals.select("journal_id", "date",
-                           (F.when(F.col("journal"), F.col("amount")).otherwise(-F.col("amount")) * 100).cast("long").alias("amt"))
-    return br, lg
-
-
-@query("auto_match_exact", "B3", views=["bank_tx", "journals"], money=["matched_amount"], oracle="""
-WITH br AS (SELECT bank_trans_id, last_day(transaction_date) AS statement_date, transaction_date,
-                   CAST(CASE WHEN transaction_type = 'CREDIT' THEN amount ELSE -amount END * 100 AS BIGINT) AS amt FROM bank_tx),
-lg AS (SELECT journal_id, date, CAST(CASE WHEN journal THEN amount ELSE -amount END * 100 AS BIGINT) AS amt,
-              row_number() OVER (PARTITION BY CAST(CASE WHEN journal THEN amount ELSE -amount END * 100 AS BIGINT) ORDER BY date, journal_id) AS r
-       FROM journals),
-bi AS (SELECT br.*, row_number() OVER (PARTITION BY amt ORDER BY statement_date, transaction_date, bank_trans_id) AS i,
-              (SELECT COUNT(*) FROM lg WHERE lg.amt = br.amt AND lg.date <= br.statement_date) AS p FROM br),
-bk AS (SELECT *, i + LEAST(0, MIN(p - i) OVER (PARTITION BY amt ORDER BY statement_date, transaction_date, bank_trans_id
-                                               ROWS UNBOUNDED PRECEDING)) AS k FROM bi),
-bm AS (SELECT *, COALESCE(lag(k) OVER (PARTITION BY amt ORDER BY statement_date, transaction_date, bank_trans_id), 0) AS kprev FROM bk)
-SELECT bm.bank_trans_id, lg.journal_id, CAST(CAST(bm.amt AS DECIMAL(20,0)) / 100 AS DECIMAL(15,2)) AS matched_amount
-FROM bm JOIN lg ON lg.amt = bm.amt AND lg.r = bm.k WHERE bm.k > bm.kprev""")
+@query("bank_reconciliation_detail_keys", "B2", views=_B + ["transactions"], money=["bank_amount", "book_amount"], oracle="""
+WITH k AS (SELECT account_id, MAX(statement_date) AS statement_date FROM statements GROUP BY account_id)
+SELECT s.account_id, s.statement_date, 1 AS section_no, 'BANK STATEMENT' AS section, 'Opening Balance' AS item_description,
+       CAST(NULL AS DECIMAL(18,2)) AS bank_amount, CAST(s.opening_balance AS DECIMAL(18,2)) AS book_amount, 'STATEMENT' AS status,
+       'Beginning balance from bank' AS reconciliation_notes, s.statement_date AS item_date
+FROM statements s JOIN k ON s.account_id = k.account_id AND s.statement_date = k.statement_date
+UNION ALL
+SELECT b.account_id, last_day(b.transaction_date), 2, 'BANK TRANSACTION', 'Bank transaction ' || CAST(b.bank_trans_id AS VARCHAR),
+       CAST(CASE WHEN b.transaction_type = 'CREDIT' THEN b.amount ELSE -b.amount END AS DECIMAL(18,2)), NULL, 'BANK',
+       'From bank statement: ' || CAST(b.bank_trans_id AS VARCHAR), b.transaction_date
+FROM bank_tx b JOIN k ON b.account_id = k.account_id AND last_day(b.transaction_date) = k.statement_date
+UNION ALL
+SELECT a.account_id, k.statement_date, 3, 'JOURNAL ENTRY', t.description, NULL,
+       CAST(CASE WHEN j.journal THEN j.amount ELSE -j.amount END AS DECIMAL(18,2)), 'MATCHED', 'Matched to GL', j.date
+FROM journals j JOIN bank_accounts a ON a.chart_id = j.chart_id JOIN k ON k.account_id = a.account_id
+LEFT JOIN transactions t ON t.transaction_id = j.transaction_id WHERE j.date <= k.statement_date""")
+def _bank_reconciliation_detail_keys(b):
+    # the last statement of each account
+    st = bank.monthly_statements(b.bank_tx)
+    keys = st.groupBy("account_id").agg(F.max("statement_date").alias("statement_date"))
+    return bank.bank_reconciliation_detail(b.bank_accounts, st, b.bank_tx, b.journals, b.transactions, keys)
+
+
+def _tier_sql(n: int, shift: int) -> str:
+    """One tier by ranks over rows: bank rows and legs that the tiers before left over."""
+    left_b = "".join(f" AND NOT EXISTS (SELECT 1 FROM m{i} WHERE m{i}.bank_trans_id = b.bank_trans_id)" for i in range(n))
+    left_l = "".join(f" AND NOT EXISTS (SELECT 1 FROM m{i} WHERE m{i}.journal_id = l.journal_id)" for i in range(n))
+    order = f"PARTITION BY account_id, amt ORDER BY statement_date, transaction_date, bank_trans_id"
+    return f"""l{n} AS (SELECT l.*, row_number() OVER (PARTITION BY account_id, amt ORDER BY date, journal_id) AS r FROM lg l WHERE TRUE{left_l}),
+p{n} AS (SELECT b.*, row_number() OVER ({order}) AS i,
+                (SELECT COUNT(*) FROM l{n} x WHERE x.account_id = b.account_id AND x.amt = b.amt + {shift} AND x.date <= b.statement_date) AS p
+         FROM br b WHERE TRUE{left_b}),
+k{n} AS (SELECT *, i + LEAST(0, MIN(p - i) OVER ({order} ROWS UNBOUNDED PRECEDING)) AS k FROM p{n}),
+j{n} AS (SELECT *, COALESCE(lag(k) OVER ({order}), 0) AS k0 FROM k{n}),
+m{n} AS (SELECT j.bank_trans_id, l.journal_id, CAST(CAST(j.amt AS DECIMAL(20,0)) / 100 AS DECIMAL(15,2)) AS matched_amount
+        FROM j{n} j JOIN l{n} l ON l.account_id = j.account_id AND l.amt = j.amt + {shift} AND l.r = j.k WHERE j.k > j.k0)"""
+
+
+_MATCH_SQL = """WITH br AS (SELECT bank_trans_id, account_id, last_day(transaction_date) AS statement_date, transaction_date,
+       CAST(CASE WHEN transaction_type = 'CREDIT' THEN amount ELSE -amount END * 100 AS BIGINT) AS amt FROM bank_tx),
+lg AS (SELECT j.journal_id, a.account_id, j.date, CAST(CASE WHEN j.journal THEN j.amount ELSE -j.amount END * 100 AS BIGINT) AS amt
+       FROM journals j JOIN bank_accounts a ON a.chart_id = j.chart_id),
+""" + ",\n".join(_tier_sql(n, shift) for n, shift in enumerate((0, -1, 1))) + """,
+matches AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2)"""
+
+
+def _auto_match(b):
+    return bank.auto_match_bank(b.bank_tx, b.journals, b.bank_accounts, bank.monthly_statements(b.bank_tx))
+
+
+@query("auto_match_exact", "B3", views=["bank_tx", "journals", "bank_accounts"], money=["matched_amount"], oracle=_MATCH_SQL + "\nSELECT * FROM m0")
 def _auto_match_exact(b):
-    br, lg = _match_inputs(b)
-    return bank.auto_match_exact(br, lg)
+    return bank.match_tier(*bank.match_inputs(b.bank_tx, b.journals, b.bank_accounts))
 
 
-@query("auto_match_bank", "B3", money=["matched_amount"])
+@query("auto_match_bank", "B3", views=["bank_tx", "journals", "bank_accounts"], money=["matched_amount"], oracle=_MATCH_SQL + "\nSELECT * FROM matches")
 def _auto_match_bank(b):
-    return bank.auto_match_bank(b.bank_tx, b.journals)["matches"]
+    return _auto_match(b)["matches"]
+
+
+@query("auto_match_headers", "B3", views=_B, money=["statement_balance", "book_balance"], oracle=_MATCH_SQL + ",\n" + _B1_SQL[len("WITH "):] + """,
+c AS (SELECT br.account_id, br.statement_date, COUNT(m.bank_trans_id) AS matched_count, COUNT(*) - COUNT(m.bank_trans_id) AS unmatched_count
+      FROM br LEFT JOIN matches m ON br.bank_trans_id = m.bank_trans_id GROUP BY 1, 2)
+SELECT b1.account_id, b1.statement_date AS reconciliation_date, b1.statement_balance, b1.book_balance, 'IN_PROGRESS' AS status,
+       COALESCE(c.matched_count, 0) AS matched_count, COALESCE(c.unmatched_count, 0) AS unmatched_count
+FROM b1 LEFT JOIN c ON b1.account_id = c.account_id AND b1.statement_date = c.statement_date""")
+def _auto_match_headers(b):
+    return _auto_match(b)["headers"]
 
 
-@query("outstanding_items", "B4", money=["amount"])
+@query("outstanding_items", "B4", views=["bank_tx", "journals", "bank_accounts"], money=["amount"], oracle=_MATCH_SQL + """
+SELECT t.bank_trans_id, t.account_id, t.transaction_date, t.amount, CASE WHEN t.transaction_type = 'DEBIT' THEN 'CHECK' ELSE 'DEPOSIT' END AS item_type,
+       'OUTSTANDING' AS status FROM bank_tx t WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.bank_trans_id = t.bank_trans_id)""")
 def _outstanding_items(b):
-    m = bank.auto_match_bank(b.bank_tx, b.journals)["matches"]
-    return bank.outstanding_items(b.bank_tx, m)
+    return bank.outstanding_items(b.bank_tx, _auto_match(b)["matches"])
 
 
 def tracking(b):

@@ -37,12 +37,12 @@ _LIFO = "purchase_date DESC, operation_id DESC"
 
 @query("allocate_layers_fifo", "I1", views=["movements", "layers"], oracle=_alloc_sql(_FIFO) + "\nSELECT * FROM alloc")
 def _alloc_fifo(b):
-    return costing.allocate_layers(_sales(b), b.layers, "fifo")
+    return costing.allocate_layers(_sales(b), b.layers, "fifo").drop("sale_units")
 
 
 @query("allocate_layers_lifo", "I1", views=["movements", "layers"], oracle=_alloc_sql(_LIFO) + "\nSELECT * FROM alloc")
 def _alloc_lifo(b):
-    return costing.allocate_layers(_sales(b), b.layers, "lifo")
+    return costing.allocate_layers(_sales(b), b.layers, "lifo").drop("sale_units")
 
 
 _AVG_SQL = """SELECT product_id, CAST(SUM(quantity * unit_cost_cents) AS BIGINT) AS total_cost_cents,

@@ -52,6 +52,34 @@ def test_fifo_lifo_small(spark):
     assert cos[11].shortage == 3 and cos[10].cogs == Decimal("9.00")
 
 
+def test_allocation_of_a_hot_product(spark):
+    """90 % of the rows on one product, one huge layer, short stretches: the same slices as a plain loop."""
+    from collections import deque
+    rng = random.Random(6)
+    product = lambda: 7 if rng.random() < 0.9 else rng.randint(1, 5)
+    day = lambda: dt.date(2025, 1, 1) + dt.timedelta(days=rng.randint(0, 5))
+    layers = [(i, product(), day(), rng.randint(0, 9), i) for i in range(300)] + [(999, 7, dt.date(2025, 1, 3), 5000, 1)]
+    sales = [(i, product(), day(), rng.randint(0, 30)) for i in range(400)]
+    ldf = spark.createDataFrame(layers, "operation_id long, product_id long, purchase_date date, quantity long, unit_cost_cents long")
+    sdf = spark.createDataFrame(sales, "sale_id long, product_id long, sale_date date, quantity long")
+    for method in ("fifo", "lifo"):
+        want, units = [], {}
+        for p in {s[1] for s in sales}:
+            stock = deque([x[0], x[3]] for x in sorted((x for x in layers if x[1] == p and x[3] > 0), key=lambda x: (x[2], x[0]), reverse=method == "lifo"))
+            for sid, _, _, q in sorted((x for x in sales if x[1] == p), key=lambda x: (x[2], x[0])):
+                while q > 0 and stock:
+                    n = min(q, stock[0][1])
+                    want.append((sid, stock[0][0], n))
+                    units[sid] = units.get(sid, 0) + n
+                    q, stock[0][1] = q - n, stock[0][1] - n
+                    if not stock[0][1]:
+                        stock.popleft()
+        for stretch in (16, costing.STRETCH):
+            rows = costing.allocate_layers(sdf, ldf, method, stretch).collect()
+            assert sorted((r.sale_id, r.operation_id, r.units) for r in rows) == sorted(want)
+            assert all(r.sale_units == units[r.sale_id] for r in rows)
+
+
 def test_allocation_invariants(spark):
     b = bridge(spark, SF_SMALL)
     sales = b.movements.where(F.col("action_type") == "Sale").select(
@@ -105,27 +133,58 @@ def test_hash_chain_verifies_and_detects_tampering(spark):
     assert nxt.prev_hash == tails.where(F.col("table_name") == "t0").collect()[0].tail_hash
 
 
-def _greedy(bank_rows, legs):
-    used, out = set(), {}
-    for bid, sdate, tdate, amt in sorted(bank_rows, key=lambda r: (r[1], r[2], r[0])):
-        for lid, ldate, lamt in sorted(legs, key=lambda r: (r[1], r[0])):
-            if lid not in used and ldate <= sdate and lamt == amt:
+def _greedy(bank_rows, legs, shift=0, used=None, done=()):
+    """Earliest unused leg of the row's account, rows by (statement, transaction date, id)."""
+    used, out = set() if used is None else used, {}
+    by: dict = {}
+    for lid, account, ldate, lamt in sorted(legs, key=lambda r: (r[2], r[0])):
+        by.setdefault((account, lamt), []).append((lid, ldate))
+    for bid, account, sdate, _, amt in sorted(bank_rows, key=lambda r: (r[2], r[3], r[0])):
+        for lid, ldate in by.get((account, amt + shift), []) if bid not in done else []:
+            if lid not in used and ldate <= sdate:
                 used.add(lid)
                 out[bid] = lid
                 break
     return out
 
 
-def test_exact_match_equals_greedy(spark):
-    import datetime as dt
+def _match_frames(spark, br, lg):
+    return (spark.createDataFrame(br, "bank_trans_id long, account_id int, statement_date date, transaction_date date, amt long"),
+            spark.createDataFrame(lg, "journal_id long, account_id int, date date, amt long"))
+
+
+def test_match_tier_equals_greedy(spark):
     rnd = random.Random(3)
     d0 = dt.date(2024, 1, 1)
-    br = [(i, d0 + dt.timedelta(days=30 * rnd.randint(0, 3) + 29), d0, rnd.choice([100, 200, 300])) for i in range(1, 80)]
-    lg = [(1000 + i, d0 + dt.timedelta(days=rnd.randint(0, 150)), rnd.choice([100, 200, 300])) for i in range(60)]
-    bdf = spark.createDataFrame(br, "bank_trans_id long, statement_date date, transaction_date date, amt long")
-    ldf = spark.createDataFrame(lg, "journal_id long, date date, amt long")
-    got = {r.bank_trans_id: r.journal_id for r in bank.auto_match_exact(bdf, ldf).collect()}
-    assert got == _greedy(br, lg)
+    day = lambda n: d0 + dt.timedelta(days=n)
+    br = [(i, rnd.randint(1, 2), day(30 * rnd.randint(0, 3) + 29), day(rnd.randint(0, 3)), rnd.choice([100, 200, 300])) for i in range(1, 160)]
+    lg = [(1000 + i, rnd.randint(1, 2), day(rnd.randint(0, 150)), rnd.choice([99, 100, 200, 300])) for i in range(120)]
+    for shift in (0, -1):
+        got = {r.bank_trans_id: r.journal_id for r in bank.match_tier(*_match_frames(spark, br, lg), shift).collect()}
+        assert got == _greedy(br, lg, shift) and got
+
+
+def test_tiers_over_dense_amounts(spark):
+    """Consecutive cents: every row has neighbours within the tolerance, all in one run."""
+    from decimal import Decimal as D
+    rnd = random.Random(5)
+    d0 = dt.date(2024, 1, 1)
+    day = lambda n: d0 + dt.timedelta(days=n)
+    br = [(i, 1, dt.date(2024, 1, 31), day(rnd.randint(0, 20)), 1000 + i) for i in range(3000) if rnd.random() < 0.7]
+    lg = [(9000 + i, 1, day(rnd.randint(0, 40)), 1000 + i) for i in range(3000) if rnd.random() < 0.7]
+    used: set = set()
+    want = _greedy(br, lg, 0, used)
+    for shift in (-1, 1):
+        want |= _greedy(br, lg, shift, used, want)
+    tx = spark.createDataFrame([(i, a, t, "CREDIT", D(amt) / 100) for i, a, _, t, amt in br],
+                               "bank_trans_id long, account_id int, transaction_date date, transaction_type string, amount decimal(15,2)")
+    jr = spark.createDataFrame([(i, 77, d, True, D(amt) / 100) for i, _, d, amt in lg], "journal_id long, chart_id int, date date, journal boolean, amount decimal(15,2)")
+    acct = spark.createDataFrame([(1, "x", "y", 77)], "account_id int, account_number string, bank_name string, chart_id int")
+    out = bank.auto_match_bank(tx, jr, acct, bank.monthly_statements(tx))
+    assert {r.bank_trans_id: r.journal_id for r in out["matches"].collect()} == want
+    head = out["headers"].collect()
+    assert sum(h.matched_count for h in head) == len(want) and sum(h.unmatched_count for h in head) == len(br) - len(want)
+    assert {h.status for h in head} == {"IN_PROGRESS"}
 
 
 
