@@ -39,7 +39,7 @@ from .common import bounded_broadcast, cut, free_name, runs_of, ship_by_value
 SHINGLE = 5
 SKETCHES = 16
 TUPLE = 3
-BLOCK = 400_000
+BLOCK = 100_000
 LINK = "a binary, b binary"
 ship_by_value(__name__)
 
