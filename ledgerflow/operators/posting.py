@@ -420,9 +420,14 @@ _AMEND = {"AR": ("receivable_id", "customer_id", ("cash_account_ar", "ar_account
 def amend_document(kind: str, corrections: DataFrame, ext: DataFrame, journals: DataFrame,
                    role_map: DataFrame) -> dict[str, DataFrame]:
     """Keyed overwrite of an AR / AP document from corrections (doc id, transaction_id, party,
-    invoice_date, due_date, amount, status) after the reference's input checks; legs on the
-    document's cash / control roles are re-dated and re-amounted; the literal 'Insufficient
-    Funds' condition (amount below the cash account's balance) is reported as a warning."""
+    invoice_date, due_date, amount, status) after the reference's input checks.
+
+    Returns the whole tables with the accepted corrections laid over them: ``extensions``
+    (document rows with party, amount, dates and status, and whether they were amended) and
+    ``journals`` (legs on the document's cash / control roles re-dated and re-amounted); the new
+    ``transactions`` descriptions; ``warnings`` (the literal 'Insufficient Funds' condition: the
+    new amount is below the balance of the client's cash account after the correction); and
+    ``rejected`` corrections."""
     doc_id, party, roles, label = _AMEND[kind]
     c = corrections
     reason = (F.when(~F.col("status").isin(*AMEND_STATUSES) | F.col("status").isNull() | (F.col("status") == ""),
@@ -435,22 +440,34 @@ def amend_document(kind: str, corrections: DataFrame, ext: DataFrame, journals:
     c = c.withColumn("_reason", reason)
     good = c.where(F.col("_reason").isNull()).drop("_reason")
     rejected = c.where(F.col("_reason").isNotNull()).select(doc_id, F.col("_reason").alias("error"))
-    new_ext = (ext.join(good.select(doc_id, F.col("amount").alias("_a"), F.col("due_date").alias("_d"),
-                                    F.col("invoice_date").alias("_i"), F.col("status").alias("_s")), doc_id)
-               .select(doc_id, "transaction_id", F.col("_a").cast(MONEY).alias("amount"), F.col("_i").alias("invoice_date"),
-                       F.col("_d").alias("due_date"), F.col("_s").alias("status"), F.lit(True).alias("amended")))
+    fields = [party, "amount", "invoice_date", "due_date", "status"]
+    new = good.select(doc_id, *[F.col(f).alias(f"_n_{f}") for f in fields], F.lit(True).alias("_amended"))
+    hit = F.col("_amended").isNotNull()
+    over = lambda f: F.when(hit, F.coalesce(f"_n_{f}", f) if f == party else F.col(f"_n_{f}")).otherwise(F.col(f))
+    new_ext = (ext.join(new, doc_id, "left")
+               .select(doc_id, "transaction_id", over(party).alias(party), over("amount").cast(MONEY).alias("amount"),
+                       over("invoice_date").alias("invoice_date"), over("due_date").alias("due_date"), over("status").alias("status"),
+                       hit.alias("amended")))
     desc = F.concat(F.lit(f"{label} With Amount of "), F.col("amount").cast("string"), F.lit("Due Date on "),
                     F.col("due_date").cast("string"), F.lit("Status "), F.col("status"), F.lit("This had been Updated"))
     tx = good.select("transaction_id", desc.alias("description"))
-    role_charts = role_map.where(F.col("role_name").isin(*roles)).select("chart_id").distinct().withColumn("_r", F.lit(True))
-    j = (journals.join(good.select("transaction_id", F.col("invoice_date").alias("_i"), F.col("amount").alias("_a")),
-                       "transaction_id")
+    role_charts = role_map.where(F.col("role_name").isin(*roles)).groupBy("chart_id").agg(
+        F.bool_or(F.col("role_name") == roles[0]).alias("_cash"), F.min("client_id").alias("_client"))
+    j = (journals.join(good.select("transaction_id", doc_id, F.col("invoice_date").alias("_i"), F.col("amount").alias("_a")),
+                       "transaction_id", "left")
          .join(role_charts, "chart_id", "left"))
-    hit = F.col("_r").isNotNull()
-    new_legs = j.select("journal_id", "transaction_id", "chart_id",
-                        F.when(hit, F.col("_i")).otherwise(F.col("date")).alias("date"), "journal",
-                        F.when(hit, F.col("_a")).otherwise(F.col("amount")).cast(MONEY).alias("amount"))
-    return {"extensions": new_ext, "transactions": tx, "journals": new_legs, "rejected": rejected}
+    change = F.col("_i").isNotNull() & F.col("_cash").isNotNull()
+    j = j.withColumns({"date": F.when(change, F.col("_i")).otherwise(F.col("date")),
+                       "amount": F.when(change, F.col("_a")).otherwise(F.col("amount")).cast(MONEY)})
+    new_legs = j.select("journal_id", "transaction_id", "chart_id", "date", "journal", "amount", F.col("_i").isNotNull().alias("amended"))
+    cash = j.where(F.col("_cash"))
+    balances = cash.groupBy("chart_id").agg(F.sum(F.when(F.col("journal"), F.col("amount")).otherwise(-F.col("amount"))).alias("_balance"))
+    cash_charts = role_map.where(F.col("role_name") == roles[0]).select(F.col("client_id").alias("_client"), "chart_id")
+    warnings = (j.where(F.col(doc_id).isNotNull() & F.col("_client").isNotNull()).select(doc_id, "_client", F.col("_a").alias("amount")).distinct()
+                .join(cash_charts, "_client").join(balances, "chart_id").where(F.col("amount") < F.col("_balance"))
+                .select(doc_id, "chart_id", "amount", F.col("_balance").cast("decimal(18,2)").alias("cash_balance"),
+                        F.lit("Insufficient Funds").alias("warning")))
+    return {"extensions": new_ext, "transactions": tx, "journals": new_legs, "warnings": warnings, "rejected": rejected}
 
 
 def amend_inventory(corrections: DataFrame, movements: DataFrame, prices: DataFrame,

@@ -51,7 +51,30 @@ CONSTRAINTS: dict[str, list[tuple[str, Callable[[], Column]]]] = {
         ("chk_transfer_quantity_positive", lambda: F.col("quantity") > 0),
         ("chk_transfer_locations_differ", lambda: F.col("from_warehouse_id") != F.col("to_warehouse_id")),
     ],
+    "journals": [
+        ("date_not_null", lambda: F.col("date").isNotNull()),
+        ("amount_not_null", lambda: F.col("amount").isNotNull()),
+        ("positive_journal_amount", lambda: F.col("amount") >= 0),
+    ],
+    "charts": [
+        ("chk_chart_type", lambda: F.col("type").isin(*V.CHART_TYPES)),
+    ],
+    "customers": [
+        ("customer_name_not_null", lambda: F.col("customer_name").isNotNull()),
+        ("email_not_null", lambda: F.col("email").isNotNull()),
+        ("chk_customer_email", lambda: F.col("email").rlike(V.EMAIL_PATTERN)),
+    ],
+    "vendors": [
+        ("vendor_name_not_null", lambda: F.col("vendor_name").isNotNull()),
+        ("email_not_null", lambda: F.col("email").isNotNull()),
+        ("chk_vendor_email", lambda: F.col("email").rlike(V.EMAIL_PATTERN)),
+    ],
+    "returns": [
+        ("chk_return_quantity_positive", lambda: F.col("quantity") > 0),
+    ],
     "operations": [
+        ("chk_cost_nonnegative", lambda: F.col("product_cost") >= 0),
+        ("chk_price_nonnegative", lambda: F.col("product_price") >= 0),
         ("chk_price_not_below_cost", lambda: F.col("product_price") >= F.col("product_cost")),
         ("chk_layer_quantity_nonnegative", lambda: F.col("quantity") >= 0),
     ],

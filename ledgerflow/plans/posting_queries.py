@@ -70,13 +70,36 @@ def _movement_events(b):
                     net.alias("cost"), (F.col("quantity") * (F.col("product_price") * 100).cast("long")).alias("value"))
 
 
+# The oracle's own statement of the posting rules (kind, leg, role, debit, amount), written out so that a wrong
+# side or role in the operator's table does not repeat here.
+_RULES_SQL = """
+('AR', 0, 'cash_account_ar', FALSE, 'amount'), ('AR', 1, 'ar_account', TRUE, 'amount'),
+('AP', 0, 'cash_account_ap', TRUE, 'amount'), ('AP', 1, 'ap_account', FALSE, 'amount'),
+('EXPENSE', 0, 'cash_account_ar', TRUE, 'amount'), ('EXPENSE', 1, 'expense_account', FALSE, 'amount'),
+('REVENUE', 0, 'cash_account_ar', FALSE, 'amount'), ('REVENUE', 1, 'revenue_account', TRUE, 'amount'),
+('PURCHASE', 0, 'inventory_account', TRUE, 'net'), ('PURCHASE', 1, 'input_vat_receivable', TRUE, 'tax'), ('PURCHASE', 2, 'ap_account', FALSE, 'gross'),
+('SALE', 0, 'ar_account', TRUE, 'gross'), ('SALE', 1, 'revenue_account', FALSE, 'net'), ('SALE', 2, 'output_vat_payable', FALSE, 'tax'),
+('SALE', 3, 'COGS', TRUE, 'cost'), ('SALE', 4, 'inventory_account', FALSE, 'cost'),
+('SALE_RETURN', 0, 'SR&Allowances', FALSE, 'value'), ('SALE_RETURN', 1, 'ar_account', TRUE, 'value'),
+('SALE_RETURN', 2, 'inventory_account', FALSE, 'cost'), ('SALE_RETURN', 3, 'COGS', TRUE, 'cost'),
+('PURCHASE_RETURN', 0, 'ap_account', TRUE, 'cost'), ('PURCHASE_RETURN', 1, 'inventory_account', FALSE, 'cost'), ('PURCHASE_RETURN', 2, 'PR&Allowances', FALSE, 'cost'),
+('TRANSFER', 0, 'inventory_account', TRUE, 'cost'), ('TRANSFER', 1, 'inventory_account', FALSE, 'cost'),
+('PAYROLL', 0, 'salary_expense', TRUE, 'amount'), ('PAYROLL', 1, 'salary_payable', FALSE, 'amount')"""
+
+# documents: (label of the description, roles named in the account check, legs as (role, debit))
+_DOC_SQL = {
+    ("AR", False): ("Account Receivable", "cash_account_ar/ar_account", [("cash_account_ar", False), ("ar_account", True)]),
+    ("AP", False): ("Account Payable", "cash_account_ap/ap_account", [("cash_account_ap", True), ("ap_account", False)]),
+    ("EXPENSE", False): ("", "cash/expense", [("cash_account_ar", True), ("expense_account", False)]),
+    ("EXPENSE", True): ("", "cash/expense", [("expense_account", True), ("cash_account_ar", False)]),
+    ("REVENUE", False): ("", "cash/revenue", [("cash_account_ar", False), ("revenue_account", True)]),
+    ("REVENUE", True): ("", "cash/revenue", [("cash_account_ar", True), ("revenue_account", False)]),
+}
+
+
 def _legs_sql(events_cte: str) -> str:
-    rules = []
-    for kind, legs in posting.POSTING_RULES.items():
-        for i, (role, deb, field) in enumerate(legs):
-            rules.append(f"('{kind}', {i}, '{role}', {str(deb).upper()}, '{field}')")
     return f"""WITH ev AS ({events_cte}),
-rules AS (SELECT * FROM (VALUES {', '.join(rules)}) AS t(kind, leg_no, role_name, is_debit, field)),
+rules AS (SELECT * FROM (VALUES {_RULES_SQL}) AS t(kind, leg_no, role_name, is_debit, field)),
 nlegs AS (SELECT kind, COUNT(*) AS n FROM rules GROUP BY kind),
 complete AS (SELECT m.client_id, r.kind FROM rules r JOIN role_map m ON r.role_name = m.role_name
              GROUP BY m.client_id, r.kind HAVING COUNT(*) = (SELECT n FROM nlegs WHERE nlegs.kind = r.kind)),
@@ -166,12 +189,10 @@ _REV_REQ_SQL = """req AS (SELECT a.receivable_id AS request_id, c.client_id, a.a
 
 def _doc_sql(kind: str, req_sql: str, standard: bool = False) -> str:
     """DuckDB form of ``posting.post_document``; the body ends with CTEs numbered, tx, jl, comp."""
-    rules = posting.STANDARD_RULES if standard else posting.POSTING_RULES
-    legs = rules[kind]
-    need = sorted({r for r, _d, _f in legs})
+    label, roles_txt, legs = _DOC_SQL[kind, standard]
+    need = sorted({r for r, _d in legs})
     is_doc = kind in ("AR", "AP")
     party = {"AR": ("customer_id", "customers", "Customer"), "AP": ("vendor_id", "vendors", "Vendor")}.get(kind)
-    roles_txt = "/".join(posting._DOC_ROLES[kind])
     party_join = (f"LEFT JOIN (SELECT DISTINCT {party[0]} AS pid FROM {party[1]}) p ON r.{party[0]} = p.pid"
                   if party else "")
     party_ok = "p.pid IS NOT NULL" if party else "TRUE"
@@ -179,7 +200,6 @@ def _doc_sql(kind: str, req_sql: str, standard: bool = False) -> str:
     dates_bad = "COALESCE(invoice_date > due_date, FALSE)" if is_doc else "FALSE"
     cname = party[2] if party else ""
     if is_doc:
-        label = posting._DOC_LABEL[kind]
         desc = (f"'{label} With Amount of ' || CAST(amount AS VARCHAR) || ' Due Date on ' || CAST(due_date AS VARCHAR)"
                 " || ' Status ' || status")
     else:
@@ -187,7 +207,7 @@ def _doc_sql(kind: str, req_sql: str, standard: bool = False) -> str:
     leg_sel = " UNION ALL ".join(
         f"SELECT n.transaction_id, {i} AS leg_no, m.chart_id, n.{date_col} AS date, {str(d).upper()} AS journal, "
         f"CAST(n.amount AS DECIMAL(15,2)) AS amount FROM numbered n JOIN role_map m ON m.client_id = n.client_id "
-        f"AND m.role_name = '{r}'" for i, (r, d, _f) in enumerate(legs))
+        f"AND m.role_name = '{r}'" for i, (r, d) in enumerate(legs))
     comp = [f"""SELECT request_id, client_id, 'Client Rules' AS compliance_rule, 'Client not found!' AS description,
        'CLIENT_CHECK' AS check_type, 'FAIL' AS status, 'Client ID not found in database' AS details FROM rs WHERE NOT client_ok"""]
     if party:
@@ -545,60 +565,111 @@ def _process_recurring_summary(b):
 def ar_corrections(b):
     a = b.ar_ext.where(F.col("status") == "Partially Paid")
     cents = (F.col("amount") * 100).cast("long")
-    return a.select("receivable_id", "transaction_id", "customer_id", "invoice_date",
-                    F.date_add("due_date", 15).alias("due_date"),
+    return a.select("receivable_id", "transaction_id", F.when(F.col("receivable_id") % 3 == 0, F.col("customer_id") + 1).alias("customer_id"),
+                    "invoice_date", F.date_add("due_date", 15).alias("due_date"),
                     (F.floor(cents * 9 / 10).cast("decimal(20,0)") / 100).cast(MONEY).alias("amount"),
                     F.when(F.col("receivable_id") % 2 == 0, "Paid").otherwise("Partially Paid").alias("status"))
 
 
-_ARC_SQL = """corr AS (SELECT receivable_id, transaction_id, customer_id, invoice_date, CAST(due_date + INTERVAL 15 DAY AS DATE) AS due_date,
+_ARC_SQL = """corr AS (SELECT receivable_id, transaction_id, CASE WHEN receivable_id % 3 = 0 THEN customer_id + 1 END AS customer_id,
+        invoice_date, CAST(due_date + INTERVAL 15 DAY AS DATE) AS due_date,
         CAST(CAST(FLOOR(CAST(amount * 100 AS BIGINT) * 9 / 10) AS DECIMAL(20,0)) / 100 AS DECIMAL(15,2)) AS amount,
         CASE WHEN receivable_id % 2 = 0 THEN 'Paid' ELSE 'Partially Paid' END AS status FROM ar_ext WHERE status = 'Partially Paid'),
 good AS (SELECT * FROM corr WHERE status IN ('Pending', 'Paid', 'Overdue'))"""
 
 
+def ap_corrections(b):
+    a = b.ap_ext.where(F.col("status") == "Paid")
+    return a.select("payable_id", "transaction_id", (F.col("vendor_id") + 1).alias("vendor_id"), "invoice_date",
+                    F.date_add("due_date", 10).alias("due_date"), (F.col("amount") + 1).cast(MONEY).alias("amount"),
+                    F.when(F.col("payable_id") % 4 == 0, F.lit("")).otherwise(F.lit("Overdue")).alias("status"))
+
+
+_APC_SQL = """corr AS (SELECT payable_id, transaction_id, vendor_id + 1 AS vendor_id, invoice_date, CAST(due_date + INTERVAL 10 DAY AS DATE) AS due_date,
+        CAST(amount + 1 AS DECIMAL(15,2)) AS amount, CASE WHEN payable_id % 4 = 0 THEN '' ELSE 'Overdue' END AS status FROM ap_ext WHERE status = 'Paid'),
+good AS (SELECT * FROM corr WHERE status IN ('Pending', 'Paid', 'Overdue'))"""
+
+
+def _amend_sql(doc: str, party: str, table: str) -> str:
+    return f"""SELECT e.{doc}, e.transaction_id, COALESCE(g.{party}, e.{party}) AS {party},
+       CASE WHEN g.{doc} IS NULL THEN e.amount ELSE g.amount END AS amount,
+       CASE WHEN g.{doc} IS NULL THEN e.invoice_date ELSE g.invoice_date END AS invoice_date,
+       CASE WHEN g.{doc} IS NULL THEN e.due_date ELSE g.due_date END AS due_date,
+       CASE WHEN g.{doc} IS NULL THEN e.status ELSE g.status END AS status, g.{doc} IS NOT NULL AS amended
+FROM {table} e LEFT JOIN good g ON e.{doc} = g.{doc}"""
+
+
+def _amend_legs_sql(cash: str, control: str) -> str:
+    return f"""rc AS (SELECT chart_id, bool_or(role_name = '{cash}') AS cash, MIN(client_id) AS client FROM role_map WHERE role_name IN ('{cash}', '{control}') GROUP BY chart_id),
+nl AS (SELECT j.journal_id, j.transaction_id, j.chart_id, g.transaction_id IS NOT NULL AS amended,
+       CASE WHEN rc.chart_id IS NOT NULL AND g.transaction_id IS NOT NULL THEN g.invoice_date ELSE j.date END AS date, j.journal,
+       CAST(CASE WHEN rc.chart_id IS NOT NULL AND g.transaction_id IS NOT NULL THEN g.amount ELSE j.amount END AS DECIMAL(15,2)) AS amount, rc.cash, rc.client
+FROM journals j LEFT JOIN good g ON j.transaction_id = g.transaction_id LEFT JOIN rc ON j.chart_id = rc.chart_id),
+bal AS (SELECT chart_id, SUM(CASE WHEN journal THEN amount ELSE -amount END) AS balance FROM nl WHERE cash GROUP BY chart_id)"""
+
+
+def _warn_sql(doc: str, cash: str) -> str:
+    return f"""SELECT DISTINCT g.{doc}, m.chart_id, g.amount, CAST(bal.balance AS DECIMAL(18,2)) AS cash_balance, 'Insufficient Funds' AS warning
+FROM nl JOIN good g ON nl.transaction_id = g.transaction_id JOIN role_map m ON m.client_id = nl.client AND m.role_name = '{cash}'
+JOIN bal ON bal.chart_id = m.chart_id WHERE g.amount < bal.balance"""
+
+
 def _amend_ar(b):
     return posting.amend_document("AR", ar_corrections(b), b.ar_ext, b.journals, role_map(b))
 
 
-@query("amend_ar", "P15", views=["ar_ext"], money=["amount"], oracle=f"""WITH {_ARC_SQL}
-SELECT receivable_id, transaction_id, amount, invoice_date, due_date, status, TRUE AS amended FROM good""")
+def _amend_ap_all(b):
+    return posting.amend_document("AP", ap_corrections(b), b.ap_ext, b.journals, role_map(b))
+
+
+_AR_LEGS = _amend_legs_sql("cash_account_ar", "ar_account")
+_AP_LEGS = _amend_legs_sql("cash_account_ap", "ap_account")
+
+
+@query("amend_ar", "P15", views=["ar_ext"], money=["amount"], oracle=f"WITH {_ARC_SQL}\n" + _amend_sql("receivable_id", "customer_id", "ar_ext"))
 def _amend_ar_q(b):
     return _amend_ar(b)["extensions"]
 
 
-@query("amend_ar_journals", "P15", views=COA_VIEWS + ["ar_ext", "journals"], money=["amount"], oracle=f"""WITH {_ARC_SQL},
-rc AS (SELECT DISTINCT chart_id FROM role_map WHERE role_name IN ('cash_account_ar', 'ar_account'))
-SELECT j.journal_id, j.transaction_id, j.chart_id,
-       CASE WHEN rc.chart_id IS NOT NULL THEN g.invoice_date ELSE j.date END AS date, j.journal,
-       CAST(CASE WHEN rc.chart_id IS NOT NULL THEN g.amount ELSE j.amount END AS DECIMAL(15,2)) AS amount
-FROM journals j JOIN good g ON j.transaction_id = g.transaction_id LEFT JOIN rc ON j.chart_id = rc.chart_id""")
+@query("amend_ar_journals", "P15", views=COA_VIEWS + ["ar_ext", "journals"], money=["amount"],
+       oracle=f"WITH {_ARC_SQL},\n{_AR_LEGS}\nSELECT * EXCLUDE (cash, client) FROM nl")
 def _amend_ar_journals(b):
     return _amend_ar(b)["journals"]
 
 
+@query("amend_ar_warnings", "P15", views=COA_VIEWS + ["ar_ext", "journals"], money=["amount", "cash_balance"],
+       oracle=f"WITH {_ARC_SQL},\n{_AR_LEGS}\n" + _warn_sql("receivable_id", "cash_account_ar"))
+def _amend_ar_warnings(b):
+    return _amend_ar(b)["warnings"]
+
+
 @query("amend_ar_rejected", "P15", views=["ar_ext"], oracle=f"""WITH {_ARC_SQL}
 SELECT receivable_id, 'Invalid Status' AS error FROM corr WHERE status NOT IN ('Pending', 'Paid', 'Overdue')""")
 def _amend_ar_rejected(b):
     return _amend_ar(b)["rejected"]
 
 
-def ap_corrections(b):
-    a = b.ap_ext.where(F.col("status") == "Paid")
-    return a.select("payable_id", "transaction_id", "vendor_id", "invoice_date", F.date_add("due_date", 10).alias("due_date"),
-                    (F.col("amount") + 1).cast(MONEY).alias("amount"), F.lit("Overdue").alias("status"))
-
-
-@query("amend_ap", "P16", views=COA_VIEWS + ["ap_ext", "journals"], money=["amount"], oracle="""
-WITH good AS (SELECT payable_id, transaction_id, invoice_date, CAST(due_date + INTERVAL 10 DAY AS DATE) AS due_date,
-                     CAST(amount + 1 AS DECIMAL(15,2)) AS amount FROM ap_ext WHERE status = 'Paid'),
-rc AS (SELECT DISTINCT chart_id FROM role_map WHERE role_name IN ('cash_account_ap', 'ap_account'))
-SELECT j.journal_id, j.transaction_id, j.chart_id,
-       CASE WHEN rc.chart_id IS NOT NULL THEN g.invoice_date ELSE j.date END AS date, j.journal,
-       CAST(CASE WHEN rc.chart_id IS NOT NULL THEN g.amount ELSE j.amount END AS DECIMAL(15,2)) AS amount
-FROM journals j JOIN good g ON j.transaction_id = g.transaction_id LEFT JOIN rc ON j.chart_id = rc.chart_id""")
+@query("amend_ap", "P16", views=COA_VIEWS + ["ap_ext", "journals"], money=["amount"],
+       oracle=f"WITH {_APC_SQL},\n{_AP_LEGS}\nSELECT * EXCLUDE (cash, client) FROM nl")
 def _amend_ap(b):
-    return posting.amend_document("AP", ap_corrections(b), b.ap_ext, b.journals, role_map(b))["journals"]
+    return _amend_ap_all(b)["journals"]
+
+
+@query("amend_ap_extensions", "P16", views=["ap_ext"], money=["amount"], oracle=f"WITH {_APC_SQL}\n" + _amend_sql("payable_id", "vendor_id", "ap_ext"))
+def _amend_ap_extensions(b):
+    return _amend_ap_all(b)["extensions"]
+
+
+@query("amend_ap_warnings", "P16", views=COA_VIEWS + ["ap_ext", "journals"], money=["amount", "cash_balance"],
+       oracle=f"WITH {_APC_SQL},\n{_AP_LEGS}\n" + _warn_sql("payable_id", "cash_account_ap"))
+def _amend_ap_warnings(b):
+    return _amend_ap_all(b)["warnings"]
+
+
+@query("amend_ap_rejected", "P16", views=["ap_ext"], oracle=f"""WITH {_APC_SQL}
+SELECT payable_id, 'Invalid Status' AS error FROM corr WHERE status = ''""")
+def _amend_ap_rejected(b):
+    return _amend_ap_all(b)["rejected"]
 
 
 def _amend_inv(b):
@@ -701,3 +772,59 @@ def _post_staged_lineage(b):
     lin = lin.select("*", F.col("table_name").alias("chain_table"), F.lit("INSERT").alias("operation"),
                      F.to_json(F.struct("record_id", "session_id", "source_row_number")).alias("record"))
     return audit.hash_chain(lin, "session_id", ["source_row_number"], table_col="chain_table").drop("chain_table")
+
+
+# ---- the other kinds of master data: each correction renames every third row and spoils every fifth ----
+
+def _master_kind(b, kind: str):
+    if kind == "vendor":
+        t, key, name = b.vendors, "vendor_id", "vendor_name"
+        t = t.withColumn("email", F.concat(F.lit("v"), F.col(key).cast("string"), F.lit("@mail.com")))
+        bad = ("email", F.lit("nobody"))
+    elif kind == "product":
+        t, key, name = b.products, "product_id", "product_name"
+        bad = ("product_price", F.lit("-1.00").cast(MONEY))
+    elif kind == "chart":
+        t, key, name = b.charts.select("chart_id", "client_id", "account", "type"), "chart_id", "account"
+        bad = ("type", F.lit("Nothing"))
+    else:
+        t = b.movements.select("warehouse_id").distinct().withColumn("warehouse_name", F.concat(F.lit("Warehouse "), F.col("warehouse_id").cast("string")))
+        key, name = "warehouse_id", "warehouse_name"
+        bad = None
+    k = F.col(key)
+    new_name = F.when(k % 3 == 0, F.concat(F.lit("New "), k.cast("string")))
+    if bad is None:
+        new_name = F.when(k % 2 == 0, F.lit(" ")).otherwise(new_name)
+    corr = t.select(key, new_name.alias(name), *([F.when(k % 5 == 0, bad[1]).alias(bad[0])] if bad else []))
+    return posting.update_master(kind, t, corr, key)
+
+
+def _master_kind_sql(base: str, key: str, name: str, bad: tuple[str, str, str] | None) -> str:
+    spoiled = f"{key} % 5 = 0" if bad else f"{key} % 2 = 0"
+    new = f"CASE WHEN {key} % 3 = 0 THEN 'New ' || CAST({key} AS VARCHAR) ELSE {name} END"
+    ok = f"SELECT * REPLACE (CASE WHEN {spoiled} THEN {name} ELSE {new} END AS {name}) FROM ({base}) t"
+    return ok
+
+
+_MASTER_KINDS = {
+    "vendor": ("SELECT *, 'v' || CAST(vendor_id AS VARCHAR) || '@mail.com' AS email FROM vendors", "vendor_id", "vendor_name", ("email", "Invalid email format", "vendors")),
+    "product": ("SELECT * FROM products", "product_id", "product_name", ("product_price", "Price cannot be negative", "products")),
+    "chart": ("SELECT chart_id, client_id, account, type FROM charts", "chart_id", "account", ("type", "Invalid account type", "charts")),
+    "warehouse": ("SELECT DISTINCT warehouse_id, 'Warehouse ' || CAST(warehouse_id AS VARCHAR) AS warehouse_name FROM movements", "warehouse_id", "warehouse_name", None),
+}
+
+
+def _register_master(kind: str):
+    base, key, name, bad = _MASTER_KINDS[kind]
+    views = [bad[2]] if bad else ["movements"]
+    money = ["product_price"] if kind == "product" else []
+    query(f"update_master_{kind}", "P18", views=views, money=money, oracle=_master_kind_sql(base, key, name, bad))(
+        lambda b: _master_kind(b, kind)["table"])
+    spoiled = f"{key} % 5 = 0" if bad else f"{key} % 2 = 0"
+    message = bad[1] if bad else "warehouse_name cannot be empty"
+    query(f"update_master_{kind}_rejected", "P18", views=views, oracle=f"SELECT {key}, '{message}' AS error FROM ({base}) t WHERE {spoiled}")(
+        lambda b: _master_kind(b, kind)["rejected"])
+
+
+for _kind in _MASTER_KINDS:
+    _register_master(_kind)

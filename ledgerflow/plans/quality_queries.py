@@ -52,6 +52,86 @@ def _check_constraints(b):
     return a.unionByName(t)
 
 
+# every declared constraint over tables with spoiled rows: each rule is broken by its own residue of the id
+_SPOILED = {
+    "journals": ("journal_id", {"date_not_null": 101, "amount_not_null": 103, "positive_journal_amount": 107}, "journals"),
+    "charts": ("chart_id", {"chk_chart_type": 7}, "charts"),
+    "customers": ("customer_id", {"customer_name_not_null": 11, "email_not_null": 13, "chk_customer_email": 17}, "customers"),
+    "vendors": ("vendor_id", {"vendor_name_not_null": 2, "email_not_null": 3, "chk_vendor_email": 5}, "vendors"),
+    "ap_ext": ("payable_id", {"chk_ap_amount_nonnegative": 13, "chk_ap_invoice_before_due": 17, "chk_ap_status": 19}, "ap_ext"),
+    "inventory_audits": ("management_id", {"chk_quantity_positive": 31, "chk_action_type": 37}, "movements"),
+    "returns": ("management_id", {"chk_return_quantity_positive": 29}, "movements"),
+    "operations": ("operation_id", {"chk_cost_nonnegative": 41, "chk_price_nonnegative": 43, "chk_layer_quantity_nonnegative": 53}, "layers"),
+}
+
+
+def _spoiled(b, table: str):
+    key, rules, view = _SPOILED[table]
+    t = getattr(b, view)
+    breaks = {r: F.col(key) % n == 0 for r, n in rules.items()}
+    if table == "journals":
+        return t.withColumns({"date": F.when(~breaks["date_not_null"], F.col("date")),
+                              "amount": F.when(breaks["amount_not_null"], F.lit(None)).when(breaks["positive_journal_amount"], -F.col("amount") - 1).otherwise(F.col("amount"))})
+    if table == "charts":
+        return t.withColumn("type", F.when(breaks["chk_chart_type"], F.lit("Nothing")).otherwise(F.col("type")))
+    if table in ("customers", "vendors"):
+        name = f"{table[:-1]}_name"
+        return t.withColumns({name: F.when(~breaks[f"{name}_not_null"], F.col(name)),
+                              "email": F.when(breaks["email_not_null"], F.lit(None)).when(breaks[f"chk_{table[:-1]}_email"], "none").otherwise("a@mail.com")})
+    if table == "ap_ext":
+        return t.withColumns({"amount": F.when(breaks["chk_ap_amount_nonnegative"], F.lit(-1)).otherwise(F.col("amount")),
+                              "due_date": F.when(breaks["chk_ap_invoice_before_due"], F.date_sub("invoice_date", 1)).otherwise(F.greatest("due_date", "invoice_date")),
+                              "status": F.when(breaks["chk_ap_status"], F.lit("Lost")).otherwise(F.lit("Paid"))})
+    if table == "operations":
+        cost, price = F.col("unit_cost_cents"), F.col("unit_cost_cents") + 1
+        low = breaks["chk_cost_nonnegative"] | breaks["chk_price_nonnegative"]
+        return t.select(key, F.when(breaks["chk_layer_quantity_nonnegative"], F.lit(-1)).otherwise(F.abs("quantity")).alias("quantity"),
+                        F.when(low, F.lit(-9)).otherwise(cost).alias("product_cost"),
+                        F.when(breaks["chk_price_nonnegative"], F.lit(-2)).otherwise(price).alias("product_price"))
+    if table == "returns":
+        return t.where(F.col("action_type").like("% Return")).withColumn("quantity", F.when(breaks["chk_return_quantity_positive"], F.lit(0)).otherwise(F.abs("quantity") + 1))
+    return t.withColumns({"quantity": F.when(breaks["chk_quantity_positive"], F.lit(0)).otherwise(F.abs("quantity") + 1),
+                          "action_type": F.when(breaks["chk_action_type"], F.lit("Lost")).otherwise(F.lit("Sale"))})
+
+
+def _spoiled_sql() -> str:
+    parts = []
+    for table, (key, rules, view) in _SPOILED.items():
+        for rule, n in rules.items():
+            where = f"{key} % {n} = 0"
+            if table == "returns":
+                where += " AND action_type LIKE '% Return'"
+            if rule == "positive_journal_amount":
+                where += f" AND {key} % 103 <> 0"
+            if rule.startswith("chk_") and rule.endswith("_email"):
+                where += f" AND {key} % {rules['email_not_null']} <> 0"
+            if rule == "chk_cost_nonnegative":
+                where = f"({key} % 41 = 0 OR {key} % 43 = 0)"
+            parts.append(f"SELECT '{table}' AS table_name, CAST({key} AS VARCHAR) AS record_id, '{rule}' AS rule, CAST(NULL AS VARCHAR) AS value FROM {view} WHERE {where}")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("check_constraints_all", "Q2", views=["journals", "charts", "customers", "vendors", "ap_ext", "movements", "layers"], oracle=_spoiled_sql())
+def _check_constraints_all(b):
+    out = None
+    for table, (key, _rules, _view) in _SPOILED.items():
+        v = quality.check_constraints(_spoiled(b, table), table, key)
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+@query("check_domains_spoiled", "Q1", views=["movements", "ap_ext"], oracle="""
+SELECT 'inventory_audits' AS table_name, CAST(management_id AS VARCHAR) AS record_id, 'quantity_type(quantity)' AS rule, '0' AS value
+FROM movements WHERE management_id % 31 = 0
+UNION ALL SELECT 'inventory_audits', CAST(management_id AS VARCHAR), 'action_typing(action_type)', 'Lost' FROM movements WHERE management_id % 37 = 0
+UNION ALL SELECT 'ap_ext', CAST(payable_id AS VARCHAR), 'amount_type(amount)', '-1.00' FROM ap_ext WHERE payable_id % 13 = 0
+UNION ALL SELECT 'ap_ext', CAST(payable_id AS VARCHAR), 'status_typing(status)', 'Lost' FROM ap_ext WHERE payable_id % 19 = 0""")
+def _check_domains_spoiled(b):
+    m = quality.check_domains(_spoiled(b, "inventory_audits"), "inventory_audits", "management_id", {"quantity": "quantity_type", "action_type": "action_typing"})
+    a = _spoiled(b, "ap_ext").withColumn("amount", F.col("amount").cast("decimal(15,2)"))
+    return m.unionByName(quality.check_domains(a, "ap_ext", "payable_id", {"amount": "amount_type", "status": "status_typing"}))
+
+
 @query("check_unique", "Q3", views=["event_log"], oracle="""
 SELECT idempotency_key, COUNT(*) AS duplicate_count FROM event_log GROUP BY idempotency_key HAVING COUNT(*) > 1""")
 def _check_unique(b):
@@ -64,6 +144,15 @@ def _check_foreign_keys(b):
     return quality.check_foreign_keys(b.event_log, b.customers, "user_id", "customer_id")
 
 
+@query("check_foreign_keys_orphans", "Q4", views=["movements", "products"], oracle="""
+SELECT management_id, CASE WHEN management_id % 23 = 0 THEN -management_id ELSE product_id END AS product_id FROM movements WHERE management_id % 23 = 0""")
+def _check_foreign_keys_orphans(b):
+    # every 23rd movement refers to a product that does not exist, every 29th to none (a null reference is no violation)
+    m = F.col("management_id")
+    child = b.movements.select("management_id", F.when(m % 23 == 0, -m).when(m % 29 != 0, F.col("product_id")).alias("product_id"))
+    return quality.check_foreign_keys(child, b.products, "product_id", "product_id")
+
+
 def _contacts(b):
     c = b.customers
     email = F.concat(F.lower(F.regexp_replace("customer_name", "#", "")),

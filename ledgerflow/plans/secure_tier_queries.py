@@ -77,7 +77,62 @@ def _secure_view_admin(b):
     return secure.secure_view(contacts(b), "finance_admin", "customers")
 
 
-@query("encrypt_roundtrip", "S4")
+def _vendor_contacts(b):
+    k = F.col("vendor_id").cast("string")
+    return b.vendors.select("vendor_id", "vendor_name", F.concat(F.lit("v"), k, F.lit("@mail.com")).alias("email"),
+                            F.concat(F.lit("tax-"), k).alias("tax_id_encrypted"), F.concat(F.lit("acct-"), k).alias("bank_account_encrypted"))
+
+
+@query("secure_view_vendors", "S3", views=["vendors"], oracle="""
+SELECT vendor_id, vendor_name, 'v***@mail.com' AS email, 'REDACTED' AS tax_id_encrypted, 'REDACTED' AS bank_account_encrypted FROM vendors""")
+def _secure_view_vendors(b):
+    return secure.secure_view(_vendor_contacts(b), "analyst", "vendors")
+
+
+@query("secure_view_transactions", "S3", views=["transactions"], oracle="""
+SELECT transaction_id, client_id, description, 'REDACTED' AS internal_notes FROM transactions""")
+def _secure_view_transactions(b):
+    t = b.transactions.select("transaction_id", "client_id", "description", F.concat(F.lit("note "), F.col("transaction_id").cast("string")).alias("internal_notes"))
+    return secure.secure_view(t, "analyst", "transactions")
+
+
+# table -> hops to a table with client_id, as (parent, child key, parent key)
+SCOPE_PATHS = {
+    "customers": [], "vendors": [], "products": [], "charts": [], "transactions": [],
+    "ar_ext": [("transactions", "transaction_id", "transaction_id")], "ap_ext": [("transactions", "transaction_id", "transaction_id")],
+    "journals": [("transactions", "transaction_id", "transaction_id")], "tax_entries": [("transactions", "transaction_id", "transaction_id")],
+    "movements": [("products", "product_id", "product_id")], "layers": [("products", "product_id", "product_id")],
+    "salary_details": [("vendors", "employee_id", "vendor_id")], "statements": [("bank_accounts", "account_id", "account_id"), ("charts", "chart_id", "chart_id")],
+    "bank_tx": [("bank_accounts", "account_id", "account_id"), ("charts", "chart_id", "chart_id")],
+}
+
+
+def scoped(b, table: str, client_id: int):
+    from ..operators.bank import monthly_statements
+    frame = monthly_statements(b.bank_tx) if table == "statements" else getattr(b, table)
+    return secure.tenant_scope(frame, client_id, [(getattr(b, parent), child, key) for parent, child, key in SCOPE_PATHS[table]])
+
+
+def _scope_sql(table: str) -> str:
+    where = "client_id = c.client_id"
+    for parent, child, key in reversed(SCOPE_PATHS[table]):
+        where = f"{child} IN (SELECT {key} FROM {parent} WHERE {where})"
+    return f"SELECT '{table}' AS table_name, c.client_id, (SELECT COUNT(*) FROM {table} WHERE {where}) AS visible_rows FROM clients c"
+
+
+@query("tenant_scope_tables", "S1", views=["clients", "bank_accounts", *SCOPE_PATHS], oracle="\nUNION ALL ".join(_scope_sql(t) for t in SCOPE_PATHS))
+def _tenant_scope_tables(b):
+    """Rows of every tenant table that each client sees."""
+    out = None
+    for table in SCOPE_PATHS:
+        for client in range(1, 6):
+            n = scoped(b, table, client).agg(F.count(F.lit(1)).alias("visible_rows")).select(
+                F.lit(table).alias("table_name"), F.lit(client).alias("client_id"), "visible_rows")
+            out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("encrypt_roundtrip", "S4", views=["customers"], oracle="SELECT customer_id, TRUE AS round_trip_ok FROM customers")
 def _encrypt_roundtrip(b):
     c = contacts(b).select("customer_id", "ssn_encrypted", "email")
     enc = secure.encrypt_columns(c, ["ssn_encrypted", "email"], "ledger-secret")
