@@ -8,7 +8,7 @@ the breakdown text is a sorted ``collect_list`` of at most that many items.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
@@ -17,6 +17,11 @@ EARNINGS = ("SALARY", "ALLOWANCE", "BONUS", "BENEFIT")
 DEDUCTIONS = ("DEDUCTION", "TAX", "STATUTORY")
 TOTAL = "decimal(18,2)"
 
+# Components of the hourly payslip, paid by hours or at their catalogue rate.
+BASIC = "Basic Salary"
+RATED = ("Rice Allowance", "Transportation Allowance", "Communication Allowance", "SSS Contribution", "PhilHealth Premium",
+         "Pag-IBIG Contribution", "Withholding Tax", "Personal Loan Deduction")
+
 
 def _d(x) -> F.Column:
     return F.lit(str(x)).cast("date")
@@ -91,19 +96,20 @@ def payslip_view(runs: DataFrame, payslips: DataFrame, employees: DataFrame, lin
 
 def hourly_payslip(rates: DataFrame, hours: DataFrame, details: DataFrame, components: DataFrame,
                    start, end) -> DataFrame:
-    """Per employee and component: basic = hourly rate in force at period end × hours worked;
-    other components = their own amount.  The rate is an as-of pick (latest effective ≤ end)."""
-    w = Window.partitionBy("employee_id").orderBy(F.col("effective_date").desc())
-    rate = (rates.where(F.col("effective_date") <= _d(end)).withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") == 1).select("employee_id", "hourly_rate"))
+    """Per employee and component: basic = hourly rate in force at period end × hours worked
+    (0 without hours); the other named components take the catalogue's ``component_rate``, any
+    other component 0.  The rate is an as-of pick (latest effective ≤ end, then the highest)."""
+    rate = (rates.where(F.col("effective_date") <= _d(end)).groupBy("employee_id")
+            .agg(F.max(F.struct("effective_date", "hourly_rate")).alias("_r")).select("employee_id", F.col("_r.hourly_rate").alias("hourly_rate")))
     worked = (hours.where(F.col("work_date").between(_d(start), _d(end)))
               .groupBy("employee_id").agg(F.sum("hours").alias("hours")))
-    base = rate.join(worked, "employee_id")
+    base = rate.join(worked, "employee_id", "left").withColumn("hours", F.coalesce("hours", F.lit(0)))
     lines = (details.where((F.col("effective_date") <= _d(end))
                            & (F.col("end_date").isNull() | (F.col("end_date") >= _d(start))))
-             .join(components.select("component_id", "component_name", "component_type"), "component_id")
+             .join(components.select("component_id", "component_name", "component_rate"), "component_id")
              .join(base, "employee_id"))
-    amount = F.when(F.col("component_type") == "SALARY", F.col("hourly_rate") * F.col("hours")).otherwise(F.col("amount"))
+    amount = (F.when(F.col("component_name") == BASIC, F.col("hourly_rate") * F.col("hours"))
+              .when(F.col("component_name").isin(*RATED), F.col("component_rate")).otherwise(F.lit(0)))
     return lines.select("employee_id", "component_id", "component_name", "hourly_rate", "hours",
                         amount.cast(TOTAL).alias("amount"))
 

@@ -147,9 +147,12 @@ def _compliance(df: DataFrame, rule_name: str, description: str, check_type: str
 
 def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: DataFrame | None,
                   party_col: str | None, role_map: DataFrame, existing_tx: DataFrame,
-                  standard: bool = False) -> dict[str, DataFrame]:
+                  standard: bool = False, checks_only: bool = False) -> dict[str, DataFrame]:
     """Post AR / AP / EXPENSE / REVENUE requests.
 
+    ``checks_only`` returns compliance and rejected rows without numbering (and so without
+    running a job while the plan is built).
+
     ``requests``: request_id, client_id, [party], amount (money), date columns
     (invoice_date + due_date + status for AR/AP; date + description otherwise),
     idempotency_key.  Checks run in the reference's order (client, party, accounts,
@@ -199,7 +202,6 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
                                 F.format_string("Invoice: %s, Due: %s", F.col("invoice_date"), F.col("due_date"))))
     passed = r.where(F.col("_reason").isNull()).select(*requests.columns)
     d = dedupe_idempotent(passed, existing_tx)
-    fresh = assign_ids(d["fresh"], existing_tx, "transaction_id", ["request_id"], "transaction_id")
     dups = d["duplicates"]
     comp.append(dups.select("request_id", "client_id", F.lit("Duplicate Rules").alias("compliance_rule"),
                             F.lit("Duplicate Transaction Detected").alias("description"),
@@ -211,6 +213,12 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
     for c in comp[1:]:
         compliance = compliance.unionByName(c)
 
+    rejected = (failed.select("request_id", F.col("_reason").alias("error"))
+                .unionByName(dups.select("request_id", F.lit("Duplicate Transaction Detected").alias("error")))
+                .unionByName(d["rejected"].select("request_id", "error")))
+    if checks_only:
+        return {"compliance": compliance, "rejected": rejected}
+    fresh = assign_ids(d["fresh"], existing_tx, "transaction_id", ["request_id"], "transaction_id")
     if is_doc:
         desc = F.concat(F.lit(f"{_DOC_LABEL[kind]} With Amount of "), F.col("amount").cast("string"),
                         F.lit(" Due Date on "), F.col("due_date").cast("string"), F.lit(" Status "), F.col("status"))
@@ -222,10 +230,7 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
                           (F.col("amount") * 100).cast("long").alias("amount"))
     legs, leg_rejects = post_journals(events, role_map, rules)
     out = {"transactions": transactions, "journals": legs, "compliance": compliance,
-           "rejected": failed.select("request_id", F.col("_reason").alias("error")).unionByName(
-               dups.select("request_id", F.lit("Duplicate Transaction Detected").alias("error")))
-           .unionByName(d["rejected"].select("request_id", "error")),
-           "leg_rejects": leg_rejects}
+           "rejected": rejected, "leg_rejects": leg_rejects}
     if is_doc:
         party = "customer_id" if kind == "AR" else "vendor_id"
         doc_id = "receivable_id" if kind == "AR" else "payable_id"
@@ -239,8 +244,8 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
     return out
 
 
-def post_ar(requests, clients, customers, role_map, existing_tx):
-    return post_document(requests, "AR", clients, customers, "customer_id", role_map, existing_tx)
+def post_ar(requests, clients, customers, role_map, existing_tx, checks_only: bool = False):
+    return post_document(requests, "AR", clients, customers, "customer_id", role_map, existing_tx, checks_only=checks_only)
 
 
 def post_ap(requests, clients, vendors, role_map, existing_tx):

@@ -144,6 +144,12 @@ def validate_exists(keys: DataFrame, key_col: str, parent: DataFrame, parent_col
                         F.concat(F.lit(EXISTS_MESSAGES[kind]), F.col(key_col).cast("string"))).alias("error_msg"))
 
 
+def is_overdue_by_id(ids: DataFrame, documents: DataFrame, key: str, as_of: str) -> DataFrame:
+    """Per requested ``document_id``: whether its document is overdue (NULL for an unknown id)."""
+    d = documents.select(F.col(key).alias("_key"), V.is_overdue("due_date", as_of).alias("is_overdue"))
+    return ids.join(d, F.col("document_id") == F.col("_key"), "left").select("document_id", "is_overdue")
+
+
 def _exists_flag(df: DataFrame, col: str, parent: DataFrame, parent_col: str, flag: str) -> DataFrame:
     keys = parent.select(F.col(parent_col).alias("_k")).distinct().withColumn(flag, F.lit(True))
     return (df.join(keys, F.col(col) == F.col("_k"), "left").drop("_k")

@@ -151,6 +151,11 @@ def reconcile_tax(tax_entries: DataFrame, tax_legs: DataFrame, literal: bool = T
              .withColumn("difference", (F.col("tax_total") - F.col("ledger_total")).cast(TOTAL)))
 
 
+def ledger_legs(journals: DataFrame, charts: DataFrame) -> DataFrame:
+    """Journal legs with the name of their account, the ledger side of ``reconcile_tax``."""
+    return journals.select("transaction_id", "chart_id", "amount").join(charts.select("chart_id", "account"), "chart_id")
+
+
 def vat_summary(tax_entries: DataFrame, transactions: DataFrame) -> DataFrame:
     """Σ tax by type for transactions whose description is not null."""
     keep = transactions.where(F.col("description").isNotNull()).select("transaction_id")

@@ -107,14 +107,21 @@ def settle_tax(liabilities: DataFrame, tax_types: DataFrame, code: str, period_e
                       else F.col(c) for c in liabilities.columns])
 
 
-def tax_liability_from_ledger(journals: DataFrame, role_map: DataFrame, code: str) -> DataFrame:
-    """Per client: Σ credit − Σ debit on the account mapped to the tax code."""
-    role = TAX_ACCOUNT_ROLES[code]
-    charts = role_map.where(F.col("role_name") == role).select("client_id", "chart_id")
+def tax_liability_from_ledger(journals: DataFrame, role_map: DataFrame, code: str | None = None,
+                              mapping: DataFrame | None = None) -> DataFrame:
+    """Per client and tax code: Σ credit − Σ debit on the account mapped to the code.
+
+    ``mapping`` (tax_code, role_name) is tenant data; by default the roles that the sample chart
+    has.  ``code=None`` covers every mapped code; a code without a mapping has no liability row."""
+    if mapping is None:
+        mapping = journals.sparkSession.createDataFrame(list(TAX_ACCOUNT_ROLES.items()), "tax_code string, role_name string")
+    if code is not None:
+        mapping = mapping.where(F.col("tax_code") == code)
+    charts = role_map.join(mapping, "role_name").select("client_id", "chart_id", "tax_code")
     j = journals.join(charts, "chart_id")
-    return j.groupBy("client_id").agg(
+    return j.groupBy("client_id", "tax_code").agg(
         F.sum(F.when(~F.col("journal"), F.col("amount")).otherwise(-F.col("amount"))).cast("decimal(18,2)")
-        .alias("tax_liability")).withColumn("tax_code", F.lit(code))
+        .alias("tax_liability"))
 
 
 def applicable_tax_rules(transactions: DataFrame, tax_types: DataFrame, rules: DataFrame) -> DataFrame:

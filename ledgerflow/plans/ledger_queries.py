@@ -247,3 +247,34 @@ def _reconciliation_summary(b):
     return recon.reconciliation_summary(
         recon.check_journal_balance(b.journals), recon.reconcile_ar(b.ar_ext, b.journals, b.charts),
         recon.reconcile_ap(b.ap_ext, b.journals, b.charts), recon.reconcile_tax(te, tl, literal=False))
+
+
+def _order_tax(b):
+    """Every order's input tax posted to its client's first account whose name holds 'tax', next to the order's own legs."""
+    t = b.tax_entries.where(F.col("tax_type") == "VAT_INPUT").groupBy("transaction_id").agg(F.sum("tax_cents").alias("c"))
+    charts = b.charts.where(F.col("account").ilike("%tax%")).groupBy("client_id").agg(F.min("chart_id").alias("chart_id"))
+    # every ninth order posts one cent too much
+    cents = F.col("c") + F.when(F.col("transaction_id") % 9 == 0, 1).otherwise(0)
+    legs = (t.join(b.transactions.select("transaction_id", "client_id"), "transaction_id").join(charts, "client_id")
+            .select("transaction_id", "chart_id", (cents.cast("decimal(20,0)") / 100).cast("decimal(15,2)").alias("amount")))
+    return b.journals.select("transaction_id", "chart_id", "amount").unionByName(legs)
+
+
+_ORDER_TAX_SQL = """te AS (SELECT transaction_id, CAST(CAST(tax_cents AS DECIMAL(20,0)) / 100 AS DECIMAL(15,2)) AS tax_amount FROM tax_entries WHERE tax_type = 'VAT_INPUT'),
+tx AS (SELECT client_id, MIN(chart_id) AS chart_id FROM charts WHERE account ILIKE '%tax%' GROUP BY client_id),
+led AS (SELECT transaction_id, chart_id, amount FROM journals UNION ALL
+        SELECT t.transaction_id, x.chart_id, CAST(SUM(t.tax_amount) + CASE WHEN t.transaction_id % 9 = 0 THEN 0.01 ELSE 0 END AS DECIMAL(15,2))
+        FROM te t JOIN transactions o ON o.transaction_id = t.transaction_id JOIN tx x ON x.client_id = o.client_id GROUP BY t.transaction_id, x.chart_id)"""
+
+
+@query("reconcile_tax_journals", "R11", views=["tax_entries", "journals", "charts", "transactions"], money=["tax_total", "ledger_total", "difference"], oracle=f"""
+WITH {_ORDER_TAX_SQL},
+a AS (SELECT transaction_id, SUM(tax_amount) AS tax_total FROM te GROUP BY transaction_id),
+l AS (SELECT j.transaction_id, SUM(CASE WHEN c.account ILIKE '%tax%' THEN j.amount ELSE 0 END) AS ledger_total
+      FROM led j JOIN charts c ON c.chart_id = j.chart_id GROUP BY j.transaction_id)
+SELECT a.transaction_id, CAST(tax_total AS DECIMAL(18,2)) AS tax_total, CAST(ledger_total AS DECIMAL(18,2)) AS ledger_total,
+       CAST(tax_total - ledger_total AS DECIMAL(18,2)) AS difference
+FROM a JOIN l ON a.transaction_id = l.transaction_id WHERE tax_total <> ledger_total""")
+def _reconcile_tax_journals(b):
+    te = b.tax_entries.where(F.col("tax_type") == "VAT_INPUT").select("transaction_id", (F.col("tax_cents").cast("decimal(20,0)") / 100).cast("decimal(15,2)").alias("tax_amount"))
+    return recon.reconcile_tax(te, recon.ledger_legs(_order_tax(b), b.charts), literal=False)

@@ -250,8 +250,8 @@ _AR_SQL = _doc_sql("AR", _AR_REQ_SQL)
 _AP_SQL = _doc_sql("AP", _AP_REQ_SQL)
 
 
-def _ar(b):
-    return posting.post_ar(ar_requests(b), b.clients, b.customers, role_map(b), b.transactions)
+def _ar(b, checks_only: bool = False):
+    return posting.post_ar(ar_requests(b), b.clients, b.customers, role_map(b), b.transactions, checks_only)
 
 
 @query("post_ar_transactions", "P3", views=_DOC_VIEWS + sq.STG_VIEWS, oracle=_AR_SQL + "\nSELECT * FROM tx")
@@ -266,7 +266,7 @@ def _post_ar_journals(b):
 
 @query("post_ar_compliance", "P3", views=_DOC_VIEWS + sq.STG_VIEWS, oracle=_AR_SQL + "\nSELECT * FROM comp")
 def _post_ar_compliance(b):
-    return _ar(b)["compliance"]
+    return _ar(b, checks_only=True)["compliance"]
 
 
 @query("post_ar_rejected", "P3", views=_DOC_VIEWS + sq.STG_VIEWS, oracle=_AR_SQL + """
@@ -274,7 +274,7 @@ SELECT request_id, reason AS error FROM rs WHERE reason IS NOT NULL
 UNION ALL SELECT request_id, 'Duplicate Transaction Detected' FROM tagged WHERE request_id <> win OR existing IS NOT NULL
 UNION ALL SELECT request_id, 'Idempotency key is required' FROM rs WHERE reason IS NULL AND idempotency_key IS NULL""")
 def _post_ar_rejected(b):
-    return _ar(b)["rejected"]
+    return _ar(b, checks_only=True)["rejected"]
 
 
 @query("post_ar_extensions", "P3", views=_DOC_VIEWS + sq.STG_VIEWS, money=["amount"], oracle=_AR_SQL + """

@@ -229,6 +229,25 @@ def _validate_exists(b):
     return quality.validate_exists(b.event_log, "user_id", b.customers, "customer_id", "customer")
 
 
+def _register_exists(kind: str, view: str, key: str, message: str, active: str):
+    # keys of the table and as many that do not exist
+    sql = f"""WITH keys AS (SELECT {key} AS k FROM {view} UNION SELECT -{key} FROM {view} WHERE {key} > 0)
+SELECT k.k AS key, p.{key} IS NOT NULL AS is_valid, CASE WHEN p.{key} IS NOT NULL THEN '' ELSE '{message}' || CAST(k.k AS VARCHAR) END AS error_msg
+FROM keys k LEFT JOIN (SELECT DISTINCT {key} FROM {view} WHERE {active}) p ON k.k = p.{key}"""
+
+    @query(f"validate_exists_{kind}", "Q10", views=[view], oracle=sql)
+    def _exists(b):
+        parent = getattr(b, view)
+        keys = parent.select(F.col(key).alias("key")).unionByName(parent.select((-F.col(key)).alias("key")))
+        return quality.validate_exists(keys, "key", parent, key, kind)
+
+
+_register_exists("vendor", "vendors", "vendor_id", "Vendor ID does not exist: ", "TRUE")
+_register_exists("product", "products", "product_id", "Product ID does not exist: ", "TRUE")
+_register_exists("warehouse", "movements", "warehouse_id", "Warehouse ID does not exist: ", "TRUE")
+_register_exists("account", "charts", "chart_id", "Account ID does not exist or is inactive: ", "is_active")
+
+
 @query("validate_invoice_due_dates", "Q11", views=["stg_ar_imports"], oracle="""
 SELECT id, NOT COALESCE(TRY_CAST(invoice_date AS DATE) > TRY_CAST(due_date AS DATE), FALSE) AS is_valid,
        CASE WHEN COALESCE(TRY_CAST(invoice_date AS DATE) > TRY_CAST(due_date AS DATE), FALSE)
@@ -246,6 +265,20 @@ def _is_overdue(b):
     return b.ar_ext.select("receivable_id", V.is_overdue("due_date", AS_OF).alias("is_overdue"))
 
 
+@query("is_overdue_by_id", "Q12", views=["ar_ext", "ap_ext"], oracle=f"""
+SELECT 'AR' AS kind, e.k AS document_id, a.due_date < DATE '{AS_OF}' AS is_overdue
+FROM (SELECT receivable_id AS k FROM ar_ext UNION ALL SELECT -receivable_id FROM ar_ext) e LEFT JOIN ar_ext a ON a.receivable_id = e.k
+UNION ALL
+SELECT 'AP', e.k, a.due_date < DATE '{AS_OF}'
+FROM (SELECT payable_id AS k FROM ap_ext UNION ALL SELECT -payable_id FROM ap_ext) e LEFT JOIN ap_ext a ON a.payable_id = e.k""")
+def _is_overdue_by_id(b):
+    out = []
+    for kind, table, key in (("AR", b.ar_ext, "receivable_id"), ("AP", b.ap_ext, "payable_id")):
+        ids = table.select(F.col(key).alias("document_id")).unionByName(table.select((-F.col(key)).alias("document_id")))
+        out.append(quality.is_overdue_by_id(ids, table, key, AS_OF).select(F.lit(kind).alias("kind"), "document_id", "is_overdue"))
+    return out[0].unionByName(out[1])
+
+
 @query("validate_transaction_import", "Q13", views=["journals", "charts", "transactions"], money=["amount"], oracle=f"""
 SELECT j.* EXCLUDE (e), (e = '') AS is_valid, e AS errors FROM (
   SELECT j.*, concat_ws('; ', CASE WHEN j.amount < 0 THEN 'Amount cannot be negative' END,

@@ -108,6 +108,19 @@ def _tax_liability_from_ledger(b):
     return tax.tax_liability_from_ledger(legs, pq.role_map(b), "VAT")
 
 
+@query("tax_liability_all_codes", "X10", views=pq.COA_VIEWS + ["movements", "products"], money=["tax_liability"],
+       oracle=pq._legs_sql(pq._MOVEMENT_EVENTS_SQL) + """
+SELECT m.client_id, x.tax_code, CAST(SUM(CASE WHEN NOT l.journal THEN l.amount ELSE -l.amount END) AS DECIMAL(18,2)) AS tax_liability
+FROM legs l JOIN role_map m ON l.chart_id = m.chart_id
+JOIN (VALUES ('VAT', 'output_vat_payable'), ('SALES_TAX', 'output_vat_payable'), ('WHT', 'input_vat_receivable')) x(tax_code, role_name)
+  ON m.role_name = x.role_name GROUP BY m.client_id, x.tax_code""")
+def _tax_liability_all_codes(b):
+    legs, _ = posting.post_journals(pq._movement_events(b), pq.role_map(b))
+    mapping = b.spark.createDataFrame([("VAT", "output_vat_payable"), ("SALES_TAX", "output_vat_payable"), ("WHT", "input_vat_receivable"),
+                                       ("SSS", "no such role")], "tax_code string, role_name string")
+    return tax.tax_liability_from_ledger(legs, pq.role_map(b), mapping=mapping)
+
+
 @query("applicable_tax_rules", "X11", views=["transactions", "clients"], oracle=f"""WITH {_TT_SQL},
 rules AS (SELECT tax_type_id, CASE tax_code WHEN 'WHT' THEN 'SALES' WHEN 'AIT' THEN 'ALL' WHEN 'VAT' THEN 'SALES'
                  WHEN 'SALES_TAX' THEN 'SALES' WHEN 'SSS' THEN 'EXPENSES' WHEN 'PHILHEALTH' THEN 'EXPENSES'
@@ -271,12 +284,18 @@ rate AS (SELECT employee_id, hourly_rate FROM (SELECT *, row_number() OVER (PART
 worked AS (SELECT employee_id, SUM(hours) AS hours FROM tr WHERE work_date BETWEEN DATE '{HOURLY_START}' AND DATE '{HOURLY_END}'
            GROUP BY employee_id)
 SELECT d.employee_id, d.component_id, c.component_name, r.hourly_rate, w.hours,
-       CAST(CASE WHEN c.component_type = 'SALARY' THEN r.hourly_rate * w.hours ELSE d.amount END AS DECIMAL(18,2)) AS amount
+       CAST(CASE WHEN c.component_name = 'Basic Salary' THEN r.hourly_rate * w.hours
+                 WHEN c.component_name IN ('Rice Allowance', 'Transportation Allowance', 'Communication Allowance', 'SSS Contribution',
+                   'PhilHealth Premium', 'Pag-IBIG Contribution', 'Withholding Tax', 'Personal Loan Deduction') THEN c.component_id * 100
+                 ELSE 0 END AS DECIMAL(18,2)) AS amount
 FROM salary_details d JOIN components c ON d.component_id = c.component_id
-JOIN rate r ON r.employee_id = d.employee_id JOIN worked w ON w.employee_id = d.employee_id
+JOIN rate r ON r.employee_id = d.employee_id
+JOIN (SELECT e.employee_id, COALESCE(MAX(w.hours), 0) AS hours FROM rate e LEFT JOIN worked w ON w.employee_id = e.employee_id GROUP BY e.employee_id) w
+  ON w.employee_id = d.employee_id
 WHERE d.effective_date <= DATE '{HOURLY_END}' AND (d.end_date IS NULL OR d.end_date >= DATE '{HOURLY_START}')""")
 def _hourly_payslip(b):
-    return payroll.hourly_payslip(hourly_rates(b), time_records(b), b.salary_details, b.components,
+    rated = b.components.withColumn("component_rate", (F.col("component_id") * 100).cast("decimal(15,2)"))
+    return payroll.hourly_payslip(hourly_rates(b), time_records(b), b.salary_details, rated,
                                   HOURLY_START, HOURLY_END)
 
 
