@@ -51,6 +51,14 @@ def tier_partitions(df: DataFrame, date_col: str, as_of: str, grain: str = "mont
             .withColumn("tier", F.when(period_start(date_col, grain) <= cutoff, "COLD").otherwise("HOT")))
 
 
+def write_tiers(df: DataFrame, date_col: str, hot_path: str, cold_path: str, as_of: str, grain: str = "month") -> None:
+    """Write the hot partitions to one storage path and the cold ones to another, each partitioned by label."""
+    tiered = tier_partitions(df, date_col, as_of, grain)
+    for label, path in (("HOT", hot_path), ("COLD", cold_path)):
+        rows = tiered.where(F.col("tier") == label).drop("tier")
+        rows.hint("rebalance", F.col("partition_label")).write.mode("overwrite").partitionBy("partition_label").parquet(path)
+
+
 def archive_split(df: DataFrame, date_col: str, as_of: str, months: int = 12) -> tuple[DataFrame, DataFrame]:
     """(rows to archive: older than as_of − months, rows kept)."""
     cut = F.add_months(F.lit(as_of).cast("date"), -months)

@@ -179,6 +179,19 @@ def _tier_partitions(b):
     return tier.tier_partitions(b.ar_ext, "invoice_date", AS_OF, "month")
 
 
+@query("write_tiers", "T3", views=["ar_ext"], money=["amount"], oracle=f"""
+SELECT *, {_label_m('invoice_date')} AS partition_label,
+       CASE WHEN date_trunc('month', invoice_date) <= date_trunc('month', DATE '{AS_OF}' - INTERVAL 30 DAY)
+            THEN 'COLD' ELSE 'HOT' END AS tier FROM ar_ext""")
+def _write_tiers(b):
+    base = ensure_checkpoint_dir(b.spark).rstrip("/") + f"/tiers/{uuid.uuid4().hex}"
+    paths = {"HOT": f"{base}/hot", "COLD": f"{base}/cold"}
+    tier.write_tiers(b.ar_ext, "invoice_date", paths["HOT"], paths["COLD"], AS_OF, "month")
+    schema = tier.with_partition_label(b.ar_ext, "invoice_date").schema
+    read = [b.spark.read.schema(schema).parquet(path).withColumn("tier", F.lit(t)) for t, path in paths.items()]
+    return read[0].unionByName(read[1])
+
+
 @query("tier_partitions_weekly", "T3", views=["ar_ext"], money=["amount"], oracle=f"""
 SELECT *, {_label_w('invoice_date')} AS partition_label,
        CASE WHEN date_trunc('week', invoice_date) <= date_trunc('week', DATE '{AS_OF}' - INTERVAL 7 DAY)

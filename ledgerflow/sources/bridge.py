@@ -341,3 +341,8 @@ def bridge(spark: SparkSession, sf_dir: str) -> Bridge:
     if key not in _CACHE:
         _CACHE[key] = Bridge(spark, sf_dir)
     return _CACHE[key]
+
+
+def forget() -> None:
+    """Drop all bridges, so that the next query builds its inputs from the tables again."""
+    _CACHE.clear()
