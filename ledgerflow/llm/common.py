@@ -83,7 +83,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return [(r["_text"], r["_y"]) for r in sorted(texts.collect(), key=lambda r: (r["doc_id"], r["_text"]))]
 
 
-def runs_of(texts, limit: int = 1 << 19):
+def runs_of(texts, limit: int = 1 << 17):
     """Consecutive texts with about ``limit`` characters, so that memory is bounded by it and the longest text."""
     run, size = [], 0
     for t in texts:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import runs_of, ship_by_value, unit_hash
 
 ORDER = 3
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 GAP = b"\n" * ORDER
 ship_by_value(__name__)
 
