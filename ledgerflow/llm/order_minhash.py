@@ -1,7 +1,7 @@
 """Near-duplicate detection by Order MinHash with banded alignment.
 
-A text is the sequence of its five-word shingles (lower-cased words between white space; a text of
-fewer words is one shingle), each labelled with its occurrence number, so that no label repeats.
+A text is the sequence of its five-word shingles (words are lower-cased runs of letters, marks and
+digits; a text of fewer words is one shingle), each labelled with its occurrence number, so that no label repeats.
 Sketch i orders the labels by a seeded hash, takes the ``TUPLE`` smallest and keeps them in text
 order; the tuple is hashed to a bucket.  Texts that agree in most places *and* in order share
 buckets: at similarity 0.8 one of the ``SKETCHES`` = 16 tuples agrees with probability 0.99999.
@@ -45,7 +45,8 @@ ship_by_value(__name__)
 
 
 def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    """The lower-cased words of a text, joined by single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
 def content_key(normal_text: Column) -> Column:
