@@ -14,9 +14,11 @@ fully parallel with the chunked ``lag``.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,10 @@ from pyspark.sql import types as T
 from ..functions.windows import chunked_lag
 
 
+# the fold runs on executors that need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _md5(text: str) -> str:
     return hashlib.md5(text.encode("utf-8")).hexdigest()
 
