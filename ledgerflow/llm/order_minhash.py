@@ -40,6 +40,7 @@ SHINGLE = 5
 SKETCHES = 16
 TUPLE = 3
 BLOCK = 100_000
+SALTS = 16
 LINK = "a binary, b binary"
 ship_by_value(__name__)
 
@@ -240,11 +241,16 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[
     table = cut(sketch_table(docs.select(doc_id, text), doc_id, text))
     labels = components(find_links(docs, table, text, threshold))
     contents = table.groupBy("_c").agg(F.min("_id").alias("_least"), F.count("*").alias("copies"))
-    labelled = contents.join(labels, F.col("_c") == F.col("node"), "left").withColumn("_class", F.coalesce("label", "_c"))
+    labelled = cut(contents.join(labels, F.col("_c") == F.col("node"), "left").select("_c", "_least", "copies", "label"))
+    alone = labelled.where("label is null").select("_c", "copies", F.col("_least").alias("class_id"), F.col("copies").alias("class_rows"), F.col("_c").alias("_kept"))
+    linked = labelled.where("label is not null")
     first = F.min(F.struct(F.col("_least").isNull().alias("none"), F.col("_least").alias("id"), F.col("_c").alias("c")))
-    groups = labelled.groupBy("_class").agg(first.alias("_first"), F.sum("copies").alias("class_rows"))
-    known = (labelled.select("_c", "copies", "_class").join(groups, "_class")
-             .select("_c", "copies", F.col("_first.id").alias("class_id"), "class_rows", F.col("_first.c").alias("_kept")))
+    groups = linked.groupBy("label").agg(first.alias("_first"), F.sum("copies").alias("class_rows"))
+    # a large class is spread: each class goes out once per salt, each text meets the one of its salt
+    spread = groups.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    joined = (linked.withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), "_c"), F.lit(SALTS)).cast("int")).join(spread, ["label", "_salt"])
+              .select("_c", "copies", F.col("_first.id").alias("class_id"), "class_rows", F.col("_first.c").alias("_kept")))
+    known = alone.unionByName(joined)
     return table, known
 
 
