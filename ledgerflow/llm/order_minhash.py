@@ -10,7 +10,8 @@ Similarity: the longest common subsequence M of two label sequences, as M / (a +
 moved or repeated parts this is their Jaccard similarity.  At ``threshold`` the sequences differ by
 at most (a + b)(1 - 2 t / (1 + t)) insertions and deletions, so the alignment runs within a band of
 that half-width and is exact there.  Labels do not repeat, so it is a longest increasing run of
-matched positions.
+matched positions.  A link also needs that Jaccard similarity of the sets of different shingles, so
+texts that share little but one phrase repeated many times are not linked.
 
 Scale: exact copies are collapsed by content hash before anything is paired.  Buckets with the same
 members are searched once.  A bucket is cut into blocks of about ``BLOCK`` shingles; every pair of
@@ -64,8 +65,8 @@ def odd(n: int) -> np.ndarray:
     return _mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def labels_of(texts: list[str]) -> list[np.ndarray]:
-    """The occurrence-labelled shingle hashes of each normal text, in text order."""
+def labels_of(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each normal text: its occurrence-labelled shingle hashes in text order, and which of them are first occurrences."""
     parts = [t.encode("utf-8", "replace") for t in texts]
     ends = np.cumsum([len(p) + 1 for p in parts])
     data = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
@@ -73,7 +74,7 @@ def labels_of(texts: list[str]) -> list[np.ndarray]:
     inside[ends - 1] = False
     first = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     if not len(first):
-        return [np.zeros(0, dtype=np.uint64) for _ in texts]
+        return [np.zeros(0, dtype=np.uint64) for _ in texts], [np.zeros(0, dtype=bool) for _ in texts]
     start = np.zeros(len(data), dtype=np.int64)
     start[first] = first
     place = (np.arange(len(data)) - np.maximum.accumulate(start)).astype(np.uint64)
@@ -95,7 +96,8 @@ def labels_of(texts: list[str]) -> list[np.ndarray]:
     nth = np.zeros(len(order), dtype=np.uint64)
     nth[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
     labels = _mix(gram + nth * np.uint64(0x9E3779B97F4A7C15))
-    return np.split(labels, np.searchsorted(doc, np.arange(1, len(texts))))
+    cuts = np.searchsorted(doc, np.arange(1, len(texts)))
+    return np.split(labels, cuts), np.split(nth == 0, cuts)
 
 
 def sketch(labels: np.ndarray) -> np.ndarray:
@@ -137,28 +139,41 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return m / (total - m) if total else 1.0
 
 
-def block_links(labels: list[np.ndarray], side: list[int], cross: bool, threshold: float) -> list[tuple[int, int]]:
+class Index:
+    """Which sets hold an element, for counting what one set shares with all others."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.holders = np.repeat(np.arange(len(sets)), self.size)[np.argsort(code, kind="stable")]
+        self.count = np.bincount(code)
+        self.begin = np.cumsum(self.count) - self.count
+        self.own = np.split(code, np.cumsum(self.size)[:-1])
+
+    def alike(self, i: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of the sets before ``i``: which have at least that Jaccard similarity to it, and what each shares."""
+        n, lo = self.count[self.own[i]], self.begin[self.own[i]]
+        flat = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(self.holders[flat], minlength=len(self.own))[:i]
+        return shared * (1 + threshold) >= threshold * (self.size[:i] + self.size[i]) - 1e-9, shared
+
+
+def block_links(labels: list[np.ndarray], firsts: list[np.ndarray], side: list[int], cross: bool, threshold: float) -> list[tuple[int, int]]:
     """Links that span all pairs of at least ``threshold``; with ``cross`` only pairs of different sides are looked at."""
-    size = np.array([len(x) for x in labels])
     side_of = np.array(side)
     root = np.arange(len(labels))
     links = []
-    _, code = np.unique(np.concatenate(labels), return_inverse=True)
-    owner = np.repeat(np.arange(len(labels)), size)
-    by_code = owner[np.argsort(code, kind="stable")]
-    counts = np.bincount(code)
-    begins = np.cumsum(counts) - counts
-    cuts = np.cumsum(size)[:-1]
-    for i, own in enumerate(np.split(code, cuts)):
-        if not i or not len(own):
+    distinct, labelled = Index([x[f] for x, f in zip(labels, firsts, strict=True)]), Index(labels)
+    for i in range(1, len(labels)):
+        if not len(labels[i]):
             continue
-        n, lo = counts[own], begins[own]
-        flat = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(by_code[flat], minlength=len(labels))[:i]
-        ok = shared * (1 + threshold) >= threshold * (size[:i] + size[i]) - 1e-9
+        ok, _ = distinct.alike(i, threshold)
         if cross:
             ok &= side_of[:i] != side_of[i]
-        partners = np.flatnonzero(ok)
+        if not ok.any():
+            continue
+        both, shared = labelled.alike(i, threshold)
+        partners = np.flatnonzero(ok & both)
         for j in partners[np.argsort(-shared[partners], kind="stable")].tolist():
             if root[i] != root[j] and similarity(labels[i], labels[j], threshold) >= threshold - 1e-12:
                 links.append((j, i))
@@ -173,7 +188,7 @@ def sketch_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def sketches(texts: pd.Series) -> pd.DataFrame:
         n, buckets = [], []
         for run in runs_of(texts):
-            for labels in labels_of(run):
+            for labels in labels_of(run)[0]:
                 n.append(len(labels))
                 buckets.append(sketch(labels))
         return pd.DataFrame({"n": n, "buckets": buckets})
@@ -206,8 +221,10 @@ def find_links(docs: DataFrame, table: DataFrame, text: str, threshold: float) -
         def settle():
             if len(held) < 2:
                 return []
-            labels = [x for run in runs_of(r[4] for r in held) for x in labels_of(run)]
-            return [(held[i][3], held[j][3]) for i, j in block_links(labels, [r[5] for r in held], held[0][1] != held[0][2], threshold)]
+            parts = [labels_of(run) for run in runs_of(r[4] for r in held)]
+            labels, firsts = ([x for part in parts for x in part[k]] for k in (0, 1))
+            found = block_links(labels, firsts, [r[5] for r in held], held[0][1] != held[0][2], threshold)
+            return [(held[i][3], held[j][3]) for i, j in found]
 
         for frame in frames:
             found = []

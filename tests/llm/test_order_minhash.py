@@ -37,6 +37,9 @@ def lcs(a, b):
 
 def sim(a, b):
     a, b = labels(a), labels(b)
+    distinct = {g for g, _ in a}, {g for g, _ in b}
+    if len(distinct[0] & distinct[1]) < 0.8 * len(distinct[0] | distinct[1]):
+        return 0.0
     m = lcs(a, b)
     return m / (len(a) + len(b) - m) if a or b else 1.0
 
@@ -75,6 +78,8 @@ def corpus():
         if k % 7 == 0:
             w = [x + rng.choice(["", ",", "."]) for x in w]
         rows.append((k, " ".join(w)))
+    for k in range(12):  # little in common but one phrase, repeated
+        rows.append((800 + k, " ".join(words(rng, 12) + ["over", "and"] * 60)))
     return rows + [(900, "!! ??"), (901, "...")]
 
 
