@@ -1,21 +1,20 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: an exact containment join of items and whole documents.
 
 Items and documents are sets of hashed five-word shingles (words are runs of letters and digits,
-lower-cased).  A short item inside a long document has a tiny Jaccard similarity to it, so the
-search is partitioned by size: an item of q shingles belongs to the class u, the power of two with
-u/2 < q <= u, and is compared with windows of 2u consecutive shingles that start at every multiple
-of u.  Any passage of u shingles lies within one window, where an item that is contained to 0.8 has
-a Jaccard similarity of 0.19 or more: one of ``coordinates`` = 64 min-hashes then agrees with
-probability 1 - 1.4e-6 or more.
-
-A min-hash of a window can agree with an item's only if the window holds the very shingle that
-gives the item its minimum.  So document shingles first meet the table of those shingles, inside
-the scan, and only windows with a hit are signed.  Candidates are verified exactly: the share of
-the item's shingles that the window holds must reach the threshold.
+lower-cased).  A document contains an item if it holds at least ``threshold`` of the item's
+different shingles, wherever they stand in it: repeated phrases, inserted text and the place of the
+leak do not matter.
+
+A document that holds ceil(t q) of an item's q shingles holds one of any q - ceil(t q) + 1 of them
+(the prefix), for an item of any size.  The prefix is made of the shingles that the fewest items
+share, so a phrase common to many items makes no candidates.  Document shingles meet the table of
+all item shingles inside the scan; a document keeps those that occur in some item, and the items
+whose prefix it meets are its candidates.  Candidates are verified exactly against these shingles,
+which hold every shingle that the document and the item share.
 
 The tables of item shingles are broadcast in blocks of ``block_items`` items, which bounds their
-size; more items mean more passes, never more memory.  Nothing but windows with a hit is shuffled,
-by document and window, so a hot source, document or item does not meet in one task.
+size; more items mean more passes, never more memory.  Nothing but document shingles that occur in
+an item is shuffled, by document, so a hot source or item does not meet in one task.
 
 Defined results: a null text has no shingles; a text of fewer than five words has none either, so
 such an item matches nothing and such a document is clean; repeated documents or items count once
@@ -24,13 +23,12 @@ per id; one row per (doc_id, item_id) with its largest containment.  A null id m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, free_name, union_all
 
 SHINGLE = 5
-LEAST_CLASS = 8
 
 
 def shingles(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -43,50 +41,44 @@ def shingles(texts: DataFrame, text: str = "text") -> DataFrame:
     return words.withColumn("_sh", F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), n - SHINGLE), gram)).otherwise(none)).drop("_w")
 
 
-def min_hashes(sh: str, coordinates: int, pair: bool = False) -> Column:
-    """The signature of a shingle array; with ``pair`` each entry also names the shingle of the minimum."""
-    seeds = F.array(*[F.lit(i) for i in range(coordinates)])
-    if pair:
-        return F.transform(seeds, lambda i: F.array_min(F.transform(sh, lambda x: F.struct(F.xxhash64(x, i).alias("hash"), x.alias("shingle")))))
-    return F.transform(seeds, lambda i: F.array_min(F.transform(sh, lambda x: F.xxhash64(x, i))))
-
-
 def item_sets(items: DataFrame, id_col: str) -> DataFrame:
-    """Items with their distinct shingles, size class and a key."""
+    """Items with their distinct shingles and a key."""
     sets = (shingles(items.select(F.col(id_col).alias("_item"), F.col("text").alias("text")))
             .select("_item", F.array_distinct("_sh").alias("_ish")).distinct())
-    q = F.size("_ish")
-    size = F.greatest(F.lit(LEAST_CLASS), F.pow(F.lit(2), F.ceil(F.log2(q.cast("double"))))).cast("int")
-    return sets.select("_item", "_ish", q.alias("_q"), size.alias("_u"), F.xxhash64("_item", "_ish").alias("_key"))
+    return sets.select("_item", "_ish", F.size("_ish").alias("_q"), F.xxhash64("_item", "_ish").alias("_key"))
 
 
 def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", threshold: float = 0.8,
-                   coordinates: int = 64, block_items: int = 10_000) -> DataFrame:
+                   block_items: int = 10_000) -> DataFrame:
     """(doc_id, text) x (item_id, text) -> doc_id, item_id, containment of at least ``threshold``."""
     sets = item_sets(items, item_id)
     blocks = max(1, -(-items.count() // block_items))
-    hashed = shingles(docs.select(F.col(doc_id).alias("_doc"), F.col("text").alias("text"))).select("_doc", "_sh")
-    found = [_search(hashed, sets.where(F.pmod(F.col("_key"), F.lit(blocks)) == b) if blocks > 1 else sets, threshold, coordinates)
+    hashed = (shingles(docs.select(F.col(doc_id).alias("_doc"), F.col("text").alias("text")))
+              .select("_doc", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "_sh"))
+    found = [_search(hashed, sets.where(F.pmod(F.col("_key"), F.lit(blocks)) == b) if blocks > 1 else sets, threshold)
              for b in range(blocks)]
     return (union_all(found).groupBy("_doc", "_item").agg(F.max("containment").alias("containment"))
             .select(F.col("_doc").alias(doc_id), F.col("_item").alias(item_id), "containment"))
 
 
-def _search(hashed: DataFrame, sets: DataFrame, threshold: float, coordinates: int) -> DataFrame:
-    index = (sets.select("_key", "_u", F.posexplode_outer(min_hashes("_ish", coordinates, pair=True)).alias("_i", "_m"))
-             .select("_key", "_u", "_i", F.col("_m.hash").alias("_hash"), F.col("_m.shingle").alias("_s")))
-    classes = index.where(F.col("_s").isNotNull()).groupBy("_s").agg(F.collect_set("_u").alias("_us"))
+def item_shingles(sets: DataFrame, threshold: float) -> DataFrame:
+    """_s, _keys: every shingle of an item, with the keys of the items that have it in their prefix."""
+    grams = sets.select("_key", "_q", F.explode("_ish").alias("_s"))
+    shared = grams.groupBy("_s").agg(F.count("*").alias("_n"))
+    need = F.ceil(F.col("_q") * F.lit(threshold) - F.lit(1e-9))  # a rounded product must not shorten the prefix
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_n", "_s"))
+    return (grams.join(shared, "_s").withColumn("_prefix", place <= F.col("_q") - need + 1)
+            .groupBy("_s").agg(F.collect_set(F.when(F.col("_prefix"), F.col("_key"))).alias("_keys")))
+
+
+def _search(hashed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     # outer: else the optimizer infers a test of the array's size and evaluates the array anew for it
-    hits = hashed.select("_doc", "_sh", F.posexplode_outer("_sh").alias("_pos", "_s")).join(F.broadcast(classes), "_s")
-    at = F.floor(F.col("_pos") / F.col("_u")).cast("int")
-    windows = (hits.select("_doc", "_sh", "_pos", F.explode("_us").alias("_u"))
-               .select("_doc", "_sh", "_u", F.explode(F.array(at, at - 1)).alias("_win")).where("_win >= 0")
-               .select("_doc", "_u", "_win", F.slice("_sh", F.col("_win") * F.col("_u") + 1, F.col("_u") * 2).alias("_wsh")).distinct())
-    signed = windows.select("*", F.posexplode_outer(min_hashes("_wsh", coordinates)).alias("_i", "_hash"))
-    met = (signed.join(F.broadcast(index.select("_key", "_u", "_i", "_hash")), ["_u", "_i", "_hash"])
-           .select("_doc", "_win", "_wsh", "_key").distinct())
-    both = F.size(F.array_intersect("_ish", "_wsh"))
-    return (met.join(F.broadcast(sets.select("_key", "_item", "_ish", "_q")), "_key")
+    hits = (hashed.select("_doc", "_text", F.posexplode_outer("_sh").alias("_pos", "_s"))
+            .join(F.broadcast(item_shingles(sets, threshold)), "_s"))
+    own = (hits.groupBy("_doc", "_text")
+           .agg(F.collect_set("_s").alias("_own"), F.array_distinct(F.flatten(F.collect_set("_keys"))).alias("_near")))
+    both = F.size(F.array_intersect("_ish", "_own"))
+    return (own.select("_doc", "_own", F.explode("_near").alias("_key")).join(F.broadcast(sets), "_key")
             .select("_doc", "_item", (both / F.col("_q")).alias("containment")).where(F.col("containment") >= threshold))
 
 

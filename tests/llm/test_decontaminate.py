@@ -73,3 +73,27 @@ def test_odd_rows(spark, odd_docs, clashing, odd_rows):
     none = spark.createDataFrame([], ITEM)
     assert D.find_contained(odd_docs, none).count() == 0 and D.drop_contaminated(odd_docs, none).count() == odd_docs.count()
     assert D.find_contained(spark.createDataFrame([], DOC), bench).count() == 0
+
+
+def leak_texts():
+    """An item with a phrase that repeats, and an item with text inserted into its copy."""
+    rng = random.Random(4)
+    w = words(rng, 8000)
+    phrased = w[:24] + w[24:29] * 20 + w[29:53]
+    plain = w[60:94]
+    parted = plain[:17] + w[100:120] + plain[17:]
+    return phrased, plain, parted, w[200:]
+
+
+def test_whole_documents_at_every_offset(spark):
+    phrased, plain, parted, rest = leak_texts()
+    own = set(grams(" ".join(plain)))
+    share = len(own & set(grams(" ".join(parted)))) / len(own)
+    assert len(own) == 30 and len(set(grams(" ".join(phrased)))) == 53 and 0.8 <= share < 0.9
+    docs = [(k, " ".join(rest[:k] + phrased + rest[500:700])) for k in range(64)]
+    docs += [(100 + k, " ".join(rest[:k] + parted + rest[500:700])) for k in range(64)]
+    docs += [(300, " ".join(plain[:17] + rest[:3000] + plain[17:])), (301, " ".join(plain[:22] + rest[:3000]))]
+    bench = spark.createDataFrame([(1, " ".join(phrased)), (2, " ".join(plain))], ITEM)
+    got = {(r.doc_id, r.item_id): round(r.containment, 9) for r in D.find_contained(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = {(k, 1): 1.0 for k in range(64)} | {(100 + k, 2): round(share, 9) for k in range(64)} | {(300, 2): round(share, 9)}
+    assert got == want
