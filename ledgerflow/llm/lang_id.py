@@ -9,9 +9,9 @@ languages are compiled into one table of bits by (context, byte, language), and
 two table look-ups per byte.  The language with the shortest exact code wins; the score is the
 posterior of that language under equal priors.
 
-Bounds: the sample has ``sample_bytes`` per language (one document more at most, cut to the same
-length), and contexts are pruned by count until the table fits ``model_bytes``; the model is
-broadcast under that proven bound.  Whole texts are scored.
+Bounds: the sample has ``sample_bytes`` per language (one document's cut text more at most), and
+contexts are pruned by count until the table fits ``model_bytes``; the model is broadcast under that
+proven bound.  Whole texts are scored.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every
 text when there is nothing to learn from; equal code lengths go to the first language by name.
@@ -27,18 +27,25 @@ from pyspark.sql import functions as F
 from .common import runs_of, ship_by_value, unit_hash
 
 ORDER = 3
+PARTS = 20
 CHUNK = 1 << 17
 GAP = b"\n" * ORDER
 ship_by_value(__name__)
 
 
 def sample_texts(docs: DataFrame, learn: Column, sample_bytes: int, seed: int) -> dict[str, list[str]]:
-    """Texts by language, about ``sample_bytes`` of each, drawn by a seeded hash of the id."""
+    """Texts by language, about ``sample_bytes`` of each, in the order of a seeded hash of the id.
+
+    A text is cut to a PARTS-th of the sample, or to an equal part of it where a language has fewer texts,
+    so a few very long ones neither fill the sample nor lower the share of the others.
+    """
     rows = (docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .select("doc_id", "lang", F.substring("text", 1, sample_bytes).alias("text"), F.octet_length("text").alias("_n"),
-                    unit_hash(F.col("doc_id"), seed=seed).alias("_u")))
-    share = rows.groupBy("lang").agg((F.lit(2.0 * sample_bytes) / F.sum("_n")).alias("_share"))
-    near = rows.join(F.broadcast(share), "lang").where(F.col("_u") < F.col("_share"))  # one row per language is broadcast
+            .select("doc_id", "lang", F.substring("text", 1, sample_bytes).alias("text"), unit_hash(F.col("doc_id"), seed=seed).alias("_u")))
+    counts = rows.groupBy("lang").agg(F.least(F.count("*"), F.lit(PARTS)).alias("_parts"))
+    cut = F.substring(F.col("text"), F.lit(1), F.ceil(F.lit(float(sample_bytes)) / F.col("_parts")).cast("int"))
+    rows = rows.join(F.broadcast(counts), "lang").withColumn("text", cut).withColumn("_n", F.octet_length("text"))  # one row per language is broadcast
+    share = rows.groupBy("lang").agg((F.lit(4.0 * sample_bytes) / F.sum("_n")).alias("_share"), F.min("_u").alias("_least"))
+    near = rows.join(F.broadcast(share), "lang").where((F.col("_u") < F.col("_share")) | (F.col("_u") == F.col("_least")))
     before = F.sum("_n").over(Window.partitionBy("lang").orderBy("_u", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     kept = near.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < sample_bytes)
     texts: dict[str, list[str]] = {}

@@ -70,6 +70,19 @@ def test_lengths_do_not_depend_on_chunks(monkeypatch):
     assert np.allclose(model.lengths(probe), whole, rtol=1e-4)
 
 
+def test_long_documents_do_not_empty_the_sample(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(words(rng, 250))[:1500], lang) for k, lang in enumerate(("x", "y", "z")) for i in range(k * 1000, k * 1000 + 100)]
+    rows += [(5000 + k, "ab cd " * 200_000, lang) for k, lang in enumerate(("x", "y", "z") * 3)]
+    rows += [(6000 + k, "long only " * 50_000, "w") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for seed in range(3):
+        got = lang_id.sample_texts(docs, ALL(), 20_000, seed)
+        assert sorted(got) == ["w", "x", "y", "z"]
+        assert all(20_000 <= sum(map(len, texts)) < 27_000 for texts in got.values())
+        assert all(sum(not t.startswith("ab cd") for t in got[lang]) >= 10 for lang in "xyz")
+
+
 def test_language_odd_rows(spark, odd_docs, clashing):
     got = sorted((str(r.doc_id), r.lang_pred, 0 <= r.score <= 1) for r in lang_id.predict_language(clashing, ALL()).collect())
     assert len(got) == odd_docs.count() and all(ok for *_, ok in got)
