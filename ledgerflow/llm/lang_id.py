@@ -13,12 +13,21 @@ Bounds: the sample has ``sample_bytes`` per language (one document's cut text mo
 contexts are pruned by count until the table fits ``model_bytes``; the model is broadcast under that
 proven bound.  Whole texts are scored.
 
+The posterior is relative to the learned languages, so ``keep_known`` also tests the code length itself,
+of the letters alone (other signs become spaces: numbers and marks say nothing of the language): it must
+not exceed the bytes times the limit of the best language, plus SLACK bits.  Each half of a language's
+sample is coded by a model of the other halves; the limit is MARGIN times the 0.9 quantile of these bits
+per byte, so clean texts stay.  Junk, other scripts and other languages are above it; a text of some
+words, or in a near relative of a learned language, can still pass.
+
 Defined results: a null text or one without a letter is ``und`` with score 0, and so is every
 text when there is nothing to learn from; equal code lengths go to the first language by name.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +37,7 @@ from .common import runs_of, ship_by_value, unit_hash
 
 ORDER = 3
 PARTS = 20
+MARGIN, SLACK = 2.0, 64.0
 CHUNK = 1 << 17
 GAP = b"\n" * ORDER
 ship_by_value(__name__)
@@ -142,23 +152,56 @@ class Model:
         return out
 
 
-def fit_predictor(docs: DataFrame, learn: Column, sample_bytes: int = 200_000, model_bytes: int = 32 << 20, seed: int = 5):
-    """A function from the text column to struct<lang, score>; ``learn`` says which rows may be learned from."""
-    unknown = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
+def letters_of(texts: list[str]) -> list[str]:
+    return [re.sub(r"[\W\d_]+", " ", t) for t in texts]
+
+
+def bits_limits(texts: dict[str, list[str]], model_bytes: int) -> dict[str, float]:
+    """The most bits per byte that the letters of a text may cost (no limit below two sample texts)."""
+    rates: dict[str, list[float]] = {lang: [] for lang, t in texts.items() if len(t) > 1}
+    for own in (0, 1) if rates else ():
+        model = Model({lang: texts[lang][1 - own::2] for lang in rates}, model_bytes)
+        for i, lang in enumerate(model.langs):
+            part = letters_of(texts[lang][own::2])
+            rates[lang] += list(model.lengths(part)[:, i] / byte_counts(part))
+    return {lang: MARGIN * float(np.quantile(rates[lang], 0.9)) if lang in rates else np.inf for lang in texts}
+
+
+def byte_counts(texts: list[str]) -> np.ndarray:
+    """Bytes of each text as it is coded (1 for an empty one)."""
+    return np.maximum(np.diff(to_bytes(texts)[1]) - ORDER, 1)
+
+
+def fit_predictor(docs: DataFrame, learn: Column, sample_bytes: int = 200_000, model_bytes: int = 32 << 20, seed: int = 5,
+                  limited: bool = False):
+    """A function from the text column to struct<lang, score, fits>; ``learn`` says which rows may be learned from.
+
+    ``fits``, whether the letters cost no more than the limit, is only tested if ``limited``.
+    """
+    unknown = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("fits"))
     texts = sample_texts(docs.select("doc_id", "text", "lang"), learn, sample_bytes, seed)
     if not texts:
         return lambda text: unknown
+    limits = bits_limits(texts, model_bytes) if limited else dict.fromkeys(texts, np.inf)
     model = docs.sparkSession.sparkContext.broadcast(Model(texts, model_bytes))
 
-    @F.pandas_udf("struct<lang:string,score:double>")
+    @F.pandas_udf("struct<lang:string,score:double,fits:boolean>")
     def best(text: pd.Series) -> pd.DataFrame:
         m = model.value
-        pred, score = [], []
+        pred, score, fits = [], [], []
         for run in runs_of(text):
             bits = m.lengths(run)
-            pred += [m.langs[i] for i in bits.argmin(1)]
-            score += list(1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1))
-        return pd.DataFrame({"lang": pred, "score": score})
+            least = bits.min(1)
+            own = [m.langs[i] for i in bits.argmin(1)]
+            pred += own
+            score += list(1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1))
+            if limited:
+                plain = letters_of(run)
+                bits, most = m.lengths(plain), np.array([limits[lang] for lang in m.langs])
+                fits += list(bits.min(1) <= most[bits.argmin(1)] * byte_counts(plain) + SLACK)
+            else:
+                fits += [True] * len(run)
+        return pd.DataFrame({"lang": pred, "score": score, "fits": fits})
 
     return lambda text: F.when(text.rlike(r"\p{L}"), best(F.coalesce(text, F.lit("")))).otherwise(unknown)
 
@@ -170,6 +213,6 @@ def predict_language(docs: DataFrame, learn: Column, **how) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, learn: Column, least_score: float = 0.5, **how) -> DataFrame:
-    """The documents, all columns, whose text is in a learned language with a posterior of at least ``least_score``."""
-    said = fit_predictor(docs, learn, **how)(F.col("text"))
-    return docs.where((said["lang"] != "und") & (said["score"] >= least_score))
+    """The documents, all columns, whose text fits a learned language and has a posterior of at least ``least_score``."""
+    said = fit_predictor(docs, learn, limited=True, **how)(F.col("text"))
+    return docs.where((said["lang"] != "und") & (said["score"] >= least_score) & said["fits"])

@@ -83,6 +83,21 @@ def test_long_documents_do_not_empty_the_sample(spark):
         assert all(sum(not t.startswith("ab cd") for t in got[lang]) >= 10 for lang in "xyz")
 
 
+def test_unlearned_languages_and_junk_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and length(text) > 0")
+    rng = random.Random(7)
+    other = {"it": "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita.",
+             "ru": "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+             "base64": "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(800)),
+             "hex": rng.randbytes(600).hex()}
+    junk = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(other.values())], "doc_id long, text string")
+    every = docs.unionByName(junk, allowMissingColumns=True)
+    kept = {r.doc_id for r in lang_id.keep_known(every, F.col("doc_id") % 3 != 1).select("doc_id").collect()}
+    lettered = {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
+    assert not kept & {-1 - i for i in range(len(other))}
+    assert kept == lettered
+
+
 def test_language_odd_rows(spark, odd_docs, clashing):
     got = sorted((str(r.doc_id), r.lang_pred, 0 <= r.score <= 1) for r in lang_id.predict_language(clashing, ALL()).collect())
     assert len(got) == odd_docs.count() and all(ok for *_, ok in got)
