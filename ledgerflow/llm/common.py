@@ -73,13 +73,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     ``learn`` is a condition on ``doc_id`` that keeps held-out rows out.  The ids are drawn by a
     seeded hash, so the sample is the same in every run; the id list has at most ``rows`` entries,
-    which bounds its broadcast, and the texts that come back are bounded by ``rows * max_chars``.
+    which bounds its broadcast.  Documents that share an id count once, by their smallest cut text that is
+    not empty, so the texts that come back are bounded by ``rows * max_chars``.
     """
     own = (labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("doc_id").isNotNull() & F.col("_y").isin(0, 1))
            .where(learn).groupBy("doc_id").agg(F.max("_y").alias("_y")))
     drawn = own.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
-    texts = (docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-             .select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("_text"), "_y"))
+    text = F.substring("text", 1, max_chars)
+    texts = (docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "_y")
+             .agg(F.coalesce(F.min(F.when(text != "", text)), F.lit("")).alias("_text")))
     return [(r["_text"], r["_y"]) for r in sorted(texts.collect(), key=lambda r: (r["doc_id"], r["_text"]))]
 
 

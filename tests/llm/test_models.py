@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import lang_id, quality, toxicity
+from ledgerflow.llm.common import labelled_sample
 from ledgerflow.llm.queries import QUERIES
 
 from .conftest import DOC, words
@@ -123,6 +124,12 @@ def test_classifier_odd_rows(spark, odd_docs, clashing):
     assert toxicity.drop_toxic(clashing, labelled(spark, "toxic"), ALL()).columns == clashing.columns
 
 
+def test_repeated_ids_are_drawn_once(spark):
+    docs = spark.createDataFrame([(1, f"b{i}") for i in range(500)] + [(1, None), (1, ""), (2, "cd"), (3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    assert labelled_sample(docs, marks, "toxic", ALL(), 10, 2, 1) == [("b0", 1), ("cd", 0), ("", 1)]
+
+
 def test_monotone():
     assert np.allclose(toxicity.monotone(np.array([0.1, 0.4, 0.2, 0.9]), np.ones(4)), [0.1, 0.3, 0.3, 0.9])
 
