@@ -97,3 +97,11 @@ def test_whole_documents_at_every_offset(spark):
     got = {(r.doc_id, r.item_id): round(r.containment, 9) for r in D.find_contained(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     want = {(k, 1): 1.0 for k in range(64)} | {(100 + k, 2): round(share, 9) for k in range(64)} | {(300, 2): round(share, 9)}
     assert got == want
+
+
+def test_short_items_are_exact(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(words(rng, 5 + i % 4))) for i in range(1200)]
+    docs = [(i, " ".join(t.split() + words(rng, 40))) for i, t in items]
+    got = D.find_contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got if r.containment == 1) == [(i, i) for i, _ in items]
