@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from functools import reduce
 
 from pyspark import cloudpickle
@@ -29,6 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared ``spark.checkpoint.dir``, read back.
+
+    Like ``cut``, but compressed, and the plan that reads it knows no partitioning, so that a join on
+    it shuffles both sides and the adaptive planner can split the hot keys.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def bounded_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A narrow checkpointed frame, marked for broadcast only if it has at most ``rows`` rows."""
     df = cut(df)

@@ -101,3 +101,20 @@ wins AS (SELECT * FROM met UNION ALL SELECT rid, doc_id, irid, item_id, s, win -
 held AS (SELECT rid, doc_id, irid, item_id, win, count(DISTINCT s) / any_value(q) AS containment FROM wins GROUP BY rid, doc_id, irid, item_id, win)
 SELECT doc_id, item_id, max(containment) AS containment FROM held WHERE containment >= 0.8 GROUP BY doc_id, item_id
 """
+
+REPEAT_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+wins AS (
+  SELECT rid, doc_id, i, md5(array_to_string(list_slice(w, i + 1, i + 50), ' ')) AS m
+  FROM (SELECT rid, doc_id, w, unnest(range(len(w) - 49)) AS i FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT m, min(doc_id) AS first FROM wins GROUP BY m),
+gone AS (
+  SELECT DISTINCT rid, p FROM (SELECT rid, unnest(range(i, i + 50)) AS p FROM wins JOIN firsts USING (m) WHERE doc_id > first)),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY p) AS text
+  FROM (SELECT rid, unnest(w) AS word, unnest(range(len(w))) AS p FROM words) x ANTI JOIN gone USING (rid, p) GROUP BY rid),
+counts AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN counts USING (rid) LEFT JOIN kept USING (rid)
+"""

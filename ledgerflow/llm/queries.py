@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.driver import read_table
-from . import chat, decontaminate, fingerprint, lang_id, licenses, mixing, order_minhash, quality, toxicity, url_filter
+from . import chat, decontaminate, fingerprint, lang_id, licenses, mixing, order_minhash, quality, substring_dedup, toxicity, url_filter
 from .common import crc_mod
-from .oracles import CHAT_SQL, LEAK_SQL, LICENSE_SQL, URL_SQL
+from .oracles import CHAT_SQL, LEAK_SQL, LICENSE_SQL, REPEAT_SQL, URL_SQL
 
 # The rules that the url query judges by.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -72,8 +72,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprint, op4_chat_format, op5_language_id, op6_url_filter, op7_toxicity, op8_quality, op9_license_scan,
-                              op10_decontaminate)}
+                              op10_decontaminate, op11_substring_dedup)}
 ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL, "op6_url_filter": URL_SQL, "op9_license_scan": LICENSE_SQL,
-                           "op10_decontaminate": LEAK_SQL}
+                           "op10_decontaminate": LEAK_SQL, "op11_substring_dedup": REPEAT_SQL}
