@@ -2,8 +2,8 @@
 
 CHAT_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, NULL, 0, 'user', '</s>[INST] ok [/INST]'), (-7, NULL, 1, 'assistant', '</s>[INST] ok [/INST]')),
 marked AS (
   SELECT *, '<|im_start|>'
     || regexp_replace(role, '([<\[])(\\*)(\|endoftext\|>|\|im_start\|>|\|im_end\|>|\|im_sep\|>|/INST\]|INST\]|/SYS\]|SYS\]|/s>|s>)', '\1\2\\\3', 'g') || '<|im_sep|>'
@@ -13,10 +13,13 @@ joined AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-    string_agg(piece, '' ORDER BY turn NULLS FIRST, role, text) AS formatted
-  FROM marked GROUP BY conv_id)
+    string_agg(piece, '' ORDER BY turn NULLS FIRST, role, text) AS formatted,
+    list_reduce(list_concat(['start'], list(role ORDER BY turn NULLS FIRST, role, text)), lambda s, r: CASE
+      WHEN s = 'start' AND r = 'system' THEN 'system' WHEN s IN ('start', 'system', 'assistant') AND r = 'user' THEN 'user'
+      WHEN s = 'user' AND r = 'assistant' THEN 'assistant' ELSE 'invalid' END) AS state
+  FROM marked GROUP BY conv_id, alone)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-  length(formatted) AS formatted_chars
+  length(formatted) AS formatted_chars, state, state = 'assistant' AS valid, 3 * n_turns AS segments
 FROM joined
 """
 
@@ -90,15 +93,12 @@ WITH words AS (
   FROM (SELECT row_number() OVER () AS rid, item_id AS id, text, 'i' AS kind FROM benchmark
         UNION ALL SELECT row_number() OVER (), doc_id, text, 'd' FROM documents)),
 grams AS (
-  SELECT rid, id, kind, i, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS s
+  SELECT DISTINCT rid, id, kind, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS s
   FROM (SELECT rid, id, kind, w, unnest(range(len(w) - 4)) AS i FROM words WHERE len(w) >= 5)),
-item_grams AS (SELECT DISTINCT rid, id, s FROM grams WHERE kind = 'i'),
-items AS (SELECT rid, id, count(*) AS q, greatest(8, pow(2, ceil(log2(count(*)))))::INT AS u FROM item_grams GROUP BY rid, id),
-met AS (
-  SELECT d.rid, d.id AS doc_id, g.rid AS irid, g.id AS item_id, d.s, d.i // t.u AS win, t.q
-  FROM grams d JOIN item_grams g ON d.s = g.s JOIN items t ON t.rid = g.rid WHERE d.kind = 'd'),
-wins AS (SELECT * FROM met UNION ALL SELECT rid, doc_id, irid, item_id, s, win - 1, q FROM met WHERE win > 0),
-held AS (SELECT rid, doc_id, irid, item_id, win, count(DISTINCT s) / any_value(q) AS containment FROM wins GROUP BY rid, doc_id, irid, item_id, win)
+items AS (SELECT rid, id, count(*) AS q FROM grams WHERE kind = 'i' GROUP BY rid, id),
+held AS (
+  SELECT d.rid, d.id AS doc_id, t.id AS item_id, count(*) / any_value(t.q) AS containment
+  FROM grams d JOIN grams g ON d.s = g.s AND g.kind = 'i' JOIN items t ON t.rid = g.rid WHERE d.kind = 'd' GROUP BY d.rid, d.id, t.rid, t.id)
 SELECT doc_id, item_id, max(containment) AS containment FROM held WHERE containment >= 0.8 GROUP BY doc_id, item_id
 """
 
@@ -118,3 +118,31 @@ counts AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
 SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM words LEFT JOIN counts USING (rid) LEFT JOIN kept USING (rid)
 """
+
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS t
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+shared AS (  -- crc32 of the decimal id, bit by bit, as an unsigned number modulo 4
+  SELECT conv_id, t, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT) % 4 AS h
+  FROM turns),
+rebuilt AS (
+  SELECT s.conv_id, list_concat(coalesce(b.t[1:s.h], []), s.t[s.h + 1:]) AS t
+  FROM shared s LEFT JOIN turns b ON b.conv_id = s.conv_id - s.conv_id % 20),
+prefixes AS (SELECT conv_id, len(t) AS whole, d, t[1:d] AS p, t[1:d - 1] AS up FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT p, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE whole = d), '') AS ends,
+    CASE WHEN d > 0 THEN len(list_filter(string_split_regex(any_value(p)[d].text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) ELSE 0 END AS words
+  FROM prefixes GROUP BY p, d),
+kids AS (SELECT up AS p, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up, d),
+counted AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (p, d)),
+below AS (
+  SELECT p[1:a] AS p, a AS d, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM counted) GROUP BY 1, 2)
+SELECT c.conv_id, c.d AS depth, u.conv_id AS parent_conv_id, c.n AS n_convs, c.n_children, b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens,
+  sha256(c.ends) AS ends_sha256
+FROM counted c JOIN below b USING (p, d) LEFT JOIN nodes u ON u.p = c.up AND u.d = c.d - 1
+"""

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.driver import read_table
-from . import chat, decontaminate, fingerprint, lang_id, licenses, mixing, order_minhash, quality, substring_dedup, toxicity, url_filter
-from .common import crc_mod
-from .oracles import CHAT_SQL, LEAK_SQL, LICENSE_SQL, REPEAT_SQL, URL_SQL
+from . import chat, decontaminate, fingerprint, lang_id, licenses, mixing, order_minhash, prefix_trie, quality, substring_dedup, toxicity, url_filter, whitening
+from .common import crc_mod, written
+from .oracles import CHAT_SQL, LEAK_SQL, LICENSE_SQL, REPEAT_SQL, TRIE_SQL, URL_SQL
 
 # The rules that the url query judges by.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -76,8 +76,25 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(prefix_trie.sequences(read_table(spark, sf_dir, "conversations")))
+    # the stand-in input: every conversation c starts with the first h turns of conversation c - c % 20
+    c, h = F.col("conv_id"), F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4)).cast("int")
+    heads = own.select(c.alias("_head"), F.slice("turns", 1, 3).alias("_first"))
+    rebuilt = own.join(heads, c - c % 20 == F.col("_head"), "left").select("conv_id", F.when(
+        F.col("_head").isNull(), F.expr("slice(turns, 1, 0)")).otherwise(F.slice("_first", F.lit(1), h)).alias("_start"), F.slice("turns", h + 1, F.size("turns")).alias("_rest"))
+    return prefix_trie.prefix_trie(rebuilt.select("conv_id", F.concat("_start", "_rest").alias("turns")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.usable(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding")
+    # the stand-in input: entries as longs
+    longs = F.transform("embedding", lambda c: F.floor(F.lit(1024.0) * c.cast("double")) + F.lit(100_000))
+    return whitening.whiten(rows.select("vec_id", longs.alias("x")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_fingerprint, op4_chat_format, op5_language_id, op6_url_filter, op7_toxicity, op8_quality, op9_license_scan,
-                              op10_decontaminate, op11_substring_dedup)}
+                              op10_decontaminate, op11_substring_dedup, op12_prefix_trie, op13_whitening)}
 ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL, "op6_url_filter": URL_SQL, "op9_license_scan": LICENSE_SQL,
-                           "op10_decontaminate": LEAK_SQL, "op11_substring_dedup": REPEAT_SQL}
+                           "op10_decontaminate": LEAK_SQL, "op11_substring_dedup": REPEAT_SQL, "op12_prefix_trie": TRIE_SQL}
