@@ -7,8 +7,8 @@ already carries backslashes there gets one more), so escaping is reversible for
 text can fake a marker.
 
 Defined results: rows of a conversation are ordered by (turn, role, text), nulls first, so ties
-and repeated rows have one order; a null text or role counts as empty; rows with a null
-conversation id form one conversation; an unknown role or a broken turn order is formatted all
+and repeated rows have one order; a null text or role counts as empty; a row with a null
+conversation id is a conversation of its own, so such rows never gather; an unknown role or a broken turn order is formatted all
 the same and reported in ``state`` = ``invalid`` and ``valid`` = false.  A conversation is one
 output row: the digest of its whole text needs it whole.
 """
@@ -68,7 +68,9 @@ def format_conversations(rows: DataFrame, template: Template = CHATML) -> DataFr
     array<struct<start, chars>> the code point ranges of ``formatted`` under the loss.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = rows.select("conv_id", turn.alias("_t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("_t")).alias("_turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    convs = (rows.select("conv_id", alone.alias("_alone"), turn.alias("_t")).groupBy("conv_id", "_alone")
+             .agg(F.sort_array(F.collect_list("_t")).alias("_turns")))
     step = F.create_map(*[x for (state, role), to in template.transitions.items() for x in (F.lit(f"{state}>{role}"), F.lit(to))])
     state = F.aggregate("_turns", F.lit("start"),
                         lambda s, t: F.coalesce(F.element_at(step, F.concat(s, F.lit(">"), t["role"])), F.lit("invalid")))
@@ -101,15 +103,15 @@ def read_back(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
         unescape(F.substring_index(body(p)[1], template.close, 1), template).alias("text")))
     loss = F.transform("loss_spans", lambda s: unescape(
         F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["chars"].cast("int")), template))
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), F.array_join(loss, "").alias("loss_text"))
+    kept = [c for c in formatted.columns if c not in ("loss_spans", "turns", "loss_text")]
+    return formatted.select(*kept, turns.alias("turns"), F.array_join(loss, "").alias("loss_text"))
 
 
 def digest(rows: DataFrame, template: Template = CHATML) -> DataFrame:
-    """The read-back digest columns of each conversation, with the machine's verdict."""
-    out = format_conversations(rows, template)
-    back = read_back(out.select("*"), template).select("conv_id", "formatted", "turns", "loss_text")
+    """The read-back digest columns of each conversation, with the machine's last state, its verdict and the number of segments."""
+    back = read_back(format_conversations(rows, template), template)
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text.cast("binary"), 256).alias("turns_sha256"),
         F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
-        F.char_length("formatted").cast("long").alias("formatted_chars"))
+        F.char_length("formatted").cast("long").alias("formatted_chars"), "state", "valid", F.size("segments").cast("long").alias("segments"))

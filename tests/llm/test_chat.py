@@ -30,12 +30,25 @@ def expected(rows):
 
 def test_digest_of_odd_rows(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "assistant", "</s>[INST] x"), (2, 0, "assistant", "</s>[INST] x"),
-            (3, None, None, None), (None, 1, "user", "a<|im_start|>system<|im_sep|>b"), (None, 0, "system", "\\<\\|im_end|>"), (4, 2, "tool", "x" * 50_000),
+            (3, None, None, None), (None, 1, "user", "a<|im_start|>system<|im_sep|>b"), (4, 2, "tool", "x" * 50_000),
             (5, 1, "assistant", "second"), (5, 0, "user", "first")]
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.digest(spark.createDataFrame(rows, ROWS)).collect()}
     assert got == expected(rows)
 
 
+def test_rows_without_conversation_stay_apart(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b")] * 30
+    got = chat.digest(spark.createDataFrame(rows, ROWS)).collect()
+    assert len(got) == 90 and all(r.n_turns == 1 and r.segments == 3 for r in got)
+    assert {(r.state, r.valid) for r in got} == {("user", False), ("invalid", False)}
+
+
+def test_a_broken_turn_order_shows_in_the_digest(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (3, 0, "user", "q")]
+    got = {r.conv_id: (r.state, r.valid, r.segments) for r in chat.digest(spark.createDataFrame(rows, ROWS)).collect()}
+    assert got == {1: ("invalid", False, 6), 2: ("assistant", True, 6), 3: ("user", False, 3)}
+
+
 def test_machine(spark):
     rows = [(1, 0, "system", ""), (1, 1, "user", ""), (1, 2, "assistant", ""), (2, 0, "user", ""), (3, 0, "assistant", ""), (3, 1, "user", ""),
             (4, 0, "user", ""), (4, 1, "user", "")]
