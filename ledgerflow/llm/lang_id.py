@@ -44,19 +44,22 @@ ship_by_value(__name__)
 
 
 def sample_texts(docs: DataFrame, learn: Column, sample_bytes: int, seed: int) -> dict[str, list[str]]:
-    """Texts by language, about ``sample_bytes`` of each, in the order of a seeded hash of the id.
+    """Texts by language, about ``sample_bytes`` of each, in the order of a seeded hash of id and text.
+
+    Rows with equal ids and texts count once, so a repeated row neither fills the sample nor gathers in one task.
 
     A text is cut to a PARTS-th of the sample, or to an equal part of it where a language has fewer texts,
     so a few very long ones neither fill the sample nor lower the share of the others.
     """
     rows = (docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-            .select("doc_id", "lang", F.substring("text", 1, sample_bytes).alias("text"), unit_hash(F.col("doc_id"), seed=seed).alias("_u")))
+            .select("lang", F.substring("text", 1, sample_bytes).alias("text"), unit_hash(F.col("doc_id"), F.col("text"), seed=seed).alias("_u")))
     counts = rows.groupBy("lang").agg(F.least(F.count("*"), F.lit(PARTS)).alias("_parts"))
     cut = F.substring(F.col("text"), F.lit(1), F.ceil(F.lit(float(sample_bytes)) / F.col("_parts")).cast("int"))
     rows = rows.join(F.broadcast(counts), "lang").withColumn("text", cut).withColumn("_n", F.octet_length("text"))  # one row per language is broadcast
     share = rows.groupBy("lang").agg((F.lit(4.0 * sample_bytes) / F.sum("_n")).alias("_share"), F.min("_u").alias("_least"))
     near = rows.join(F.broadcast(share), "lang").where((F.col("_u") < F.col("_share")) | (F.col("_u") == F.col("_least")))
-    before = F.sum("_n").over(Window.partitionBy("lang").orderBy("_u", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    near = near.groupBy("lang", "_u").agg(F.min("text").alias("text")).withColumn("_n", F.octet_length("text"))
+    before = F.sum("_n").over(Window.partitionBy("lang").orderBy("_u").rowsBetween(Window.unboundedPreceding, -1))
     kept = near.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < sample_bytes)
     texts: dict[str, list[str]] = {}
     for r in sorted(kept.select("lang", "text").collect(), key=lambda r: (r["lang"], r["text"])):
