@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.intervals import as_of
 from ..functions.money import MONEY
 
 # Tax types of every tenant (tax_name, tax_code, tax_rate %, is_active).
@@ -32,8 +33,6 @@ TAX_SCOPES = {"WHT": "SALES", "AIT": "ALL", "VAT": "SALES", "SALES_TAX": "SALES"
 # Which ledger role carries each tax code's liability.
 TAX_ACCOUNT_ROLES = {"VAT": "output_vat_payable", "SALES_TAX": "output_vat_payable"}
 
-MAX_RATES = 10_000
-
 
 def tax_types_for(clients: DataFrame) -> DataFrame:
     """Every client's tax types: a generator over the fixed list (no join).
@@ -138,21 +137,6 @@ def applicable_tax_rules(transactions: DataFrame, tax_types: DataFrame, rules: D
 def effective_tax_rate(transactions: DataFrame, tax_rates: DataFrame, tax_type: str = "VAT") -> DataFrame:
     """Rate in force on each transaction date: latest effective_date ≤ date whose expiry is after it.
 
-    The rates of one tax type are a dimension of at most ``MAX_RATES`` rows (checked); the as-of
-    pick is an expression over them inside each transaction's row, so transactions are neither
-    joined nor shuffled, and an open-ended rate has no last year."""
-    rates = (tax_rates.where(F.col("tax_type") == tax_type).select("rate_id", "rate_percentage", "effective_date", "expiry_date")
-             .limit(MAX_RATES + 1).collect())
-    if len(rates) > MAX_RATES:
-        raise ValueError(f"more than {MAX_RATES} rates of tax type {tax_type}")
-    kinds = dict(tax_rates.dtypes)
-    entry = lambda r: F.struct(F.lit(r["effective_date"]).cast("date").alias("effective_date"),
-                               F.lit(r["rate_id"]).cast(kinds["rate_id"]).alias("rate_id"),
-                               F.lit(r["rate_percentage"]).cast(kinds["rate_percentage"]).alias("rate_percentage"),
-                               F.lit(r["expiry_date"]).cast("date").alias("expiry_date"))
-    shape = f"array<struct<effective_date:date,rate_id:{kinds['rate_id']},rate_percentage:{kinds['rate_percentage']},expiry_date:date>>"
-    known = F.array(*[entry(r) for r in rates]).cast(shape)
-    holds = F.filter(known, lambda r: (r["effective_date"] <= F.col("date")) & (r["expiry_date"].isNull() | (F.col("date") < r["expiry_date"])))
-    best = F.array_max(F.transform(holds, lambda r: F.struct(r["effective_date"], r["rate_id"], r["rate_percentage"])))
-    return (transactions.select("transaction_id", "date", best.alias("_best"))
-            .select("transaction_id", "date", F.col("_best.rate_id").alias("rate_id"), F.col("_best.rate_percentage").alias("rate_percentage")))
+    Any number of rates: both sides meet in an equi join over dyadic blocks of days (``as_of``)."""
+    rates = tax_rates.where(F.col("tax_type") == tax_type)
+    return as_of(transactions.select("transaction_id", "date"), rates, [], "date", "effective_date", "expiry_date", ["rate_id", "rate_percentage"])

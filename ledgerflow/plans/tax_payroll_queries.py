@@ -157,6 +157,24 @@ def _effective_tax_rate(b):
     return tax.effective_tax_rate(b.transactions.select("transaction_id", "date"), rates, "VAT")
 
 
+@query("effective_tax_rate_history", "X12", views=["transactions"], money=["rate_percentage"], oracle="""
+WITH r AS (SELECT l_orderkey * 16 + l_linenumber AS rate_id, CAST(l_partkey % 2500 / 100 AS DECIMAL(5,2)) AS rate_percentage,
+                  CAST(l_shipdate AS DATE) AS effective_date,
+                  CASE WHEN l_suppkey % 97 <> 0 THEN CAST(CAST(l_shipdate AS DATE) + CAST(l_quantity % 9 AS INT) AS DATE) END AS expiry_date FROM lineitem),
+d AS (SELECT DISTINCT date FROM transactions),
+c AS (SELECT d.date, max_by(struct_pack(a := rate_id, b := rate_percentage), struct_pack(x := effective_date, y := rate_id, z := rate_percentage)) AS best
+      FROM d JOIN r ON d.date >= r.effective_date AND (r.expiry_date IS NULL OR d.date < r.expiry_date) GROUP BY d.date)
+SELECT t.transaction_id, t.date, c.best.a AS rate_id, c.best.b AS rate_percentage FROM transactions t LEFT JOIN c ON t.date = c.date""")
+def _effective_tax_rate_history(b):
+    # one rate per order line: tens of thousands of overlapping rates of one type, some of them open-ended
+    ship = F.col("l_shipdate").cast("date")
+    rates = b.raw("lineitem").select(
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("rate_id"), F.lit("VAT").alias("tax_type"),
+        (F.col("l_partkey") % 2500 / 100).cast("decimal(5,2)").alias("rate_percentage"), ship.alias("effective_date"),
+        F.when(F.col("l_suppkey") % 97 != 0, F.date_add(ship, (F.col("l_quantity") % 9).cast("int"))).alias("expiry_date"))
+    return tax.effective_tax_rate(b.transactions.select("transaction_id", "date"), rates, "VAT")
+
+
 # ---- payroll -------------------------------------------------------------------------
 
 def employees(b):
