@@ -11,8 +11,14 @@ read at each statement date.  Matching bank rows to ledger legs is tiered:
   min_{h<=g}(P_h - N_h))`` legs are used after g, and the r-th row of the date takes leg
   ``K_{g-1} + r`` if that is at most ``K_g``.  Rows are ranked within their date only and the counts
   have one row per date, so a common amount never meets whole in one task;
-* the exact tier comes first, then the near tiers (one cent less, one cent more, ... up to the
-  tolerance) on what is left.  Tiers are equi joins; there is no loop over rows and no pair search.
+* the exact tier comes first, an equi join over all amounts at once;
+* near amounts are matched in rounds of mutual best choice between amounts, not rows.  A bank amount
+  and a leg amount of one account are a candidate pair if they are within the tolerance and a leg is
+  dated in time for a row; each amount chooses the nearest partner (one below before one above), and
+  pairs that choose each other are matched at once by the same closed form.  That is the greedy
+  order of the pairs by distance, so the matches are those of one tier after the other, cent by
+  cent, but the rounds follow how choices depend on each other, not the tolerance.  Candidates meet
+  in a band join on buckets as wide as the tolerance; only one row per amount takes part in it.
 """
 
 from __future__ import annotations
@@ -23,8 +29,6 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY, TOTAL
 from ..session import ensure_checkpoint_dir
 
-MAX_TOLERANCE_CENTS = 10
-
 
 def signed_bank(bank_tx: DataFrame) -> DataFrame:
     return bank_tx.withColumn("signed_amount", F.when(F.col("transaction_type") == "CREDIT", F.col("amount"))
@@ -134,10 +138,14 @@ def match_tier(bank_rows: DataFrame, legs: DataFrame, shift: int = 0) -> DataFra
     ``bank_rows``: bank_trans_id, account_id, statement_date, transaction_date, amt (signed
     cents).  ``legs``: journal_id, account_id, date, amt (signed cents).
     Returns matches (bank_trans_id, journal_id, matched_amount)."""
+    return match_keyed(bank_rows.withColumn("_key", F.col("amt") + shift), legs.withColumn("_key", F.col("amt")))
+
+
+def match_keyed(bank_rows: DataFrame, legs: DataFrame) -> DataFrame:
+    """Bank rows and legs that share account and ``_key``: each row in order takes the earliest unused leg in time."""
     key = ["account_id", "_key"]
-    b = bank_rows.select("bank_trans_id", "account_id", "statement_date", "transaction_date", "amt",
-                         (F.col("amt") + shift).alias("_key"))
-    l = legs.select("journal_id", "account_id", "date", F.col("amt").alias("_key"))
+    b = bank_rows.select("bank_trans_id", "account_id", "statement_date", "transaction_date", "amt", "_key")
+    l = legs.select("journal_id", "account_id", "date", "_key")
     by_date = (b.groupBy(*key, F.col("statement_date").alias("date")).agg(F.count(F.lit(1)).alias("_n"))
                .withColumns({"_c": F.lit(0).cast("long"), "_tag": F.lit(1)}))
     leg_dates = (l.groupBy(*key, "date").agg(F.count(F.lit(1)).alias("_c"))
@@ -171,24 +179,54 @@ def match_inputs(bank_tx: DataFrame, journals: DataFrame, accounts: DataFrame) -
     return br, lg
 
 
+def best_pairs(bank_rows: DataFrame, legs: DataFrame, tolerance: int) -> DataFrame:
+    """account_id, _bank, _leg: amounts (cents) within ``tolerance`` that are each other's nearest partner in time."""
+    wide = tolerance + 1
+    b = (bank_rows.groupBy("account_id", F.col("amt").alias("_bank")).agg(F.max("statement_date").alias("_last"))
+         .withColumn("_bucket", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("_bank") / wide) + i))))
+    l = (legs.groupBy("account_id", F.col("amt").alias("_leg")).agg(F.min("date").alias("_first"))
+         .withColumn("_bucket", F.floor(F.col("_leg") / wide)))
+    off = F.col("_leg") - F.col("_bank")
+    near = (b.join(l, ["account_id", "_bucket"]).where((F.abs(off) <= tolerance) & (F.col("_first") <= F.col("_last")))
+            .select("account_id", "_bank", "_leg", F.struct(F.abs(off).alias("far"), (off > 0).alias("above")).alias("_off")))
+    of_bank = near.groupBy("account_id", "_bank").agg(F.min(F.struct("_off", "_leg")).alias("_x")).select("account_id", "_bank", "_x._leg")
+    of_leg = near.groupBy("account_id", "_leg").agg(F.min(F.struct("_off", "_bank")).alias("_x")).select("account_id", "_leg", "_x._bank")
+    return of_bank.join(of_leg, ["account_id", "_bank", "_leg"])
+
+
+def match_near(bank_rows: DataFrame, legs: DataFrame, tolerance: int) -> DataFrame:
+    """Matches within ``tolerance`` cents, in rounds; ends when no bank amount has a partner left."""
+    spark = bank_rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    found = spark.createDataFrame([], f"bank_trans_id {bank_rows.schema['bank_trans_id'].dataType.simpleString()}, "
+                                      f"journal_id {legs.schema['journal_id'].dataType.simpleString()}, matched_amount {MONEY.simpleString()}")
+    while True:
+        pairs = best_pairs(bank_rows, legs, tolerance).checkpoint()
+        if pairs.isEmpty():
+            return found
+        b = bank_rows.join(pairs.select("account_id", F.col("_bank").alias("amt"), F.col("_leg").alias("_key")), ["account_id", "amt"])
+        l = legs.join(pairs.select("account_id", F.col("_leg").alias("amt"), F.col("_leg").alias("_key")), ["account_id", "amt"])
+        new = match_keyed(b, l).checkpoint()
+        found = found.unionByName(new)
+        bank_rows = bank_rows.join(new.select("bank_trans_id"), "bank_trans_id", "left_anti").checkpoint()
+        legs = legs.join(new.select("journal_id"), "journal_id", "left_anti").checkpoint()
+
+
 def auto_match_bank(bank_tx: DataFrame, journals: DataFrame, accounts: DataFrame, statements: DataFrame,
                     tolerance: float = 0.01) -> dict[str, DataFrame]:
     """Match each bank row to one unused leg of its account (|signed difference| ≤ tolerance, leg
-    dated on or before the row's statement date).
+    dated on or before the row's statement date); any tolerance of whole cents.
 
     Returns {"matches": ..., "headers": one IN_PROGRESS reconciliation per statement with its
-    balances and counts}.  The matches of a tier are cut with a checkpoint, so the plan does not
-    grow with the tolerance."""
+    balances and counts}."""
     tol = int(round(tolerance * 100))
-    if tol > MAX_TOLERANCE_CENTS:
-        raise ValueError(f"tolerance above {MAX_TOLERANCE_CENTS} cents")
     ensure_checkpoint_dir(bank_tx.sparkSession)
     br, lg = match_inputs(bank_tx, journals, accounts)
     matches = match_tier(br, lg).checkpoint()
-    for shift in [x for c in range(1, tol + 1) for x in (-c, c)]:
-        left_b = br.join(matches.select("bank_trans_id"), "bank_trans_id", "left_anti")
-        left_l = lg.join(matches.select("journal_id"), "journal_id", "left_anti")
-        matches = matches.unionByName(match_tier(left_b, left_l, shift).checkpoint())
+    if tol > 0:
+        left_b = br.join(matches.select("bank_trans_id"), "bank_trans_id", "left_anti").checkpoint()
+        left_l = lg.join(matches.select("journal_id"), "journal_id", "left_anti").checkpoint()
+        matches = matches.unionByName(match_near(left_b, left_l, tol))
     done = br.join(matches.select("bank_trans_id", F.lit(1).alias("_hit")), "bank_trans_id", "left")
     counts = done.groupBy("account_id", "statement_date").agg(
         F.count("_hit").alias("matched_count"), F.count_if(F.col("_hit").isNull()).alias("unmatched_count"))

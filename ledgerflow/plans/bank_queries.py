@@ -116,6 +116,34 @@ def _auto_match_bank(b):
     return _auto_match(b)["matches"]
 
 
+def _greedy_sql(cents: int) -> str:
+    """Pairs of rows in one order (distance, below before above, then the dates and ids), taken in rounds of mutual first choice."""
+    return f"""WITH RECURSIVE br AS (SELECT bank_trans_id, account_id, last_day(transaction_date) AS statement_date, transaction_date,
+       CAST(CASE WHEN transaction_type = 'CREDIT' THEN amount ELSE -amount END * 100 AS BIGINT) AS amt FROM bank_tx),
+lg AS (SELECT j.journal_id, a.account_id, j.date, CAST(CASE WHEN j.journal THEN j.amount ELSE -j.amount END * 100 AS BIGINT) AS amt
+       FROM journals j JOIN bank_accounts a ON a.chart_id = j.chart_id),
+pairs AS (SELECT bank_trans_id, journal_id, br.amt, row_number() OVER (ORDER BY abs(lg.amt - br.amt), lg.amt > br.amt, br.statement_date,
+                 br.transaction_date, bank_trans_id, lg.date, journal_id) AS place
+          FROM br JOIN lg ON br.account_id = lg.account_id AND lg.amt BETWEEN br.amt - {cents} AND br.amt + {cents} AND lg.date <= br.statement_date),
+rounds AS (SELECT *, FALSE AS won FROM pairs
+           UNION ALL
+           SELECT bank_trans_id, journal_id, amt, place, win FROM (
+             SELECT *, bool_or(win) OVER (PARTITION BY bank_trans_id) AS bank_won, bool_or(win) OVER (PARTITION BY journal_id) AS leg_won FROM (
+               SELECT *, place = MIN(place) OVER (PARTITION BY bank_trans_id) AND place = MIN(place) OVER (PARTITION BY journal_id) AS win
+               FROM rounds WHERE NOT won) a) c
+           WHERE win OR NOT (bank_won OR leg_won))
+SELECT bank_trans_id, journal_id, CAST(CAST(amt AS DECIMAL(20,0)) / 100 AS DECIMAL(15,2)) AS matched_amount FROM rounds WHERE won"""
+
+
+def _register_tolerance(name: str, tolerance: float):
+    query(name, "B3", views=["bank_tx", "journals", "bank_accounts"], money=["matched_amount"], oracle=_greedy_sql(round(tolerance * 100)))(
+        lambda b: bank.auto_match_bank(b.bank_tx, b.journals, b.bank_accounts, bank.monthly_statements(b.bank_tx), tolerance)["matches"])
+
+
+_register_tolerance("auto_match_within_1", 1.00)
+_register_tolerance("auto_match_within_50", 50.00)
+
+
 @query("auto_match_headers", "B3", views=_B, money=["statement_balance", "book_balance"], oracle=_MATCH_SQL + ",\n" + _B1_SQL[len("WITH "):] + """,
 c AS (SELECT br.account_id, br.statement_date, COUNT(m.bank_trans_id) AS matched_count, COUNT(*) - COUNT(m.bank_trans_id) AS unmatched_count
       FROM br LEFT JOIN matches m ON br.bank_trans_id = m.bank_trans_id GROUP BY 1, 2)

@@ -77,11 +77,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "tax_legs": (("tax_entries",),
                  "SELECT transaction_id, CAST(SUM(tax_cents) + CASE WHEN transaction_id % 83 = 0 THEN 1 ELSE 0 END AS BIGINT) AS amount_cents, "
                  "'Output Tax Payable' AS account FROM tax_entries GROUP BY transaction_id"),
-    "bank_tx": ((), "SELECT o_orderkey AS bank_trans_id, CAST(o_orderkey % 2 + 1 AS INT) AS account_id, "
+    "bank_tx": ((), "SELECT o_orderkey AS bank_trans_id, CAST(o_orderkey // 8 % 5 + 1 AS INT) AS account_id, "
                     "CAST(CAST(o_orderdate AS DATE) + INTERVAL '2' DAY AS DATE) AS transaction_date, "
                     "CASE WHEN o_orderkey % 5 = 0 THEN 'DEBIT' ELSE 'CREDIT' END AS transaction_type, "
                     "CAST(o_totalprice AS DECIMAL(15,2)) AS amount FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 7 <> 0"),
-    "bank_accounts": ((), "SELECT * FROM (VALUES (1, 'ACCT-0001', 'Bank One', 101), (2, 'ACCT-0002', 'Bank Two', 201)) "
+    "bank_accounts": ((), "SELECT * FROM (VALUES (1, 'ACCT-0001', 'Bank One', 101), (2, 'ACCT-0002', 'Bank Two', 201), "
+                          "(3, 'ACCT-0003', 'Bank Three', 301), (4, 'ACCT-0004', 'Bank Four', 401), (5, 'ACCT-0005', 'Bank Five', 501)) "
                           "AS t(account_id, account_number, bank_name, chart_id)"),
     "statements": (("bank_tx",),
                    "SELECT CAST(account_id AS VARCHAR) || '-' || strftime(statement_date, '%Y%m') AS statement_id, account_id, statement_date, "

@@ -72,7 +72,8 @@ ROLE_PREFIXES = [
 
 # Bank accounts (account_id, account_number, bank_name, chart_id); each is the
 # cash-on-hand chart of the client with the same id.
-BANK_ACCOUNTS = [(1, "ACCT-0001", "Bank One", 101), (2, "ACCT-0002", "Bank Two", 201)]
+BANK_ACCOUNTS = [(1, "ACCT-0001", "Bank One", 101), (2, "ACCT-0002", "Bank Two", 201), (3, "ACCT-0003", "Bank Three", 301),
+                 (4, "ACCT-0004", "Bank Four", 401), (5, "ACCT-0005", "Bank Five", 501)]
 
 LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
 
@@ -263,7 +264,7 @@ class Bridge:
         o = self.raw("orders")
         key = F.col("o_orderkey")
         return o.where((F.col("o_orderstatus") == "F") & (key % 7 != 0)).select(
-            key.alias("bank_trans_id"), (key % 2 + 1).cast("int").alias("account_id"),
+            key.alias("bank_trans_id"), (F.floor(key / 8) % 5 + 1).cast("int").alias("account_id"),
             F.date_add(F.col("o_orderdate").cast("date"), 2).alias("transaction_date"),
             F.when(key % 5 == 0, "DEBIT").otherwise("CREDIT").alias("transaction_type"),
             _money(F.col("o_totalprice")).alias("amount"))
