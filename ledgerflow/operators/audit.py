@@ -9,6 +9,10 @@ through ``mapInPandas`` with O(1) state (the running tail per chain), so even
 a chain holding a third of the log is never materialised in memory; appends
 start from the stored tail.  Verification needs no order dependency and runs
 fully parallel with the chunked ``lag``.
+
+A long log is better kept as a two-level chain: segments per chain, day and block of ids are folded
+in parallel, and a short anchor chain over their last hashes keeps them in order, so that neither a row nor
+a whole segment can be changed, dropped or moved unseen.
 """
 
 from __future__ import annotations
@@ -98,6 +102,60 @@ def verify_hash_chain(log: DataFrame, chain_key: str = "table_name", order_id: s
     return bad.unionByName(cut)
 
 
+#: Ids of one segment, at most.
+SEGMENT = 1 << 16
+_DAY_BITS = 32
+
+
+def segment_log(rows: DataFrame, chain_key: str = "table_name", order_id: str = "audit_id", day: str = "changed_at",
+                segment_ids: int = SEGMENT) -> DataFrame:
+    """Adds ``segment_no`` and ``segment``: one for each chain, day and block of ``segment_ids`` ids.
+
+    Segments of a chain are ordered by ``segment_no`` (day, then block); a null day stands before all others."""
+    on = F.coalesce(F.unix_date(F.col(day).cast("date")) + 1, F.lit(0)).cast("long")
+    number = F.call_function("shiftleft", on, F.lit(_DAY_BITS)) + F.floor(F.col(order_id) / F.lit(segment_ids))
+    return rows.withColumn("segment_no", number).withColumn(
+        "segment", F.concat_ws("|", F.coalesce(F.col(chain_key).cast("string"), F.lit("")), F.col("segment_no").cast("string")))
+
+
+def segment_chain(rows: DataFrame, chain_key: str = "table_name", order_id: str = "audit_id", day: str = "changed_at",
+                  segment_ids: int = SEGMENT) -> DataFrame:
+    """The lower level of a two-level chain: every segment is a hash chain of its own.
+
+    A chain with a third of the log is folded by as many tasks as it has segments; ``anchor_chain`` links them."""
+    return hash_chain(segment_log(rows, chain_key, order_id, day, segment_ids), "segment", [order_id], table_col=chain_key)
+
+
+def anchor_chain(chained: DataFrame, chain_key: str = "table_name", order_id: str = "audit_id", tails: DataFrame | None = None) -> DataFrame:
+    """The upper level: per chain, a hash chain over its segments in order, each with its rows, last id and last hash.
+
+    ``chain_key, segment_no, segment, n_rows, last_id, head_hash, prev_hash, row_hash``.  One row per segment is
+    folded; ``tails`` (chain_key, tail_hash) continues stored anchors when later segments arrive."""
+    heads = chained.groupBy(chain_key, "segment_no", "segment").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.struct(order_id, "row_hash")).alias("_last")).select(
+        chain_key, "segment_no", "segment", "n_rows", F.col(f"_last.{order_id}").alias("last_id"), F.col("_last.row_hash").alias("head_hash"))
+    linked = hash_chain(heads, chain_key, ["segment_no"], table_col="segment", op_col="n_rows", record_col="head_hash", tails=tails)
+    return linked.withColumn("n_rows", F.col("n_rows").cast("long"))
+
+
+def verify_segments(chained: DataFrame, anchors: DataFrame, chain_key: str = "table_name", order_id: str = "audit_id") -> DataFrame:
+    """Problems of a two-level chain: segment, id, problem.
+
+    Rows inside a segment as in ``verify_hash_chain``; MISSING_TAIL where a segment does not end in its anchor's
+    head; WRONG_COUNT where it has another number of rows; NO_ANCHOR for rows of a segment without an anchor;
+    ANCHOR_BROKEN_LINK and ANCHOR_ALTERED_ROW for the anchors themselves, with their last id.  All levels are
+    verified in parallel."""
+    inside = verify_hash_chain(chained, "segment", order_id, table_col=chain_key, tails=anchors.select("segment", F.col("head_hash").alias("tail_hash")))
+    counts = chained.groupBy("segment").agg(F.count(F.lit(1)).alias("_n"), F.max(order_id).alias("_id"))
+    both = counts.join(anchors.select("segment", F.col("n_rows").alias("_rows")), "segment", "left")
+    counted = both.where(~F.col("_n").eqNullSafe(F.col("_rows"))).select(
+        "segment", F.col("_id").alias(order_id), F.when(F.col("_rows").isNull(), "NO_ANCHOR").otherwise("WRONG_COUNT").alias("problem"))
+    upper = verify_hash_chain(anchors, chain_key, "segment_no", table_col="segment", op_col="n_rows", record_col="head_hash")
+    upper = upper.join(anchors.select(chain_key, "segment_no", "segment", "last_id"), [chain_key, "segment_no"]).select(
+        "segment", F.col("last_id").alias(order_id), F.concat(F.lit("ANCHOR_"), F.col("problem")).alias("problem"))
+    return inside.select("segment", order_id, "problem").unionByName(counted).unionByName(upper)
+
+
 def _row_json(df_cols: Sequence[str], prefix: str) -> Column:
     return F.to_json(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in df_cols]), {"ignoreNullFields": "false"})
 

@@ -84,6 +84,79 @@ def _verify_hash_chain_tampered(b):
     return audit.verify_hash_chain(tampered, tails=tails.select("table_name", "tail_hash"))
 
 
+# ---- two-level chain: segments per table, day and block of ids, and anchors over their last hashes ----
+
+SEGMENT_IDS = 256
+
+_SEG_SQL = f"""WITH RECURSIVE {_LOG_SQL},
+seg AS (SELECT *, (CAST(date_diff('day', DATE '1970-01-01', CAST(changed_at AS DATE)) AS BIGINT) + 1) * 4294967296 + audit_id // {SEGMENT_IDS} AS segment_no FROM alog),
+lg AS (SELECT *, table_name || '|' || CAST(segment_no AS VARCHAR) AS segment, row_number() OVER (PARTITION BY table_name, segment_no ORDER BY audit_id) AS rn FROM seg),
+chain AS (SELECT lg.*, CAST(NULL AS VARCHAR) AS prev_hash, md5(table_name || operation || record) AS row_hash FROM lg WHERE rn = 1
+          UNION ALL
+          SELECT lg.*, c.row_hash AS prev_hash, md5(c.row_hash || lg.table_name || lg.operation || lg.record) AS row_hash
+          FROM lg JOIN chain c ON lg.segment = c.segment AND lg.rn = c.rn + 1),
+heads AS (SELECT table_name, segment_no, segment, COUNT(*) AS n_rows, MAX(audit_id) AS last_id, max_by(row_hash, audit_id) AS head_hash,
+                 row_number() OVER (PARTITION BY table_name ORDER BY segment_no) AS rn FROM chain GROUP BY table_name, segment_no, segment),
+anchors AS (SELECT heads.*, CAST(NULL AS VARCHAR) AS prev_hash, md5(segment || CAST(n_rows AS VARCHAR) || head_hash) AS row_hash FROM heads WHERE rn = 1
+            UNION ALL
+            SELECT h.*, a.row_hash AS prev_hash, md5(a.row_hash || h.segment || CAST(h.n_rows AS VARCHAR) || h.head_hash) AS row_hash
+            FROM heads h JOIN anchors a ON h.table_name = a.table_name AND h.rn = a.rn + 1)"""
+
+
+def _segments(b):
+    return audit.segment_chain(audit_log(b), segment_ids=SEGMENT_IDS)
+
+
+@query("hash_chain_segments", "A1", views=["event_log"], oracle=_SEG_SQL + "\nSELECT * EXCLUDE (rn) FROM chain")
+def _hash_chain_segments(b):
+    return _segments(b)
+
+
+@query("hash_chain_anchors", "A1", views=["event_log"], oracle=_SEG_SQL + "\nSELECT * EXCLUDE (rn) FROM anchors")
+def _hash_chain_anchors(b):
+    return audit.anchor_chain(_segments(b))
+
+
+@query("hash_chain_global", "A1", views=["event_log"], oracle=f"""WITH {_LOG_SQL},
+folded AS (SELECT list_reduce(list_concat([['']], list([table_name || operation || record] ORDER BY audit_id)),
+                              lambda a, x: list_append(a, md5(a[len(a)] || x[1]))) AS h FROM alog),
+lg AS (SELECT *, row_number() OVER (ORDER BY audit_id) AS rn FROM alog)
+SELECT lg.* EXCLUDE (rn), 'audit_log' AS log_name, CASE WHEN rn > 1 THEN h[rn] END AS prev_hash, h[rn + 1] AS row_hash FROM lg, folded""")
+def _hash_chain_global(b):
+    """The one chain over all tables that the base schema keeps: inherently one fold, streamed in constant memory."""
+    return audit.hash_chain(audit_log(b).withColumn("log_name", F.lit("audit_log")), "log_name", ["audit_id"])
+
+
+# one row in 97 altered, the last row of every seventh segment cut off, every eleventh anchor's count forged
+_SEG_TAMPERED_SQL = _SEG_SQL + """,
+tam AS (SELECT c.* REPLACE (CASE WHEN c.audit_id % 97 = 0 THEN '{}' ELSE CAST(c.record AS VARCHAR) END AS record)
+        FROM chain c JOIN heads h ON h.segment = c.segment WHERE NOT (h.segment_no % 7 = 0 AND c.audit_id = h.last_id)),
+forged AS (SELECT * REPLACE (CASE WHEN segment_no % 11 = 0 THEN n_rows + 1 ELSE n_rows END AS n_rows) FROM anchors),
+v AS (SELECT *, lag(row_hash) OVER (PARTITION BY segment ORDER BY audit_id) AS expected, md5(COALESCE(prev_hash, '') || table_name || operation || record) AS again FROM tam),
+ends AS (SELECT segment, MAX(audit_id) AS last_id, max_by(row_hash, audit_id) AS row_hash, COUNT(*) AS n FROM tam GROUP BY segment)
+SELECT segment, audit_id, CASE WHEN row_hash <> again THEN 'ALTERED_ROW' ELSE 'BROKEN_LINK' END AS problem FROM v
+WHERE prev_hash IS DISTINCT FROM expected OR row_hash <> again
+UNION ALL
+SELECT f.segment, e.last_id, 'MISSING_TAIL' FROM forged f LEFT JOIN ends e ON e.segment = f.segment WHERE e.row_hash IS DISTINCT FROM f.head_hash
+UNION ALL
+SELECT e.segment, e.last_id, 'WRONG_COUNT' FROM ends e JOIN forged f ON f.segment = e.segment WHERE e.n <> f.n_rows
+UNION ALL
+SELECT segment, last_id, 'ANCHOR_ALTERED_ROW' FROM forged
+WHERE row_hash <> md5(COALESCE(prev_hash, '') || segment || CAST(n_rows AS VARCHAR) || head_hash)"""
+
+
+@query("verify_segments_tampered", "A1", views=["event_log"], oracle=_SEG_TAMPERED_SQL)
+def _verify_segments_tampered(b):
+    log = _segments(b)
+    anchors = audit.anchor_chain(log)
+    i, cut = F.col("audit_id"), F.col("segment_no") % 7 == 0
+    tampered = (log.join(anchors.where(cut).select("segment", F.col("last_id").alias("_last")), "segment", "left")
+                .where(F.col("_last").isNull() | (i != F.col("_last"))).drop("_last")
+                .withColumn("record", F.when(i % 97 == 0, F.lit("{}")).otherwise(F.col("record"))))
+    forged = anchors.withColumn("n_rows", F.when(F.col("segment_no") % 11 == 0, F.col("n_rows") + 1).otherwise(F.col("n_rows")))
+    return audit.verify_segments(tampered, forged)
+
+
 def cust_before(b):
     return b.customers.select("customer_id", "client_id", "customer_name",
                               F.concat(F.lit("note-"), F.col("customer_id").cast("string")).alias("internal_notes"))
