@@ -9,6 +9,7 @@ so the big side is never widened and no visibility is decided per row.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -73,17 +74,23 @@ def secure_view(df: DataFrame, role: str, kind: str) -> DataFrame:
     return df.select(*cols)
 
 
-def _key(secret: str) -> Column:
-    # AES needs a 16/24/32-byte key: derive 32 bytes from the secret
-    return F.unhex(F.sha2(F.lit(secret), 256))
+def _key(df: DataFrame, secret: str) -> Column:
+    """The AES key (SHA-256 of the secret) as a scalar subquery over a one-row table.
+
+    A plan names the table's column, never its value, so neither ``explain`` nor event logs nor history
+    files hold the secret or the key, as a literal in the expression would."""
+    key = hashlib.sha256(secret.encode("utf-8")).digest()
+    return df.sparkSession.createDataFrame([(bytearray(key),)], "aes_key binary").scalar()
 
 
 def encrypt_columns(df: DataFrame, columns: Sequence[str], secret: str) -> DataFrame:
     """base64(AES-GCM) of each named column (random IV per value, so only the round trip is stable)."""
-    return df.select(*[F.base64(F.aes_encrypt(F.col(c).cast("string"), _key(secret))).alias(c) if c in columns
+    key = _key(df, secret)
+    return df.select(*[F.base64(F.aes_encrypt(F.col(c).cast("string"), key)).alias(c) if c in columns
                        else F.col(c) for c in df.columns])
 
 
 def decrypt_columns(df: DataFrame, columns: Sequence[str], secret: str) -> DataFrame:
-    return df.select(*[F.aes_decrypt(F.unbase64(F.col(c)), _key(secret)).cast("string").alias(c) if c in columns
+    key = _key(df, secret)
+    return df.select(*[F.aes_decrypt(F.unbase64(F.col(c)), key).cast("string").alias(c) if c in columns
                        else F.col(c) for c in df.columns])

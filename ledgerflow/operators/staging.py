@@ -9,9 +9,10 @@ the human approval gates).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import validators as V
 from ..functions.ids import with_sequence_id
@@ -29,33 +30,78 @@ STAGING_TABLES = {
 APPROVAL_STEPS = {1: ("VALID", "APPROVE_L1"), 2: ("APPROVE_L1", "APPROVE_L2"), 3: ("APPROVE_L2", "APPROVE_L3")}
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of RFC 4180 files as text: record, header (first record of its file), _file, _block, _pos.
+
+    A quoted field may hold line breaks, so a line is a record only where it starts outside quotes.  Files
+    are still read in blocks by many tasks: each block counts its quotes, the counts of a file's blocks are
+    summed up in order, and so every block knows whether it starts inside a quoted field.  Within a block
+    the quotes before a line decide the same for the line.  Lines that start and end outside quotes are
+    records at once; only the others are gathered, record by record, also across blocks.
+
+    A file whose quotes do not balance is refused: from the stray quote on, no record would be sure.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = (spark.read.option("lineSep", "\n").text(path)
+             .select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_pos"), F.coalesce(quotes, F.lit(0)).cast("long").alias("_q")))
+    blocks = lines.groupBy("_file", "_block").agg(F.sum("_q").alias("_n"))
+    upto = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))  # one row per block
+    odd = blocks.groupBy("_file").agg(F.sum("_n").alias("_n")).where(F.col("_n") % 2 != 0).select("_file").limit(1).collect()
+    if odd:
+        raise ValueError(f"quotes do not balance in {odd[0]['_file']}")
+    in_block = Window.partitionBy("_file", "_block").orderBy("_pos")
+    before = F.coalesce(F.sum("_q").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = lines.join(blocks.select("_file", "_block", "_before"), ["_file", "_block"]).withColumns(
+        {"_starts": (F.col("_before") + before) % 2 == 0, "header": (F.col("_block") == 0) & (F.row_number().over(in_block) == 1)})
+    single = marked.where(F.col("_starts") & (F.col("_q") % 2 == 0))
+    parts = marked.where(~(F.col("_starts") & (F.col("_q") % 2 == 0)))
+    # the line that opened the record: in this block, or the last one opened in an earlier block of the file
+    opened = F.when(F.col("_starts"), F.struct("_block", "_pos"))
+    own = F.last(opened, ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    last = parts.groupBy("_file", "_block").agg(F.max(opened).alias("_last"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_open", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+    gathered = (parts.withColumn("_own", own).join(last, ["_file", "_block"])
+                .select("_file", F.coalesce("_own", "_open").alias("_at"), "header", F.struct("_block", "_pos", "value").alias("_line"))
+                .groupBy("_file", "_at").agg(F.bool_or("header").alias("header"), F.sort_array(F.collect_list("_line")).alias("_lines"))
+                .select(F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("record"), "header", "_file", "_at._block", "_at._pos"))
+    records = single.select(F.col("value").alias("record"), "header", "_file", "_block", "_pos").unionByName(gathered)
+    record = F.regexp_replace("record", r"\r$", "")
+    return records.withColumn("record", F.when(F.col("header"), F.regexp_replace(record, "^\ufeff", "")).otherwise(record))
+
+
 def import_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = AR_COLUMNS,
                session_id: int = 1) -> DataFrame:
     """Read a header CSV with every column as text; number rows in file order; stage as DRAFT.
 
     Columns are bound by the names in the header (blanks around a name and its case do not
-    matter); columns that are not asked for are left out and a missing one is an error.  Files
-    whose header differs from the first one's are refused by the reader.
+    matter); columns that are not asked for are left out and a missing one is an error, as is a file
+    whose header differs from the others'.  Quoted fields may hold separators, doubled quotes and line
+    breaks (``csv_records``); blank lines are no rows.
 
-    File order = (file path, block start, position in block); the dense number comes from
-    ``with_sequence_id`` (no single-task window).  Malformed lines are kept with the raw
-    text in ``_corrupt_record``.
+    File order = (file path, block start, position in block) of a record's first line; the dense
+    number comes from ``with_sequence_id`` (no single-task window).  Malformed records are kept
+    with the raw text in ``_corrupt_record``.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    found = {h.strip().lower(): h for h in header}
-    missing = [c for c in columns if c.lower() not in found]
+    records = csv_records(spark, path)
+    heads = [r["record"] for r in records.where("header").select("record").distinct().limit(2).collect()]
+    if not heads:
+        raise ValueError(f"no CSV header in {path}")
+    if len(heads) > 1:
+        raise ValueError(f"CSV files with different headers: {heads[0]!r} and {heads[1]!r}")
+    header = next(csv.reader([heads[0]]), [])
+    place = {h.strip().lower(): i for i, h in reversed(list(enumerate(header)))}
+    missing = [c for c in columns if c.lower() not in place]
     if missing:
         raise ValueError(f"columns missing in the CSV header: {', '.join(missing)}")
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in header]
-                          + [T.StructField("_corrupt_record", T.StringType())])
-    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
-           .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
-           .select(*[F.col(f"`{found[c.lower()]}`").alias(c) for c in columns], "_corrupt_record", "_metadata")
-           .withColumn("_file", F.col("_metadata.file_path"))
-           .withColumn("_block", F.col("_metadata.file_block_start"))
-           .withColumn("_pos", F.monotonically_increasing_id()))
+    schema = ", ".join([*[f"c{i} string" for i in range(len(header))], "_corrupt_record string"])
+    parsed = F.from_csv(F.col("record"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "quote": '"', "escape": '"'})
+    raw = (records.where(~F.col("header") & (F.trim("record") != "")).withColumn("_row", parsed)
+           .select(*[F.col(f"_row.c{place[c.lower()]}").alias(c) for c in columns], "_row._corrupt_record", "_file", "_block", "_pos"))
     numbered = with_sequence_id(raw, ["_file", "_block", "_pos"], "row_number")
-    return numbered.drop("_file", "_block", "_pos", "_metadata").withColumn("session_id", F.lit(session_id)) \
+    return numbered.drop("_file", "_block", "_pos").withColumn("session_id", F.lit(session_id)) \
                    .withColumn("validation_status", F.lit("DRAFT")) \
                    .withColumn("validation_errors", F.lit(None).cast("string"))
 
