@@ -116,7 +116,8 @@ def dedupe_idempotent(requests: DataFrame, existing: DataFrame, key: str = "idem
     requests = requests.where(F.col(key).isNotNull())
     winners = requests.groupBy(key).agg(F.min(order).alias("_win"))
     tagged = requests.join(winners, key).withColumn("_first", F.col(order) == F.col("_win"))
-    ex = existing.select(F.col(key).alias("_k"), F.col(existing_id).alias("_existing")).where(F.col("_k").isNotNull())
+    # a key that the ledger holds more than once still answers once, with its first id
+    ex = existing.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(existing_id).alias("_existing"))
     tagged = tagged.join(ex, F.col(key) == F.col("_k"), "left").drop("_k")
     fresh = tagged.where(F.col("_first") & F.col("_existing").isNull()).drop("_win", "_first", "_existing")
     dup = tagged.where(~F.col("_first") | F.col("_existing").isNotNull()).select(
@@ -146,10 +147,13 @@ def _compliance(df: DataFrame, rule_name: str, description: str, check_type: str
 
 
 def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: DataFrame | None,
-                  party_col: str | None, role_map: DataFrame, existing_tx: DataFrame,
+                  party_col: str | None, role_map: DataFrame, existing_tx: DataFrame | None,
                   standard: bool = False, checks_only: bool = False) -> dict[str, DataFrame]:
     """Post AR / AP / EXPENSE / REVENUE requests.
 
+    Without ``existing_tx`` the requests are known to be new and keep their request ids as
+    transaction ids: nothing is numbered and no key is looked up.
+
     ``checks_only`` returns compliance and rejected rows without numbering (and so without
     running a job while the plan is built).
 
@@ -201,7 +205,12 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
                                 "Due date must be after invoice date", "DATE_CHECK",
                                 F.format_string("Invoice: %s, Due: %s", F.col("invoice_date"), F.col("due_date"))))
     passed = r.where(F.col("_reason").isNull()).select(*requests.columns)
-    d = dedupe_idempotent(passed, existing_tx)
+    if existing_tx is None:
+        none = passed.where(F.lit(False))
+        d = {"fresh": passed, "rejected": none.withColumn("error", F.lit(NO_KEY)),
+             "duplicates": none.withColumns({"duplicate_source": F.lit("BATCH"), "duplicate_of": F.lit(0)})}
+    else:
+        d = dedupe_idempotent(passed, existing_tx)
     dups = d["duplicates"]
     comp.append(dups.select("request_id", "client_id", F.lit("Duplicate Rules").alias("compliance_rule"),
                             F.lit("Duplicate Transaction Detected").alias("description"),
@@ -218,7 +227,10 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
                 .unionByName(d["rejected"].select("request_id", "error")))
     if checks_only:
         return {"compliance": compliance, "rejected": rejected}
-    fresh = assign_ids(d["fresh"], existing_tx, "transaction_id", ["request_id"], "transaction_id")
+    if existing_tx is None:
+        fresh = d["fresh"].withColumn("transaction_id", F.col("request_id").cast("long"))
+    else:
+        fresh = assign_ids(d["fresh"], existing_tx, "transaction_id", ["request_id"], "transaction_id")
     if is_doc:
         desc = F.concat(F.lit(f"{_DOC_LABEL[kind]} With Amount of "), F.col("amount").cast("string"),
                         F.lit(" Due Date on "), F.col("due_date").cast("string"), F.lit(" Status "), F.col("status"))
@@ -230,7 +242,7 @@ def post_document(requests: DataFrame, kind: str, clients: DataFrame, parties: D
                           (F.col("amount") * 100).cast("long").alias("amount"))
     legs, leg_rejects = post_journals(events, role_map, rules)
     out = {"transactions": transactions, "journals": legs, "compliance": compliance,
-           "rejected": rejected, "leg_rejects": leg_rejects}
+           "rejected": rejected, "leg_rejects": leg_rejects, "events": events}
     if is_doc:
         party = "customer_id" if kind == "AR" else "vendor_id"
         doc_id = "receivable_id" if kind == "AR" else "payable_id"
@@ -267,13 +279,45 @@ def _tax_cents(net: Column, rate_bp: int) -> Column:
     return F.floor((net * F.lit(rate_bp) + F.lit(5000)).cast("decimal(38,0)") / F.lit(10000)).cast("long")
 
 
+def purchase_events(requests: DataFrame, vat_rate_bp: int = 1200) -> DataFrame:
+    """Purchases with their posting kind and amounts."""
+    return (requests.withColumn("net", F.col("quantity") * F.col("unit_cost_cents")).withColumn("tax", _tax_cents(F.col("net"), vat_rate_bp))
+            .withColumn("gross", F.col("net") + F.col("tax")).withColumn("kind", F.lit("PURCHASE")))
+
+
+def sale_events(sales: DataFrame, slices: DataFrame, vat_rate_bp: int = 1200) -> DataFrame:
+    """One posting event per slice of a sale that is met in full; a slice knows what its sale gets."""
+    return (slices.withColumnRenamed("sale_id", "transaction_id").drop("product_id")
+            .join(sales.select("transaction_id", "client_id", "date", "unit_price_cents", "quantity"), "transaction_id")
+            .where(F.col("sale_units") >= F.col("quantity"))
+            .withColumn("net", F.col("units") * F.col("unit_price_cents"))
+            .withColumn("tax", _tax_cents(F.col("net"), vat_rate_bp))
+            .withColumn("gross", F.col("net") + F.col("tax"))
+            .withColumn("cost", F.col("units") * F.col("unit_cost_cents")).withColumn("kind", F.lit("SALE")))
+
+
+def return_events(returns: DataFrame) -> DataFrame:
+    """Returns with their posting kind and amounts."""
+    kind = (F.when(F.col("action_type") == "Sale Return", "SALE_RETURN")
+             .when(F.col("action_type") == "Purchase Return", "PURCHASE_RETURN"))
+    return (returns.withColumn("kind", kind).withColumn("value", F.col("quantity") * F.col("unit_price_cents"))
+            .withColumn("cost", F.col("quantity") * F.col("unit_cost_cents")))
+
+
+def as_events(rows: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """The columns that ``post_journals`` reads, with null for the amounts that a kind has not, so that kinds can be posted together."""
+    amounts = [(F.col(f) if f in rows.columns else F.lit(None)).cast("long").alias(f) for f in AMOUNT_FIELDS]
+    return rows.select(F.col(key).cast("long").alias(key), "client_id", "kind", "date", *amounts)
+
+
 def post_purchase(requests: DataFrame, role_map: DataFrame, vat_rate_bp: int = 1200, due_days: int = 30):
     """Purchases (transaction_id, client_id, product_id, warehouse_id, quantity, unit_cost_cents, date):
-    movement + cost layer + AP document (gross, due +30 d) + inventory D / input VAT D / AP C legs."""
-    net = F.col("quantity") * F.col("unit_cost_cents")
-    p = requests.withColumn("net", net).withColumn("tax", _tax_cents(F.col("net"), vat_rate_bp)) \
-                .withColumn("gross", F.col("net") + F.col("tax"))
-    legs, rejected = post_journals(p.withColumn("kind", F.lit("PURCHASE")), role_map)
+    movement + cost layer + AP document (gross, due +30 d) + inventory D / input VAT D / AP C legs.
+
+    A purchase whose legs are rejected leaves nothing else behind."""
+    p = purchase_events(requests, vat_rate_bp)
+    legs, rejected = post_journals(p, role_map)
+    p = p.join(rejected.select("transaction_id"), "transaction_id", "left_anti")  # whole or not at all
     return {
         "movements": p.select("transaction_id", "product_id", "warehouse_id", F.lit("Purchase").alias("action_type"),
                               "quantity", F.col("date").alias("movement_date")),
@@ -291,7 +335,8 @@ def post_sale(sales: DataFrame, slices: DataFrame, role_map: DataFrame, vat_rate
     """Sales (transaction_id, client_id, product_id, warehouse_id, quantity, unit_price_cents, date) with
     their layer slices (from ``allocate_layers``: sale_id = transaction_id, units, unit_cost_cents).
 
-    Unmet demand rejects the sale (requested > available).  Five legs per slice; one AR per sale.
+    Unmet demand rejects the sale (requested > available), and so does a missing role; a rejected sale leaves
+    no movement and no receivable.  Five legs per slice; one AR per sale.
     """
     got = slices.select(F.col("sale_id").alias("transaction_id"), F.col("sale_units").alias("_units")).distinct()
     s = sales.join(got, "transaction_id", "left")
@@ -300,18 +345,12 @@ def post_sale(sales: DataFrame, slices: DataFrame, role_map: DataFrame, vat_rate
         "Insufficient quantity for product ID: %s remaining quantity %s", F.col("product_id"),
         F.coalesce(F.col("_units"), F.lit(0))).alias("error"))
     ok = s.where(~short).drop("_units")
-    # a slice knows what its sale gets, so the legs need the slices once
-    sl = (slices.withColumnRenamed("sale_id", "transaction_id").drop("product_id")
-          .join(sales.select("transaction_id", "client_id", "date", "unit_price_cents", "quantity"), "transaction_id")
-          .where(F.col("sale_units") >= F.col("quantity")))
-    sl = (sl.withColumn("net", F.col("units") * F.col("unit_price_cents"))
-            .withColumn("tax", _tax_cents(F.col("net"), vat_rate_bp))
-            .withColumn("gross", F.col("net") + F.col("tax"))
-            .withColumn("cost", F.col("units") * F.col("unit_cost_cents")))
-    # one posting event per slice; legs keep the sale's transaction id
-    legs, leg_rej = post_journals(sl.withColumn("kind", F.lit("SALE")).withColumn("_slice", F.col("operation_id")),
-                                  role_map)
-    ar = sl.groupBy("transaction_id").agg(F.sum("gross").alias("_gross"), F.first("date").alias("invoice_date"))
+    sl = sale_events(sales, slices, vat_rate_bp)
+    legs, leg_rej = post_journals(sl, role_map)  # legs keep the sale's transaction id
+    leg_rej = leg_rej.distinct()  # one row for a sale, however many slices it has
+    refused = leg_rej.select("transaction_id")
+    ok, whole = (df.join(refused, "transaction_id", "left_anti") for df in (ok, sl))
+    ar = whole.groupBy("transaction_id").agg(F.sum("gross").alias("_gross"), F.first("date").alias("invoice_date"))
     return {
         "movements": ok.select("transaction_id", "product_id", "warehouse_id", F.lit("Sale").alias("action_type"),
                                "quantity", F.col("date").alias("movement_date")),
@@ -326,11 +365,7 @@ def post_sale(sales: DataFrame, slices: DataFrame, role_map: DataFrame, vat_rate
 def post_returns(returns: DataFrame, documents: DataFrame, role_map: DataFrame):
     """Sale / purchase returns (transaction_id, client_id, action_type, quantity, unit_price_cents,
     unit_cost_cents, date, document_id): return row (q·price), document → Returned, legs."""
-    kind = (F.when(F.col("action_type") == "Sale Return", "SALE_RETURN")
-             .when(F.col("action_type") == "Purchase Return", "PURCHASE_RETURN"))
-    r = (returns.withColumn("kind", kind)
-         .withColumn("value", F.col("quantity") * F.col("unit_price_cents"))
-         .withColumn("cost", F.col("quantity") * F.col("unit_cost_cents")))
+    r = return_events(returns)
     legs, rejected = post_journals(r, role_map)
     returned = r.where(F.col("kind").isNotNull()).select("document_id").distinct().withColumn("_ret", F.lit(True))
     docs = (documents.join(returned, "document_id", "left")
@@ -341,10 +376,16 @@ def post_returns(returns: DataFrame, documents: DataFrame, role_map: DataFrame):
     return {"returns": rows, "documents": docs, "journals": legs, "rejected": rejected}
 
 
+SAME_LOCATION = "Source and destination must differ"
+
+
 def post_transfer(transfers: DataFrame, role_map: DataFrame):
-    """Transfers (transaction_id, client_id, quantity, unit_cost_cents, date): inventory D and C."""
+    """Transfers (transaction_id, client_id, from_warehouse_id, to_warehouse_id, quantity, unit_cost_cents,
+    date): inventory D and C.  A transfer within one location, or without one, is rejected."""
     t = transfers.withColumn("kind", F.lit("TRANSFER")).withColumn("cost", F.col("quantity") * F.col("unit_cost_cents"))
-    return post_journals(t, role_map)
+    moved = F.coalesce(F.col("from_warehouse_id") != F.col("to_warehouse_id"), F.lit(False))
+    legs, rejected = post_journals(t.where(moved), role_map)
+    return legs, rejected.unionByName(t.where(~moved).select("transaction_id", F.lit(SAME_LOCATION).alias("error")))
 
 
 # ---- chart of accounts ----------------------------------------------------------------
@@ -416,6 +457,20 @@ def process_recurring(templates: DataFrame, details: DataFrame, execution_date,
 
 # ---- amendments ---------------------------------------------------------------------------
 
+SUPERSEDED = "Superseded by a later correction"
+
+
+def last_per_key(corrections: DataFrame, key: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one correction per key, key of every other one): the last by ``order``, ties and no order by the largest row.
+
+    Keys are decided by a partial aggregation, so one key with many corrections never meets in one task."""
+    rank = F.struct(*([F.col(order)] if order else []), *[F.col(c) for c in sorted(corrections.columns) if c not in (key, order)])
+    ranked = corrections.withColumn("_rank", rank)
+    groups = ranked.groupBy(key).agg(F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_n"))
+    last = groups.select(key, *[F.col(f"_rank.{c}").alias(c) for c in corrections.columns if c != key]).select(*corrections.columns)
+    others = groups.where(F.col("_n") > 1).select(key, F.explode(F.sequence(F.lit(2).cast("long"), F.col("_n")))).select(key)
+    return last, others
+
 # Status vocabulary accepted by the amendment routines.
 AMEND_STATUSES = ("Pending", "Paid", "Overdue")
 _AMEND = {"AR": ("receivable_id", "customer_id", ("cash_account_ar", "ar_account"), "Account Receivable"),
@@ -423,7 +478,7 @@ _AMEND = {"AR": ("receivable_id", "customer_id", ("cash_account_ar", "ar_account
 
 
 def amend_document(kind: str, corrections: DataFrame, ext: DataFrame, journals: DataFrame,
-                   role_map: DataFrame) -> dict[str, DataFrame]:
+                   role_map: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
     """Keyed overwrite of an AR / AP document from corrections (doc id, transaction_id, party,
     invoice_date, due_date, amount, status) after the reference's input checks.
 
@@ -432,7 +487,9 @@ def amend_document(kind: str, corrections: DataFrame, ext: DataFrame, journals:
     ``journals`` (legs on the document's cash / control roles re-dated and re-amounted); the new
     ``transactions`` descriptions; ``warnings`` (the literal 'Insufficient Funds' condition: the
     new amount is below the balance of the client's cash account after the correction); and
-    ``rejected`` corrections."""
+    ``rejected`` corrections.  Of several valid corrections of one document the last one counts (by
+    column ``order``, else the largest row) and the others are rejected, as are those of a document
+    that does not exist: every correction is applied once or reported."""
     doc_id, party, roles, label = _AMEND[kind]
     c = corrections
     reason = (F.when(~F.col("status").isin(*AMEND_STATUSES) | F.col("status").isNull() | (F.col("status") == ""),
@@ -445,6 +502,11 @@ def amend_document(kind: str, corrections: DataFrame, ext: DataFrame, journals:
     c = c.withColumn("_reason", reason)
     good = c.where(F.col("_reason").isNull()).drop("_reason")
     rejected = c.where(F.col("_reason").isNotNull()).select(doc_id, F.col("_reason").alias("error"))
+    good, others = last_per_key(good, doc_id, order)
+    known = ext.select(doc_id).distinct()
+    unknown = good.join(known, doc_id, "left_anti").select(doc_id, F.lit(f"{label} not found").alias("error"))
+    good = good.join(known, doc_id, "left_semi")
+    rejected = rejected.unionByName(others.withColumn("error", F.lit(SUPERSEDED))).unionByName(unknown)
     fields = [party, "amount", "invoice_date", "due_date", "status"]
     new = good.select(doc_id, *[F.col(f).alias(f"_n_{f}") for f in fields], F.lit(True).alias("_amended"))
     hit = F.col("_amended").isNotNull()
@@ -530,10 +592,17 @@ def _master_checks(kind: str) -> list[tuple[str, F.Column]]:
     return checks
 
 
-def update_master(kind: str, table: DataFrame, corrections: DataFrame, key: str) -> dict[str, DataFrame]:
+def update_master(kind: str, table: DataFrame, corrections: DataFrame, key: str, order: str | None = None) -> dict[str, DataFrame]:
     """Checked keyed overwrite of master data: a correction's non-null fields replace the
-    stored ones; corrections failing a check are rejected with the first message."""
-    fields = [c for c in corrections.columns if c != key]
+    stored ones; corrections failing a check are rejected with the first message.
+
+    Of several corrections of one key the last one counts (by column ``order``, else the largest row)
+    and the others are rejected, as are corrections without a key or of a key that the table does not
+    hold: every correction is applied once or reported, and the table keeps one row per key."""
+    no_key = corrections.where(F.col(key).isNull()).select(key, F.lit(f"{key} is required").alias("error"))
+    corrections, others = last_per_key(corrections.where(F.col(key).isNotNull()), key, order)
+    lost = corrections.join(table.select(key).distinct(), key, "left_anti").select(key, F.lit(f"{key} not found").alias("error"))
+    fields = [c for c in corrections.columns if c not in (key, order)]
     marked = corrections.select(key, *[F.col(c).alias(f"_n_{c}") for c in fields], F.lit(True).alias("_corrected"))
     merged = table.join(marked, key, "left")
     cand = merged.select(key, *[F.coalesce(F.col(f"_n_{c}"), F.col(c)).alias(c) if c in fields else F.col(c)
@@ -548,4 +617,5 @@ def update_master(kind: str, table: DataFrame, corrections: DataFrame, key: str)
     updated = cand.where(F.col("_reason").isNull()).drop("_reason", "_corrected").select(*table.columns) \
                   .unionByName(keep_old)
     rejected = cand.where(F.col("_reason").isNotNull()).select(key, F.col("_reason").alias("error"))
+    rejected = rejected.unionByName(others.withColumn("error", F.lit(SUPERSEDED))).unionByName(lost).unionByName(no_key)
     return {"table": updated, "rejected": rejected}

@@ -112,10 +112,13 @@ def _handle_purchase(b):
     return purchase_legs(b, _fresh(b, "handle_purchase"))
 
 
+def purchases(f):
+    return f.select("transaction_id", "client_id", "product_id", "warehouse_id", "quantity",
+                    (F.col("price") * 100).cast("long").alias("unit_cost_cents"), F.col("event_date").alias("date"))
+
+
 def purchase_legs(b, f):
-    req = f.select("transaction_id", "client_id", "product_id", "warehouse_id", "quantity",
-                   (F.col("price") * 100).cast("long").alias("unit_cost_cents"), F.col("event_date").alias("date"))
-    return posting.post_purchase(req, pq.role_map(b), pq.VAT_BP)["journals"]
+    return posting.post_purchase(purchases(f), pq.role_map(b), pq.VAT_BP)["journals"]
 
 
 _SALE_TAIL = pq._SALE_SQL_BASE[pq._SALE_SQL_BASE.index("\ns AS (") + 1:]
@@ -130,13 +133,20 @@ def _handle_sale(b):
     return sale_legs(b, _fresh(b, "handle_sale"))
 
 
+def sale_slices(f, layers):
+    """What the sale events take from the layers, first in first out."""
+    sold = f.select(F.col("transaction_id").alias("sale_id"), "product_id", F.col("event_date").alias("sale_date"), "quantity")
+    layers = layers.join(sold.select("product_id").distinct(), "product_id", "left_semi")
+    return costing.allocate_layers(sold, layers, "fifo")
+
+
+def sales(f):
+    return f.select("transaction_id", "client_id", "product_id", "warehouse_id", "quantity",
+                    (F.col("price") * 100).cast("long").alias("unit_price_cents"), F.col("event_date").alias("date"))
+
+
 def sale_legs(b, f):
-    sales = f.select("transaction_id", "client_id", "product_id", "warehouse_id", "quantity",
-                     (F.col("price") * 100).cast("long").alias("unit_price_cents"), F.col("event_date").alias("date"))
-    slices = costing.allocate_layers(
-        sales.select(F.col("transaction_id").alias("sale_id"), "product_id", F.col("date").alias("sale_date"), "quantity"),
-        b.layers, "fifo")
-    return posting.post_sale(sales, slices, pq.role_map(b), pq.VAT_BP)["journals"]
+    return posting.post_sale(sales(f), sale_slices(f, b.layers), pq.role_map(b), pq.VAT_BP)["journals"]
 
 
 _RETURN_EV_SQL = """SELECT transaction_id, client_id,
@@ -151,13 +161,16 @@ def _handle_return(b):
     return return_legs(b, _fresh(b, "handle_return"))
 
 
+def returns(f):
+    return f.select("transaction_id", "client_id", "action_type", "quantity",
+                    (F.col("price") * 100).cast("long").alias("unit_price_cents"),
+                    (F.col("price") * 100).cast("long").alias("unit_cost_cents"), F.col("event_date").alias("date"),
+                    F.col("ref_id").alias("document_id"))
+
+
 def return_legs(b, f):
-    ret = f.select("transaction_id", "client_id", "action_type", "quantity",
-                   (F.col("price") * 100).cast("long").alias("unit_price_cents"),
-                   (F.col("price") * 100).cast("long").alias("unit_cost_cents"), F.col("event_date").alias("date"),
-                   F.col("ref_id").alias("document_id"))
     docs = b.ar_ext.select(F.col("transaction_id").alias("document_id"), "status")
-    return posting.post_returns(ret, docs, pq.role_map(b))["journals"]
+    return posting.post_returns(returns(f), docs, pq.role_map(b))["journals"]
 
 
 def _doc_events(b, handler: str, party: str):
@@ -227,20 +240,27 @@ def _retry_state_stream(b):
     return stream_retry.run_retry_state_available_now(b.spark, attempts(b))
 
 
-def post_fresh(b, fresh):
-    """Ledger legs of routed events that were not posted before; transaction_id is the event's id."""
+def allocate_fresh(fresh, layers):
+    """The slices that the sales among routed events take from the layers."""
+    return sale_slices(events.for_handler(fresh.withColumn("transaction_id", F.col("event_id")), "handle_sale"), layers)
+
+
+def post_fresh(b, fresh, slices, roles):
+    """Ledger legs of routed events that were not posted before; transaction_id is the event's id.
+
+    The handlers turn their events into posting events, and one pass over the rules makes the legs of all kinds."""
     rows = fresh.withColumn("transaction_id", F.col("event_id"))
     of = lambda handler: events.for_handler(rows, handler)
-    legs = [purchase_legs(b, of("handle_purchase")), sale_legs(b, of("handle_sale")), return_legs(b, of("handle_return"))]
+    posted = [posting.purchase_events(purchases(of("handle_purchase")), pq.VAT_BP), posting.sale_events(sales(of("handle_sale")), slices, pq.VAT_BP),
+              posting.return_events(returns(of("handle_return")))]
     for handler, party, post, table in (("handle_receivable", "customer_id", posting.post_ar, b.customers),
                                         ("handle_payable", "vendor_id", posting.post_ap, b.vendors)):
-        out = post(_doc_requests(of(handler), party), b.clients, table, pq.role_map(b), b.transactions)
-        ids = out["transactions"].select("transaction_id", "request_id")
-        legs.append(out["journals"].join(ids, "transaction_id").drop("transaction_id").withColumnRenamed("request_id", "transaction_id"))
-    out = legs[0]
-    for more in legs[1:]:
-        out = out.unionByName(more)
-    return out
+        # the keys have been checked, and the documents keep their events' ids
+        posted.append(post(_doc_requests(of(handler), party), b.clients, table, roles, None)["events"])
+    every = posting.as_events(posted[0])
+    for more in posted[1:]:
+        every = every.unionByName(posting.as_events(more))
+    return posting.post_journals(every, roles)[0]
 
 
 # the stream's key check spans all handlers: the first routed event of a key wins
@@ -273,4 +293,5 @@ _STREAM_SQL = "SELECT * FROM (" + "\nUNION ALL SELECT * FROM (".join(part + ")"
 @query("stream_post_events", "E8", views=pq._DOC_VIEWS + ["event_log", "layers"], money=["amount"], oracle=_STREAM_SQL)
 def _stream_post_events(b):
     known = b.transactions.select(F.col("idempotency_key"), F.col("transaction_id"))
-    return stream_events.run_available_now(b.spark, event_input(b), lambda fresh: post_fresh(b, fresh), known)
+    roles = pq.role_map(b).checkpoint()  # one row per client and role, read by every batch
+    return stream_events.run_available_now(b.spark, event_input(b), allocate_fresh, lambda fresh, slices: post_fresh(b, fresh, slices, roles), b.layers, known)

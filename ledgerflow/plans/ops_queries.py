@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import opslog
+from ..streaming import trend as stream_trend
 from .registry import query
 
 AS_OF = "2024-01-31 00:00:00"
@@ -212,6 +213,33 @@ def _metric_trend(b):
     return opslog.metric_trend(b.metrics, "purchase", AS_OF, 30)
 
 
+_HOURLY_SQL = """SELECT CAST(date_trunc('hour', metric_timestamp) AS TIMESTAMP) AS time_bucket, metric_name,
+       CAST(SUM(CAST(metric_value * 100 AS BIGINT)) AS BIGINT) AS cents, COUNT(*) AS n"""
+
+
+def _arrivals(b):
+    """Three arrivals in order of time; every ninth row of the first two thirds comes with the last, days late."""
+    m, i = b.metrics, F.col("metric_id")
+    day = F.dayofmonth("metric_timestamp")
+    third = F.when((i % 9 == 0) | (day > 20), 2).when(day > 10, 1).otherwise(0)
+    return [m.where(third == k) for k in range(3)]
+
+
+@query("metric_trend_stream", "O5", views=["metrics"], oracle=_HOURLY_SQL + " FROM metrics GROUP BY 1, 2")
+def _metric_trend_stream(b):
+    return stream_trend.run_available_now(b.spark, _arrivals(b)).drop("late")
+
+
+@query("metric_trend_late", "O5", views=["metrics"], oracle="""
+WITH a AS (SELECT *, CASE WHEN metric_id % 9 = 0 OR day(metric_timestamp) > 20 THEN 2 WHEN day(metric_timestamp) > 10 THEN 1 ELSE 0 END AS k,
+                  date_trunc('hour', metric_timestamp) + INTERVAL 1 HOUR AS closes FROM metrics),
+seen AS (SELECT k, MAX(MAX(metric_timestamp)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM a GROUP BY k)
+SELECT metric_name, COUNT(*) AS n, count_if(COALESCE(closes <= top - INTERVAL 60 MINUTE, FALSE)) AS late FROM a JOIN seen ON a.k = seen.k GROUP BY metric_name""")
+def _metric_trend_late(b):
+    t = stream_trend.run_available_now(b.spark, _arrivals(b))
+    return t.groupBy("metric_name").agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+
+
 @query("security_violations", "O6", views=["access_log"], oracle=f"""WITH {_SEC_SQL}
 SELECT * FROM sec WHERE severity IN ('WARNING', 'CRITICAL') AND event_time > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR
   AND event_time <= TIMESTAMP '{AS_OF}' ORDER BY event_time DESC, security_event_id DESC""")

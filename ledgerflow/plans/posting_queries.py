@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import validators as V
 from ..functions.money import MONEY
 from ..operators import costing, posting
+from ..operators.key_index import KeyIndex
+from ..session import ensure_checkpoint_dir
 from ..sources.bridge import ROLE_PREFIXES
 from . import staging_queries as sq
 from .registry import query
@@ -344,10 +348,25 @@ SELECT management_id AS payable_id, management_id AS transaction_id,
        movement_date AS invoice_date, CAST(movement_date + INTERVAL 30 DAY AS DATE) AS due_date, 'Pending' AS status
 FROM movements WHERE action_type = 'Purchase'""")
 def _post_purchase_payables(b):
-    m = b.movements.where(F.col("action_type") == "Purchase").select(
-        F.col("management_id").alias("transaction_id"), F.lit(0).alias("client_id"), "product_id", "warehouse_id",
-        "quantity", "unit_cost_cents", F.col("movement_date").alias("date"))
-    return posting.post_purchase(m, role_map(b), VAT_BP)["payables"]
+    return posting.post_purchase(_purchases(b), role_map(b), VAT_BP)["payables"]
+
+
+# client 3 has lost its accounts: its purchases and sales are rejected whole
+def _roles_but_3(b):
+    return role_map(b).where(F.col("client_id") != 3)
+
+
+@query("post_purchase_roleless", "P7", views=["movements", "products"], oracle="""
+WITH p AS (SELECT m.management_id AS transaction_id, p.client_id FROM movements m JOIN products p ON m.product_id = p.product_id WHERE m.action_type = 'Purchase')
+SELECT transaction_id, client_id <> 3 AS moved, client_id <> 3 AS layered, client_id <> 3 AS payable,
+       CASE WHEN client_id = 3 THEN 'Account role inventory_account not found for client 3' END AS error FROM p""")
+def _post_purchase_roleless(b):
+    out = posting.post_purchase(_purchases(b), _roles_but_3(b), VAT_BP)
+    found = _purchases(b).select("transaction_id")
+    for kind, key, name in (("movements", "transaction_id", "moved"), ("layers", "operation_id", "layered"), ("payables", "transaction_id", "payable")):
+        found = found.join(out[kind].select(F.col(key).alias("transaction_id"), F.lit(True).alias(name)), "transaction_id", "left")
+        found = found.withColumn(name, F.coalesce(name, F.lit(False)))
+    return found.join(out["rejected"], "transaction_id", "left")
 
 
 def _sales(b):
@@ -394,6 +413,23 @@ def _post_sale(b):
     return _sale_post(b)["journals"]
 
 
+@query("post_sale_roleless", "P8", views=["movements", "products", "layers"],
+       oracle="WITH " + _SALE_SQL_BASE + """
+SELECT s.sale_id AS transaction_id, f.sale_id IS NOT NULL AND s.client_id <> 3 AS moved, f.sale_id IS NOT NULL AND s.client_id <> 3 AS receivable,
+       f.sale_id IS NULL AS short, f.sale_id IS NOT NULL AND s.client_id = 3 AS roleless FROM sales s LEFT JOIN full_sales f ON f.sale_id = s.sale_id""")
+def _post_sale_roleless(b):
+    s = _sales(b)
+    slices = costing.allocate_layers(
+        s.select(F.col("transaction_id").alias("sale_id"), "product_id", F.col("date").alias("sale_date"), "quantity"), b.layers, "fifo")
+    out = posting.post_sale(s, slices, _roles_but_3(b), VAT_BP)
+    found = s.select("transaction_id")
+    error = F.col("error").startswith("Insufficient quantity")
+    sides = (("moved", out["movements"]), ("receivable", out["receivables"]), ("short", out["rejected"].where(error)), ("roleless", out["rejected"].where(~error)))
+    for name, rows in sides:
+        found = found.join(rows.select("transaction_id", F.lit(True).alias(name)), "transaction_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return found
+
+
 @query("post_sale_receivables", "P8", views=COA_VIEWS + ["movements", "products", "layers"], money=["amount"],
        oracle="WITH " + _SALE_SQL_BASE + f""",
 g AS (SELECT a.sale_id, SUM(a.units * f.unit_price_cents
@@ -448,16 +484,26 @@ FROM movements m JOIN products p ON m.product_id = p.product_id
 WHERE m.action_type = 'Sale Return' AND m.transaction_id % 13 <> 0"""
 
 
+def _transfer(b):
+    # the transfers of the inventory queries: Sale Return rows moved to the next warehouse, some of them to their own
+    m = b.movements.where(F.col("action_type") == "Sale Return").join(b.products.select("product_id", "client_id"), "product_id")
+    to = F.when(F.col("transaction_id") % 13 == 0, F.col("warehouse_id")).otherwise(F.col("warehouse_id") % 3 + 1)
+    t = m.select(F.col("management_id").alias("transaction_id"), "client_id", F.col("warehouse_id").alias("from_warehouse_id"),
+                 to.cast("int").alias("to_warehouse_id"), "quantity", "unit_cost_cents", F.col("movement_date").alias("date"))
+    return posting.post_transfer(t, role_map(b))
+
+
 @query("post_transfer", "P10", views=COA_VIEWS + ["movements", "products"], money=["amount"],
        oracle=_legs_sql(_TRANSFER_EV_SQL) + "\nSELECT * FROM legs")
 def _post_transfer(b):
-    # the transfers of the inventory queries (Sale Return rows moved to the next warehouse); same-location ones are rejected
-    m = b.movements.where((F.col("action_type") == "Sale Return") & (F.col("transaction_id") % 13 != 0)).join(
-        b.products.select("product_id", "client_id"), "product_id")
-    t = m.select(F.col("management_id").alias("transaction_id"), "client_id", "quantity", "unit_cost_cents",
-                 F.col("movement_date").alias("date"))
-    legs, _ = posting.post_transfer(t, role_map(b))
-    return legs
+    return _transfer(b)[0]
+
+
+@query("post_transfer_rejected", "P10", views=["movements", "products"], oracle="""
+SELECT m.management_id AS transaction_id, 'Source and destination must differ' AS error FROM movements m JOIN products p ON m.product_id = p.product_id
+WHERE m.action_type = 'Sale Return' AND m.transaction_id % 13 = 0""")
+def _post_transfer_rejected(b):
+    return _transfer(b)[1]
 
 
 @query("dedupe_idempotent", "P11", views=["event_log", "transactions", "customers"], money=["amount"], oracle="""
@@ -497,6 +543,43 @@ def _dedupe_rejected(b):
     return posting.dedupe_idempotent(_some_without_key(b), b.transactions)["rejected"]
 
 
+# a ledger that holds every third key twice: a request still gets one answer, the first id
+@query("dedupe_twice_held", "P11", views=["event_log", "transactions", "customers"], money=["amount"], oracle="""
+WITH ledger AS (SELECT idempotency_key, event_id + 1000000 AS transaction_id FROM event_log WHERE event_id % 5 = 0
+                UNION ALL SELECT idempotency_key, event_id + 2000000 FROM event_log WHERE event_id % 15 = 0),
+x AS (SELECT idempotency_key, MIN(transaction_id) AS transaction_id FROM ledger GROUP BY idempotency_key)
+SELECT e.event_id AS request_id, e.event_type, e.created_at, e.idempotency_key, e.user_id, e.amount, e.payload,
+       CASE WHEN x.transaction_id IS NOT NULL THEN 'EXISTING' ELSE 'BATCH' END AS duplicate_source,
+       COALESCE(x.transaction_id, w.win) AS duplicate_of
+FROM event_log e JOIN (SELECT idempotency_key, MIN(event_id) AS win FROM event_log GROUP BY idempotency_key) w
+  ON e.idempotency_key = w.idempotency_key
+LEFT JOIN x ON x.idempotency_key = e.idempotency_key
+WHERE e.event_id <> w.win OR x.transaction_id IS NOT NULL""")
+def _dedupe_twice_held(b):
+    own = b.event_log.select("idempotency_key", "event_id")
+    held = lambda n, add: own.where(F.col("event_id") % n == 0).select("idempotency_key", (F.col("event_id") + add).alias("transaction_id"))
+    req = b.event_log.withColumnRenamed("event_id", "request_id")
+    return posting.dedupe_idempotent(req, held(5, 1_000_000).unionByName(held(15, 2_000_000)))["duplicates"]
+
+
+@query("dedupe_indexed", "P11", views=["event_log", "transactions", "customers"], money=["amount"], oracle=_KEYED_SQL + """,
+ledger AS (SELECT idempotency_key FROM transactions UNION ALL SELECT idempotency_key FROM event_log WHERE event_id % 4 = 0 AND created_at < TIMESTAMP '2024-01-16')
+SELECT r.* FROM req r JOIN win ON r.idempotency_key = win.idempotency_key AND r.request_id = win.w
+WHERE NOT EXISTS (SELECT 1 FROM ledger t WHERE t.idempotency_key = r.idempotency_key)""")
+def _dedupe_indexed(b):
+    # the ledger's keys by year, and a day's worth of posted events per part; requests open only parts that may hold them
+    index = KeyIndex(b.spark, ensure_checkpoint_dir(b.spark).rstrip("/") + f"/dedupe_indexed/{uuid.uuid4().hex}")
+    parts = []
+    years = b.transactions.select(F.year("date").alias("y")).distinct()
+    for y in sorted(r["y"] for r in years.collect()):  # a few parts
+        index.add(f"y{y}", b.transactions.where(F.year("date") == y))
+        parts.append(f"y{y}")
+    posted = b.event_log.where((F.col("event_id") % 4 == 0) & (F.col("created_at") < F.lit("2024-01-16").cast("timestamp_ntz")))
+    index.add("posted", posted.select("idempotency_key", F.col("event_id").alias("transaction_id")))
+    req = _some_without_key(b)
+    return posting.dedupe_idempotent(req, index.lookup(req, [*parts, "posted"]))["fresh"]
+
+
 # ---- recurring, amendments, master data, staged posting --------------------------------
 
 EXEC_DATE = "2001-12-01"
@@ -739,6 +822,72 @@ def _update_master_rejected(b):
     return _master(b)["rejected"]
 
 
+# corrections that repeat a key and that name an unknown one: every row is applied once or reported
+_FATES_SQL = """base AS (SELECT vendor_id, client_id, vendor_name FROM vendors),
+corr AS (SELECT vendor_id, 'First ' || CAST(vendor_id AS VARCHAR) AS vendor_name, 1 AS n FROM vendors WHERE vendor_id % 2 = 0
+         UNION ALL SELECT vendor_id, 'Second ' || CAST(vendor_id AS VARCHAR), 2 FROM vendors WHERE vendor_id % 4 = 0
+         UNION ALL SELECT vendor_id, ' ', 3 FROM vendors WHERE vendor_id % 8 = 0
+         UNION ALL SELECT vendor_id + 10000000, 'Nobody', 1 FROM vendors WHERE vendor_id % 16 = 0
+         UNION ALL SELECT NULL, 'No key', 1 FROM vendors WHERE vendor_id % 32 = 0),
+last AS (SELECT * FROM corr WHERE vendor_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vendor_id ORDER BY n DESC) = 1)"""
+
+
+def _fates(b):
+    v = b.vendors
+    k = F.col("vendor_id")
+    row = lambda step, key, name, n: v.where(k % step == 0).select(key.alias("vendor_id"), name.alias("vendor_name"), F.lit(n).alias("n"))
+    corr = row(2, k, F.concat(F.lit("First "), k.cast("string")), 1)
+    for more in (row(4, k, F.concat(F.lit("Second "), k.cast("string")), 2), row(8, k, F.lit(" "), 3), row(16, k + 10_000_000, F.lit("Nobody"), 1),
+                 row(32, F.lit(None).cast("long"), F.lit("No key"), 1)):
+        corr = corr.unionByName(more)
+    table = v.select("vendor_id", "client_id", "vendor_name").withColumn("email", F.lit(None).cast("string"))
+    return posting.update_master("vendor", table, corr, "vendor_id", order="n")
+
+
+@query("update_master_repeated", "P18", views=["vendors"], oracle=f"""WITH {_FATES_SQL}
+SELECT b.vendor_id, b.client_id, CASE WHEN trim(l.vendor_name) <> '' THEN l.vendor_name ELSE b.vendor_name END AS vendor_name, NULL AS email
+FROM base b LEFT JOIN last l ON l.vendor_id = b.vendor_id""")
+def _update_master_repeated(b):
+    return _fates(b)["table"]
+
+
+@query("update_master_repeated_rejected", "P18", views=["vendors"], oracle=f"""WITH {_FATES_SQL}
+SELECT c.vendor_id, CASE WHEN c.vendor_id IS NULL THEN 'vendor_id is required' WHEN c.n <> l.n THEN 'Superseded by a later correction'
+                         WHEN b.vendor_id IS NULL THEN 'vendor_id not found' ELSE 'vendor_name cannot be empty' END AS error
+FROM corr c LEFT JOIN last l ON l.vendor_id = c.vendor_id LEFT JOIN base b ON b.vendor_id = c.vendor_id
+WHERE c.vendor_id IS NULL OR c.n <> l.n OR b.vendor_id IS NULL OR trim(c.vendor_name) = ''""")
+def _update_master_repeated_rejected(b):
+    return _fates(b)["rejected"]
+
+
+def _twice_amended(b):
+    once = ap_corrections(b).withColumn("n", F.lit(1))
+    again = once.where(F.col("payable_id") % 8 == 1).withColumns({"amount": (F.col("amount") + 5).cast(MONEY), "n": F.lit(2)})
+    lost = once.where(F.col("payable_id") % 8 == 3).withColumns({"payable_id": F.col("payable_id") + 100_000_000, "n": F.lit(1)})
+    return posting.amend_document("AP", once.unionByName(again).unionByName(lost), b.ap_ext, b.journals, role_map(b), order="n")
+
+
+_TWICE_SQL = _APC_SQL.replace("good AS (", "once AS (") + """,
+valid AS (SELECT *, 1 AS n FROM once UNION ALL SELECT * REPLACE (CAST(amount + 5 AS DECIMAL(15,2)) AS amount), 2 FROM once WHERE payable_id % 8 = 1
+          UNION ALL SELECT * REPLACE (payable_id + 100000000 AS payable_id), 1 FROM once WHERE payable_id % 8 = 3),
+good AS (SELECT v.* EXCLUDE (n) FROM valid v WHERE payable_id < 100000000 AND n = (SELECT MAX(n) FROM valid w WHERE w.payable_id = v.payable_id))"""
+
+
+@query("amend_ap_repeated", "P16", views=["ap_ext"], money=["amount"], oracle=f"WITH {_TWICE_SQL}\n" + _amend_sql("payable_id", "vendor_id", "ap_ext"))
+def _amend_ap_repeated(b):
+    return _twice_amended(b)["extensions"]
+
+
+@query("amend_ap_repeated_rejected", "P16", views=["ap_ext"], oracle=f"""WITH {_TWICE_SQL}
+SELECT payable_id, 'Invalid Status' AS error FROM corr WHERE status = ''
+UNION ALL SELECT payable_id + 100000000, 'Invalid Status' FROM corr WHERE status = '' AND payable_id % 8 = 3
+UNION ALL SELECT payable_id, 'Invalid Status' FROM corr WHERE status = '' AND payable_id % 8 = 1
+UNION ALL SELECT payable_id, 'Account Payable not found' FROM valid WHERE payable_id > 100000000
+UNION ALL SELECT payable_id, 'Superseded by a later correction' FROM valid WHERE n = 1 AND payable_id < 100000000 AND payable_id % 8 = 1""")
+def _amend_ap_repeated_rejected(b):
+    return _twice_amended(b)["rejected"]
+
+
 def _posted(b):
     return _ar(b)["transactions"]
 
