@@ -2,12 +2,15 @@
 
 Base: the places where a phrase's words stand consecutively, over the whole text.
 
-Join: a block is a line.  All template tokens are ordered by how often they occur in all documents,
-rarest first.  For a template of n tokens and threshold t a block must hold ceil(t n) of them, so
-it holds one of the first n - ceil(t n) + 1 (the prefix).  Lines without any prefix token are
-skipped by one regular expression; the rest meet the prefix index (broadcast: its size is that of
-the template list, not of the data), and the length and positional filters, before the overlap
-is counted exactly.  Of the templates that a block meets, those contained best give it their label.
+Join: blocks are overlapping windows of words over the whole text, wherever its lines break.  Templates
+are put into classes by size, u tokens at most in each (4, 8, 16, ...); the windows of a class have 2u
+words and start every u words, so a notice of up to u words lies whole in one of them, however it is
+wrapped.  All template tokens are ordered by how often they occur in all documents, rarest first.  For a
+template of n tokens and threshold t a block must hold ceil(t n) of them, so it holds one of the first
+n - ceil(t n) + 1 (the prefix).  Texts and windows without any prefix token of their class are
+skipped; the rest meet the prefix index (broadcast: its size is that of the template list, not of the
+data), and the length and positional filters, before the overlap is counted exactly.  Every template
+that a block contains to the threshold gives its label.
 
 Only DataFrame functions run.  Hot documents need no split: everything but the last join works
 inside a row, and that join carries narrow rows of the documents with a match, one per text.
@@ -80,39 +83,50 @@ def token_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {t: 0 for t in vocabulary} | {r["token"]: r["count"] for r in found.collect()}
 
 
+def window_class(n: int) -> int:
+    """The least power of two, from 4 on, that is at least ``n``."""
+    return max(4, 1 << (n - 1).bit_length())
+
+
 def block_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """Every (text, block, best template): _id, _text, block, label, containment."""
+    """Every (text, block, template contained to the threshold): _id, _text, _u, block, label, containment."""
     spark = docs.sparkSession
     counts = token_counts(docs, sorted({t for _, w in templates for t in w.split(" ")}))
     order = sorted(counts, key=lambda t: (counts[t], t))
     rank = {t: i for i, t in enumerate(order)}
-    index, sets = [], []
+    index, sets, prefixes = [], [], {}
     for k, (label, w) in enumerate(templates):
         own = sorted(rank[t] for t in set(w.split(" ")))
-        need = math.ceil(threshold * len(own))
+        need, u = math.ceil(threshold * len(own)), window_class(len(w.split(" ")))
         sets.append((k, label, own, need))
-        index += [(r, k, len(own), need, p) for p, r in enumerate(own[: len(own) - need + 1])]
-    prefix = sorted({order[r] for r, *_ in index})
-    any_prefix = f"(^| )({'|'.join(prefix)})( |$)"
-    index_df = F.broadcast(spark.createDataFrame(index, "_rank int, _k int, _n int, _need int, _p int"))
+        prefix = own[: len(own) - need + 1]
+        prefixes.setdefault(u, set()).update(order[r] for r in prefix)
+        index += [(u, r, k, len(own), need, p) for p, r in enumerate(prefix)]
+    any_prefix = f"(^| )({'|'.join(sorted(set().union(*prefixes.values())))})( |$)"
+    index_df = F.broadcast(spark.createDataFrame(index, "_u int, _rank int, _k int, _n int, _need int, _p int"))
     sets_df = F.broadcast(spark.createDataFrame(sets, "_k int, label string, _set array<int>, _need int"))
     ranks = F.create_map(*[x for t, r in rank.items() for x in (F.lit(t), F.lit(r))])
     in_order = F.array(*[F.lit(t) for t in order])
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of), lambda b: b.rlike(any_prefix))
-    blocks = (docs.where(words_of(F.col("text")).rlike(any_prefix))
-              .select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), F.posexplode_outer(lines).alias("block", "_words"))
-              .select("_id", "_text", "block", F.array_sort(F.transform(
-                  F.array_intersect(F.split("_words", " "), in_order), lambda t: F.element_at(ranks, t))).alias("_own")))
-    met = (blocks.select("*", F.posexplode_outer("_own").alias("_q", "_rank")).join(index_df, "_rank")
+
+    def windows(u: int) -> Column:
+        """The windows of a class that hold one of its prefix tokens."""
+        tokens = F.array(*[F.lit(t) for t in sorted(prefixes[u])])
+        starts = F.sequence(F.lit(0), F.floor((F.size("_words") - 1) / u).cast("int"))
+        cut = F.transform(starts, lambda i: F.struct(F.lit(u).alias("u"), i.alias("block"), F.slice("_words", i * u + 1, F.lit(2 * u)).alias("words")))
+        return F.filter(cut, lambda x: F.arrays_overlap(x["words"], tokens))
+
+    worded = (docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), words_of(F.col("text")).alias("_line"))
+              .where(F.col("_line").rlike(any_prefix)).select("_id", "_text", F.split("_line", " ").alias("_words")))
+    blocks = (worded.select("_id", "_text", F.explode_outer(F.concat(*[windows(u) for u in sorted(prefixes)])).alias("_b"))
+              .select("_id", "_text", F.col("_b.u").alias("_u"), "_b.block", F.array_sort(F.transform(
+                  F.array_intersect("_b.words", in_order), lambda t: F.element_at(ranks, t))).alias("_own")))
+    met = (blocks.select("*", F.posexplode_outer("_own").alias("_q", "_rank")).join(index_df, ["_u", "_rank"])
            .where((F.size("_own") >= F.col("_need"))  # length, then position: what can still come on either side
                   & (F.least(F.col("_n") - F.col("_p"), F.size("_own") - F.col("_q")) >= F.col("_need")
                      - F.least(F.col("_p"), F.col("_q")))))
-    found = (met.select("_id", "_text", "block", "_own", "_k").join(sets_df, "_k")
-             .withColumn("_both", F.size(F.array_intersect("_set", "_own"))).where(F.col("_both") >= F.col("_need"))
-             .withColumn("containment", F.col("_both") / F.size("_set")))
-    best = found.groupBy("_id", "_text", "block").agg(F.max("containment").alias("_best"), F.collect_set(F.struct("containment", "label")).alias("_all"))
-    return best.select("_id", "_text", "block", F.explode(F.array_distinct(F.transform(
-        F.filter("_all", lambda m: m["containment"] == F.col("_best")), lambda m: m["label"]))).alias("label"), F.col("_best").alias("containment"))
+    return (met.select("_id", "_text", "_u", "block", "_own", "_k").join(sets_df, "_k")
+            .withColumn("_both", F.size(F.array_intersect("_set", "_own"))).where(F.col("_both") >= F.col("_need"))
+            .select("_id", "_text", "_u", "block", "label", (F.col("_both") / F.size("_set")).alias("containment")))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8) -> DataFrame:

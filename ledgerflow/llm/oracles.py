@@ -33,8 +33,13 @@ canon AS (
 urls AS (
   SELECT page_id, host, path, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
     || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical FROM canon),
+articles AS (
+  SELECT u.canonical, u.host, u.page_id, regexp_extract(coalesce(p.html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM urls u JOIN pages p USING (page_id)),
+copied AS (  -- articles that pages of several hosts carry: the first page keeps its url
+  SELECT body, min(page_id) AS first FROM articles WHERE body <> '' GROUP BY body HAVING min(host) <> max(host)),
 listed AS (
-  SELECT DISTINCT canonical FROM urls WHERE regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.')),
+  SELECT canonical FROM urls WHERE regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.')
+  UNION SELECT canonical FROM articles a JOIN copied c ON a.body = c.body AND a.page_id > c.first),
 rules(h, p, say) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 best AS (
   SELECT u.page_id, u.host, u.path, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.say, length(r.h || r.p)) AS say, any_value(u.canonical) AS canonical
@@ -71,15 +76,15 @@ places AS (
   FROM (SELECT * FROM worded WHERE regexp_matches(low, 'license|by')) x, phrases),
 base AS (
   SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base_labels FROM places GROUP BY rid),
+sized AS (  -- templates in classes of 4, 8, 16, ... words; windows of twice as many
+  SELECT label, list_distinct(string_split(words, ' ')) AS own, greatest(4, pow(2, ceil(log2(len(string_split(words, ' '))))))::INT AS u FROM templates),
 blocks AS (
-  SELECT rid, block, list_distinct(list_filter(string_split(regexp_replace(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda w: w <> '')) AS own
-  FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line, generate_subscripts(string_split(low, chr(10)), 1) AS block FROM docs)),
+  SELECT rid, u, list_distinct(list_slice(w, place + 1, place + 2 * u)) AS held
+  FROM (SELECT rid, w, u, unnest(range(0, len(w), u)) AS place FROM worded, (SELECT DISTINCT u FROM sized) c WHERE len(w) > 0) x),
 met AS (
-  SELECT rid, block, label, len(list_intersect(own, t.words)) / len(t.words) AS containment
-  FROM blocks, (SELECT label, list_distinct(string_split(words, ' ')) AS words FROM templates) t
-  WHERE len(own) > 0 AND len(list_intersect(own, t.words)) >= ceil(0.8 * len(t.words))),
-best AS (SELECT * FROM met QUALIFY containment = max(containment) OVER (PARTITION BY rid, block)),
-joined AS (SELECT rid, list(DISTINCT label) AS labels, max(containment) AS score FROM best GROUP BY rid)
+  SELECT rid, label, len(list_intersect(held, own)) / len(own) AS containment
+  FROM blocks JOIN sized USING (u) WHERE len(list_intersect(held, own)) >= ceil(0.8 * len(own))),
+joined AS (SELECT rid, list(DISTINCT label) AS labels, max(containment) AS score FROM met GROUP BY rid)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_word, b.last_word,
   coalesce(array_to_string(b.base_labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.base_labels, []), coalesce(j.labels, [])))), ','), '') AS labels,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
 from ledgerflow.llm import licenses as L
@@ -17,17 +18,13 @@ def brute(text, threshold=0.8):
     w = norm(text).split(" ") if norm(text) else []
     places = [(i, label) for phrase, label in L.PHRASES for i in range(len(w)) if w[i:i + len(phrase.split())] == phrase.split()]
     labels, score = {label for _, label in places}, 1.0 if places else 0.0
-    for line in (text or "").split("\n"):
-        block = set(norm(line).split(" ")) - {""}
-        met = []
-        for label, t in L.TEMPLATES:
-            own = set(t.split())
-            if len(own & block) >= math.ceil(threshold * len(own)):
-                met.append((len(own & block) / len(own), label))
-        if met:
-            best = max(met)[0]
-            labels |= {label for c, label in met if c == best}
-            score = max(score, best)
+    for label, t in L.TEMPLATES:
+        own, u = set(t.split()), L.window_class(len(t.split()))
+        for i in range(0, len(w), u):
+            held = len(own & set(w[i:i + 2 * u]))
+            if held >= math.ceil(threshold * len(own)):
+                labels.add(label)
+                score = max(score, held / len(own))
     at = [i for i, _ in places]
     return (len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in places})), ",".join(sorted(labels)), score)
 
@@ -37,6 +34,32 @@ TEXTS = ["Licensed under the Apache License, Version 2.0.", "x y\nThis work is l
          "redistribution and use in source and binary forms with modification", "all rights\nreserved"]
 
 
+HARD_WRAPPED = {
+    "bsd": "/* Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
+    "gpl-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated",
+    "lgpl-3.0": "Licensed under the GNU Lesser\nGeneral Public\nLicense, Version 3",
+}
+
+
+def test_hard_wrapped_notices_at_every_place(spark):
+    from .conftest import words
+    rng = random.Random(3)
+    rows, want = [], {}
+    for i, (label, notice) in enumerate(HARD_WRAPPED.items()):
+        for k in range(40):
+            rows.append((100 * i + k, " ".join(words(rng, k)) + "\n" + notice + "\n" + " ".join(words(rng, 50)), None, None, None))
+            want[100 * i + k] = label
+    got = {r.doc_id: r.labels.split(",") for r in L.scan_licenses(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(want[d] in got[d] for d in want)
+
+
+def test_all_contained_templates_give_their_label(spark):
+    text = "Permission is hereby granted free of charge to any person obtaining a copy of the software. All rights reserved."
+    assert L.scan_licenses(spark.createDataFrame([(1, text, None, None, None)], DOC)).first().labels == "all-rights-reserved,mit"
+
+
 def rows_of(df):
     return sorted((str(r.doc_id), r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in df.collect())
 
