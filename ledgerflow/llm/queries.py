@@ -15,7 +15,7 @@ from .oracles import CHAT_SQL, LEAK_SQL, LICENSE_SQL, REPEAT_SQL, TRIE_SQL, URL_
 # The rules that the url query judges by.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Sites whose pages are listed: the canonical urls of all their pages make the list.
+#: Sites whose pages are listed, beside copied articles.
 LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
@@ -44,9 +44,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    # the list: urls of the listed sites, and urls whose article pages of other hosts carry too, but for the first page with it
     site = rf"(^|\.)({'|'.join(LISTED_SITES)})\."
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(site)).select(url_filter.canonical(F.col("url")).alias("canonical"))
+    url = F.col("url")
+    body = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?s)<article>(.*)</article>", 1)
+    seen = written(pages.select("page_id", url_filter.host_of(url).alias("host"), url_filter.canonical(url).alias("canonical"),
+                                F.when(body != "", F.md5(body)).alias("body")))
+    copied = written(seen.where("body is not null").groupBy("body").agg(F.min("page_id").alias("first"), F.min("host").alias("a"), F.max("host").alias("b"))
+                     .where("a <> b").select("body", "first"))
+    listed = (seen.where(F.col("host").rlike(site)).select("canonical")
+              .unionByName(seen.join(copied, "body").where(F.col("page_id") > F.col("first")).select("canonical")))
     return url_filter.filter_urls(pages, listed, URL_RULES).drop("bloom_hit")
 
 

@@ -39,3 +39,14 @@ def test_empty(spark):
     listed = spark.createDataFrame([], "canonical string")
     assert uf.filter_urls(none, listed, URL_RULES).count() == 0
     assert uf.filter_urls(spark.createDataFrame([(1, "http://a.b/c")], none.schema), listed, []).collect()[0].verdict == "allow"
+
+
+def test_the_query_lists_urls_that_their_hosts_do_not_imply(spark, tmp_path):
+    from ledgerflow.llm.queries import op6_url_filter
+    page = lambda body: f"<html><article>{body}</article></html>"
+    rows = [(1, "http://one.net/a", page("copied text")), (2, "http://two.net/b?utm_source=x", page("copied text")), (3, "http://two.net/c", page("own text")),
+            (4, "http://two.net/b", "no article"), (5, "http://same.net/1", page("twice")), (6, "http://same.net/2", page("twice")), (7, None, page("copied text")),
+            (8, "http://www.spam-farm.net/x", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.verdict for r in op6_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "block"}
