@@ -8,7 +8,8 @@ Fitting: a source is taken whole ``floor(target / size)`` times.  For the budget
 documents are counted by exact size, and each size gives the same share of its documents.  What
 then still lacks is fitted from the spare documents: large sizes first, and for the last stretch
 (``WINDOW`` words and a few times the largest size, for which the smallest documents are decided
-anew) a bounded-knapsack dynamic programme over the sizes, whose reachable sums are a bit set.  The
+anew) a bounded-knapsack dynamic programme over the sizes, whose reachable sums are a bit set; if it
+misses the budget, it runs again with more documents decided anew.  The
 table of counts by size is bounded by the number of different sizes; that is all one task sees of
 a source.
 
@@ -17,11 +18,14 @@ taken.  A large group is cut into hash ranges first, so that only the range whic
 taken document is ranked; no group of documents is gathered in a task.
 
 Defined results: a null or word-less text has size 0 and is taken 0 times; a null source is a
-source of its own; rows of one id and size are interchangeable.  Equal input gives equal output.
+source of its own; rows of one id, source and size are interchangeable: they are counted, and each
+copy is decided by a hash of its own, so a repeated id does not gather.  Equal input gives equal output.
 """
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +36,8 @@ from .common import cut, ship_by_value, unit_hash
 WORD = r"[^\x20\x09-\x0D]+"
 WINDOW = 1 << 15
 RANGE = 1024
+#: Bits that the knapsack's rows may have together when it runs again.
+TABLE_BITS = 1 << 31
 ship_by_value(__name__)
 
 
@@ -54,7 +60,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], max_repeats: float) ->
 
 
 def fit(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
-    """How many documents of each size to take so that their sizes sum to ``budget``, or as near below as can be."""
+    """How many documents of each size to take so that their sizes sum to ``budget``, or as near below as can be.
+
+    The programme runs on what is decided anew, starting with little.  Where it misses the budget (by more
+    than the sizes' common divisor explains), eight times as much is decided anew, up to all documents; it ends
+    before that only if the table of reachable sums would pass ``TABLE_BITS``.
+    """
     total = sum(s * c for s, c in counts)
     if budget >= total:
         return dict(counts)
@@ -64,27 +75,50 @@ def fit(counts: list[tuple[int, int]], budget: int) -> dict[int, int]:
     for s in sorted(spare, reverse=True):  # large sizes first, down to the last stretch
         k = min(spare[s], max(0, left - WINDOW) // s)
         take[s], spare[s], left = take[s] + k, spare[s] - k, left - k * s
-    room = 2 * max(spare)
-    for s in sorted(spare):  # small sizes are decided anew, enough of them to replace a document of the largest
-        k = min(take[s], -(-room // s))
-        take[s], spare[s], left, room = take[s] - k, spare[s] + k, left + k * s, max(0, room - k * s)
-    # bounded knapsack: bit n of a row says that n words can be reached with the sizes so far
-    mask, rows, parts = (1 << (left + 1)) - 1, [1], []
-    for s in sorted(spare, reverse=True):
-        n, step = min(spare[s], left // s), 1
+    step, room, best = math.gcd(*spare), 2 * max(spare), None
+    while True:
+        kept, free, gap = _free(take, spare, left, room)
+        parts = sum(min(n, gap // s).bit_length() for s, n in free.items())
+        if best is not None and gap * parts > TABLE_BITS:
+            return best[1]
+        more, lacks = _knapsack(free, gap)
+        if best is None or lacks < best[0]:
+            best = lacks, {s: kept[s] + more.get(s, 0) for s in kept}
+        if lacks == gap % step or not any(kept.values()):
+            return best[1]
+        room *= 8
+
+
+def _free(take: dict[int, int], spare: dict[int, int], left: int, room: int) -> tuple[dict[int, int], dict[int, int], int]:
+    """Give back taken documents of about ``room`` words, small sizes first: what stays taken, the free documents, the budget for them."""
+    kept, free = dict(take), dict(spare)
+    for s in sorted(free):
+        k = min(kept[s], -(-room // s))
+        kept[s], free[s], left, room = kept[s] - k, free[s] + k, left + k * s, max(0, room - k * s)
+    return kept, free, left
+
+
+def _knapsack(free: dict[int, int], budget: int) -> tuple[dict[int, int], int]:
+    """Bounded knapsack: how many free documents of each size to take, and the words that then still lack.
+
+    Bit n of a row says that n words can be reached with the sizes so far."""
+    mask, rows, parts = (1 << (budget + 1)) - 1, [1], []
+    for s in sorted(free, reverse=True):
+        n, step = min(free[s], budget // s), 1
         while n > 0:
             k = min(step, n)
             rows.append((rows[-1] | rows[-1] << (s * k)) & mask)
             parts.append((s, k))
             n, step = n - k, step * 2
-        if rows[-1] >> left & 1:
+        if rows[-1] >> budget & 1:
             break
     at = rows[-1].bit_length() - 1
+    lacks, more = budget - at, {}
     for i in range(len(parts) - 1, -1, -1):
         s, k = parts[i]
         if not rows[i] >> at & 1:
-            take[s], at = take[s] + k, at - s * k
-    return take
+            more[s], at = more.get(s, 0) + k, at - s * k
+    return more, lacks
 
 
 def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
@@ -97,10 +131,22 @@ def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """The rows again, with ``_copy``, the number of each among its equals; many copies of one row are dealt out in runs of RANGE."""
+    counted = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")))
+    last = lambda n: F.sequence(F.lit(1).cast("long"), n)
+    few = counted.where(F.col("_n") <= RANGE).withColumn("_copy", F.explode(last(F.col("_n")))).drop("_n")
+    runs = counted.where(F.col("_n") > RANGE).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RANGE))))
+    runs = runs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    here = F.least(F.lit(RANGE), F.col("_n") - F.col("_run") * RANGE)
+    many = runs.withColumn("_i", F.explode(last(here))).withColumn("_copy", F.col("_run") * RANGE + F.col("_i")).drop("_n", "_run", "_i")
+    return few.unionByName(many)
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeats: int = 3, seed: int = 17) -> DataFrame:
     """(doc_id, text, source) -> doc_id, source, size, source_size, target, repeats, taken."""
-    rows = cut(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-               .withColumn("_u", unit_hash(F.col("doc_id"), seed=seed)))
+    rows = cut(_copies(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size")))
+               .withColumn("_u", unit_hash(F.col("doc_id"), F.col("_copy"), seed=seed)))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = cut(targets(sizes, weights, max_repeats))
     counts = rows.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -123,7 +169,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), m
             .when(~small & (lacks >= F.col("_here")), F.lit(1)).when(~small & (lacks <= 0), F.lit(0)))
     met = met.withColumns({"_sure": sure, "_lacks": F.when(small, F.col("extra")).otherwise(lacks)})
     settled = met.where("_sure is not null").withColumn("_more", F.col("_sure"))
-    rank = F.row_number().over(Window.partitionBy(*same, F.col("_part")).orderBy("_u", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*same, F.col("_part")).orderBy("_u", "doc_id", "_copy"))
     ranked = met.where("_sure is null").withColumn("_more", (rank <= F.col("_lacks")).cast("int"))
     g = goal.select(F.col("source").alias("_s"), "source_size", "target")
     return (settled.unionByName(ranked).join(g, F.col("source").eqNullSafe(F.col("_s")))

@@ -56,16 +56,37 @@ def test_targets_are_met(spark):
     assert {(r.doc_id, r.taken) for r in out} == {(r.doc_id, r.taken) for r in again}
 
 
+def reachable(counts):
+    """All sums of some of the documents."""
+    sums = {0}
+    for s, c in counts:
+        sums = {x + s * k for x in sums for k in range(c + 1)}
+    return sums
+
+
 def test_fit_against_brute_force():
     rng = random.Random(2)
-    for _ in range(300):
-        counts = [(s, rng.randint(1, 4)) for s in sorted(rng.sample(range(1, 30), rng.randint(1, 5)))]
-        budget = rng.randint(0, sum(s * c for s, c in counts) + 3)
+    cases = [([(8, 1), (32, 6), (34, 4)], 227)]
+    for _ in range(1500):
+        counts = [(s, rng.randint(1, 6)) for s in sorted(rng.sample(range(1, rng.choice([12, 40, 300])), rng.randint(1, 5)))]
+        cases.append((counts, rng.randint(0, sum(s * c for s, c in counts) + 3)))
+    for counts, budget in cases:
         take = mixing.fit(counts, budget)
         assert all(0 <= take[s] <= c for s, c in counts)
-        got = sum(s * k for s, k in take.items())
-        assert got <= budget and min(budget, sum(s * c for s, c in counts)) - got < max(s for s, _ in counts)
+        assert sum(s * k for s, k in take.items()) == max(x for x in reachable(counts) if x <= budget)
     assert sum(s * k for s, k in mixing.fit([(1, 50), (7, 90), (1000, 80)], 44_321).items()) == 44_321
+    assert sum(s * k for s, k in mixing.fit([(1000, 50), (1500, 90)], 44_321).items()) == 44_000
+
+
+def test_a_third_of_the_rows_under_one_id(spark):
+    rng = random.Random(6)
+    rows = [(7, "w " * 9, None, "a", 0)] * 3000 + [(7, "w " * 4, None, None, 0)] * 20 + [(i, "w " * rng.randint(0, 30), None, rng.choice(["a", "b", None]), 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, DOC)
+    out = mixing.mix_sources(df).collect()
+    taken, goal = check(rows, out)
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in goal)
+    key = lambda rows: sorted(str(tuple(r)) for r in rows)
+    assert key(out) == key(mixing.mix_sources(df.repartition(7)).collect())
 
 
 def test_empty(spark):
