@@ -132,8 +132,12 @@ def fit(texts: list[tuple[str, int]], c: float = 4.0, epochs: int = 12, seed: in
         parts.append((d.astype(np.int32) + done, f.astype(np.int32)))
         done += len(run)
     doc, f = (np.concatenate(a) for a in zip(*parts, strict=True))
-    own = y[doc] == 1
-    p, q = (1 + np.bincount(f[m], minlength=1 << BITS) for m in (own, ~own))
+    part = np.random.default_rng(seed).random(len(texts)) < 0.8
+    if min(len(set(y[part])), len(set(y[~part]))) < 2:
+        part = np.ones(len(texts), dtype=bool)
+    # the texts that calibrate the scores have no part in the ratios either
+    own, fitted = y[doc] == 1, part[doc]
+    p, q = (1 + np.bincount(f[m & fitted], minlength=1 << BITS) for m in (own, ~own))
     ratios = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
     cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
     rows = []
@@ -143,9 +147,6 @@ def fit(texts: list[tuple[str, int]], c: float = 4.0, epochs: int = 12, seed: in
         rows.append((np.append(own_f, 1 << BITS), np.append(v / max(np.sqrt(v @ v), 1e-9), 1.0)))
     sign, share = 2.0 * y - 1, np.bincount(y, minlength=2) / len(y)
     cost = c * 0.5 / share[y]  # both classes weigh the same
-    part = np.random.default_rng(seed).random(len(texts)) < 0.8
-    if min(len(set(y[part])), len(set(y[~part]))) < 2:
-        part = np.ones(len(texts), dtype=bool)
     w = descend([r for r, k in zip(rows, part, strict=True) if k], sign[part], (1 << BITS) + 1, cost[part], epochs, seed)
     unseen = ~part if (~part).any() else part
     m = np.array([float(w[i] @ v) for (i, v), k in zip(rows, unseen, strict=True) if k])
