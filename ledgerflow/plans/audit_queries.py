@@ -8,9 +8,12 @@ id % 10 = 0, row dropped when id % 17 = 0).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import audit, staging
+from ..operators import audit, snapshots, staging
+from ..session import ensure_checkpoint_dir
 from . import staging_queries as sq
 from .registry import query
 
@@ -205,6 +208,42 @@ def _change_audit_json(b):
     return audit.change_audit_json(cust_before(b), cust_after(b), "customer_id", "customers")
 
 
+# written snapshots: every hundredth name changed, some rows dropped and some added, so that most buckets are equal
+def _snapshot_pair(b):
+    base = ensure_checkpoint_dir(b.spark).rstrip("/") + f"/snapshots/{uuid.uuid4().hex}"
+    old = cust_before(b)
+    k = F.col("customer_id")
+    new = old.where(k % 170 != 3).withColumn("customer_name", F.when(k % 100 == 0, F.concat("customer_name", F.lit(" (renamed)"))).otherwise(F.col("customer_name")))
+    new = new.unionByName(old.where(k % 300 == 7).withColumn("customer_id", k + 1_000_000))
+    before = snapshots.Snapshot(b.spark, f"{base}/before").write(old, "customer_id")
+    after = snapshots.Snapshot(b.spark, f"{base}/after").write(new, "customer_id")
+    schema = "customer_id long, client_id int, customer_name string, internal_notes string"
+    return before, after, schema
+
+
+_PAIR_SQL = _SNAP_SQL.split(",\nca AS")[0] + """,
+ca AS (SELECT customer_id, client_id, CASE WHEN customer_id % 100 = 0 THEN customer_name || ' (renamed)' ELSE customer_name END AS customer_name, internal_notes
+       FROM cb WHERE customer_id % 170 <> 3
+       UNION ALL SELECT customer_id + 1000000, client_id, customer_name, internal_notes FROM cb WHERE customer_id % 300 = 7)"""
+
+
+def _whole_row(kind: str, old: str, new: str) -> str:
+    row = "CAST(to_json({'customer_id': x.customer_id, 'client_id': x.client_id, 'customer_name': x.customer_name, 'internal_notes': x.internal_notes}) AS VARCHAR)"
+    pick = (row, "CAST(NULL AS VARCHAR)") if kind == "DELETE" else ("CAST(NULL AS VARCHAR)", row)
+    return (f"SELECT 'customers' AS table_name, x.customer_id AS record_id, '{kind}' AS operation, '*ROW*' AS field_name, {pick[0]} AS old_value, {pick[1]} AS new_value "
+            f"FROM {old} x WHERE NOT EXISTS (SELECT 1 FROM {new} n WHERE n.customer_id = x.customer_id)")
+
+
+@query("change_audit_buckets", "A3", views=["customers"], oracle=f"""WITH {_PAIR_SQL}
+{_whole_row("DELETE", "cb", "ca")}
+UNION ALL {_whole_row("INSERT", "ca", "cb")}
+UNION ALL SELECT 'customers', o.customer_id, 'UPDATE', 'customer_name', o.customer_name, n.customer_name
+FROM cb o JOIN ca n ON o.customer_id = n.customer_id WHERE o.customer_name IS DISTINCT FROM n.customer_name""")
+def _change_audit_buckets(b):
+    before, after, schema = _snapshot_pair(b)
+    return audit.change_audit(*snapshots.changed_rows(before, after, schema), "customer_id", "customers")
+
+
 @query("redacted_audit", "A5", views=["customers"], oracle=f"""WITH {_SNAP_SQL},
 d AS (SELECT o.customer_id AS record_id, 'DELETE' AS operation,
              to_json({{'customer_id': o.customer_id, 'client_id': o.client_id, 'customer_name': o.customer_name}}) AS old_values,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import bank, recon
+from ..operators import balances, bank, recon
+from ..session import ensure_checkpoint_dir
 from .registry import query
 
 _B = ["bank_accounts", "statements", "bank_tx", "journals"]
@@ -116,6 +119,26 @@ def _auto_match_bank(b):
     return _auto_match(b)["matches"]
 
 
+@query("book_balance_as_of", "B1", views=["bank_tx", "journals", "bank_accounts", "statements"], oracle="""
+SELECT s.account_id, s.statement_date, COALESCE(SUM(CAST(CASE WHEN j.journal THEN j.amount ELSE -j.amount END * 100 AS BIGINT)), 0)::BIGINT AS balance_cents
+FROM statements s JOIN bank_accounts a ON a.account_id = s.account_id LEFT JOIN journals j ON j.chart_id = a.chart_id AND j.date <= s.statement_date
+GROUP BY s.account_id, s.statement_date""")
+def _book_balance_as_of(b):
+    # the ledger posted in four batches, two of them folded into the base; the last holds legs of all months
+    store = balances.BalanceStore(b.spark, ensure_checkpoint_dir(b.spark).rstrip("/") + f"/balances/{uuid.uuid4().hex}")
+    late = F.col("transaction_id") % 10 == 0
+    year = F.year("date")
+    parts = [b.journals.where(~late & (year < 1994)), b.journals.where(~late & (year >= 1994) & (year < 1997)), b.journals.where(~late & (year >= 1997)), b.journals.where(late)]
+    for i, legs in enumerate(parts, 1):
+        store.post(i, legs)
+        if i in (1, 3):
+            store.fold(i)
+    points = bank.monthly_statements(b.bank_tx).select("account_id", "statement_date").join(b.bank_accounts.select("account_id", "chart_id"), "account_id")
+    found = store.as_of(points.select("chart_id", F.col("statement_date").alias("date")), len(parts))
+    return (points.join(found.withColumnRenamed("date", "statement_date"), ["chart_id", "statement_date"])
+            .select("account_id", "statement_date", "balance_cents"))
+
+
 def _greedy_sql(cents: int) -> str:
     """Pairs of rows in one order (distance, below before above, then the dates and ids), taken in rounds of mutual first choice."""
     return f"""WITH RECURSIVE br AS (SELECT bank_trans_id, account_id, last_day(transaction_date) AS statement_date, transaction_date,

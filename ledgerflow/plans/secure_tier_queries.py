@@ -192,6 +192,34 @@ def _write_tiers(b):
     return read[0].unionByName(read[1])
 
 
+FIRST_RUN = "1997-03-15"
+
+
+def _store(b):
+    base = ensure_checkpoint_dir(b.spark).rstrip("/") + f"/tier_store/{uuid.uuid4().hex}"
+    store = tier.TierStore(b.spark, base, "invoice_date", b.ar_ext.schema)
+    store.load(b.ar_ext, FIRST_RUN)
+    return store
+
+
+@query("advance_tiers", "T3", views=["ar_ext"], money=["amount"], oracle=f"""
+SELECT *, {_label_m('invoice_date')} AS partition_label,
+       CASE WHEN date_trunc('month', invoice_date) <= date_trunc('month', DATE '{AS_OF}' - INTERVAL 30 DAY)
+            THEN 'COLD' ELSE 'HOT' END AS tier FROM ar_ext""")
+def _advance_tiers(b):
+    store = _store(b)
+    store.advance(AS_OF)
+    return store.read()
+
+
+@query("advance_tiers_moved", "T3", views=["ar_ext"], oracle=f"""
+SELECT DISTINCT {_label_m('invoice_date')} AS partition_label FROM ar_ext
+WHERE date_trunc('month', invoice_date) <= date_trunc('month', DATE '{AS_OF}' - INTERVAL 30 DAY)
+  AND date_trunc('month', invoice_date) > date_trunc('month', DATE '{FIRST_RUN}' - INTERVAL 30 DAY)""")
+def _advance_tiers_moved(b):
+    return b.spark.createDataFrame([(x,) for x in _store(b).advance(AS_OF)], "partition_label string")
+
+
 @query("tier_partitions_weekly", "T3", views=["ar_ext"], money=["amount"], oracle=f"""
 SELECT *, {_label_w('invoice_date')} AS partition_label,
        CASE WHEN date_trunc('week', invoice_date) <= date_trunc('week', DATE '{AS_OF}' - INTERVAL 7 DAY)
