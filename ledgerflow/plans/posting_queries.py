@@ -910,7 +910,17 @@ def _post_staged(b):
                      .otherwise(F.col("notes")).alias("notes"))
 
 
-@query("post_staged_lineage", "G8")
+@query("post_staged_lineage", "G8", views=_DOC_VIEWS + sq.STG_VIEWS, oracle="WITH RECURSIVE " + _AR_SQL[len("WITH "):] + """,
+lin AS (SELECT 'account_receivables' AS table_name, tx.transaction_id AS record_id, tx.client_id, 'CSV_IMPORT' AS source_type, 'ar_import.csv' AS source_file,
+               l3.session_id, tx.request_id AS source_row_number, 'INSERT' AS operation,
+               CAST(to_json({'record_id': tx.transaction_id, 'session_id': l3.session_id, 'source_row_number': tx.request_id}) AS VARCHAR) AS record,
+               row_number() OVER (PARTITION BY l3.session_id ORDER BY tx.request_id) AS rn
+        FROM tx JOIN l3 ON l3.staging_record_id = tx.request_id),
+chain AS (SELECT lin.*, CAST(NULL AS VARCHAR) AS prev_hash, md5(table_name || operation || record) AS row_hash FROM lin WHERE rn = 1
+          UNION ALL
+          SELECT lin.*, c.row_hash AS prev_hash, md5(c.row_hash || lin.table_name || lin.operation || lin.record) AS row_hash
+          FROM lin JOIN chain c ON lin.session_id = c.session_id AND lin.rn = c.rn + 1)
+SELECT * EXCLUDE (rn) FROM chain""")
 def _post_staged_lineage(b):
     from ..operators import audit, staging
     tx = _posted(b)
