@@ -15,7 +15,8 @@ DataFrame functions run.
 
 Defined results: a null text is empty; a text without words has the constant fingerprint of an
 empty set, equal to that of every other such text; a null id sorts first; of rows with one id the
-smallest text stands for it as the next document; equal rows give equal rows.
+smallest text stands for it as the next document; equal rows give equal rows, and of many rows with
+one id each different text is worked on once, by id and text.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from .common import cut
 SAMPLES = 64
 PER_ROW = 4
 TABLE = 2048
+RUN = 1024
 NULL_KEY = -(1 << 63)
 
 
@@ -103,21 +105,30 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     n = max(1, facts["n"])
     before = order.select(F.col("_k").alias("_next"), ((F.col("_at") + (n - 1)) % n).alias("_at"))
     follows = cut(order.select("_k", "_n", "_at").join(before, "_at").select("_k", "_next", F.floor(F.col("_n") / 4).cast("int").alias("_need")))
+    repeated = (facts["rows"] or 0) > 1
+    if repeated:  # each text of an id once, with its copies; else the copies' weights would add up
+        own = own.groupBy("_k", F.xxhash64("_text").alias("_same")).agg(F.min("_text").alias("_text"), F.count("*").alias("_copies"))
     heads = (own.join(follows.select(F.col("_k").alias("_prev"), F.col("_next").alias("_k"), "_need"), "_k")
              .select(F.col("_prev").alias("_k"), F.expr("left(_text, _need)").alias("_head")))
-    if (facts["rows"] or 0) > 1:  # the head of the smallest text is the smallest head
+    if repeated:  # the head of the smallest text is the smallest head
         heads = heads.groupBy("_k").agg(F.min("_head").alias("_head"))
     chars = F.char_length("_text")
     edited = F.concat(F.expr("left(_text, char_length(_text) - floor(char_length(_text) / 4)::int)"), F.expr("left(_head, floor(char_length(_text) / 4)::int)"))
-    both = own.join(heads, "_k").select("_k", "_text", edited.alias("_edited")).withColumn("_same", F.xxhash64("_text"))
-    base = both.select("_k", "_same", chars.cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
+    both = own.join(heads, "_k").select("_k", "_text", edited.alias("_edited"), *(["_copies"] if repeated else [])).withColumn("_same", F.xxhash64("_text"))
+    if repeated:  # the texts of one id are spread as well
+        both = both.repartition("_k", "_same")
+    base = both.select("_k", "_same", *(["_copies"] if repeated else []), chars.cast("long").alias("n_chars"), F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
     # nothing but _k is a shuffle key so far: terms and samples of a text are gathered where the text already is
     signs = signatures(both, ["_k", "_same"], ["_text", "_edited"])
     table = cut(base.join(signs, ["_k", "_same"]).join(follows.select("_k", "_next"), "_k")
-                .select("_k", "_next", "n_chars", "edited_sha256", F.col("_text").alias("_own"), F.col("_edited").alias("_other")))
+                .select("_k", "_next", *(["_copies"] if repeated else []), "n_chars", "edited_sha256", F.col("_text").alias("_own"), F.col("_edited").alias("_other")))
     following = table.select(F.col("_k").alias("_next"), F.col("_own").alias("_following"))
-    if (facts["rows"] or 0) > 1:
+    if repeated:
         following = following.groupBy("_next").agg(F.min("_following").alias("_following"))
+        # a row for each copy again, dealt out in runs
+        runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / RUN)))
+        dealt = table.withColumn("_run", runs).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        table = dealt.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(RUN), F.col("_copies") - F.col("_run") * RUN))))
     return (table.join(following, "_next")
             .select(F.when(F.col("_k") != NULL_KEY, F.col("_k")).alias("doc_id"), "n_chars", "edited_sha256", as_text("_own").alias("fingerprint"),
                     as_text("_other").alias("edited_fingerprint"), likeness("_own", "_other").alias("near_edited"),

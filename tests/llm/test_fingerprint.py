@@ -56,3 +56,17 @@ def test_empty_and_single(spark):
     assert fp.fingerprint_documents(spark.createDataFrame([], DOC)).count() == 0
     one = fp.fingerprint_documents(spark.createDataFrame([(1, "a b c d e", None, None, None)], DOC)).collect()[0]
     assert one.near_next == 1.0
+
+
+def test_a_third_of_the_rows_under_one_id(spark):
+    from .conftest import words
+    import random
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, 40)) for _ in range(20)]
+    rows = [(7, texts[0])] * 1500 + [(7, t) for t in texts[1:6]] * 3 + [(None, texts[2])] * 2 + [(100 + i, t) for i, t in enumerate(texts)]
+    got = fp.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_chars", "fingerprint").collect()
+    assert len(got) == len(rows)
+    by_id = {100 + i: r for i in range(20) for r in got if r.doc_id == 100 + i}
+    own = sorted(r.fingerprint for r in got if r.doc_id == 7)
+    assert own == sorted([by_id[100].fingerprint] * 1500 + [by_id[100 + i].fingerprint for i in range(1, 6)] * 3)
+    assert [r.fingerprint for r in got if r.doc_id is None] == [by_id[102].fingerprint] * 2
