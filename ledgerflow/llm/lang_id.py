@@ -10,8 +10,9 @@ two table look-ups per byte.  The language with the shortest exact code wins; th
 posterior of that language under equal priors.
 
 Bounds: the sample has ``sample_bytes`` per language (one document's cut text more at most), and
-contexts are pruned by count until the table fits ``model_bytes``; the model is broadcast under that
-proven bound.  Whole texts are scored.
+contexts are pruned by count until the table fits ``model_bytes``; beside it stands an index of one
+number per possible context (the cube of the byte classes: 68 MB at most), and the model is broadcast
+under these two bounds.  Whole texts are scored, in runs that are shorter the more languages there are.
 
 The posterior is relative to the learned languages, so ``keep_known`` also tests the code length itself,
 of the letters alone (other signs become spaces: numbers and marks say nothing of the language): it must
@@ -137,8 +138,9 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)))
         sym = self.classes[data].astype(np.int64)
         a = self.a
-        for lo in range(0, len(sym) - ORDER, CHUNK):  # positions lo + ORDER ... hi - 1
-            hi = min(len(sym), lo + CHUNK + ORDER)
+        step = max(1, CHUNK * 8 // max(8, len(self.langs)))
+        for lo in range(0, len(sym) - ORDER, step):  # positions lo + ORDER ... hi - 1
+            hi = min(len(sym), lo + step + ORDER)
             part = sym[lo:hi]
             code = (part[:-3] * a + part[1:-2]) * a + part[2:-1]
             bits = self.bits[self.node[code].astype(np.int64) * a + part[3:]]
