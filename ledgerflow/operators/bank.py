@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import as_of
 from ..functions.money import MONEY, TOTAL
 from ..session import ensure_checkpoint_dir
 
@@ -128,6 +129,22 @@ def bank_reconciliation_detail(accounts: DataFrame, statements: DataFrame, bank_
     return opening.unionByName(bank).unionByName(book)
 
 
+def leg_statements(accounts: DataFrame, statements: DataFrame, journals: DataFrame, transactions: DataFrame) -> DataFrame:
+    """Every cash leg once, with the first statement that shows it: a leg is on that statement and on all later ones.
+
+    The compact form of the detail report's journal section, whose rows grow with legs times statements.
+    ``account_id, journal_id, description, book_amount, item_date, first_statement_date`` (null: not on a statement yet)."""
+    line = Window.partitionBy("account_id").orderBy("statement_date")
+    since = statements.select("account_id", "statement_date").distinct().withColumn("_after", F.lag("statement_date").over(line))
+    since = since.select("account_id", F.coalesce(F.date_add("_after", 1), F.lit("0001-01-01").cast("date")).alias("_from"),
+                         F.date_add("statement_date", 1).alias("_upto"), F.col("statement_date").alias("first_statement_date"))
+    legs = (journals.join(accounts.select("account_id", "chart_id"), "chart_id")
+            .join(transactions.select("transaction_id", "description"), "transaction_id", "left")
+            .select("account_id", "journal_id", "description",
+                    F.when(F.col("journal"), F.col("amount")).otherwise(-F.col("amount")).cast(TOTAL).alias("book_amount"), F.col("date").alias("item_date")))
+    return as_of(legs, since, ["account_id"], "item_date", "_from", "_upto", ["first_statement_date"])
+
+
 def _cents(c) -> F.Column:
     return (c * 100).cast("long")
 

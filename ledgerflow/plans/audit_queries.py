@@ -244,6 +244,31 @@ def _change_audit_buckets(b):
     return audit.change_audit(*snapshots.changed_rows(before, after, schema), "customer_id", "customers")
 
 
+@query("change_audit_json_buckets", "A4", views=["customers"], oracle=f"""WITH {_PAIR_SQL},
+j AS (SELECT 'cb' AS side, customer_id, client_id, customer_name, CAST(to_json({{'customer_id': customer_id, 'client_id': client_id, 'customer_name': customer_name,
+             'internal_notes': internal_notes}}) AS VARCHAR) AS js FROM cb
+      UNION ALL SELECT 'ca', customer_id, client_id, customer_name, CAST(to_json({{'customer_id': customer_id, 'client_id': client_id, 'customer_name': customer_name,
+             'internal_notes': internal_notes}}) AS VARCHAR) FROM ca),
+o AS (SELECT * FROM j WHERE side = 'cb'), n AS (SELECT * FROM j WHERE side = 'ca')
+SELECT 'customers' AS table_name, CASE WHEN o.side IS NULL THEN 'INSERT' WHEN n.side IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation,
+       COALESCE(n.customer_id, o.customer_id) AS record_id, o.js AS old_values, n.js AS new_values,
+       CASE WHEN o.side IS NOT NULL AND n.side IS NOT NULL THEN ['customer_name'] ELSE CAST([] AS VARCHAR[]) END AS fields_changed,
+       COALESCE(n.client_id, o.client_id) AS client_id
+FROM o FULL JOIN n ON o.customer_id = n.customer_id WHERE o.js IS DISTINCT FROM n.js""")
+def _change_audit_json_buckets(b):
+    before, after, schema = _snapshot_pair(b)
+    return audit.change_audit_json(*snapshots.changed_rows(before, after, schema), "customer_id", "customers")
+
+
+@query("append_only_buckets", "A13", views=["customers"], oracle=f"""WITH {_PAIR_SQL}
+SELECT o.customer_id, CASE WHEN n.customer_id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS violation
+FROM cb o LEFT JOIN ca n ON o.customer_id = n.customer_id
+WHERE n.customer_id IS NULL OR o.customer_name IS DISTINCT FROM n.customer_name""")
+def _append_only_buckets(b):
+    before, after, schema = _snapshot_pair(b)
+    return audit.append_only_violations(*snapshots.changed_rows(before, after, schema), "customer_id")
+
+
 @query("redacted_audit", "A5", views=["customers"], oracle=f"""WITH {_SNAP_SQL},
 d AS (SELECT o.customer_id AS record_id, 'DELETE' AS operation,
              to_json({{'customer_id': o.customer_id, 'client_id': o.client_id, 'customer_name': o.customer_name}}) AS old_values,

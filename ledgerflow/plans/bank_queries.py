@@ -119,6 +119,14 @@ def _auto_match_bank(b):
     return _auto_match(b)["matches"]
 
 
+@query("bank_reconciliation_legs", "B2", views=_B + ["transactions"], money=["book_amount"], oracle="""
+SELECT a.account_id, j.journal_id, t.description, CAST(CASE WHEN j.journal THEN j.amount ELSE -j.amount END AS DECIMAL(18,2)) AS book_amount, j.date AS item_date,
+       (SELECT MIN(s.statement_date) FROM statements s WHERE s.account_id = a.account_id AND s.statement_date >= j.date) AS first_statement_date
+FROM journals j JOIN bank_accounts a ON a.chart_id = j.chart_id LEFT JOIN transactions t ON t.transaction_id = j.transaction_id""")
+def _bank_reconciliation_legs(b):
+    return bank.leg_statements(b.bank_accounts, bank.monthly_statements(b.bank_tx), b.journals, b.transactions)
+
+
 @query("book_balance_as_of", "B1", views=["bank_tx", "journals", "bank_accounts", "statements"], oracle="""
 SELECT s.account_id, s.statement_date, COALESCE(SUM(CAST(CASE WHEN j.journal THEN j.amount ELSE -j.amount END * 100 AS BIGINT)), 0)::BIGINT AS balance_cents
 FROM statements s JOIN bank_accounts a ON a.account_id = s.account_id LEFT JOIN journals j ON j.chart_id = a.chart_id AND j.date <= s.statement_date
