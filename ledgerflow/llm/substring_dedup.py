@@ -101,11 +101,21 @@ def seeds_of(words: list[bytes], least: int, seed: int) -> tuple[np.ndarray, ...
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
 
 
-def windows_of(words: list[bytes], least: int, runs: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
-    """w1, w2, start of every window of the runs (start, windows)."""
+def stretches(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs (first window, windows) merged to stretches [first, end) of windows that follow each other, in order."""
+    out: list[list[int]] = []
+    for start, n in sorted(runs):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], start + n)
+        else:
+            out.append([start, start + n])
+    return [(a, b) for a, b in out]
+
+
+def windows_of(words: list[bytes], at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """w1, w2 of the windows that start at ``at``."""
     hashes = _Hashes(words)
-    at = np.unique(np.concatenate([np.arange(s, s + n) for s, n in runs]))
-    return hashes.of(0, at, at + least), hashes.of(1, at, at + least), at
+    return hashes.of(0, at, at + least), hashes.of(1, at, at + least)
 
 
 def _seed_rows(least: int, seed: int):
@@ -124,11 +134,31 @@ def _seed_rows(least: int, seed: int):
 
 
 def _window_rows(least: int):
+    """Windows of the runs; only the words that these windows cover are hashed, many texts at a time."""
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: list[bytes] = []
+        held: list[tuple] = []  # document, key, first window in the text, windows, place among ``words``
+
+        def flush() -> pd.DataFrame:
+            n = np.array([h[3] for h in held], dtype=np.int64)
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            w1, w2 = windows_of(words, np.repeat(np.array([h[4] for h in held], dtype=np.int64), n) + inside, least)
+            doc, key, first = (pd.Series([h[i] for h in held]).repeat(n).to_numpy() for i in range(3))
+            out = pd.DataFrame({"_w1": w1.astype(np.int64), "_w2": w2.astype(np.int64), "_doc": doc, "_key": key, "_at": first + inside, "_n": 1})
+            words.clear()
+            held.clear()
+            return out
+
         for batch in batches:
             for doc, key, text, runs in zip(batch["_doc"], batch["_key"], batch["_text"], batch["_runs"], strict=True):
-                w1, w2, at = windows_of(words_of(text), least, [(r["_at"], r["_n"]) for r in runs])
-                yield pd.DataFrame({"_w1": w1.astype(np.int64), "_w2": w2.astype(np.int64), "_doc": doc, "_key": key, "_at": at, "_n": 1})
+                own = words_of(text)
+                for first, end in stretches([(r["_at"], r["_n"]) for r in runs]):
+                    held.append((doc, key, first, end - first, len(words)))
+                    words.extend(own[first:end + least - 1])
+                if len(words) >= BLOCK:
+                    yield flush()
+            if held:
+                yield flush()
     return rows
 
 
