@@ -68,7 +68,9 @@ def allocate_layers(sales: DataFrame, layers: DataFrame, method: str = "fifo", s
     ends_at = F.least("_s.hi", "_l.hi")
     got = F.least("_s.hi", "_supply") - F.col("_s.lo")
     # where both start at one point, the sale's start stands for the slice
-    return (filled.where((F.col("_at") < ends_at) & ~(F.col("_from_layer") & (F.col("_s.lo") == F.col("_at"))))
+    # a product without layers (or without sales) has no slice; least() would pass over the missing side
+    both = F.col("_s").isNotNull() & F.col("_l").isNotNull()
+    return (filled.where(both & (F.col("_at") < ends_at) & ~(F.col("_from_layer") & (F.col("_s.lo") == F.col("_at"))))
             .select("_s.sale_id", "product_id", "_l.operation_id", (ends_at - F.col("_at")).alias("units"), "_l.unit_cost_cents",
                     got.alias("sale_units")))
 

@@ -105,17 +105,20 @@ def post_journals(events: DataFrame, role_map: DataFrame, rules: dict = POSTING_
 
 
 def dedupe_idempotent(requests: DataFrame, existing: DataFrame, key: str = "idempotency_key",
-                      order: str = "request_id", existing_id: str = "transaction_id") -> dict[str, DataFrame]:
+                      order: str | list[str] = "request_id", existing_id: str = "transaction_id") -> dict[str, DataFrame]:
     """First request per key wins; keys already in ``existing`` and later repeats are duplicates.
 
     Returns {"fresh": winners, "duplicates": request rows + duplicate_of (existing id, or the
     winning request for in-batch repeats), "rejected": requests without a key, with the reason}.
-    Every request is in exactly one of the three.
+    Every request is in exactly one of the three.  ``order`` is the request's id, or columns that end with it.
     """
     rejected = requests.where(F.col(key).isNull()).withColumn("error", F.lit(NO_KEY))
     requests = requests.where(F.col(key).isNotNull())
-    winners = requests.groupBy(key).agg(F.min(order).alias("_win"))
-    tagged = requests.join(winners, key).withColumn("_first", F.col(order) == F.col("_win"))
+    place = F.col(order) if isinstance(order, str) else F.struct(*order)
+    winners = requests.groupBy(key).agg(F.min(place).alias("_win"))
+    tagged = requests.join(winners, key).withColumn("_first", place == F.col("_win"))
+    if not isinstance(order, str):
+        tagged = tagged.withColumn("_win", F.col("_win")[order[-1]])
     # a key that the ledger holds more than once still answers once, with its first id
     ex = existing.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.min(existing_id).alias("_existing"))
     tagged = tagged.join(ex, F.col(key) == F.col("_k"), "left").drop("_k")

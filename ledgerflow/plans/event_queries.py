@@ -263,10 +263,10 @@ def post_fresh(b, fresh, slices, roles):
     return posting.post_journals(every, roles)[0]
 
 
-# the stream's key check spans all handlers: the first routed event of a key wins
+# the stream's key check spans all handlers: the first routed event of a key, by time, wins
 _STREAM_FRESH_SQL = _EV_SQL + f""",
 routed AS (SELECT * FROM parsed WHERE event_status = 'PENDING' AND {_ROUTE_SQL} IS NOT NULL),
-swin AS (SELECT payload_key, MIN(event_id) AS w FROM routed GROUP BY payload_key),
+swin AS (SELECT payload_key, event_id AS w FROM routed WHERE payload_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY payload_key ORDER BY created_at, event_id) = 1),
 num AS (SELECT r.*, r.event_id AS transaction_id FROM routed r JOIN swin ON r.payload_key = swin.payload_key AND r.event_id = swin.w
         WHERE NOT EXISTS (SELECT 1 FROM transactions t WHERE t.idempotency_key = r.payload_key))"""
 

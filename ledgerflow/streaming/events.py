@@ -15,7 +15,7 @@ dates, the slices are those that one batch over all events would cut.  A sale th
 full is rejected and closes its product's stock, within a batch as over batches.
 
 Repeats are found by key, not by a watermark, so an event that arrives late is posted like any
-other.  Keys are kept in a ``KeyIndex`` with one part per batch: a batch opens the key files of those
+other; of the events of one key the first by time is posted, ties by id.  Keys are kept in a ``KeyIndex`` with one part per batch: a batch opens the key files of those
 earlier batches only whose Bloom blocks may hold one of its keys.
 """
 
@@ -111,7 +111,7 @@ def start_stream_post_events(spark: SparkSession, source_path: str, sink_path: s
         requests = (routed.where(F.col("route_status") == "ROUTED").drop("idempotency_key")
                     .withColumnRenamed("payload_key", "idempotency_key").withColumn("request_id", F.col("event_id")))
         posted = index.lookup(requests, [*([KNOWN] if known is not None else []), *range(batch_id)])
-        split = dedupe_idempotent(requests, posted)
+        split = dedupe_idempotent(requests, posted, order=["created_at", "request_id"])  # the first to arrive, as over batches
         split["fresh"].drop("request_id").write.mode("overwrite").parquet(f"{sink_path}/fresh/part={batch_id}")
         failed = routed.where(F.col("route_status") == "FAILED").select("event_id", F.col("route_error").alias("error"))
         (failed.unionByName(split["rejected"].select("event_id", "error"))

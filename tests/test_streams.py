@@ -39,7 +39,7 @@ def test_stock_is_sold_once_over_batches_and_after_a_replay(spark, tmp_path, mon
     rng = random.Random(4)
     stock = spark.createDataFrame([(i, p, q, 100 * i, dt.date(2023, 1, i)) for i, p, q in [(1, 7, 10), (2, 8, 5), (3, 8, 50), (4, 9, 3)]], LAYER)
     days = [[_sale(1, 7, 6, 1)], [_sale(2, 7, 6, 2), _sale(3, 8, 4, 2), *[_sale(10 + i, rng.choice([8, 9]), rng.randint(1, 9), 3 + i) for i in range(5)]],
-            [_sale(20, 8, 30, 9), _sale(21, 8, 1, 9, "k3")]]
+            [_sale(20, 8, 30, 9), _sale(21, 8, 1, 9, "k3"), _sale(22, 7, 1, 9), _sale(23, 5, 1, 9)]]  # 7 is sold out by then, 5 was never there
     _, one = _drain(spark, f"{tmp_path}/one", [[r for d in days for r in d]], stock)
     start, many = _drain(spark, f"{tmp_path}/many", days, stock)
     assert many() == one() and [r for r in one() if r[0] in (1, 2)] == [(1, 1, 6, 6), (2, 1, 4, 4)]

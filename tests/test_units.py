@@ -52,6 +52,13 @@ def test_fifo_lifo_small(spark):
     assert cos[11].shortage == 3 and cos[10].cogs == Decimal("9.00")
 
 
+def test_a_product_without_layers_gets_no_slice(spark):
+    layers = spark.createDataFrame([(1, 7, dt.date(2025, 1, 1), 5, 100)], "operation_id long, product_id long, purchase_date date, quantity long, unit_cost_cents long")
+    sales = spark.createDataFrame([(10, 8, dt.date(2025, 1, 3), 7), (11, 7, dt.date(2025, 1, 3), 2)], "sale_id long, product_id long, sale_date date, quantity long")
+    assert [tuple(r) for r in costing.allocate_layers(sales, layers).select("sale_id", "operation_id", "units", "sale_units").collect()] == [(11, 1, 2, 2)]
+    assert costing.allocate_layers(sales, layers.where("product_id = 0")).count() == 0
+
+
 def test_allocation_of_a_hot_product(spark):
     """90 % of the rows on one product, one huge layer, short stretches: the same slices as a plain loop."""
     from collections import deque
