@@ -18,7 +18,9 @@ read at each statement date.  Matching bank rows to ledger legs is tiered:
   pairs that choose each other are matched at once by the same closed form.  That is the greedy
   order of the pairs by distance, so the matches are those of one tier after the other, cent by
   cent, but the rounds follow how choices depend on each other, not the tolerance.  Candidates meet
-  in a band join on buckets as wide as the tolerance; only one row per amount takes part in it.
+  in a band join on buckets as wide as the round's reach; only one row per amount takes part in it, and
+  the reach is chosen from counts by cell so that each amount meets a few candidates, however dense
+  the amounts are.
 """
 
 from __future__ import annotations
@@ -211,16 +213,57 @@ def best_pairs(bank_rows: DataFrame, legs: DataFrame, tolerance: int) -> DataFra
     return of_bank.join(of_leg, ["account_id", "_bank", "_leg"])
 
 
+#: Candidate pairs that a round may compare for each amount, on average.
+CROWD = 8
+
+
+def _near_cells(bank_rows: DataFrame, legs: DataFrame, tolerance: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Per account and cell of ``tolerance`` + 1 cents: the earliest leg (for rows) and the latest row (for legs) in reach.
+
+    Also the candidate pairs of amounts within reach of a cell, and the amounts, both as estimates."""
+    cell = F.floor(F.col("amt") / (tolerance + 1)).alias("_cell")
+    around = F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell")
+    count = F.approx_count_distinct("amt").alias("_n")
+    b = bank_rows.groupBy("account_id", cell).agg(count, F.max("statement_date").alias("_last")).checkpoint()
+    l = legs.groupBy("account_id", cell).agg(count, F.min("date").alias("_first")).checkpoint()
+    of_rows = (l.select("account_id", "_n", "_first", around).groupBy("account_id", "_cell")
+               .agg(F.sum("_n").alias("_near"), F.min("_first").alias("_first")))
+    of_legs = b.select("account_id", "_last", around).groupBy("account_id", "_cell").agg(F.max("_last").alias("_last"))
+    live = b.join(of_rows, ["account_id", "_cell"]).where(F.col("_first") <= F.col("_last"))
+    pairs, amounts = live.agg(F.sum(F.col("_n") * F.col("_near")), F.sum(F.col("_n") + F.col("_near"))).first()
+    return of_rows.drop("_near"), of_legs, int(pairs or 0), int(amounts or 0)
+
+
 def match_near(bank_rows: DataFrame, legs: DataFrame, tolerance: int) -> DataFrame:
-    """Matches within ``tolerance`` cents, in rounds; ends when no bank amount has a partner left."""
+    """Matches within ``tolerance`` cents, in rounds; ends when no bank amount has a partner left.
+
+    A round looks as far as ``CROWD`` candidates for each amount allow, so its work grows with the amounts, not with
+    their square: two amounts that are each other's nearest within a shorter reach are so within any longer one.
+    The reach grows as rows are used up, to the whole tolerance in the end.  Rows and legs that have nothing in time
+    within the tolerance leave the rounds at once."""
     spark = bank_rows.sparkSession
     ensure_checkpoint_dir(spark)
     found = spark.createDataFrame([], f"bank_trans_id {bank_rows.schema['bank_trans_id'].dataType.simpleString()}, "
                                       f"journal_id {legs.schema['journal_id'].dataType.simpleString()}, matched_amount {MONEY.simpleString()}")
+    cell, reach, least = F.floor(F.col("amt") / (tolerance + 1)), 0, 1  # the reach never shrinks
     while True:
-        pairs = best_pairs(bank_rows, legs, tolerance).checkpoint()
+        if reach < tolerance:
+            of_rows, of_legs, crowd, amounts = _near_cells(bank_rows, legs, tolerance)
+            if crowd == 0:
+                return found
+            reach = min(tolerance, max(least, tolerance * CROWD * amounts // crowd))
+            least = reach
+            # a row without a date is not decided here but among those of its amount
+            bank_rows = (bank_rows.withColumn("_cell", cell).join(of_rows, ["account_id", "_cell"])
+                         .where((F.col("_first") <= F.col("statement_date")) | F.col("statement_date").isNull()).select(*bank_rows.columns))
+            legs = (legs.withColumn("_cell", cell).join(of_legs, ["account_id", "_cell"])
+                    .where((F.col("date") <= F.col("_last")) | F.col("date").isNull()).select(*legs.columns))
+        pairs = best_pairs(bank_rows, legs, reach).checkpoint()
         if pairs.isEmpty():
-            return found
+            if reach == tolerance:
+                return found
+            least = reach * 4
+            continue
         b = bank_rows.join(pairs.select("account_id", F.col("_bank").alias("amt"), F.col("_leg").alias("_key")), ["account_id", "amt"])
         l = legs.join(pairs.select("account_id", F.col("_leg").alias("amt"), F.col("_leg").alias("_key")), ["account_id", "amt"])
         new = match_keyed(b, l).checkpoint()
