@@ -5,9 +5,10 @@ The reference's per-row triggers become set operations over two snapshots
 is the one inherently sequential fold: each link hashes the previous one, so a
 chain is processed in order by one task.  Chains are spread over tasks by a
 hash partitioning on the chain key and each task streams its sorted rows
-through ``mapInPandas`` with O(1) state (the running tail per chain), so even
-a chain holding a third of the log is never materialised in memory; appends
-start from the stored tail.  Verification needs no order dependency and runs
+through ``mapInPandas`` with O(1) state (the running tail per chain).  A log with
+a chain of more than ``SLICE`` rows is cut by its order into slices of about that many,
+which are folded one after the other, each from the tails of the one before, so no task
+sorts or holds more than a slice of a chain; appends start from the stored tail.  Verification needs no order dependency and runs
 fully parallel with the chunked ``lag``.
 
 A long log is better kept as a two-level chain: segments per chain, day and block of ids are folded
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.windows import chunked_lag
+from ..session import ensure_checkpoint_dir
 
 
 # the fold runs on executors that need no copy of this package
@@ -38,31 +41,74 @@ def _md5(text: str) -> str:
     return hashlib.md5(text.encode("utf-8")).hexdigest()
 
 
+#: Rows of one chain that a task sorts and folds at once, about.
+SLICE = 1 << 21
+_SLICE, _PLACE = "_hc_slice", "_hc_place"
+
+
 def hash_chain(rows: DataFrame, chain_key: str = "table_name", order: Sequence[str] = ("audit_id",),
                table_col: str = "table_name", op_col: str = "operation", record_col: str = "record",
-               tails: DataFrame | None = None) -> DataFrame:
+               tails: DataFrame | None = None, slice_rows: int = SLICE) -> DataFrame:
     """Add prev_hash and row_hash = md5(coalesce(prev, '') || table || op || record) per chain.
 
     A null part hashes as the empty text, here as in ``verify_hash_chain``.  One chain is folded
-    by one task in O(1) memory; choose a finer chain key (tenant, day) to spread a long log.
+    in order, ``slice_rows`` or so of its rows at a time; choose a finer chain key (tenant, day) to spread a long log.
     ``tails`` (chain_key, tail_hash) continues existing chains from their stored last hash.
     """
+    longest, total = rows.groupBy(chain_key).count().agg(F.max("count"), F.sum("count")).first()
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // slice_rows))
+    if (longest or 0) <= slice_rows:
+        return _fold_chains(rows, chain_key, order, table_col, op_col, record_col, tails, parts)
+    slices = -(-total // slice_rows)  # of all rows: a chain that stands together in the order fits a slice, too
+    return _fold_slices(rows, chain_key, order, table_col, op_col, record_col, tails, parts, slices)
+
+
+def _fold_slices(rows: DataFrame, chain_key: str, order: Sequence[str], table_col: str, op_col: str, record_col: str,
+                 tails: DataFrame | None, parts: int, slices: int) -> DataFrame:
+    """Slices by ``order`` of all chains, folded one after the other; only the tails of chains pass from one to the next."""
     spark = rows.sparkSession
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hash_chain/{uuid.uuid4().hex}"
+    sliced = rows.repartitionByRange(slices, *order).withColumn(_SLICE, F.spark_partition_id())
+    sliced.write.partitionBy(_SLICE).parquet(f"{base}/slices")
+    cut = spark.read.schema(sliced.schema).parquet(f"{base}/slices")
+    last = None if tails is None else tails.select(chain_key, "tail_hash").where(F.col(chain_key).isNotNull())
+    paths = []
+    for i in range(slices):
+        part = cut.where(F.col(_SLICE) == i).drop(_SLICE)
+        known = None if last is None else last.select(F.col(chain_key).alias("_chain"), "tail_hash")
+        linked = _fold_chains(part, chain_key, order, table_col, op_col, record_col, known, parts, "_chain", _PLACE)
+        path = f"{base}/links/part={i}"
+        linked.write.parquet(path)
+        done = spark.read.schema(linked.schema).parquet(path)
+        paths.append(path)
+        ends = done.groupBy(chain_key).agg(F.max_by("row_hash", _PLACE).alias("tail_hash"))
+        if last is not None:  # chains without a row in this slice keep their tails
+            same = F.col(chain_key).eqNullSafe(F.col("_chain"))
+            ends = last.join(ends.select(F.col(chain_key).alias("_chain")), same, "left_anti").unionByName(ends)
+        last = ends.checkpoint()
+    return spark.read.schema(linked.schema).parquet(*paths).drop(_PLACE)
+
+
+def _fold_chains(rows: DataFrame, chain_key: str, order: Sequence[str], table_col: str, op_col: str, record_col: str,
+                 tails: DataFrame | None, parts: int, tail_key: str | None = None, place: str | None = None) -> DataFrame:
+    """The chains of ``rows``, each by one task from its tail; ``place`` also numbers the rows that a task folds."""
     data = rows
-    if tails is not None:
+    if tails is None:
+        data = data.withColumn("tail_hash", F.lit(None).cast("string"))
+    elif tail_key is None:
         data = data.join(tails.select(chain_key, "tail_hash"), chain_key, "left")
     else:
-        data = data.withColumn("tail_hash", F.lit(None).cast("string"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        data = data.join(tails, F.col(chain_key).eqNullSafe(F.col(tail_key)), "left").drop(tail_key)
     text = {c: F.col(c).cast("string") for c in {table_col, op_col, record_col}}
     ordered = data.withColumns(text).repartition(parts, chain_key).sortWithinPartitions(chain_key, *order)
     key_idx_cols = list(ordered.columns)
-    out_schema = T.StructType(ordered.schema.fields + [T.StructField("prev_hash", T.StringType()),
-                                                       T.StructField("row_hash", T.StringType())])
+    extra = [T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())]
+    extra += [] if place is None else [T.StructField(place, T.LongType())]
+    out_schema = T.StructType(ordered.schema.fields + extra)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current_chain = object()
-        prev = None
+        prev, n = None, 0
         for pdf in batches:
             prevs, hashes = [], []
             for chain, tail, table, op, rec in zip(pdf[chain_key], pdf["tail_hash"], pdf[table_col],
@@ -73,7 +119,9 @@ def hash_chain(rows: DataFrame, chain_key: str = "table_name", order: Sequence[s
                 h = _md5("".join(x if isinstance(x, str) else "" for x in (prev, table, op, rec)))
                 hashes.append(h)
                 prev = h
-            yield pdf.assign(prev_hash=prevs, row_hash=hashes)
+            out = pdf.assign(prev_hash=prevs, row_hash=hashes)
+            yield out if place is None else out.assign(**{place: range(n, n + len(out))})
+            n += len(out)
 
     return ordered.select(*key_idx_cols).mapInPandas(fold, out_schema).drop("tail_hash")
 
@@ -134,6 +182,8 @@ def anchor_chain(chained: DataFrame, chain_key: str = "table_name", order_id: st
     heads = chained.groupBy(chain_key, "segment_no", "segment").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max(F.struct(order_id, "row_hash")).alias("_last")).select(
         chain_key, "segment_no", "segment", "n_rows", F.col(f"_last.{order_id}").alias("last_id"), F.col("_last.row_hash").alias("head_hash"))
+    ensure_checkpoint_dir(heads.sparkSession)
+    heads = heads.checkpoint()  # counted and folded; the segments are folded for it once
     linked = hash_chain(heads, chain_key, ["segment_no"], table_col="segment", op_col="n_rows", record_col="head_hash", tails=tails)
     return linked.withColumn("n_rows", F.col("n_rows").cast("long"))
 

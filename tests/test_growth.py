@@ -34,3 +34,17 @@ def test_dense_amounts_are_matched_with_a_short_reach_first(spark, monkeypatch):
     monkeypatch.setattr(bank, "best_pairs", lambda x, y, reach: seen.append(reach) or best(x, y, reach))
     assert {r.bank_trans_id: r.journal_id for r in bank.match_near(b, l, cents).collect()} == want
     assert seen == sorted(seen) and seen[0] < cents / 4 and seen[-1] == cents
+
+
+def test_a_long_chain_is_folded_slice_by_slice(spark, monkeypatch):
+    schema = "audit_id long, table_name string, operation string, record string"
+    rows = [(i, None if i % 7 == 0 else "t0" if i < 40 else f"t{i % 3}", "INSERT", None if i % 11 == 0 else f'{{"n":{i}}}') for i in range(90)]
+    log = spark.createDataFrame(random.Random(3).sample(rows, len(rows)), schema)
+    tails = spark.createDataFrame([("t0", "a" * 32), ("t2", "b" * 32), ("t9", "c" * 32)], "table_name string, tail_hash string")
+    read = lambda df: sorted(tuple(r) for r in df.select("audit_id", F.coalesce("table_name", F.lit("")), "prev_hash", "row_hash").fillna("").collect())
+    whole = [read(audit.hash_chain(log, tails=t)) for t in (None, tails)]
+    sizes, fold = [], audit._fold_chains
+    monkeypatch.setattr(audit, "_fold_chains", lambda part, *more: sizes.append(part.count()) or fold(part, *more))
+    cut = [audit.hash_chain(log, tails=t, slice_rows=20) for t in (None, tails)]
+    assert [read(c) for c in cut] == whole and cut[0].columns == audit.hash_chain(log).columns
+    assert sum(sizes[:5]) == 90 and max(sizes[:10]) < 40
