@@ -48,3 +48,16 @@ def test_a_long_chain_is_folded_slice_by_slice(spark, monkeypatch):
     cut = [audit.hash_chain(log, tails=t, slice_rows=20) for t in (None, tails)]
     assert [read(c) for c in cut] == whole and cut[0].columns == audit.hash_chain(log).columns
     assert sum(sizes[:5]) == 90 and max(sizes[:10]) < 40
+
+
+def test_runs_of_days_land_as_many_files(spark):
+    days = [[_sale(10 * d + i, 7, 1, d) for i in range(8)] for d in (1, 2, 3, 4)]
+    events = spark.createDataFrame([r for d in days for r in d], se.EVENT_SCHEMA).repartition(4)
+    stock = spark.createDataFrame([(1, 7, 100, 5, dt.date(2023, 1, 1))], LAYER)
+    root = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "stream_post_events"
+    before = set(root.iterdir()) if root.exists() else set()
+    from ledgerflow.plans import event_queries as eq
+    got = se.run_available_now(spark, events, eq.allocate_fresh, lambda fresh, slices: slices, stock, batches=2)
+    assert sorted((r.sale_id, r.units) for r in got.collect()) == sorted((e[0], 1) for d in days for e in d)
+    (base,) = set(root.iterdir()) - before
+    assert len(list((base / "source").glob("*.parquet"))) > 2 and len(list((base / "sink/journals").glob("part=*"))) == 2
