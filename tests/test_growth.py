@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from ledgerflow.operators import audit, bank
+from ledgerflow.operators import audit, bank, costing
 from ledgerflow.session import ensure_checkpoint_dir
 from ledgerflow.streaming import events as se
 
@@ -61,3 +61,31 @@ def test_runs_of_days_land_as_many_files(spark):
     assert sorted((r.sale_id, r.units) for r in got.collect()) == sorted((e[0], 1) for d in days for e in d)
     (base,) = set(root.iterdir()) - before
     assert len(list((base / "source").glob("*.parquet"))) > 2 and len(list((base / "sink/journals").glob("part=*"))) == 2
+
+
+LAYERS = "operation_id long, product_id long, purchase_date date, quantity long, unit_cost_cents long"
+SALES = "sale_id long, product_id long, sale_date date, quantity long"
+
+
+def _stock_lines(spark):
+    rng, day = random.Random(4), lambda: None if rng.random() < 0.1 else dt.date(2025, 1, 1) + dt.timedelta(rng.randint(0, 5))
+    null = lambda v: None if rng.random() < 0.05 else v
+    layers = [(null(i), null(rng.randint(1, 9)), day(), null(rng.randint(0, 9)), i) for i in range(300)]
+    sales = [(null(i), null(rng.randint(1, 9)), day(), null(rng.randint(0, 9))) for i in range(300)]
+    return spark.createDataFrame(sales, SALES), spark.createDataFrame(layers, LAYERS)
+
+
+def test_small_products_are_shuffled_once(spark):
+    sales, layers = _stock_lines(spark)
+    slices = costing.allocate_layers(sales, layers)
+    assert slices.collect()
+    final = slices._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning(product_id") == 1
+
+
+def test_rows_without_date_or_id_take_the_same_units_either_way(spark):
+    sales, layers = _stock_lines(spark)
+    read = lambda df: sorted(map(tuple, df.collect()))
+    for method in ("fifo", "lifo"):
+        whole = costing.allocate_layers(sales, layers, method)
+        assert read(whole) == read(costing.allocate_layers(sales, layers, method, stretch=8)) != []
