@@ -89,3 +89,13 @@ def test_rows_without_date_or_id_take_the_same_units_either_way(spark):
     for method in ("fifo", "lifo"):
         whole = costing.allocate_layers(sales, layers, method)
         assert read(whole) == read(costing.allocate_layers(sales, layers, method, stretch=8)) != []
+
+
+def test_post_sale_reads_landed_slices(spark, monkeypatch):
+    from ledgerflow.plans import posting_queries as pq
+    from ledgerflow.plans.registry import load_all
+    calls, allocate = [], costing.allocate_layers
+    monkeypatch.setattr(costing, "allocate_layers", lambda *a: calls.append(1) or allocate(*a))
+    df = load_all()["post_sale_roleless"].build(spark, "/root/testdata/sf0.001")
+    assert calls == [1] and "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert pq.landed(df.limit(0), "post_sale/none").count() == 0
